@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from netfusion.llm.common import table
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +50,7 @@ FROM r GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_ids": op5_token_ids, "op9_chat_format": op9_chat_format}
+    return {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op5_token_ids": op5_token_ids, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
