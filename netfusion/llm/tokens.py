@@ -14,7 +14,9 @@ Id i starts at bit i * width, so any range of ids is found without reading what
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from netfusion.llm.common import partitions, written
 
 MAGIC = b"NFT1"
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 MEMO_WORD_CHARS = 64
+SIGNS = string.punctuation
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _encoders: dict[str, Encoder] = {}
 
 
@@ -98,41 +102,63 @@ class Encoder:
     """A tokenizer whose words are encoded once.
 
     Normalising and splitting never join what a space, tab or line end separates if the tokenizer drops white space, so a text's
-    ids are those of its words. A tokenizer that keeps white space gets whole texts.
+    ids are those of its words; nor what stands between a letter and the ASCII signs that end a word, if the tokenizer splits there.
+    Both are tried out on the tokenizer; one that fails gets whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.memo: dict[str, bytes] = {}
-        self.by_word = drops_spaces(self.tokenizer)
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        cut = {}
+        for w in new:
+            # control strings hold such signs and letters of one case: they stay as they are
+            stem = w.rstrip(SIGNS) if self.by_stem and "<|" not in w else w
+            stem = stem if stem and stem[-1].lower().isalpha() else w
+            tail = w[len(stem) :]
+            cut[w] = (stem.translate(LOWER) if self.by_lower and "<|" not in w else stem, tail)
+        ask = [*{x for pair in cut.values() for x in pair if x}.difference(self.stems)]
+        self.stems.update(zip(ask, self._encoded(ask), strict=True))
+        self.stems[""] = b""
+        for w, (stem, tail) in cut.items():
+            self.words[w] = self.stems[stem] + self.stems[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian uint32."""
         if not self.by_word:
             return self._encoded(texts)
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        known, out = self.memo, []
-        if len(known) > MEMO_WORDS:
-            known.clear()
-        for words in split:
-            new = [w for w in set(words) if w not in known]
-            extra = {}
-            if new:
-                for w, ids in zip(new, self._encoded(new), strict=True):
-                    (known if len(w) <= MEMO_WORD_CHARS else extra)[w] = ids
-            out.append(b"".join([extra[w] if w in extra else known[w] for w in words] if extra else map(known.__getitem__, words)))
+        new = set().union(*split).difference(self.words)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for memo in (self.words, self.stems):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            for w in [w for w in new if len(w) > MEMO_WORD_CHARS and w in memo]:
+                del memo[w]
         return out
 
 
-def drops_spaces(tokenizer) -> bool:
-    """If each word's ids are the same alone and among others."""
-    alone = [tokenizer.encode(w, add_special_tokens=False).ids for w in ("a", "b.", "'s")]
-    return all(tokenizer.encode(f"a{s}b.{s}{s}'s", add_special_tokens=False).ids == sum(alone, []) for s in " \n\t\r")
+def separable(tokenizer) -> tuple[bool, bool, bool]:
+    """If words are encoded alike alone and among others; stems and the signs after them; ASCII capitals and small letters."""
+
+    def ids(x: str) -> list[int]:
+        return tokenizer.encode(x, add_special_tokens=False).ids
+
+    some = ("a", "b.", "'s", "Word", "é", "7")
+    by_word = all(ids(f"{s}{s}".join(some)) == sum(map(ids, some), []) for s in " \n\t\r") and not ids(" \n\t\r ")
+    by_stem = all(ids(f"{w}{x}") == ids(w) + ids(x) for w in ("a", "it's", "Word", "é", "x.y") for x in (".", ",", "'", "###", "$$$", ")?", '."', "'..", "&&&", "|"))
+    by_lower = all(ids(w) == ids(w.lower()) for w in ("Word", "WORD", "IT'S", "ÀB", "AZ"))
+    return by_word, by_stem, by_lower
 
 
 def encoder(tokenizer_json: str) -> Encoder:

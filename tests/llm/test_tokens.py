@@ -45,10 +45,10 @@ def test_words_alone_equal_whole_texts():
 
     with open(PATH) as f:
         e = tokens.Encoder(f.read())
-    assert e.by_word
+    assert e.by_word and e.by_stem and e.by_lower
     t = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(0)
-    parts = ["a", "'s", "B", "é", "é", "́", " ", "\x0b", "\x1c", " ", " ", "  ", "\n", "\t", "\r\n", "<|endoftext|>", "<|endo", "1", "23", "!?", "漢字", "İ", "Σ", "ς", "\U0001f600", "\x00", "</w>", "x" * 200]
+    parts = ["a", "'s", "B", "é", "é", "́", " ", "\x0b", "\x1c", " ", " ", "  ", "\n", "\t", "\r\n", "<|endoftext|>", "<|endo", "1", "23", "!?", "漢字", "İ", "Σ", "ς", "\U0001f600", "\x00", "</w>", "A'S", "<|ENDOFTEXT|>", "word.", "Word,", "É.", "x́.", "≠", "?̸", "İ!", "ª;", "²,", "_a_", "x" * 200]
     texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(2000)] + [""]
     assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
