@@ -23,6 +23,41 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, i, ws[i : i + 2] AS g FROM d, unnest(range(1, len(ws) - 1)) AS u(i)
+), dup AS (
+  SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM dup, unnest([0, 1, 2]) AS u(o) GROUP BY doc_id
+), tw AS (
+  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(tw.n, 0) AS top_word,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]'))) AS n_wordlike
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN tw USING (doc_id)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 5 * n_upper > 2 * n_letters OR 2 * n_dup_lines > n_lines
+         OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * top_word > 3 * n_words OR 10 * n_wordlike < 7 * n_words) AS kept
+FROM b
+"""
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netfusion.llm.chat import digest, format_conversations
 
@@ -50,8 +85,13 @@ FROM r GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op5_token_ids": op5_token_ids, "op9_chat_format": op9_chat_format}
+    return {
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_token_ids": op5_token_ids,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_chat_format": op9_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
