@@ -58,6 +58,12 @@ FROM b
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netfusion.llm.chat import digest, format_conversations
 
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_token_ids": op5_token_ids,
         "op7_quality_rules": op7_quality_rules,
+        "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
     }
 
