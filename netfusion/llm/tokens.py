@@ -14,6 +14,7 @@ Id i starts at bit i * width, so any range of ids is found without reading what
 
 from __future__ import annotations
 
+import os
 import string
 import zlib
 from array import array
@@ -28,10 +29,11 @@ from netfusion.llm.common import partitions, written
 
 MAGIC = b"NFT1"
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 500_000
-MEMO_WORD_CHARS = 64
-SIGNS = string.punctuation
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+MEMO_WORDS = 1_200_000
+MEMO_STEMS = 700_000
+MEMO_WORD_BYTES = 64
+SIGNS = string.punctuation.encode()
+ASCII_LETTERS = frozenset(string.ascii_letters.encode())
 _encoders: dict[str, Encoder] = {}
 
 
@@ -101,61 +103,71 @@ class Block:
 class Encoder:
     """A tokenizer whose words are encoded once.
 
-    Normalising and splitting never join what a space, tab or line end separates if the tokenizer drops white space, so a text's
-    ids are those of its words; nor what stands between a letter and the ASCII signs that end a word, if the tokenizer splits there.
+    Normalising and splitting never join what ASCII white space separates if the tokenizer drops white space, so a text's
+    ids are those of its words; nor an ASCII letter and the ASCII signs that end a word after it, if the tokenizer splits there.
     Both are tried out on the tokenizer; one that fails gets whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        cut = {}
+    def _learn(self, new: set[bytes]) -> None:
+        stems, words, signed, ask = self.stems, self.words, [], set()
         for w in new:
-            # control strings hold such signs and letters of one case: they stay as they are
-            stem = w.rstrip(SIGNS) if self.by_stem and "<|" not in w else w
-            stem = stem if stem and stem[-1].lower().isalpha() else w
-            tail = w[len(stem) :]
-            cut[w] = (stem.translate(LOWER) if self.by_lower and "<|" not in w else stem, tail)
-        ask = [*{x for pair in cut.values() for x in pair if x}.difference(self.stems)]
-        self.stems.update(zip(ask, self._encoded(ask), strict=True))
-        self.stems[""] = b""
-        for w, (stem, tail) in cut.items():
-            self.words[w] = self.stems[stem] + self.stems[tail]
+            stem = w.rstrip(SIGNS) if self.by_stem else w
+            if len(stem) == len(w) or not stem or stem[-1] not in ASCII_LETTERS or b"<|" in w:
+                ask.add(w)
+            else:
+                tail = w[len(stem) :]
+                signed.append((w, stem, tail))
+                ask.add(stem)
+                ask.add(tail)
+        ask = list(ask.difference(stems))
+        stems.update(zip(ask, self._encoded([x.decode() for x in ask]), strict=True))
+        for w, stem, tail in signed:
+            words[w] = stems[stem] + stems[tail]
+        for w in new.difference(words):
+            words[w] = stems[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian uint32."""
         if not self.by_word:
             return self._encoded(texts)
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        split = []
+        for text in texts:
+            data = text.encode()
+            # control strings have letters of one case: such a text stays as it is
+            split.append((data.lower() if self.by_lower and b"<|" not in data else data).split())
         new = set().union(*split).difference(self.words)
         if new:
             self._learn(new)
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for memo in (self.words, self.stems):
-            if len(memo) > MEMO_WORDS:
+        for memo, most in ((self.words, MEMO_WORDS), (self.stems, MEMO_STEMS)):
+            if len(memo) > most:
                 memo.clear()
-            for w in [w for w in new if len(w) > MEMO_WORD_CHARS and w in memo]:
+            for w in [w for w in new if len(w) > MEMO_WORD_BYTES and w in memo]:
                 del memo[w]
         return out
 
 
 def separable(tokenizer) -> tuple[bool, bool, bool]:
-    """If words are encoded alike alone and among others; stems and the signs after them; ASCII capitals and small letters."""
+    """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; ASCII
+    capitals and small letters."""
 
     def ids(x: str) -> list[int]:
         return tokenizer.encode(x, add_special_tokens=False).ids
 
     some = ("a", "b.", "'s", "Word", "é", "7")
-    by_word = all(ids(f"{s}{s}".join(some)) == sum(map(ids, some), []) for s in " \n\t\r") and not ids(" \n\t\r ")
+    by_word = all(ids(f"{s}{s}".join(some)) == sum(map(ids, some), []) for s in " \n\t\r\x0b\x0c") and not ids(" \n\t\r\x0b\x0c ")
     by_stem = all(ids(f"{w}{x}") == ids(w) + ids(x) for w in ("a", "it's", "Word", "é", "x.y") for x in (".", ",", "'", "###", "$$$", ")?", '."', "'..", "&&&", "|"))
     by_lower = all(ids(w) == ids(w.lower()) for w in ("Word", "WORD", "IT'S", "ÀB", "AZ"))
     return by_word, by_stem, by_lower

@@ -49,7 +49,8 @@ def test_words_alone_equal_whole_texts():
     t = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(0)
     parts = ["a", "'s", "B", "é", "é", "́", " ", "\x0b", "\x1c", " ", " ", "  ", "\n", "\t", "\r\n", "<|endoftext|>", "<|endo", "1", "23", "!?", "漢字", "İ", "Σ", "ς", "\U0001f600", "\x00", "</w>", "A'S", "<|ENDOFTEXT|>", "word.", "Word,", "É.", "x́.", "≠", "?̸", "İ!", "ª;", "²,", "_a_", "x" * 200]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(2000)] + [""]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(4000)] + [""]
+    texts += ["".join(rng.choice([p for p in parts if "<" not in p], rng.integers(0, 9))) for _ in range(20_000)]
     assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
