@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netfusion.llm.common import bucket_of
+from netfusion.llm.common import bucket_of, cut
 
 SLOTS = 1 << 18
 HASHES = 3
@@ -25,6 +25,8 @@ LEAST_COUNT = 3
 TYPICAL = 0.2
 #: Rows of each language that the filters are fitted on: all if fewer than twice as many, else about this many chosen by a hash of the id.
 SAMPLE_DOCS = 2000
+#: With more languages than this their sampling rates are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 _SPACE = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -96,8 +98,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) ->
     import pyarrow as pa
 
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    every = known.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / sample)).alias("every"))
-    some = known.join(every, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
+    every = cut(known.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / sample)).alias("every")))
+    some = known.join(F.broadcast(every) if every.count() <= BROADCAST_LANGUAGES else every, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
