@@ -9,6 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from netfusion.llm.common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_order")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents
+), s AS (SELECT src, count(*) AS n_docs, sum(n)::BIGINT AS tokens FROM d GROUP BY src
+), a AS (SELECT sum(tokens)::BIGINT AS total, list(tokens::DOUBLE ORDER BY tokens) AS each FROM s WHERE tokens > 0
+), b AS (SELECT total, list_transform(each, lambda t: t / total) AS shares FROM a
+), e AS (
+  SELECT total, shares, CASE WHEN pow(shares[1], -1.0) / len(shares) <= 1.25 THEN 0.0 ELSE
+    list_reduce(list_transform(range(20), lambda i: {'lo': 0.0::DOUBLE, 'hi': 1.0::DOUBLE}), lambda x, y:
+      CASE WHEN pow(shares[1], (x.lo + x.hi) / 2 - 1) / list_sum(list_transform(shares, lambda p: pow(p, (x.lo + x.hi) / 2))) > 1.25
+           THEN {'lo': (x.lo + x.hi) / 2, 'hi': x.hi} ELSE {'lo': x.lo, 'hi': (x.lo + x.hi) / 2} END, {'lo': 0.0::DOUBLE, 'hi': 1.0::DOUBLE}).hi END AS ex
+  FROM b
+), z AS (SELECT total, ex, list_sum(list_transform(shares, lambda p: pow(p, ex))) AS z FROM e
+), w AS (
+  SELECT src, n_docs, tokens, floor(round(pow(tokens / total, ex) / z, 9) * total)::BIGINT AS budget FROM s, z WHERE tokens > 0
+), p AS (
+  SELECT src, tokens, least(65536, ceil(n_docs / 256))::BIGINT AS n_blocks, budget // tokens AS fulls, budget - (budget // tokens) * tokens AS rest FROM w WHERE budget > 0
+), t AS (
+  SELECT d.*, p.*, ('0x' || substr(md5('7|block|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % n_blocks AS block, md5('7|doc|' || coalesce(doc_id::VARCHAR, '')) AS dh
+  FROM d JOIN p USING (src)
+), bt AS (
+  SELECT src, block, any_value(fulls) AS fulls, any_value(rest) AS rest, sum(n) AS n, md5('7|' || any_value(fulls) || '|' || src || '|' || block) AS h FROM t GROUP BY src, block
+), c AS (SELECT *, sum(n) OVER (PARTITION BY src ORDER BY h, block) - n AS before FROM bt
+), cutb AS (SELECT src, block AS cut_block, h AS cut_hash, rest - before AS lft FROM c WHERE before <= rest AND before + n > rest AND rest > 0
+), dd AS (
+  SELECT src, dh, any_value(lft) AS lft, sum(n) AS n FROM t JOIN cutb USING (src) WHERE block = cut_block GROUP BY src, dh
+), cutd AS (SELECT src, max(dh) AS cut_doc FROM (SELECT *, sum(n) OVER (PARTITION BY src ORDER BY dh) AS upto FROM dd) WHERE upto <= lft GROUP BY src
+), r AS (
+  SELECT t.*, cut_hash, cut_block, coalesce(cut_doc, '') AS cut_doc, md5('7|' || fulls || '|' || src || '|' || block) AS ph,
+         fulls + CASE WHEN rest > 0 THEN ('0x' || substr(cut_hash, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE ELSE 0 END AS epochs
+  FROM t LEFT JOIN cutb USING (src) LEFT JOIN cutd USING (src)
+), k AS (
+  SELECT *, fulls + CASE WHEN rest > 0 AND (ph < cut_hash OR (ph = cut_hash AND block < cut_block) OR (block = cut_block AND dh <= cut_doc)) THEN 1 ELSE 0 END AS copies FROM r
+), x AS (
+  SELECT *, unnest(range(copies::BIGINT)) AS epoch FROM k
+), y AS (
+  SELECT *, epoch + ('0x' || substr(md5('7|' || epoch || '|' || src || '|' || block), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS pos FROM x
+)
+SELECT doc_id, source, n AS mix_tokens, epoch AS mix_epoch, block AS mix_block, round(least(1.0, pos / greatest(epochs, pos)), 9) AS mix_order FROM y
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netfusion.llm.simhash import near_duplicates
 
@@ -98,6 +146,7 @@ FROM r GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_token_ids": op5_token_ids,
         "op6_quality_classifier": op6_quality_classifier,
@@ -108,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
