@@ -44,7 +44,7 @@ def exponent(shares: Column, budget_ratio: float, max_repeat: float | None, min_
             z = power_sum(a)
             entropy = -F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, a) / z * F.log(F.pow(p, a) / z))
             return entropy >= F.lit(min_entropy)
-        most = F.pow(F.element_at(shares, 1), a - 1) * F.lit(budget_ratio) / power_sum(a)  # the least share repeats most
+        most = F.pow(F.get(shares, 0), a - 1) * F.lit(budget_ratio) / power_sum(a)  # the least share repeats most
         return most > F.lit(max_repeat)
 
     middle = lambda s: (s["lo"] + s["hi"]) / 2
