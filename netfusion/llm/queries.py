@@ -57,6 +57,26 @@ SELECT doc_id, source, n AS mix_tokens, epoch AS mix_epoch, block AS mix_block,
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.decontam import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id AS id, TRUE AS is_doc, text FROM documents UNION ALL SELECT item_id, FALSE, text FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), w AS (
+  SELECT id, is_doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT id, is_doc, ws[i : i + 4] AS g FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS u(i) WHERE len(ws) > 0
+), q AS (SELECT id, count(*) AS n FROM s WHERE NOT is_doc GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(q.n) AS n_shingles, count(*) AS n_shared, count(*) / any_value(q.n) AS containment
+FROM s AS b JOIN s AS d ON b.g = d.g AND d.is_doc AND NOT b.is_doc JOIN q ON q.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(q.n) - 1e-9
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netfusion.llm.simhash import near_duplicates
 
@@ -147,6 +167,7 @@ FROM r GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op3_decontamination": op3_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_token_ids": op5_token_ids,
         "op6_quality_classifier": op6_quality_classifier,
@@ -157,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
