@@ -57,6 +57,12 @@ SELECT doc_id, source, n AS mix_tokens, epoch AS mix_epoch, block AS mix_block,
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netfusion.llm.decontam import contained_items
 
@@ -167,6 +173,7 @@ FROM r GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_token_ids": op5_token_ids,
