@@ -170,6 +170,38 @@ FROM r GROUP BY conv_id
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from netfusion.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+), o AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l
+), d AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, pos) AS place FROM (SELECT ws, min((doc_id, pos)) AS f, f[1] AS doc_id, f[2] AS pos FROM o WHERE len(ws) > 0 GROUP BY ws)
+), v AS (
+  SELECT place, len(ws) AS n, i, ws[: i - 1] || ws[i + 1 :] AS k FROM d, unnest(range(1, len(ws) + 1)) AS u(i) WHERE len(ws) >= 8
+), near AS (
+  SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY n, i, k) AS e FROM v) WHERE e < place
+  UNION SELECT v.place FROM v JOIN d ON d.ws = v.k AND len(d.ws) >= 8 AND d.place < v.place
+  UNION SELECT d.place FROM v JOIN d ON d.ws = v.k AND len(d.ws) >= 8 AND v.place < d.place
+), j AS (
+  SELECT o.*, len(o.ws) > 0 AND (d.doc_id IS DISTINCT FROM o.doc_id OR d.pos <> o.pos OR d.place IN (SELECT place FROM near)) AS gone
+  FROM o LEFT JOIN d ON o.ws = d.ws AND len(o.ws) > 0
+), k AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE len(ws) > 0) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, FALSE)), '') AS kept FROM j GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5 FROM k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -181,8 +213,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL, "op10_line_dedup": OP10_SQL}
