@@ -202,6 +202,12 @@ SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, m
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -214,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
     }
 
 

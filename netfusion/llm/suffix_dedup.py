@@ -18,16 +18,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netfusion.llm.common import partitions, written
+from netfusion.llm.documents import keyed, narrow
 
 WINDOW, GRAM = 400, 64
 CHUNK = 1 << 18
 PART_RUNS = 4096
-#: Documents that take part in a join are picked by a set of this many hashes at most, which is broadcast; others skip its shuffle.
-PICKS = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64)
@@ -115,24 +114,6 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text, and did and th, which name a document by its id and text (equal rows have equal names)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    did = F.col("doc_id").cast("long")
-    return documents.select(did.alias("doc_id"), text.alias("text"), F.coalesce(did, F.lit(0)).alias("did"), F.xxhash64(text, did.isNull()).alias("th"))
-
-
-def _pick(did: str = "did", th: str = "th") -> Column:
-    return F.pmod(F.xxhash64(did, th), F.lit(PICKS)).cast("int")
-
-
-def _split(docs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that may be among names (did, th), and those that aren't."""
-    picks = F.broadcast(written(names.select(_pick().alias("pick")).distinct(), "suffix-picks"))  # PICKS ints at most
-    docs = docs.withColumn("pick", _pick())
-    return docs.join(picks, "pick", "left_semi").drop("pick"), docs.join(picks, "pick", "left_anti").drop("pick")
-
-
 def _run_rows(docs: DataFrame, window: int) -> DataFrame:
     import pyarrow as pa
     from xxhash import xxh64_intdigest
@@ -161,7 +142,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     more = [f for f in wanted.schema.fields if f.name not in ("did", "th")]
     lists = wanted.groupBy("did", "th").agg(F.collect_list(F.struct(*(f.name for f in more))).alias("runs"))
-    near, _ = _split(docs.select("did", "th", "text"), wanted)
+    near, _ = narrow(docs.select("did", "th", "text"), wanted, "did", "th")
     near = near.dropDuplicates(["did", "th"]).join(lists, ["did", "th"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
 
@@ -226,12 +207,13 @@ def _window_marks(contexts: DataFrame, window: int) -> tuple[DataFrame, DataFram
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """did, th, spans: for each document (see _keyed) with repeated windows, the [lo, hi) byte ranges that they cover, unmerged."""
-    docs = _keyed(documents)
+    """did, th, spans: for each document (see keyed()) with repeated windows, the [lo, hi) byte ranges that they cover, unmerged."""
+    docs = keyed(documents)
     all_runs = written(_run_rows(docs, window), "suffix-runs")
     # pass 1: strings found once leave
     keys = all_runs.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
-    left = written(all_runs.join(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "key"), "suffix-left")
+    keys = written(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "suffix-keys")  # so that the join can split large keys
+    left = written(all_runs.join(keys, "key"), "suffix-left")
     mark = lambda df: df.select("did", "th", "lo", (F.col("hi") + window).cast("int").alias("hi"))
     # pass 2: classes of equal runs
     mixed = left.where("NOT alike").drop("alike")
@@ -240,7 +222,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     several = classes.where("n > 1").select("key", "ctx")
     # pass 3: one run of each class
     parts = classes.groupBy("key").agg(F.ceil(F.count("*") / PART_RUNS).cast("int").alias("parts"))
-    residual = classes.join(parts, "key").select("did", "th", "lo", "hi", "off", "key", "parts", (F.col("n") == 1).alias("single"))
+    residual = classes.join(written(parts, "suffix-parts"), "key").select("did", "th", "lo", "hi", "off", "key", "parts", (F.col("n") == 1).alias("single"))
     residual = residual.withColumn("part", F.pmod(F.xxhash64("did", "th", "lo"), F.col("parts")).cast("int"))
     near, split = _window_marks(_contexts(docs, residual, window), window)
     met = split.groupBy("key", "wh").agg(F.count("*").alias("n"), F.collect_list(F.struct("did", "th", "lo", "hi")).alias("at")).where("n > 1")
@@ -276,7 +258,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    near, rest = _split(_keyed(documents), spans)
+    near, rest = narrow(keyed(documents), spans, "did", "th")
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans")
     whole = near.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans").union(rest.select("doc_id", "text", none))
     return whole.mapInArrow(run, RESULT)
