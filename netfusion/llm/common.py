@@ -42,7 +42,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of a text's words; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
 
 
 def bucket_of(doc_id: Column, folds: int) -> Column:
