@@ -21,7 +21,7 @@ SHINGLE, CONTAINMENT = 5, 0.8
 BANDS = 128
 #: Items of one pass over the documents; more take a pass for each such block.
 ITEMS = 50_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _BITMAP = 1 << 22
 _rng = np.random.default_rng(20_240_229)
 _ODD = _rng.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,6 +35,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def forget_words() -> None:
+    _memo.clear()
+
+
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each shingle in order; fewer words than a shingle make one."""
     from xxhash import xxh64_intdigest
@@ -181,6 +185,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, items: int = ITE
                     [pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([s / k for s, k in zip(shared, n, strict=True)], pa.float64())],
                     names=[f.split()[0] for f in MATCH.split(", ")],
                 )
+            forget_words()  # the worker lives on
 
         found = texts.mapInArrow(run, MATCH)
         out = found if out is None else out.union(found)
@@ -199,6 +204,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, items: int = ITEMS
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not index.value.matches(x.as_py()) for x in batch.column(at)], pa.bool_()))
+            forget_words()
 
         kept = kept.mapInArrow(run, documents.schema)
     return kept

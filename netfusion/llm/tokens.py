@@ -29,8 +29,8 @@ from netfusion.llm.common import partitions, written
 
 MAGIC = b"NFT1"
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 1_200_000
-MEMO_STEMS = 700_000
+MEMO_WORDS = 600_000
+MEMO_STEMS = 300_000
 MEMO_WORD_BYTES = 64
 SIGNS = string.punctuation.encode()
 ASCII_LETTERS = frozenset(string.ascii_letters.encode())
@@ -105,7 +105,8 @@ class Encoder:
 
     Normalising and splitting never join what ASCII white space separates if the tokenizer drops white space, so a text's
     ids are those of its words; nor an ASCII letter and the ASCII signs that end a word after it, if the tokenizer splits there.
-    Both are tried out on the tokenizer; one that fails gets whole texts.
+    Both are tried out on the tokenizer; one that fails gets whole texts. Words of small letters alone, which normalising and splitting
+    leave as they are, go to the same model without these steps.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -116,9 +117,10 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
         self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
+        self.plain = plain_model(self.tokenizer)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
         stems, words, signed, ask = self.stems, self.words, [], set()
@@ -131,8 +133,12 @@ class Encoder:
                 signed.append((w, stem, tail))
                 ask.add(stem)
                 ask.add(tail)
-        ask = list(ask.difference(stems))
-        stems.update(zip(ask, self._encoded([x.decode() for x in ask]), strict=True))
+        plain, other = [], []
+        for x in ask.difference(stems):
+            text = x.decode()
+            (plain if self.plain and text.isalpha() and text.islower() and max(text) < "\u0180" else other).append((x, text))
+        for some, by in ((plain, self.plain), (other, None)):
+            stems.update(zip([x for x, _ in some], self._encoded([t for _, t in some], by), strict=True))
         for w, stem, tail in signed:
             words[w] = stems[stem] + stems[tail]
         for w in new.difference(words):
@@ -159,6 +165,17 @@ class Encoder:
         return out
 
 
+def plain_model(tokenizer):
+    """The tokenizer's model on bytes, without normalising and splitting, if words of small letters come out alike."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    some = ("a", "word", "words", "ing", "straße", "él", "être", "zażółć", "naïveté", "übergrößen", "ªº", "ŉa")
+    same = all(plain.encode(w, add_special_tokens=False).ids == tokenizer.encode(w, add_special_tokens=False).ids for w in some)
+    return plain if same else None
+
+
 def separable(tokenizer) -> tuple[bool, bool, bool]:
     """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; ASCII
     capitals and small letters."""
