@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netfusion.llm.common import words_of, written
+from netfusion.llm.common import SPACES, words_of, written
 from netfusion.llm.documents import keyed, narrow
 
 #: Shorter lines are removed only if they repeat exactly; a word more or less would change most of them.
@@ -25,17 +25,24 @@ MIN_WORDS = 8
 LINE = ["lh", "lh2"]
 
 
+def _plain(line: Column) -> Column:
+    """The line's words with one space between them."""
+    inner = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(inner, SPACES, " ")).otherwise(inner)
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """Each line that has words: its place (known, did, th, pos), length n, two hashes and the keys of its halves."""
     places = docs.select(F.col("doc_id").isNotNull().alias("known"), "did", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = places.select("known", "did", "th", "pos", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    w, n = F.col("w"), F.col("n")
+    lines = places.select("known", "did", "th", "pos", _plain(F.col("line")).alias("x")).where("x <> ''")
+    lines = lines.withColumn("n", F.length("x") - F.length(F.replace(F.col("x"), F.lit(" "), F.lit(""))) + 1)
+    x, n = F.col("x"), F.col("n")
 
     def half(q: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(1), q, F.slice(w, 1, q)), F.xxhash64(F.lit(2), q, F.slice(w, n - q + 1, q))]
+        return [F.xxhash64(F.lit(1), q, F.call_function("substring_index", x, F.lit(" "), q)), F.xxhash64(F.lit(2), q, F.call_function("substring_index", x, F.lit(" "), -q))]
 
     halves = F.array_distinct(F.array(*half(F.expr("n div 2").cast("int")), *half(F.expr("(n - 1) div 2").cast("int"))))
-    return words.select("known", "did", "th", "pos", "n", F.xxhash64("w").alias("lh"), F.xxhash64(F.lit(1), w).alias("lh2"), F.when(n >= min_words, halves).alias("halves"))
+    return lines.select("known", "did", "th", "pos", "n", F.xxhash64("x").alias("lh"), F.xxhash64(F.lit(1), x).alias("lh2"), F.when(n >= min_words, halves).alias("halves"))
 
 
 def _variants(texts: DataFrame) -> DataFrame:
