@@ -29,8 +29,8 @@ from netfusion.llm.common import partitions, written
 
 MAGIC = b"NFT1"
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 600_000
-MEMO_STEMS = 300_000
+MEMO_WORDS = 320_000
+MEMO_STEMS = 200_000
 MEMO_WORD_BYTES = 64
 SIGNS = string.punctuation.encode()
 ASCII_LETTERS = frozenset(string.ascii_letters.encode())
@@ -100,6 +100,27 @@ class Block:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+class Memo:
+    """A dictionary of bounded size in two generations: what is asked for again stays when the older one goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """The keys that are unknown; all others are in ``young`` then."""
+        new = keys.difference(self.young)
+        again = new.intersection(self.old)
+        for k in again:
+            self.young[k] = self.old[k]
+        return new - again
+
+    def forget(self, new: set[bytes]) -> None:
+        for w in [w for w in new if len(w) > MEMO_WORD_BYTES]:
+            self.young.pop(w, None)
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
     """A tokenizer whose words are encoded once.
 
@@ -114,8 +135,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words, self.stems = Memo(MEMO_WORDS), Memo(MEMO_STEMS)
         self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
         self.plain = plain_model(self.tokenizer)
 
@@ -123,7 +143,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        stems, words, signed, ask = self.stems, self.words, [], set()
+        stems, words, signed, ask = self.stems.young, self.words.young, [], set()
         for w in new:
             stem = w.rstrip(SIGNS) if self.by_stem else w
             if len(stem) == len(w) or not stem or stem[-1] not in ASCII_LETTERS or b"<|" in w:
@@ -134,7 +154,7 @@ class Encoder:
                 ask.add(stem)
                 ask.add(tail)
         plain, other = [], []
-        for x in ask.difference(stems):
+        for x in self.stems.missing(ask):
             text = x.decode()
             (plain if self.plain and text.isalpha() and text.islower() and max(text) < "\u0180" else other).append((x, text))
         for some, by in ((plain, self.plain), (other, None)):
@@ -153,15 +173,12 @@ class Encoder:
             data = text.encode()
             # control strings have letters of one case: such a text stays as it is
             split.append((data.lower() if self.by_lower and b"<|" not in data else data).split())
-        new = set().union(*split).difference(self.words)
+        new = self.words.missing(set().union(*split))
         if new:
             self._learn(new)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for memo, most in ((self.words, MEMO_WORDS), (self.stems, MEMO_STEMS)):
-            if len(memo) > most:
-                memo.clear()
-            for w in [w for w in new if len(w) > MEMO_WORD_BYTES and w in memo]:
-                del memo[w]
+        out = [b"".join(map(self.words.young.__getitem__, words)) for words in split]
+        for memo in (self.words, self.stems):
+            memo.forget(new)
         return out
 
 
