@@ -14,6 +14,7 @@ Id i starts at bit i * width, so any range of ids is found without reading what
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import zlib
@@ -29,8 +30,9 @@ from netfusion.llm.common import partitions, written
 
 MAGIC = b"NFT1"
 BLOCK_IDS = 1 << 20
-MEMO_WORDS = 320_000
-MEMO_STEMS = 200_000
+MEMO_WORDS = 600_000
+MEMO_STEMS = 300_000
+MEMO_SPARE = 150_000
 MEMO_WORD_BYTES = 64
 SIGNS = string.punctuation.encode()
 ASCII_LETTERS = frozenset(string.ascii_letters.encode())
@@ -100,25 +102,29 @@ class Block:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
-class Memo:
-    """A dictionary of bounded size in two generations: what is asked for again stays when the older one goes."""
+class Memo(dict):
+    """A dictionary of bounded size. Words that are frequent come early, so the first ``most`` keys stay; later ones go when there are
+    ``spare`` of them, and all go when a batch knows too few of its words."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int, spare: int):
+        super().__init__()
+        self.most, self.spare, self.late = most, spare, []
 
-    def missing(self, keys: set[bytes]) -> set[bytes]:
-        """The keys that are unknown; all others are in ``young`` then."""
-        new = keys.difference(self.young)
-        again = new.intersection(self.old)
-        for k in again:
-            self.young[k] = self.old[k]
-        return new - again
-
-    def forget(self, new: set[bytes]) -> None:
-        for w in [w for w in new if len(w) > MEMO_WORD_BYTES]:
-            self.young.pop(w, None)
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+    def settle(self, new: list[bytes], asked: int) -> None:
+        """After a batch that asked for so many words and learned ``new`` ones."""
+        for w in new:
+            if len(w) > MEMO_WORD_BYTES:
+                self.pop(w, None)
+        if len(self) <= self.most:
+            return
+        self.late += new
+        if 4 * len(new) > asked > 10_000:
+            self.clear()
+            self.late = []
+        elif len(self.late) > self.spare:
+            for w in self.late:
+                self.pop(w, None)
+            self.late = []
 
 
 class Encoder:
@@ -135,7 +141,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words, self.stems = Memo(MEMO_WORDS), Memo(MEMO_STEMS)
+        self.words, self.stems = Memo(MEMO_WORDS, MEMO_SPARE), Memo(MEMO_STEMS, MEMO_SPARE)
         self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
         self.plain = plain_model(self.tokenizer)
 
@@ -143,7 +149,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        stems, words, signed, ask = self.stems.young, self.words.young, [], set()
+        stems, words, signed, ask = self.stems, self.words, [], set()
         for w in new:
             stem = w.rstrip(SIGNS) if self.by_stem else w
             if len(stem) == len(w) or not stem or stem[-1] not in ASCII_LETTERS or b"<|" in w:
@@ -154,32 +160,49 @@ class Encoder:
                 ask.add(stem)
                 ask.add(tail)
         plain, other = [], []
-        for x in self.stems.missing(ask):
+        unknown = [x for x in ask if x not in stems]
+        for x in unknown:
             text = x.decode()
-            (plain if self.plain and text.isalpha() and text.islower() and max(text) < "\u0180" else other).append((x, text))
+            (plain if self.plain and text.isalpha() and text.islower() and (x.isascii() or max(text) < "\u0180") else other).append((x, text))
         for some, by in ((plain, self.plain), (other, None)):
             stems.update(zip([x for x, _ in some], self._encoded([t for _, t in some], by), strict=True))
         for w, stem, tail in signed:
             words[w] = stems[stem] + stems[tail]
-        for w in new.difference(words):
-            words[w] = stems[w]
+        for w in new:
+            if w not in words:
+                words[w] = stems[w]
+        stems.settle(unknown, 0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian uint32."""
         if not self.by_word:
             return self._encoded(texts)
-        split = []
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the memos are large to walk through
+        try:
+            return self._by_words(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        words, split, found, asked = self.words, [], [], 0
         for text in texts:
             data = text.encode()
             # control strings have letters of one case: such a text stays as it is
-            split.append((data.lower() if self.by_lower and b"<|" not in data else data).split())
-        new = self.words.missing(set().union(*split))
+            own = (data.lower() if self.by_lower and b"<|" not in data else data).split()
+            split.append(own)
+            found.append(list(map(words.get, own)))
+            asked += len(own)
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {own[i] for own, gap in zip(split, gaps, strict=True) for i in gap}
         if new:
             self._learn(new)
-        out = [b"".join(map(self.words.young.__getitem__, words)) for words in split]
-        for memo in (self.words, self.stems):
-            memo.forget(new)
-        return out
+            for own, ids, gap in zip(split, found, gaps, strict=True):
+                for i in gap:
+                    ids[i] = words[own[i]]
+            words.settle(list(new), asked)
+        return [b"".join(ids) for ids in found]
 
 
 def plain_model(tokenizer):

@@ -58,7 +58,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(*d, "a", "b") for d in docs], SCHEMA)
 
 
-@pytest.mark.parametrize(("seed", "part", "chunk"), [(1, 4096, 1 << 18), (2, 3, 1 << 18), (3, 4096, 1000)])
+@pytest.mark.parametrize(("seed", "part", "chunk"), [(1, 512, 1 << 18), (2, 3, 1 << 18), (3, 512, 1000)])
 def test_against_brute_force(spark, monkeypatch, seed, part, chunk):
     monkeypatch.setattr(suffix_dedup, "PART_RUNS", part)
     docs = corpus(seed)
