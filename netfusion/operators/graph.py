@@ -294,7 +294,7 @@ def louvain(edges: DataFrame, seed: int = 42) -> DataFrame:
             least[g] = min(x, least.get(g, x))
         return pd.DataFrame({"id": list(member), "community": [least[g] for g in member.values()]})
 
-    return undirected(edges).groupBy(F.lit(1)).applyInPandas(run, f"id {kind}, community {kind}")
+    return undirected(edges).withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, f"id {kind}, community {kind}")
 
 
 def community_profile(communities: DataFrame, nodes: DataFrame) -> DataFrame:

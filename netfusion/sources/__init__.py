@@ -1,0 +1 @@
+"""Readers, schema detection and mapping for heterogeneous record files."""
