@@ -32,7 +32,8 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     n, m = len(short), len(long)
     best = 0.0
-    for start in range(1 - n, m):
+    # longest windows first: shorter ones can't beat what they leave little room for
+    for start in sorted(range(1 - n, m), key=lambda k: max(0, -k, k + n - m)):
         window = long[max(0, start) : start + n]
         if 200.0 * min(n, len(window)) / (n + len(window)) > best:
             best = max(best, indel_ratio(short, window))

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def canonical_hash(value: object) -> str:
 def record_hashes(records: DataFrame, *keep: str) -> DataFrame:
     """keep and leaf: a record's own evidence_hash if it has one, else the hash of its canonical JSON (an Arrow-batched function, as
     built-in JSON has other separators and order)."""
-    import pandas as pd
-
     fields = [c for c in records.columns if c not in keep]
 
     @F.pandas_udf("string")
@@ -42,20 +41,30 @@ def full_hash(leaf: Column) -> Column:
     return F.when(F.length(leaf) == 64, leaf).otherwise(F.sha2(leaf, 256))
 
 
-def merkle_roots(leaves: DataFrame, most_levels: int = 60) -> DataFrame:
-    """block, n_leaves, root. leaves: block, seq (0 on without gaps), leaf. Each level pairs neighbours (an odd last one with itself) in one
-    aggregation keyed by block and pair, so a block of any size is hashed in parallel; there are as many rounds as levels."""
+FOLD = 10  # levels that one aggregation folds
+
+
+def _fold(hashes: Column, whole: Column) -> Column:
+    """FOLD levels of pairing neighbours, an odd last one with itself; a ``whole`` tree stops at its root."""
+    pair = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 2).cast("int")), lambda i: F.sha2(F.concat(F.get(a, 2 * i), F.coalesce(F.get(a, 2 * i + 1), F.get(a, 2 * i))), 256))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), hashes, lambda a, _: F.when(whole & (F.size(a) == 1), a).otherwise(pair(a)))
+
+
+def merkle_roots(leaves: DataFrame) -> DataFrame:
+    """block, n_leaves, root. leaves: block, seq (0 on without gaps), leaf. Groups of 1024 neighbours are folded in parallel, so a block of
+    any size takes a round for each ten levels."""
     sizes = leaves.groupBy("block").agg(F.count("*").alias("n_leaves"))
     level = leaves.select("block", F.col("seq").cast("long").alias("i"), full_hash(F.col("leaf")).alias("h"))
-    deepest = sizes.agg(F.max("n_leaves")).first()[0] or 0
-    for _ in range(min(most_levels, max(0, (deepest - 1).bit_length()))):
-        pair = level.withColumn("j", F.floor(F.col("i") / 2).cast("long"))
-        joined = pair.groupBy("block", "j").agg(F.min_by("h", "i").alias("left"), F.max_by("h", "i").alias("right"), F.count("*").alias("n"), F.max("i").alias("last"))
-        # a lone hash at the front is a finished root
-        done = (F.col("n") == 1) & (F.col("j") == 0)
-        single = joined.join(F.broadcast(joined.groupBy("block").agg(F.count("*").alias("width"))), "block")
-        level = single.select("block", F.col("j").alias("i"), F.when(done & (F.col("width") == 1), F.col("left")).otherwise(F.sha2(F.concat("left", "right"), 256)).alias("h"))
-    return sizes.join(level.where("i = 0").select("block", F.col("h").alias("root")), "block")
+    width = sizes.agg(F.max("n_leaves")).first()[0] or 0
+    counts = sizes.select("block", F.col("n_leaves").alias("n"))
+    while width:
+        chunk = F.shiftright("i", FOLD).alias("c")
+        parts = level.groupBy("block", chunk).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("p")).join(counts, "block")
+        folded = _fold(F.transform("p", lambda x: x["h"]), F.col("n") <= (1 << FOLD))
+        level = parts.select("block", F.col("c").alias("i"), folded[0].alias("h"))
+        counts = counts.select("block", F.ceil(F.col("n") / (1 << FOLD)).alias("n"))
+        width = -(-width >> FOLD) if width > 1 << FOLD else 0
+    return sizes.join(level.select("block", F.col("h").alias("root")), "block")
 
 
 def chain(blocks: Sequence[tuple[str, str]], officer: str = "Investigating Officer", timestamp: str = DEFAULT_TIME, genesis: str = GENESIS) -> list[dict]:

@@ -36,8 +36,9 @@ def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", parsing.parse_date(text).alias("parsed"), parsing.to_day(text, "1995-01-01").alias("day"))
 
 
-PARSE_DATES = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN 'not a date' ELSE strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') END AS parsed,
-  CASE WHEN o_orderkey % 7 <> 6 AND date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 1 BETWEEN 1 AND 730 THEN CAST(date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 1 AS INTEGER) END AS day FROM orders"""
+PARSE_DATES = """SELECT o_orderkey, CASE WHEN k = 6 THEN 'not a date' WHEN short THEN epoch(o_orderdate)::BIGINT::VARCHAR ELSE strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') END AS parsed,
+  CASE WHEN k <> 6 AND NOT short AND day BETWEEN 1 AND 730 THEN CAST(day AS INTEGER) END AS day
+FROM (SELECT *, o_orderkey % 7 AS k, o_orderkey % 7 = 3 AND epoch(o_orderdate) < 1000000000 AS short, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 1 AS day FROM orders)"""
 
 
 def clean_contacts(spark: SparkSession, d: str) -> DataFrame:

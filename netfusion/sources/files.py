@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netfusion.session import cut
 from netfusion.sources.detect import decode, detect_format, detect_type, is_table, sniff_delimiter, suggest_mapping
 from netfusion.sources.schemas import COLUMNS, FLAG, INTEGERS, LONGS
 
@@ -48,8 +49,9 @@ def read_fixed_csv(spark: SparkSession, path: str, dataset: str) -> tuple[DataFr
 
 
 def with_row_numbers(rows: DataFrame) -> DataFrame:
-    """row_no from 1 in file order: partitions are counted first, then each numbers its own rows."""
-    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
+    """row_no from 1 in file order: partitions are counted first, then each numbers its own rows. The rows are checkpointed in between, as
+    another run may cut partitions differently."""
+    tagged = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
     part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r.p: r.n for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
     start, starts = 0, {}

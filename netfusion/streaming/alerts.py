@@ -1,20 +1,17 @@
-"""Burst alerts on a stream: events are counted per cell and day under a watermark, and each closed day is scored against the days before.
+"""Burst alerts on a stream.
 
-The batch operator zero-fills days; the stream does the same from the last closed day it keeps for each cell, so both give the same alerts
-for days that lie within the stream. Events later than the watermark are dropped by the count, as its contract says.
+Events are counted per cell and day under a watermark, so a day comes once, after it is closed; later events are dropped by the count, as
+its contract says. Each batch of closed days is appended to a history and scored by the batch operator over it and the days before, so
+stream and batch give the same alerts. Both tables are written under the batch's number, so a batch that runs again replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-ALERT = "cell string, day int, n long, mean double, zscore double"
-STATE = "first int, days array<int>, counts array<long>"
+from netfusion.operators.bursts import WINDOW_DAYS, Z_LIMIT, bursts, zscores
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -22,34 +19,21 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "cell").agg(F.count("*").alias("n")).select("cell", F.col("window.start").alias("day_start"), "n")
 
 
-def score(day: int, n: int, counts: dict[int, int], window: int) -> tuple[float, float]:
-    """Mean and z-score of a day against the ``window`` days before, absent ones being zero."""
-    before = [counts.get(d, 0) for d in range(day - window, day)]
-    s, q = sum(before), sum(x * x for x in before)
-    spread = window * q - s * s
-    if spread == 0:
-        return s / window, 3.0 if s > 0 and n * window > 2 * s else 0.0
-    return s / window, (n * window - s) / spread**0.5
-
-
-def burst_alerts(counts: DataFrame, base: str, limit: float = 2.0, window: int = 6) -> DataFrame:
-    """cell, day (from 1 at ``base``), n, mean, zscore of closed days over the limit; a cell's state is the counts of its last days.
-
-    counts: cell, day_start, n as daily_counts() emits them in append mode, so a day comes once, after it is closed.
-    """
-    numbered = counts.select("cell", (F.datediff(F.col("day_start").cast("date"), F.lit(base).cast("date")) + 1).cast("int").alias("day"), "n")
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = dict(zip(*state.get[1:], strict=True)) if state.exists else {}
-        out = []
-        for day, n in sorted((int(d), int(n)) for b in batches for d, n in zip(b["day"], b["n"], strict=True)):
-            known[day] = known.get(day, 0) + n
-            mean, z = score(day, known[day], known, window)
-            if z > limit:
-                out.append((key[0], day, known[day], mean, z))
-        newest = max(known, default=0)
-        known = {d: n for d, n in known.items() if d > newest - 2 * window}
-        state.update((0, list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=["cell", "day", "n", "mean", "zscore"])
-
-    return numbered.groupBy("cell").applyInPandasWithState(fold, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+def burst_alerts(events: DataFrame, base: str, history: str, alerts: str, checkpoint: str, delay: str = "1 day", limit: float = Z_LIMIT, window: int = WINDOW_DAYS) -> StreamingQuery:
+    """Start the query. Closed days (cell, day from 1 at ``base``, n) go to ``history``, days over the limit to ``alerts``."""
+    day = (F.datediff(F.col("day_start").cast("date"), F.lit(base).cast("date")) + 1).cast("int").alias("day")
+    counts = daily_counts(events, delay).select("cell", day, "n")
+
+    def score(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
+        spark = batch.sparkSession
+        closed = spark.read.schema("cell string, day int, n long").parquet(f"{history}/epoch={epoch}")
+        first, last = closed.agg(F.min("day"), F.max("day")).first()
+        if first is None:
+            return
+        start = max(1, first - window)
+        near = spark.read.schema("cell string, day int, n long, epoch long").parquet(history).where(F.col("day").between(start, last) & (F.col("epoch") <= epoch))
+        scored = zscores(near.groupBy("cell", "day").agg(F.sum("n").alias("n")), start, last, window)
+        bursts(scored, limit, window).where(F.col("day") >= first).write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
+
+    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(score).start()

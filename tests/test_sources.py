@@ -47,7 +47,7 @@ def test_sniffing():
     assert [detect.sniff_delimiter(s) for s in ("a;b\n1;2\n", "a\tb\n1\t2\n", "a|b\n1|2", "x")] == [";", "\t", "|", ","]
     assert detect.decode("é".encode("latin-1")) == "é" and detect.decode(b"\xef\xbb\xbfx") == "x"
     assert detect.detect_format("a.TSV") == "txt" and detect.detect_format("noext", b'{"a":1}') == "json"
-    assert detect.is_table("a,b\n1,2") and not detect.is_table("A man, tall and thin and old, came\nin, later") and detect.is_table("x", ".tsv")
+    assert detect.is_table("a,b\n1,2") and not detect.is_table("A man whom nobody had ever seen, tall, came\nin, later") and detect.is_table("x", ".tsv")
 
 
 def test_fixed_csv_and_quarantine(spark, tmp_path):
