@@ -26,7 +26,7 @@ from netfusion.llm.documents import keyed, narrow
 
 WINDOW, GRAM = 400, 64
 CHUNK = 1 << 18
-PART_RUNS = 512
+PART_RUNS = 4096
 _PLACE = np.uint64((1 << 24) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64)
