@@ -25,8 +25,8 @@ LEAST_COUNT = 3
 TYPICAL = 0.2
 #: Rows of each language that the filters are fitted on: all if fewer than twice as many, else about this many chosen by a hash of the id.
 SAMPLE_DOCS = 2000
-#: With more languages than this their sampling rates are joined by a shuffle.
-BROADCAST_LANGUAGES = 100_000
+#: Languages that filters are fitted for: the most frequent ones.
+MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 _SPACE = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -94,12 +94,14 @@ def build(grams_of: dict[str, np.ndarray], slots: int = SLOTS) -> Filters:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) -> Filters:
-    """Filters from text and lang of documents (rows with a null text or lang teach nothing); SAMPLE_DOCS bounds the rows of a language."""
+    """Filters from text and lang of documents (rows with a null text or lang teach nothing); SAMPLE_DOCS bounds the rows of a
+    language, MAX_LANGUAGES their number."""
     import pyarrow as pa
 
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    every = cut(known.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count("*") / sample)).alias("every")))
-    some = known.join(F.broadcast(every) if every.count() <= BROADCAST_LANGUAGES else every, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
+    every = cut(sizes.select("lang", F.greatest(F.lit(1), F.floor(F.col("docs") / sample)).alias("every")))
+    some = known.join(F.broadcast(every), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("every")) == 0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
