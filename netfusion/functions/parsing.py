@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ DATE_FORMATS = (
 )
 
 
+#: What a part of a format looks like.
+_SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T"}
+
+
+def _shape(date_format: str) -> str:
+    """A pattern that all strings of a format fit, so that parsers, which fail slowly, see only what they may read."""
+    parts = re.findall(r"y+|M+|d+|H+|m+|s+|'T'|.", date_format)
+    return "^" + "".join(_SHAPES.get(x, re.escape(x)) for x in parts) + "$"
+
+
 def is_missing(x: Column) -> Column:
     return x.isNull() | F.lower(F.trim(x)).isin(*MISSING)
 
@@ -42,7 +54,7 @@ def parse_timestamp(x: Column) -> Column:
     s = F.trim(x)
     whole = F.split_part(s, F.lit("."), F.lit(1))  # fractions of seconds are dropped
     number = s.try_cast("decimal(20,6)")
-    from_format = F.coalesce(*(F.try_to_timestamp(whole, F.lit(f)) for f in DATE_FORMATS))
+    from_format = F.coalesce(*(F.when(whole.rlike(_shape(f)), F.try_to_timestamp(whole, F.lit(f))) for f in DATE_FORMATS))
     stamp = (
         F.when(is_missing(x), F.lit(None).cast("timestamp"))
         .when(s.rlike(r"^\d{13}$"), F.timestamp_seconds((number / 1000).cast("long")))
