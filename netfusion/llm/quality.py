@@ -194,5 +194,6 @@ def keep_good(documents: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
     """The documents that the classifier predicts as 1, with all their columns."""
     model = fit(documents, labels.where(bucket_of(F.col("doc_id"), folds) != 0))
     held = documents.select(F.struct(*documents.columns).alias("_row"), F.col("text"))
-    scored = features(held, "_row").where(model.column() >= THRESHOLD)
+    # a filter on the score itself would be pushed below the statistics, with a copy of them for each use; past a generator it isn't
+    scored = features(held, "_row").select("_row", F.explode(F.array(model.column())).alias("_score")).where(F.col("_score") >= THRESHOLD)
     return scored.select("_row.*")
