@@ -95,8 +95,9 @@ def containment(texts: DataFrame, mentions: DataFrame, chunk: int = 1000) -> Dat
 
 
 def contains_pairs(texts: DataFrame, mentions: DataFrame, most: int = 10_000_000, lower: bool = False) -> DataFrame:
-    """doc_id, mention by plain substrings, for small inputs: texts times mentions is checked against ``most`` first."""
-    if texts.count() * mentions.count() > most:
+    """doc_id, mention by plain substrings, for small inputs: mentions, and texts times mentions, are counted against limits first."""
+    n = mentions.count()
+    if n > 100_000 or texts.count() * n > most:
         raise ValueError("too many pairs for a substring search; use containment()")
     fold = F.lower if lower else lambda c: F.col(c)
     return texts.join(F.broadcast(mentions), F.contains(fold("text"), fold("mention"))).select("doc_id", "mention")

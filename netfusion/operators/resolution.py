@@ -12,6 +12,7 @@ from netfusion.functions.similarity import name_similarity, partial_similarity
 from netfusion.functions.text import initials_score
 
 MERGE, REJECT, LEAST_CONFIDENCE = 85.0, 70.0, 0.65
+BROADCAST_NAMES = 200_000
 
 
 def blocked_pairs(mentions: DataFrame, people: DataFrame) -> DataFrame:
@@ -24,9 +25,9 @@ def blocked_pairs(mentions: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def candidates(mentions: DataFrame, people: DataFrame, most: int = 50_000_000) -> DataFrame:
-    """Every different value with every name; the directory is broadcast behind a check of the number of pairs."""
-    values = mentions.select("value").distinct()
-    if values.count() * people.count() > most:
+    """Every different value with every name; the directory is broadcast behind checks of its size and of the number of pairs."""
+    values, names = mentions.select("value").distinct(), people.count()
+    if names > BROADCAST_NAMES or values.count() * names > most:
         return blocked_pairs(mentions, people)
     return values.join(F.broadcast(people.select("id", "name", "ordinal")))
 

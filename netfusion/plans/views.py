@@ -16,7 +16,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def people(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cell"), F.col("n_name").alias("role"), F.col("c_custkey").alias("ordinal"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cell"), F.col("n_name").alias("role"), F.col("c_custkey").alias("ordinal"))
 
 
 PEOPLE = "people AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS cell, n_name AS role, c_custkey AS ordinal FROM customer JOIN nation ON c_nationkey = n_nationkey)"
