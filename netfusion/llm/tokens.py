@@ -190,7 +190,12 @@ class Encoder:
         for text in texts:
             data = text.encode()
             # control strings have letters of one case: such a text stays as it is
-            own = (data.lower() if self.by_lower and b"<|" not in data else data).split()
+            if not self.by_lower or b"<|" in data:
+                own = data.split()
+            elif data.isascii():
+                own = data.lower().split()
+            else:  # a capital and a combining mark may stay two where the small letter and the mark become one: such words stay as they are
+                own = [w.lower() if w.isascii() else w for w in data.split()]
             split.append(own)
             found.append(list(map(words.get, own)))
             asked += len(own)
@@ -217,8 +222,8 @@ def plain_model(tokenizer):
 
 
 def separable(tokenizer) -> tuple[bool, bool, bool]:
-    """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; ASCII
-    capitals and small letters."""
+    """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; words that
+    are ASCII throughout with capitals and small letters."""
 
     def ids(x: str) -> list[int]:
         return tokenizer.encode(x, add_special_tokens=False).ids

@@ -68,3 +68,15 @@ def test_empty(spark):
 def test_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert ours(df, block_ids=5000) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_capitals_before_combining_marks():
+    from tokenizers import Tokenizer
+
+    with open(PATH) as f:
+        e = tokens.Encoder(f.read())
+    t = Tokenizer.from_file(PATH)
+    pairs = ["J̌", "H̱", "T̈", "W̊", "Y̊"]  # composed small letters exist, composed capitals don't
+    texts = [f"{before}{x}{after}" for x in pairs for before in ("", "A ", "a", "A") for after in ("", "a", "A.", " Word")]
+    texts += [f"{chr(c)}{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)]
+    assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
