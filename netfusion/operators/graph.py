@@ -146,26 +146,64 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     return ranks.select("id", "rank")
 
 
-def _adjacency(edges: DataFrame) -> tuple[list, dict]:
-    """Different nodes in order and their neighbours, as positions, for a graph small enough to broadcast."""
-    import pandas as pd
+def _adjacency(edges: DataFrame) -> tuple[list, tuple]:
+    """Different nodes in order, and their neighbours as positions: where each node's begin, and all of them; for a graph small enough
+    to broadcast."""
+    import numpy as np
 
     simple = undirected(edges)
     n = simple.count()
     if n > MAX_BROADCAST_EDGES:
         raise ValueError(f"{n} edges are too many for an all-pairs kernel; filter the graph or sample its sources")
-    pairs: pd.DataFrame = simple.toPandas()
+    pairs = simple.toPandas()
     ids = sorted({*pairs["a"], *pairs["b"]})
     at = {x: i for i, x in enumerate(ids)}
-    near: list[list[int]] = [[] for _ in ids]
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        near[at[a]].append(at[b])
-        near[at[b]].append(at[a])
-    return ids, {i: sorted(x) for i, x in enumerate(near)}
+    a, b = (np.fromiter((at[x] for x in pairs[c]), np.int64, n) for c in ("a", "b"))
+    u, v = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((v, u))
+    return ids, (np.searchsorted(u[order], np.arange(len(ids) + 1)), v[order])
+
+
+def _levels(near: tuple, source: int) -> Iterator[tuple]:
+    """For each step of a breadth-first search the arcs v, w that lead from the last level to the new one; taken from the side with fewer."""
+    import numpy as np
+
+    starts, targets = near
+    degree = np.diff(starts)
+    seen, last = np.zeros(len(degree), bool), np.zeros(len(degree), bool)
+    front, left = np.array([source]), int(degree.sum())
+    while len(front):
+        seen[front] = True
+        left -= int(degree[front].sum())
+        back = left < degree[front].sum()
+        side = np.flatnonzero(~seen) if back else front
+        counts = degree[side]
+        own = np.repeat(side, counts)
+        other = targets[np.repeat(starts[side] - np.cumsum(counts) + counts, counts) + np.arange(len(own))]
+        if back:
+            last[front] = True
+            keep = last[other]
+            last[front] = False
+            v, w = other[keep], own[keep]
+        else:
+            keep = ~seen[other]
+            v, w = own[keep], other[keep]
+        if not len(w):
+            return
+        yield v, w
+        front = _different(w, len(degree))
+
+
+def _different(at, n: int):
+    """Different positions, in order."""
+    import numpy as np
+
+    return np.flatnonzero(np.bincount(at, minlength=n)) if 4 * len(at) >= n else np.unique(at)
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """id, betweenness of nodes that have an edge: shortest paths through them, over (n-1)(n-2); by Brandes' sums, a search per source."""
+    import numpy as np
     import pandas as pd
 
     spark = edges.sparkSession
@@ -175,30 +213,23 @@ def betweenness(edges: DataFrame) -> DataFrame:
     graph = spark.sparkContext.broadcast(near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = graph.value, {}
+        near, total = graph.value, np.zeros(n)
         for batch in batches:
             for s in batch["id"].tolist():
-                order, paths, dist, back = [], {s: 1}, {s: 0}, {s: []}
-                front = [s]
-                while front:
-                    order += front
-                    new = []
-                    for v in front:
-                        for w in near[v]:
-                            if w not in dist:
-                                dist[w], paths[w], back[w] = dist[v] + 1, 0, []
-                                new.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] += paths[v]
-                                back[w].append(v)
-                    front = new
-                credit = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in back[w]:
-                        credit[v] += paths[v] / paths[w] * (1 + credit[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + credit[w]
-        yield pd.DataFrame({"at": list(total), "credit": list(total.values())}).astype({"at": "int64", "credit": "float64"})
+                paths, credit, steps = np.zeros(n), np.zeros(n), []
+                paths[s] = 1.0
+                for v, w in _levels(near, s):
+                    np.add.at(paths, w, paths[v])
+                    new = paths[w]
+                    steps.append((v, w, paths[v] / new))
+                    if (top := new.max()) > 1e200:  # only shares of a level count
+                        paths[w] = np.maximum(new / top, 1e-300)
+                for v, w, share in reversed(steps):
+                    np.add.at(credit, v, share * (1 + credit[w]))
+                credit[s] = 0.0
+                total += credit
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "credit": total[at]}).astype({"at": "int64", "credit": "float64"})
 
     parts = spark.range(n).repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
     sums = parts.mapInPandas(run, "at long, credit double").groupBy("at").agg(F.sum("credit").alias("credit"))
@@ -222,12 +253,7 @@ def efficiency(edges: DataFrame, nodes: DataFrame | None = None) -> float:
         near, total = graph.value, 0.0
         for batch in batches:
             for s in batch["id"].tolist():
-                seen, front, d = {s}, [s], 0
-                while front:
-                    d += 1
-                    front = [w for w in dict.fromkeys(w for v in front for w in near[v]) if w not in seen]
-                    seen.update(front)
-                    total += len(front) / d
+                total += sum(len(_different(w, len(ids))) / (k + 1) for k, (_, w) in enumerate(_levels(near, s)))
         yield pd.DataFrame({"total": [total]})
 
     parts = spark.range(len(ids)).repartition(max(1, min(len(ids), 4 * spark.sparkContext.defaultParallelism)))

@@ -105,7 +105,7 @@ EFFICIENCY = sql(
 
 
 def takedown_impact(spark: SparkSession, d: str) -> DataFrame:
-    e = small_graph(spark, d, 4)
+    e = small_graph(spark, d, 1)
     return graph.takedown(e, users(spark, d), users(spark, d).where("id < 3"))
 
 
@@ -172,7 +172,7 @@ def _labels_sql(rounds: int) -> str:
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.louvain(small_graph(spark, d))
+    c = graph.louvain(small_graph(spark, d, 1))
     return graph.community_profile(c, people(spark, d)).select("community", "size", "dominant_cell")
 
 
@@ -242,7 +242,24 @@ def why(spark: SparkSession, d: str) -> DataFrame:
     return kinds.join(graph.evidence_quality(e), "id").join(graph.degrees(e).select("id", "neighbours"), "id").select("id", "called", "transacted", F.round("quality", 6).alias("quality"), "neighbours")
 
 
-QUERIES = {
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs with a call. Queries that have SQL follow its filter, which leaves out most pairs; those named _all don't."""
+    return small_graph(spark, d, 1)
+
+
+WHOLE = {
+    "connected_components_all": lambda s, d: graph.components(_whole(s, d), users(s, d)),
+    "bfs_hops_all": lambda s, d: graph.hops(_whole(s, d), START, 4),
+    "shortest_path4_all": lambda s, d: graph.shortest_path(_whole(s, d), START, GOAL).select(F.array_join("path", ">").alias("path"), "hops"),
+    "network_efficiency_all": lambda s, d: s.createDataFrame([(round(graph.efficiency(_whole(s, d)), 6),)], "efficiency double"),
+    "whatif_impact_all": lambda s, d: graph.what_if(_whole(s, d), users(s, d), START),
+    "pagerank_k_all": lambda s, d: graph.pagerank(_whole(s, d), rounds=4).select("id", F.round("rank", 9).alias("rank")),
+    "betweenness_all": lambda s, d: graph.betweenness(_whole(s, d)).select("id", F.round("betweenness", 6).alias("betweenness")),
+    "label_propagation_all": lambda s, d: graph.label_propagation(_whole(s, d), 3),
+    "mutual_counts_all": lambda s, d: pairs.mutual_counts(_whole(s, d), _whole(s, d).select(F.col("src").alias("p"), F.col("dst").alias("q"))),
+}
+
+QUERIES = {name: (f, None) for name, f in WHOLE.items()} | {
     "graph_edges_dedup": (graph_edges, sql(PEOPLE, CALLS, TXNS, EDGES, select="SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst AND src IN (SELECT id FROM people) AND dst IN (SELECT id FROM people)")),
     "degree_centrality": (degrees, DEGREES),
     "cross_cell_degree": (lambda s, d: graph.cross_cell_degree(edges(s, d), people(s, d)), sql(PEOPLE, CALLS, TXNS, EDGES, CROSS, select='SELECT id, "cross" FROM cross_')),
