@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netfusion.operators import bursts, finance, graph, pairs, signals
 from netfusion.plans.relational import call_bursts
 from netfusion.plans.views import ARCS, CALLS, EDGES, GRAPH, PEOPLE, TXNS, calls, edges, people, small_graph, sql, table, txns, users
+from netfusion.session import cut
 
 START, GOAL = 1, 20
 
@@ -184,12 +185,21 @@ def unified_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return signals.unified(comm).select("entity_id", "anomaly_type", "score", "day", "severity")
 
 
+def between(e: DataFrame) -> DataFrame:
+    """id, betweenness of all nodes with an edge, computed once."""
+    return cut(graph.degrees(e).select("id").join(graph.betweenness(e), "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness")))
+
+
+def true_bridges(e: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
+    return graph.bridges(b.join(p, "id").select("id", "cell", "betweenness"), graph.cross_cell_degree(e, p))
+
+
 def lead_scores(spark: SparkSession, d: str) -> DataFrame:
     """All signals fused for every customer."""
     e, p, t = edges(spark, d), people(spark, d), txns(spark, d)
-    deg = graph.degrees(e)
-    centrality = deg.select("id", F.col("degree_centrality").alias("betweenness"), "degree")
-    br = graph.bridges(deg.join(p, "id").select("id", "cell", F.col("degree_centrality").alias("betweenness")), graph.cross_cell_degree(e, p))
+    b = between(e)
+    centrality = b.join(graph.degrees(e).select("id", "degree"), "id")
+    br = true_bridges(e, p, b)
     fin = finance.financial_anomalies(finance.structuring(t, cash="R", least=3, lump=60_000, least_lumps=1), finance.large_transfers(t, ("A",), 90_000, 50, 400), 200_000)
     comm = unified_anomalies(spark, d)
     hot = bursts.correlated(call_bursts(spark, d)).where("correlated")
@@ -222,8 +232,8 @@ v AS (SELECT m.entity, count(DISTINCT p.cell) AS n_cells FROM m JOIN m k USING (
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
     e, p = edges(spark, d), people(spark, d)
-    deg = graph.degrees(e).select("id", F.col("degree_centrality").alias("betweenness"))
-    return signals.strategies(deg, finance.account_volume(txns(spark, d)), bridge_ranks(spark, d), p.select("id", F.when(F.col("role").isin("NATION_1", "NATION_2"), "Leader").alias("role")))
+    b = between(e)
+    return signals.strategies(b, finance.account_volume(txns(spark, d)), true_bridges(e, p, b), p.select("id", F.when(F.col("role").isin("NATION_1", "NATION_2"), "Leader").alias("role")))
 
 
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +266,7 @@ WHOLE = {
     "pagerank_k_all": lambda s, d: graph.pagerank(_whole(s, d), rounds=4).select("id", F.round("rank", 9).alias("rank")),
     "betweenness_all": lambda s, d: graph.betweenness(_whole(s, d)).select("id", F.round("betweenness", 6).alias("betweenness")),
     "label_propagation_all": lambda s, d: graph.label_propagation(_whole(s, d), 3),
+    "bridge_ranks_all": lambda s, d: true_bridges(e := edges(s, d), people(s, d), between(e)),
     "mutual_counts_all": lambda s, d: pairs.mutual_counts(_whole(s, d), _whole(s, d).select(F.col("src").alias("p"), F.col("dst").alias("q"))),
 }
 

@@ -142,3 +142,28 @@ def test_betweenness_with_very_many_paths(spark):
     before, after = 4 * k + 1, n - 4 * k - 4
     want = 2 * before * after / 3 / ((n - 1) * (n - 2))
     assert all(got[4 * k + j] == pytest.approx(want, rel=1e-3) for j in (1, 2, 3))
+
+
+def test_bridges_leads_and_strategies_use_betweenness(spark, tmp_path):
+    """Two cliques and a broker of degree 2 between them, which degree centrality ranks last."""
+    d, day = str(tmp_path), datetime.date(1995, 1, 5)
+    pairs = [(a, b) for g in (range(1, 7), range(11, 17)) for a in g for b in g if a < b] + [(1, 30), (11, 30)]
+    ids = sorted({x for p in pairs for x in p})
+    spark.createDataFrame([(i, i, i, day, 100.0 * i, "A", 1) for i in range(len(pairs))], "l_orderkey long, x long, l_partkey long, l_shipdate date, l_extendedprice double, l_returnflag string, l_linenumber int").drop("x").join(
+        spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pairs)], "l_orderkey long, l_suppkey long"), "l_orderkey"
+    ).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    ts = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, 1, ts, "click", 1.5), (2, 2, ts, "click", 1.5)], "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(i, f"C{i}", "AB"[i > 10], 0) for i in ids], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(0, "N")], "n_nationkey long, n_name string").write.parquet(f"{d}/nation.parquet")
+    near = adjacency(ids, pairs)
+    want = between(near)
+    assert max(want, key=want.get) == 30
+    ranks = network.QUERIES["bridge_ranks_all"][0](spark, d).collect()
+    assert {r.id: r.betweenness for r in ranks} == pytest.approx(want, abs=1e-9)
+    hubs = [r for r in network.QUERIES["takedown_strategies"][0](spark, d).collect() if r.strategy == "central_hubs"]
+    assert [int(r.id) for r in sorted(hubs, key=lambda r: r["rank"])] == sorted(want, key=lambda i: (-want[i], i))[:3]
+    leads = {int(r.id): r.centrality for r in network.QUERIES["lead_scores"][0](spark, d).collect()}
+    degree = {i: len(near[i]) + (i in (1, 2)) for i in ids}  # 1 and 2 also call once
+    assert leads == pytest.approx({i: (want[i] / max(want.values()) + degree[i] / max(degree.values())) / 2 for i in ids}, abs=1.1e-3)
