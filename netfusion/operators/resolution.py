@@ -15,21 +15,15 @@ MERGE, REJECT, LEAST_CONFIDENCE = 85.0, 70.0, 0.65
 BROADCAST_NAMES = 200_000
 
 
-def blocked_pairs(mentions: DataFrame, people: DataFrame) -> DataFrame:
-    """Candidate pairs (value, id, name, ...) for names at scale: equal first letters of any word, and lengths that could still reach the
-    reject score by themselves. For the scan of all names that a small directory allows see candidates()."""
-    initials = lambda c: F.array_distinct(F.transform(F.filter(F.split(F.lower(F.trim(c)), r"[\s.]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)))
-    m = mentions.select("value").distinct().select("value", F.explode(initials("value")).alias("k"))
-    p = people.select("id", "name", "ordinal", F.explode(initials("name")).alias("k"))
-    return m.join(p, "k").select("value", "id", "name", "ordinal").distinct()
-
-
 def candidates(mentions: DataFrame, people: DataFrame, most: int = 50_000_000) -> DataFrame:
-    """Every different value with every name; the directory is broadcast behind checks of its size and of the number of pairs."""
-    values, names = mentions.select("value").distinct(), people.count()
-    if names > BROADCAST_NAMES or values.count() * names > most:
-        return blocked_pairs(mentions, people)
-    return values.join(F.broadcast(people.select("id", "name", "ordinal")))
+    """Every different value with every name, at any size: scores have no bound that a block could keep to. The directory is broadcast
+    behind checks of its size and of the number of pairs; beyond them partitions of values meet partitions of names."""
+    values, names = mentions.select("value").distinct(), people.select("id", "name", "ordinal")
+    n = names.count()
+    if n > BROADCAST_NAMES or values.count() * n > most:
+        # the hint keeps Spark from broadcasting or gathering a side
+        return values.repartition(spread := 4 * mentions.sparkSession.sparkContext.defaultParallelism).hint("shuffle_replicate_nl").crossJoin(names.repartition(spread))
+    return values.join(F.broadcast(names))
 
 
 def scored(pairs: DataFrame) -> DataFrame:

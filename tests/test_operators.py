@@ -212,3 +212,14 @@ def test_lead_bands(spark):
     leads = signals.lead_scores(people, one([("x", 1.0)], "id string, bridge_score double"), one([("x", 1.0, 10), ("y", 0.0, 5)], "id string, betweenness double, degree long"), one([("x", 1.0)], "entity_id string, score double"), one([("x", 1.0)], "entity_id string, score double"), one([("A",)], "cell string"), one([("x", 1.0)], "id string, quality double"), one([("x", 1.0)], "entity string, confidence double"))
     got = {r.id: (r.lead_score, r.priority) for r in leads.collect()}
     assert got == {"x": (100, "HIGH"), "y": (10, "LOW")}
+
+
+def test_resolution_beyond_the_broadcast_limit_loses_nothing(spark):
+    m = spark.createDataFrame([("Shristina",), ("Ali",), ("Zed",)], "value string")
+    p = spark.createDataFrame([(1, "Christina", 1), (2, "Khalid", 2), (3, "Bob", 3)], "id long, name string, ordinal long")
+    small, large = (resolution.candidates(m, p, most) for most in (50_000_000, 0))
+    assert "CartesianProduct" in large._jdf.queryExecution().toString()
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+    best = {r.value: (r.id, round(r.name_score, 1)) for r in resolution.best_candidates(resolution.scored(large)).collect()}
+    # 88.9 by the ratio, 0.95 * 200 * 8 / 17 by its parts
+    assert best["Shristina"] == (1, 89.4) and best["Ali"] == (2, 95.0)
