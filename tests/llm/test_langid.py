@@ -45,3 +45,9 @@ def test_nothing_to_learn(spark):
     assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
     got = langid.identify(spark.createDataFrame([(1, "some text", None, "", "")], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i) * 3} " * 3, f"l{i}") for i in range(4200)]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert f.languages == sorted(r[2] for r in rows)
