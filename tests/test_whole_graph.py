@@ -7,7 +7,7 @@ from collections import Counter, deque
 import pytest
 
 from netfusion.operators import graph
-from netfusion.plans import network
+from netfusion.plans import network, relational
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +167,12 @@ def test_bridges_leads_and_strategies_use_betweenness(spark, tmp_path):
     leads = {int(r.id): r.centrality for r in network.QUERIES["lead_scores"][0](spark, d).collect()}
     degree = {i: len(near[i]) + (i in (1, 2)) for i in ids}  # 1 and 2 also call once
     assert leads == pytest.approx({i: (want[i] / max(want.values()) + degree[i] / max(degree.values())) / 2 for i in ids}, abs=1.1e-3)
+
+
+def test_evidence_of_single_calls(spark, case, tmp_path):
+    d = case[0]
+    spark.createDataFrame([], "l_orderkey long, l_partkey long, l_shipdate date, l_extendedprice double, l_returnflag string, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{d}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    ties = relational.QUERIES["evidence_points_all"][0](spark, str(tmp_path)).collect()
+    assert {(r.p, r.q) for r in ties} == case[2] and min(r.evidence_points for r in ties) < 4
