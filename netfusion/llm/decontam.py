@@ -1,11 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A test item is contained in a document if at least 0.8 of its different five-word shingles occur there. Items are far shorter than
-documents, so whole-document signatures would tell nothing. A document is first reduced to the shingles that occur in any item, each
-once, in order (no other can count), and that sequence is cut for each size class of items into overlapping segments about as long as
-the class's items; between sets of like size a containment of 0.8 is a Jaccard similarity of 0.29 or more. MinHash signatures of segments
-are looked up in the signatures of the class's items with one row to a band: 128 bands miss such a pair with probability 1e-19. Every
-candidate is verified on the shingles themselves over the whole document.
+A test item is contained in a document if at least 0.8 of its different five-word shingles occur there; an item of m words, m below
+five, is one shingle of m words, which the document may have at any place. Items are far shorter than
+documents, so whole-document signatures would tell nothing. A document is first reduced, for each width of shingles, to those that occur
+in any item, each once, in order (no other can count), and that sequence is cut for each size class of items into overlapping segments
+about as long as the class's items; between sets of like size a containment of 0.8 is a Jaccard similarity of 0.29 or more. MinHash
+signatures of segments are looked up in the signatures of the class's items with one row to a band: 128 bands miss such a pair with
+probability 1e-19, and sets of one shingle never. Every candidate is verified on the shingles themselves over the whole document.
 """
 
 from __future__ import annotations
@@ -39,19 +40,21 @@ def forget_words() -> None:
     _memo.clear()
 
 
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each shingle in order; fewer words than a shingle make one."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    if not words:
-        return np.zeros(0, np.uint64)
     if len(_memo) > MEMO_WORDS:
         _memo.clear()
     for w in {*words}.difference(_memo):
         _memo[w] = xxh64_intdigest(w)
-    w = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(w))
+    return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(w: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash for each shingle of ``size`` words in order, from the words' hashes."""
     n = len(w) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
     h = np.full(n, size, np.uint64)
     for k in range(size):
         h = (h ^ w[k : k + n]) * _C
@@ -59,9 +62,8 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return h
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    size = min(SHINGLE, len(words))
-    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+def shingles(words: list[bytes], size: int) -> set[bytes]:
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def first_of_each(h: np.ndarray) -> np.ndarray:
@@ -70,8 +72,8 @@ def first_of_each(h: np.ndarray) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Class k holds sets of up to 8 * 2**k shingles."""
-    return max(0, (max(n, 1) - 1).bit_length() - 3)
+    """Class k holds sets of up to 2**k shingles."""
+    return (max(n, 1) - 1).bit_length()
 
 
 def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -81,24 +83,30 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
+    """Items by the width of their shingles (five words, or all the words of shorter ones) and size class."""
+
     def __init__(self, items: list[tuple[int | None, str | None]]):
         kept = [(i, words) for i, text in items if (words := words_of(text))]
         self.ids = [i for i, _ in kept]
         self.words = [words for _, words in kept]
-        self.hashes = [first_of_each(shingle_hashes(w)) for w in self.words]
+        self.width = [min(SHINGLE, len(words)) for words in self.words]
+        self.hashes = [first_of_each(shingle_hashes(word_hashes(w), k)) for w, k in zip(self.words, self.width, strict=True)]
         self.need = [math.ceil(CONTAINMENT * len(h) - 1e-9) for h in self.hashes]
-        self.all = np.unique(np.concatenate(self.hashes)) if kept else np.zeros(0, np.uint64)
+        self.widths = sorted({*self.width})
+        self.all = {}
         self.bitmap = np.zeros(_BITMAP, bool)
-        self.bitmap[self._slot(self.all)] = True
-        by: dict[int, list[int]] = {}
+        by: dict[tuple[int, int], list[int]] = {}
         for k, h in enumerate(self.hashes):
-            by.setdefault(size_class(len(h)), []).append(k)
-        self.classes = {}
-        for c, members in by.items():
+            by.setdefault((self.width[k], size_class(len(h))), []).append(k)
+        for width in self.widths:
+            self.all[width] = np.unique(np.concatenate([h for h, k in zip(self.hashes, self.width, strict=True) if k == width]))
+            self.bitmap[self._slot(self.all[width])] = True
+        self.classes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {width: {} for width in self.widths}
+        for (width, c), members in by.items():
             sizes = [len(self.hashes[k]) for k in members]
             keys = self._keys(signatures(np.concatenate([self.hashes[k] for k in members]), np.cumsum([0, *sizes[:-1]]))).ravel()
             order = np.argsort(keys, kind="stable")
-            self.classes[c] = keys[order], np.repeat(members, BANDS)[order]
+            self.classes[width][c] = keys[order], np.repeat(members, BANDS)[order]
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -108,15 +116,16 @@ class ItemIndex:
     def _keys(signature: np.ndarray) -> np.ndarray:
         return signature ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * _C)
 
-    def candidates(self, h: np.ndarray) -> list[int]:
-        """Items whose signature meets that of a segment of h (different shingles of items, in order)."""
+    def candidates(self, h: np.ndarray, width: int) -> list[int]:
+        """Items whose signature meets that of a segment of h (different shingles of items of this width, in order)."""
         found: set[int] = set()
-        for c, (keys, members) in self.classes.items():
-            block = 2 << c  # a quarter of the class's largest size; five make a segment
+        for c, (keys, members) in self.classes[width].items():
+            # blocks of a quarter of the class's largest size, five to a segment; of up to four shingles each starts a segment of its own
+            block, each = (1, 1 << c) if c < 3 else (1 << c - 2, 5)
             starts = np.arange(0, len(h), block)
             least = signatures(h, starts)
             segments = least.copy()
-            for k in range(1, 5):
+            for k in range(1, each):
                 np.minimum(segments[:-k], least[k:], out=segments[:-k])
             asked = np.unique(self._keys(segments))
             low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
@@ -126,28 +135,26 @@ class ItemIndex:
 
     def matches(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item_id, its shingles, those that the text has) of the items that the text contains."""
-        words = words_of(text)
-        h = shingle_hashes(words)
-        h = h[self.bitmap[self._slot(h)]]
-        if not len(h):
-            return []
-        at = np.searchsorted(self.all, h)
-        at[at == len(self.all)] = 0
-        h = first_of_each(h[self.all[at] == h])
-        if not len(h):
-            return []
-        near = [k for k in self.candidates(h) if int(np.isin(self.hashes[k], h).sum()) >= self.need[k]]
-        if not near:
-            return []
-        own, out = shingles(words), []
-        for k in near:
-            item = shingles(self.words[k])
-            if (shared := len(item & own)) >= math.ceil(CONTAINMENT * len(item) - 1e-9):
-                out.append((self.ids[k], len(item), shared))
+        words, out = words_of(text), []
+        hashes = word_hashes(words)
+        for width in self.widths:
+            h = shingle_hashes(hashes, width)
+            h = h[self.bitmap[self._slot(h)]]
+            if not len(h):
+                continue
+            known = self.all[width]
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            h = first_of_each(h[known[at] == h])
+            near = [k for k in self.candidates(h, width) if int(np.isin(self.hashes[k], h).sum()) >= self.need[k]] if len(h) else []
+            own = shingles(words, width) if near else set()
+            for k in near:
+                item = shingles(self.words[k], width)
+                if (shared := len(item & own)) >= math.ceil(CONTAINMENT * len(item) - 1e-9):
+                    out.append((self.ids[k], len(item), shared))
         return out
 
 
-
 def item_blocks(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in blocks of about ``items``, one at a time on the driver."""
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -168,7 +175,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, items: int = ITE
     """A row for each document and item that it contains: doc_id, item_id, n_shingles, n_shared, containment.
 
     documents: doc_id, text; benchmark: item_id, text; more columns are ignored. Texts or items that are null or without words match
-    nothing; an item of fewer than five words is one shingle and is found in equal texts only. Repeated documents have rows of
+    nothing; an item of fewer than five words is found wherever its words follow each other. Repeated documents have rows of
     their own (a null doc_id too); items that repeat id and text count once. Empty tables give no rows.
     """
     import pyarrow as pa

@@ -74,8 +74,9 @@ WITH t AS (
   SELECT doc_id AS id, TRUE AS is_doc, text FROM documents UNION ALL SELECT item_id, FALSE, text FROM (SELECT DISTINCT item_id, text FROM benchmark)
 ), w AS (
   SELECT id, is_doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t WHERE text IS NOT NULL
+), k AS (SELECT DISTINCT least(5, len(ws)) AS k FROM w WHERE NOT is_doc AND len(ws) > 0
 ), s AS (
-  SELECT DISTINCT id, is_doc, ws[i : i + 4] AS g FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS u(i) WHERE len(ws) > 0
+  SELECT DISTINCT id, is_doc, ws[i : i + k - 1] AS g FROM w, k, unnest(range(1, len(ws) - k + 2)) AS u(i) WHERE len(ws) > 0 AND (is_doc OR k = least(5, len(ws)))
 ), q AS (SELECT id, count(*) AS n FROM s WHERE NOT is_doc GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(q.n) AS n_shingles, count(*) AS n_shared, count(*) / any_value(q.n) AS containment
 FROM s AS b JOIN s AS d ON b.g = d.g AND d.is_doc AND NOT b.is_doc JOIN q ON q.id = b.id

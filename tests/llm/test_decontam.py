@@ -9,18 +9,20 @@ from netfusion.llm import decontam
 SCHEMA = "doc_id long, text string, item_id string, n_shared string"
 
 
-def sh(text):
-    ws = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    k = min(5, len(ws))
-    return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if ws else set()
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def sh(ws, k):
+    return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
 
 
 def brute(docs, items):
     found = []
-    pairs = [(i, sh(t)) for i, t in {*items} if t is not None]
+    pairs = [(i, k, sh(ws, k)) for i, t in {*items} if (ws := words(t)) for k in [min(5, len(ws))]]
     for d, text in docs:
-        own = sh(text)
-        found += [(d, i, len(s), len(s & own)) for i, s in pairs if s and len(s & own) >= 0.8 * len(s) - 1e-9]
+        own = {k: sh(words(text), k) for k in range(1, 6)}
+        found += [(d, i, len(s), len(s & own[k])) for i, k, s in pairs if len(s & own[k]) >= 0.8 * len(s) - 1e-9]
     return sorted(found, key=str)
 
 
@@ -28,7 +30,7 @@ def planted(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.choice([1, 3, 5, 6, 8, 12, 13, 30, 68, 69, 150]))) for i in range(80)]
+    items = [(i, text(rng.choice([2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 30, 68, 69, 150]))) for i in range(80)]
     docs = []
     for d in range(150):
         parts = [text(rng.randrange(400))]
@@ -74,15 +76,23 @@ def test_blocks_of_items(spark):
 
 def test_small_cases(spark):
     item = "one two three four five six seven"
-    docs = [(1, None), (2, ""), (None, "x " + item), (3, item.upper()), (3, item.upper()), (4, "two words"), (5, "more two words")]
+    docs = [(1, None), (2, ""), (None, "x " + item), (3, item.upper()), (3, item.upper()), (4, "two words"), (5, "more two words"), (6, "two other words"), (7, "x " * 200_000 + "two words " + item)]
     items = [(1, item), (1, item), (2, None), (3, "  "), (None, "two words")]
     d, b = frames(spark, docs, items)
     want = sorted(brute(docs, items), key=str)
-    assert found(decontam.contained_items(d, b)) == want and len(want) == 4
+    assert found(decontam.contained_items(d, b)) == want and len(want) == 7
     assert decontam.contained_items(d, b.limit(0)).collect() == [] and decontam.contained_items(d.limit(0), b).collect() == []
     assert decontam.decontaminate(d, b.limit(0)).count() == len(docs)
 
 
+def test_short_items_inside_long_documents(spark):
+    docs = [(1, "filler words " * 5000 + "Alpha beta\ngamma delta" + " more words" * 5000), (2, "alpha beta gamma and delta"), (3, "beta")]
+    items = [(10, "alpha beta gamma delta"), (11, "beta"), (12, "gamma delta more"), (13, "delta alpha")]
+    want = brute(docs, items)
+    assert [(d, i) for d, i, *_ in want] == [(1, 10), (1, 11), (1, 12), (2, 11), (3, 11)]
+    assert found(decontam.contained_items(*frames(spark, docs, items))) == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 60, dtype=np.uint64)
