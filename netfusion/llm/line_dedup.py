@@ -1,14 +1,14 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are sequences of words; two are near if one word put in, taken out or replaced turns one into the other. A line emits a
-hashed key for each of its variants with one word deleted, and for itself; lines that share a variant are near, and the earlier one is
-kept:
+Lines are sequences of words; two are near if one word put in, taken out or replaced turns one into the other, whatever their length. A
+line emits a hashed key for each of its variants with one word deleted, and for itself; lines that share a variant are near, and the
+earlier one is kept. A variant without words says nothing of a line and isn't emitted, so two lines of one word are near only if equal:
 
 * variants with the word deleted at the same place, from lines of one length, differ by a replacement;
 * a variant that equals a whole line differs by a deletion.
 
-Emitting all variants of all lines would be as many rows as words. Near lines must agree on their first or last half, so lines whose
-halves occur once are set aside first; that loses no pair. Variants are hashed from running xors over the words' hashes, so a line
+Emitting all variants of all lines would be as many rows as words. Near lines must agree on their first or last half (of the shorter
+one, rounded down, but at least a word), so lines whose halves occur once are set aside first; that loses no pair. Variants are hashed from running xors over the words' hashes, so a line
 of any length costs its words once. Everything is DataFrame functions.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from netfusion.llm.common import SPACES, words_of, written
 from netfusion.llm.documents import keyed, narrow
 
-#: Shorter lines are removed only if they repeat exactly; a word more or less would change most of them.
-MIN_WORDS = 8
+#: Words by which near lines may differ.
+EDITS = 1
 LINE = ["lh", "lh2"]
 
 
@@ -33,7 +33,7 @@ def _plain(line: Column) -> Column:
     return F.when(odd, F.btrim(F.regexp_replace(line, SPACES, " "))).otherwise(line)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """Each line: its place (known, did, th, pos), number of words n, two hashes and the keys of its halves."""
     places = docs.select(F.col("doc_id").isNotNull().alias("known"), "did", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = places.select("known", "did", "th", "pos", _plain(F.col("line")).alias("x"))
@@ -44,9 +44,9 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     def half(q: Column) -> list[Column]:
         return [F.xxhash64(F.lit(1), q, cut(q)), F.xxhash64(F.lit(2), q, cut(-q))]
 
-    q = F.expr("n div 2").cast("int")
-    halves = F.when(n % 2 == 0, F.array(*half(q), *half(q - 1))).otherwise(F.array(*half(q)))
-    return lines.select("known", "did", "th", "pos", "n", F.xxhash64("x").alias("lh"), F.xxhash64(F.lit(1), x).alias("lh2"), F.when(n >= min_words, halves).alias("halves"))
+    q = F.greatest(F.lit(1), F.expr("n div 2").cast("int"))
+    halves = F.when((n % 2 == 0) & (n > 2), F.array(*half(q), *half(q - 1))).when(n > 0, F.array(*half(q)))
+    return lines.select("known", "did", "th", "pos", "n", F.xxhash64("x").alias("lh"), F.xxhash64(F.lit(1), x).alias("lh2"), halves.alias("halves"))
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -68,14 +68,15 @@ def _variants(texts: DataFrame) -> DataFrame:
         variant(1, F.xxhash64(F.lit("d"), n - 1, i, before, after), i),
         variant(2, F.xxhash64(F.lit("d"), n, i, before, after.bitwiseXOR(F.col("g"))), i),
     )
+    each = F.when(n == 1, F.slice(each, 3, 1)).otherwise(each)
     return sums.select(*LINE, F.explode(F.concat(each, last)).alias("v")).select(*LINE, "v.key", "v.kind", "v.i")
 
 
-def _near_lines(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+def _near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """lh, lh2 of the lines that an earlier line is near to. lines: one row for each different line, with its first place."""
-    long = lines.where(F.col("n") >= min_words).select(*LINE, F.explode("halves").alias("half"))
-    shared = long.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    some, _ = narrow(long, shared, "half")
+    each = lines.select(*LINE, F.explode("halves").alias("half"))
+    shared = each.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
+    some, _ = narrow(each, shared, "half")
     found = written(some.join(shared, "half", "left_semi").select(*LINE).distinct(), "lines-shared")
     some, _ = narrow(lines.select(*LINE, "n", "first"), found, *LINE)
     candidates = written(some.join(found, LINE, "left_semi"), "lines-candidates")
@@ -104,19 +105,21 @@ def _near_lines(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     return both.where(same).select(*LINE).distinct()
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """Per document: doc_id, n_lines (lines with words), n_removed and kept_text (the other lines in order, joined by \\n).
 
-    A line goes if an equal line, or for lines of ``min_words`` words or more a near one, comes earlier, by doc_id (null first), then
-    the text's hash, then the line's place; lines are judged on the input, so a removed line removes others too. Lines are equal if
+    A line goes if an equal or near line comes earlier, by doc_id (null first), then the text's hash, then the line's place; ``edits`` is
+    the most words put in, taken out or replaced between near lines, 0 (equal lines only) or 1, at every length; lines are judged on the input, so a removed line removes others too. Lines are equal if
     their words are (what lies between ASCII white space). Lines without words stay. documents: doc_id, text; more columns are
     ignored. A null text is empty; rows that repeat id and text are one document, and each gets its result. An empty table gives none.
     """
+    if edits not in (0, 1):
+        raise ValueError("edits must be 0 or 1")
     docs = keyed(documents)
-    occurrences = written(_lines(docs, min_words), "lines").where("n > 0")
+    occurrences = written(_lines(docs), "lines").where("n > 0")
     first = F.min(F.struct("known", "did", "th", "pos")).alias("first")
     lines = written(occurrences.groupBy(*LINE).agg(first, F.count("*").alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-different")
-    near = written(_near_lines(lines, docs, min_words), "lines-near")
+    near = written(_near_lines(lines, docs), "lines-near") if edits else lines.select(*LINE).limit(0)
     many = lines.where("c > 1").select(*LINE, "first")
     some, _ = narrow(occurrences.select("known", "did", "th", "pos", *LINE), near, *LINE)
     by_near = some.join(near, LINE, "left_semi").select("did", "th", "pos")

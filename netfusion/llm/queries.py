@@ -187,11 +187,11 @@ WITH l AS (
 ), d AS (
   SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, pos) AS place FROM (SELECT ws, min((doc_id, pos)) AS f, f[1] AS doc_id, f[2] AS pos FROM o WHERE len(ws) > 0 GROUP BY ws)
 ), v AS (
-  SELECT place, len(ws) AS n, i, ws[: i - 1] || ws[i + 1 :] AS k FROM d, unnest(range(1, len(ws) + 1)) AS u(i) WHERE len(ws) >= 8
+  SELECT place, len(ws) AS n, i, ws[: i - 1] || ws[i + 1 :] AS k FROM d, unnest(range(1, len(ws) + 1)) AS u(i) WHERE len(ws) > 1
 ), near AS (
   SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY n, i, k) AS e FROM v) WHERE e < place
-  UNION SELECT v.place FROM v JOIN d ON d.ws = v.k AND len(d.ws) >= 8 AND d.place < v.place
-  UNION SELECT d.place FROM v JOIN d ON d.ws = v.k AND len(d.ws) >= 8 AND v.place < d.place
+  UNION SELECT v.place FROM v JOIN d ON d.ws = v.k AND d.place < v.place
+  UNION SELECT d.place FROM v JOIN d ON d.ws = v.k AND v.place < d.place
 ), j AS (
   SELECT o.*, len(o.ws) > 0 AND (d.doc_id IS DISTINCT FROM o.doc_id OR d.pos <> o.pos OR d.place IN (SELECT place FROM near)) AS gone
   FROM o LEFT JOIN d ON o.ws = d.ws AND len(o.ws) > 0

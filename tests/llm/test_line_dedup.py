@@ -8,14 +8,14 @@ SCHEMA = "doc_id long, text string, lh string, kept_text string"
 
 def near(a, b):
     if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        return len(a) > 1 and sum(x != y for x, y in zip(a, b, strict=True)) <= 1
     if abs(len(a) - len(b)) > 1:
         return False
     s, t = sorted((a, b), key=len)
     return any(t[:i] + t[i + 1 :] == s for i in range(len(t)))
 
 
-def brute(docs, least=8):
+def brute(docs, edits=1):
     seen, out = [], []
     for d, text in docs:  # in order of doc_id
         lines = (text or "").split("\n")
@@ -23,7 +23,7 @@ def brute(docs, least=8):
         for x in lines:
             w = re.findall("[^\x20\x09-\x0d]+", x)
             n += bool(w)
-            if w and any(w == v or (len(w) >= least and len(v) >= least and near(w, v)) for v in seen):
+            if w and any(w == v or (edits and near(w, v)) for v in seen):
                 gone += 1
             else:
                 kept.append(x)
@@ -35,8 +35,8 @@ def brute(docs, least=8):
 
 def corpus(seed, n=60):
     rng = random.Random(seed)
-    words = [f"w{i}" for i in range(30)] + ["é", "漢", "X|Y"]
-    line = lambda: [rng.choice(words) for _ in range(rng.choice([1, 2, 5, 7, 8, 9, 12, 30]))]
+    words = [f"w{i}" for i in range(300)] + ["é", "漢", "X|Y"]
+    line = lambda: [rng.choice(words) for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 5, 7, 8, 9, 12, 30]))]
     base = [line() for _ in range(25)] + [["a"] * 9, ["a"] * 10, ["a", "b"] * 5]
     docs = []
     for d in range(n):
@@ -52,8 +52,8 @@ def corpus(seed, n=60):
     return docs
 
 
-def ours(df):
-    return sorted((tuple(r) for r in line_dedup.dedup_lines(df).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+def ours(df, **kw):
+    return sorted((tuple(r) for r in line_dedup.dedup_lines(df, **kw).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
 def frame(spark, docs):
@@ -66,6 +66,12 @@ def test_against_brute_force(spark):
         want = brute(docs)
         assert sum(w[2] for w in want) > 100
         assert ours(frame(spark, docs)) == want
+    assert ours(frame(spark, docs), edits=0) == brute(docs, 0) != want
+
+
+def test_short_lines(spark):
+    docs = [(1, "a\nb\na b"), (2, "a c\nd c\nd"), (3, "b c a\nx y z\nx q z\ny z\nq\n"), (4, "m n o\nn o\nm n\nm o")]
+    assert ours(frame(spark, docs)) == brute(docs)
 
 
 def test_small_cases(spark):
