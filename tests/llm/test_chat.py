@@ -38,5 +38,20 @@ def test_adjacent_turns_share_a_block(spark):
     assert [s.text for s in row.segments if s.loss] == ["c"]
 
 
+def test_merged_blocks_across_chunks(spark, monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(chat, "CHUNK", 4)
+    for n in (1, 3, 4, 5, 8, 9, 23):
+        roles = [("user", "assistant", "assistant", "assistant", "assistant", "assistant", "tool")[i % 7] for i in range(n)]
+        df = spark.createDataFrame([(1, i, r, f"t{i}<|end|>", "", "") for i, r in enumerate(roles)], SCHEMA)
+        row = chat.format_conversations(df).collect()[0]
+        texts = iter(f"t{i}<||end|>" for i in range(n))
+        blocks = [(r, [next(texts) for _ in g]) for r, g in itertools.groupby(roles)]
+        assert row.formatted == "".join(f"<|role|>{r}<|text|>{'<|next|>'.join(t)}<|end|>" for r, t in blocks)
+        assert "".join(s.text for s in row.segments) == row.formatted
+        assert [s.text for s in row.segments if s.loss] == [x for r, t in blocks if r == "assistant" for x in t]
+
+
 def test_empty(spark):
     assert chat.digest(chat.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
