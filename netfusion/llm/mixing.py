@@ -7,18 +7,23 @@ whole epochs, then blocks of one more epoch, then documents of the block where i
 
 All is DataFrame functions. What a document needs to know of its source are a few numbers (the block and the document where the last
 epoch ends), so texts are never shuffled and no source, however large, meets in one task: only its block totals do, MAX_BLOCKS at most.
+Sources may be many: the driver gets sums over them, never a list of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfusion.llm.common import WORD, cut, written
 
 MIX_COLUMNS = ("mix_tokens", "mix_epoch", "mix_block", "mix_order")
-STEPS = 20
+STEPS, LEVELS = 20, 5
 BLOCK_DOCS = 256
+#: A source has no more blocks than this; beyond 16.8 million documents its blocks hold more than BLOCK_DOCS. Nothing is dropped, but a
+#: prefix by mix_order meets the weights up to larger blocks.
 MAX_BLOCKS = 1 << 16
 #: With more sources than this their plan is joined by a shuffle, which Spark splits where a source is large.
 BROADCAST_SOURCES = 100_000
@@ -33,41 +38,44 @@ def _fraction(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def exponent(shares: Column, budget_ratio: float, max_repeat: float | None, min_entropy: float | None) -> Column:
-    """The exponent in [0, 1] for an ascending array of shares; 1 if no exponent is within the repetition limit, 0 if none reaches the
-    entropy."""
-    power_sum = lambda a: F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, a))
+def exponent(shares: DataFrame, budget_ratio: float, max_repeat: float | None, min_entropy: float | None) -> float:
+    """The exponent in [0, 1] for a table of shares (p, greater than 0); 1 if no exponent is within the repetition limit, 0 if none
+    reaches the entropy. STEPS halvings, LEVELS of them from one aggregation over all shares: it sums at each point that they may ask for.
+    """
 
-    def flat_enough(a: Column) -> Column:
-        """True from 0 up to the wanted exponent (entropy), or false up to it (repetition); made alike: true means go up."""
+    def measure(points: list[float]) -> dict[float, bool]:
+        """For each point if the wanted exponent lies above it (entropy: at it or above it)."""
+        powers = [F.pow("p", F.lit(a)) for a in points]
+        sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(powers)] + [F.sum(x * F.log(x)).alias(f"l{k}") for k, x in enumerate(powers)]
+        row = shares.agg(F.min("p").alias("least"), *sums).first()
         if min_entropy is not None:
-            z = power_sum(a)
-            entropy = -F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, a) / z * F.log(F.pow(p, a) / z))
-            return entropy >= F.lit(min_entropy)
-        most = F.pow(F.get(shares, 0), a - 1) * F.lit(budget_ratio) / power_sum(a)  # the least share repeats most
-        return most > F.lit(max_repeat)
-
-    middle = lambda s: (s["lo"] + s["hi"]) / 2
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
-        lambda s, _: F.when(flat_enough(middle(s)), F.struct(middle(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
-    )
-    if min_entropy is not None:
-        return F.when(flat_enough(F.lit(1.0)), F.lit(1.0)).otherwise(ends["lo"])
-    return F.when(~flat_enough(F.lit(0.0)), F.lit(0.0)).otherwise(ends["hi"])
+            return {a: math.log(row[f"s{k}"]) - row[f"l{k}"] / row[f"s{k}"] >= min_entropy for k, a in enumerate(points)}
+        return {a: row["least"] ** (a - 1) * budget_ratio / row[f"s{k}"] > max_repeat for k, a in enumerate(points)}  # the least share repeats most
+
+    low, high = 0.0, 1.0
+    for level in range(0, STEPS, LEVELS):
+        width = (high - low) / (1 << LEVELS)
+        inner = [low + width * k for k in range(1, 1 << LEVELS)]
+        up = measure(inner if level else [0.0, *inner, 1.0])
+        if not level and min_entropy is not None and up[1.0]:
+            return 1.0
+        if not level and min_entropy is None and not up[0.0]:
+            return 0.0
+        for _ in range(LEVELS):
+            middle = (low + high) / 2
+            low, high = (middle, high) if up[middle] else (low, middle)
+    return low if min_entropy is not None else high
 
 
 def source_weights(tokens: DataFrame, budget_ratio: float, max_repeat: float | None, min_entropy: float | None) -> DataFrame:
     """Per source: n_docs, tokens, exponent, weight (9 digits), budget in tokens. tokens: src, n. Sources without tokens have weight 0."""
-    sources = tokens.groupBy("src").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens"))
-    all_ = sources.where("tokens > 0").agg(F.sum("tokens").alias("total"), F.sort_array(F.collect_list("tokens")).alias("each"))
-    shares = F.transform("each", lambda t: t / F.col("total"))
-    a = all_.select("total", shares.alias("shares")).select("total", "shares", exponent(F.col("shares"), budget_ratio, max_repeat, min_entropy).alias("exponent"))
-    a = a.select("total", "exponent", F.aggregate("shares", F.lit(0.0), lambda s, p: s + F.pow(p, F.col("exponent"))).alias("z"))
-    weight = F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("z"), 9)).otherwise(F.lit(0.0))
-    joined = sources.join(F.broadcast(a))  # one row
-    return joined.select("src", "n_docs", "tokens", "exponent", weight.alias("weight"), F.floor(weight * F.col("total") * F.lit(float(budget_ratio))).cast("long").alias("budget"))
+    sources = cut(tokens.groupBy("src").agg(F.count("*").alias("n_docs"), F.sum("n").alias("tokens")))
+    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    shares = sources.where("tokens > 0").select((F.col("tokens") / F.lit(max(total, 1))).alias("p"))
+    a = exponent(shares, budget_ratio, max_repeat, min_entropy) if total else 1.0
+    z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
+    weight = F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(a)) / F.lit(z), 9)).otherwise(F.lit(0.0))
+    return sources.select("src", "n_docs", "tokens", F.lit(a).alias("exponent"), weight.alias("weight"), F.floor(weight * F.lit(total) * F.lit(float(budget_ratio))).cast("long").alias("budget"))
 
 
 def mixing_plan(tokens: DataFrame, seed: int, budget_ratio: float, max_repeat: float | None, min_entropy: float | None, block_docs: int = BLOCK_DOCS) -> DataFrame:
