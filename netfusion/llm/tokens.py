@@ -1,7 +1,14 @@
 """Token ids in fixed-width bit packing.
 
-A token file is a sequence of blocks, each of whole documents; a table row holds one block with the place it has in the
-sequence (shard, block). The bytes of a block, little-endian:
+Ids are written into binary files, one for each shard, of the shared folder; a file is its blocks, each of whole documents, and after
+them a table of where they are, so a reader maps the file and goes to any document or id. Little-endian:
+
+    blocks
+    table        n_blocks x (offset u64, n_docs u64, n_ids u64)
+    n_blocks u64 | magic b"NFTS"
+
+A task writes a file under a name of its own and returns its blocks' places once it is closed; a manifest keeps those of the tasks that
+succeeded, so a file of an executor that was lost is never read. The bytes of a block:
 
     magic b"NFT1" | width u8 | 3 zero bytes | n_docs u32 | n_ids u64
     doc ids      n_docs x i64
@@ -17,6 +24,7 @@ from __future__ import annotations
 import gc
 import os
 import string
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netfusion.llm.common import partitions, written
+from netfusion.llm.common import partitions, shared_dir, written
 
-MAGIC = b"NFT1"
+MAGIC, END_MAGIC = b"NFT1", b"NFTS"
 BLOCK_IDS = 1 << 20
 MEMO_WORDS = 600_000
 MEMO_STEMS = 300_000
@@ -84,10 +92,10 @@ def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, w
 class Block:
     """Random access to the ids of a block."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, data: bytes | np.ndarray):
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a token block")
-        self.width = data[4]
+        self.width = int(data[4])
         n = int(np.frombuffer(data, "<u4", 1, 8)[0])
         self.n_ids = int(np.frombuffer(data, "<u8", 1, 12)[0])
         flags = np.frombuffer(data, np.uint8, n, 20 + 8 * n)
@@ -102,6 +110,40 @@ class Block:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+class TokenFile:
+    """Random access to a token file, which is mapped and not read."""
+
+    def __init__(self, path: str):
+        self.raw = np.memmap(path, np.uint8, "r")
+        if bytes(self.raw[-4:]) != END_MAGIC:
+            raise ValueError("not a token file")
+        n = int(self.raw[-12:-4].view("<u8")[0])
+        table = self.raw[len(self.raw) - 12 - 24 * n : len(self.raw) - 12].view("<u8").reshape(n, 3).astype(np.int64)
+        self.at = table[:, 0]
+        self.first_doc, self.first_id = (np.concatenate([[0], np.cumsum(table[:, c])]) for c in (1, 2))
+
+    def block(self, k: int) -> Block:
+        return Block(self.raw[self.at[k] :])
+
+    def document(self, k: int) -> np.ndarray:
+        """Ids of the file's k-th document."""
+        b = int(np.searchsorted(self.first_doc, k, "right")) - 1
+        return self.block(b).document(k - int(self.first_doc[b]))
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        """Ids start to stop (exclusive) of the file."""
+        first, last = (int(np.searchsorted(self.first_id, x, "right")) - 1 for x in (start, max(start, stop - 1)))
+        parts = [self.block(b).ids(max(0, start - int(self.first_id[b])), min(stop, int(self.first_id[b + 1])) - int(self.first_id[b])) for b in range(first, min(last + 1, len(self.at)))]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _files(uri: str):
+    """The file system of a shared folder and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 class Memo(dict):
     """A dictionary of bounded size. Words that are frequent come early, so the first ``most`` keys stay; later ones go when there are
     ``spare`` of them, and all go when a batch knows too few of its words."""
@@ -242,14 +284,16 @@ def encoder(tokenizer_json: str) -> Encoder:
     return _encoders[tokenizer_json]
 
 
-BLOCKS = "shard int, block int, n_docs int, n_ids long, data binary"
+BLOCKS = "shard int, block int, n_docs int, n_ids long, file string, offset long, size long"
 READ = "shard int, block int, doc int, doc_id long, block_start long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encode whole texts and write them as blocks into the shared folder; the blocks as read back: shard, block, n_docs, n_ids, data.
+def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encode whole texts and write them as token files into the shared folder; the blocks written: shard, block, n_docs, n_ids, file,
+    offset, size.
 
-    documents: doc_id, text; more columns are ignored. Shards and blocks go by ascending doc_id (null first), equal ids by text.
+    documents: doc_id, text and what ``order`` names; more columns are ignored. Shards and blocks go by ``order`` ascending (nulls first), equal
+    places by text.
     A null text is empty and gives the end id alone; repeated rows are written each. An empty table gives no blocks. A block ends
     after the document that fills it, so no document is cut, whatever its length.
     """
@@ -261,52 +305,67 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, blo
 
     width = bit_width(max(Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True), end_id + 1))
     end = np.array([end_id], "<u4").tobytes()
+    folder = f"{shared_dir(documents.sparkSession)}/token-files-{uuid.uuid4().hex}"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_json).encode
-        shard, block = TaskContext.get().partitionId(), 0
+        shard = TaskContext.get().partitionId()
+        file = f"{folder}/{shard:05d}-{uuid.uuid4().hex}.bin"
+        stream, at, rows = None, 0, []
         doc_ids, parts, n = [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal block, doc_ids, parts, n
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            data = pack_block(doc_ids, [len(p) // 4 for p in parts], ids, width)
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(doc_ids)], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())],
-                names=["shard", "block", "n_docs", "n_ids", "data"],
-            )
-            block, doc_ids, parts, n = block + 1, [], [], 0
-            return row
+        def flush() -> None:
+            nonlocal stream, at, doc_ids, parts, n
+            if stream is None:
+                files, path = _files(file)
+                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                stream = files.open_output_stream(path)
+            data = pack_block(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"), width)
+            stream.write(data)
+            rows.append((shard, len(rows), len(doc_ids), n, file, at, len(data)))
+            at, doc_ids, parts, n = at + len(data), [], [], 0
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, part in zip(some.column(0).to_pylist(), encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
-                    doc_ids.append(doc_id)
-                    parts.append(part + end)
-                    n += len(part) // 4 + 1
-                    if n >= block_ids:
-                        yield flush()
-        if doc_ids:
-            yield flush()
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    some = batch.slice(first, 256)
+                    for doc_id, part in zip(some.column(0).to_pylist(), encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
+                        doc_ids.append(doc_id)
+                        parts.append(part + end)
+                        n += len(part) // 4 + 1
+                        if n >= block_ids:
+                            flush()
+            if doc_ids:
+                flush()
+            if rows:
+                stream.write(np.array([(r[5], r[2], r[3]) for r in rows], "<u8").tobytes() + np.array([len(rows)], "<u8").tobytes() + END_MAGIC)
+        finally:
+            if stream is not None:
+                stream.close()
+        if rows:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(partitions(documents.sparkSession), "doc_id")
-    return written(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, BLOCKS), "tokens")
+    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *(F.col(c) for c in order if c != "doc_id"))
+    dealt = dealt.repartitionByRange(partitions(documents.sparkSession), *order).sortWithinPartitions(*order, "text")
+    return written(dealt.select("doc_id", "text").mapInArrow(blocks, BLOCKS), "tokens")
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, all from the blocks."""
+    """Per document: doc_id, start, n_tokens, ids_crc32, all from the files."""
     import pyarrow as pa
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                shard, number, data = (batch.column(c)[k].as_py() for c in range(3))
-                b = Block(data)
+            for row in batch.to_pylist():
+                files, path = _files(row["file"])
+                with files.open_input_file(path) as stream:
+                    stream.seek(row["offset"])
+                    b = Block(stream.read(row["size"]))
                 crcs = [zlib.crc32(b.document(i).astype("<u4").tobytes()) for i in range(len(b.doc_ids))]
                 n = len(crcs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.doc_ids, pa.int64()), pa.array(b.offsets[:-1]), pa.array(np.diff(b.offsets)), pa.array(crcs, pa.int64())],
+                    [pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.doc_ids, pa.int64()), pa.array(b.offsets[:-1]), pa.array(np.diff(b.offsets)), pa.array(crcs, pa.int64())],
                     names=["shard", "block", "doc", "doc_id", "block_start", "n_tokens", "ids_crc32"],
                 )
 
@@ -314,5 +373,6 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     shards = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     before = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
     starts = blocks.select("shard", "block", before.alias("before")).join(shards, "shard").select("shard", "block", (F.col("before") + F.col("shard_start")).alias("base"))
-    read = blocks.select("shard", "block", "data").mapInArrow(documents, READ)
+    spread = blocks.select("shard", "block", "file", "offset", "size").repartition(partitions(blocks.sparkSession), "shard", "block")
+    read = spread.mapInArrow(documents, READ)
     return read.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("block_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -80,3 +80,48 @@ def test_capitals_before_combining_marks():
     texts = [f"{before}{x}{after}" for x in pairs for before in ("", "A ", "a", "A") for after in ("", "a", "A.", " Word")]
     texts += [f"{chr(c)}{chr(m)}" for c in range(65, 91) for m in range(0x300, 0x370)]
     assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def small_tokenizer(tmp_path, size):
+    """A tokenizer of ``size`` words, not trained: the words are its vocabulary."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({f"w{i}": i for i in range(size)}, unk_token="w0"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / f"{size}.json")
+    t.save(path)
+    return path
+
+
+@pytest.mark.parametrize(("size", "width"), [(1000, 10), (5000, 13), (70_000, 17)])
+def test_files_of_other_widths(spark, tmp_path, size, width):
+    rng = np.random.default_rng(size)
+    rows = [(i, rng.integers(0, size, int(rng.integers(0, 400))).tolist()) for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in ids), "en", "x", "y") for i, ids in rows], SCHEMA)
+    blocks = tokens.write_tokens(df, small_tokenizer(tmp_path, size), block_ids=3000)
+    by = {}
+    for r in blocks.orderBy("shard", "block").collect():
+        by.setdefault(r.file, []).append(r)
+    assert len(by) > 1 and max(map(len, by.values())) > 1
+    want = [ids + [2] for _, ids in rows]
+    at = 0
+    for file, own in by.items():
+        f = tokens.TokenFile(file.removeprefix("file:"))
+        n = sum(r.n_docs for r in own)
+        assert f.block(0).width == width and own[0].size == 20 + 9 * own[0].n_docs + 8 * (own[0].n_docs + 1) + -(-own[0].n_ids * width // 8)
+        assert [f.document(k).tolist() for k in range(n)] == want[at : at + n]
+        flat = sum(want[at : at + n], [])
+        for a, b in ((0, len(flat)), (5, 6), (len(flat) - 3, len(flat)), (2990, 3410), (7, 7)):
+            assert f.ids(a, b).tolist() == flat[a:b]
+        at += n
+    assert at == len(rows)
+    read = sorted((tuple(r) for r in tokens.read_tokens(blocks).collect()), key=lambda r: r[1])
+    starts = np.cumsum([0, *map(len, want)]).tolist()
+    assert read == [(i, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(rows, starts, want, strict=False)]
+
+
+def test_other_orders(spark):
+    rows = [(i, f"text {i}", (i * 7) % 30) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    read = tokens.read_tokens(tokens.write_tokens(df, PATH, block_ids=9, order=("place",))).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [i for i, *_ in sorted(rows, key=lambda r: r[2])]
