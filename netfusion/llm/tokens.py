@@ -285,7 +285,7 @@ def encoder(tokenizer_json: str) -> Encoder:
 
 
 BLOCKS = "shard int, block int, n_docs int, n_ids long, file string, offset long, size long"
-READ = "shard int, block int, doc int, doc_id long, block_start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -363,16 +363,14 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
                     stream.seek(row["offset"])
                     b = Block(stream.read(row["size"]))
                 crcs = [zlib.crc32(b.document(i).astype("<u4").tobytes()) for i in range(len(b.doc_ids))]
-                n = len(crcs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, row["shard"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.doc_ids, pa.int64()), pa.array(b.offsets[:-1]), pa.array(np.diff(b.offsets)), pa.array(crcs, pa.int64())],
-                    names=["shard", "block", "doc", "doc_id", "block_start", "n_tokens", "ids_crc32"],
+                    [pa.array(b.doc_ids, pa.int64()), pa.array(b.offsets[:-1] + row["base"]), pa.array(np.diff(b.offsets)), pa.array(crcs, pa.int64())],
+                    names=[f.split()[0] for f in READ.split(", ")],
                 )
 
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     before = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
-    starts = blocks.select("shard", "block", before.alias("before")).join(shards, "shard").select("shard", "block", (F.col("before") + F.col("shard_start")).alias("base"))
-    spread = blocks.select("shard", "block", "file", "offset", "size").repartition(partitions(blocks.sparkSession), "shard", "block")
-    read = spread.mapInArrow(documents, READ)
-    return read.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("block_start")).alias("start"), "n_tokens", "ids_crc32")
+    # each block gets its first id's place before it is read, so what is read, far more than the manifest tells of, meets no join
+    placed = blocks.select("shard", "file", "offset", "size", before.alias("before")).join(shards, "shard").select("file", "offset", "size", (F.col("before") + F.col("shard_start")).alias("base"))
+    return placed.repartition(partitions(blocks.sparkSession), "file", "offset").mapInArrow(documents, READ)
