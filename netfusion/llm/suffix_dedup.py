@@ -9,7 +9,9 @@ neighbouring windows share it too and form a run. Three kinds of passes follow:
 2. Runs of a group are grouped by all the bytes they span. Where two or more are equal, all their windows are repeated.
 3. Of each such class one run goes on, with its bytes; its windows are sorted by offset, then by 64 bytes at a time to the 400th.
 
-Digits are compared by 64-bit hashes of their bytes. Large groups are cut into parts whose windows meet again by hash in a second shuffle.
+What equal means in each pass: runs are equal if the 128-bit BLAKE2 digests of their bytes are. Digits are compared by 64-bit hashes (so the
+passes group suffixes, they don't order them), and the windows that they leave together are compared byte by byte. Large groups are cut
+into parts whose windows meet again by 128 bits of hashes in a second shuffle.
 """
 
 from __future__ import annotations
@@ -65,8 +67,20 @@ def runs(data: bytes, window: int = WINDOW, gram: int = GRAM, chunk: int = CHUNK
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
-def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For runs that share their least string at ``offsets``: (context, window in it, if it is repeated here, digest) of all windows."""
+def _differ(raw: np.ndarray, at: np.ndarray, other: np.ndarray, window: int) -> bool:
+    """If some window of raw at ``at`` (ascending) isn't the one at ``other``. Neighbours that have neighbours as partners share a comparison."""
+    if not len(at):
+        return False
+    new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(other) != 1)))
+    for a, z in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
+        n = z - a - 1 + window
+        if not np.array_equal(raw[at[a] : at[a] + n], raw[other[a] : other[a] + n]):
+            return True
+    return False
+
+
+def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For runs that share their least string at ``offsets``: (context, window in it, if it is repeated here, two digests) of all windows."""
     raw = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) - window + 1 for c in contexts])
     context = np.repeat(np.arange(len(contexts)), sizes)
@@ -83,10 +97,13 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WI
         digits.append((hashes[size], depth))
         depth, left = depth + size, left - size
     group = (np.array(offsets)[context] - inside).astype(np.uint64)  # windows are equal only at equal offsets
-    digest = group.copy()
+    digest, second = group.copy(), ~group
     for h, d in digits:
-        digest = (digest ^ h[at + d]) * _C1
+        part = h[at + d]
+        digest = (digest ^ part) * _C1
         digest ^= digest >> np.uint64(31)
+        second = (second + part) * _C2
+        second ^= second >> np.uint64(29)
     alive = np.arange(len(at))
     for h, d in [(None, 0), *digits]:
         if not len(alive):
@@ -100,7 +117,21 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WI
         alive, group = alive[order[many]], number[many].astype(np.uint64)
     repeated = np.zeros(len(at), bool)
     repeated[alive] = True
-    return context, inside, repeated, digest
+    # the windows of a group byte by byte against its first one
+    first = np.full(int(group.max()) + 1 if len(group) else 0, len(at))
+    np.minimum.at(first, group.astype(np.int64), alive)
+    own = np.sort(alive)
+    partner = np.empty(len(at), np.int64)
+    partner[alive] = first[group.astype(np.int64)]
+    own = own[partner[own] != own]
+    if _differ(raw, at[own], at[partner[own]], window):  # hashes agreed on different bytes: count the bytes themselves
+        counts: dict[bytes, int] = {}
+        for i in alive.tolist():
+            w = raw[at[i] : at[i] + window].tobytes()
+            counts[w] = counts.get(w, 0) + 1
+        for i in alive.tolist():
+            repeated[i] = counts[raw[at[i] : at[i] + window].tobytes()] > 1
+    return context, inside, repeated, digest, second
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,7 +147,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _run_rows(docs: DataFrame, window: int) -> DataFrame:
     import pyarrow as pa
-    from xxhash import xxh64_intdigest
+    names = ["did", "th", "lo", "hi", "off", "key", "ctx", "ctx2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,15 +156,18 @@ def _run_rows(docs: DataFrame, window: int) -> DataFrame:
                 data = text.as_py()
                 if len(data) >= window:
                     lo, hi, off, key = runs(data, window)
-                    ctx = np.array([xxh64_intdigest(data[a : z + window], o) for a, z, o in zip(lo.tolist(), hi.tolist(), off.tolist(), strict=True)], np.uint64)
-                    out.append((np.full(len(lo), did), np.full(len(lo), th), lo.astype(np.int32), hi.astype(np.int32), off.astype(np.int32), key.view(np.int64), ctx.view(np.int64)))
+                    view = memoryview(data)
+                    # the place of the least string is part of the digest
+                    ctx = b"".join(hashlib.blake2b(view[a : z + window], digest_size=16, salt=o.to_bytes(4, "little")).digest() for a, z, o in zip(lo.tolist(), hi.tolist(), off.tolist(), strict=True))
+                    ctx = np.frombuffer(ctx, np.int64).reshape(-1, 2)
+                    out.append((np.full(len(lo), did), np.full(len(lo), th), lo.astype(np.int32), hi.astype(np.int32), off.astype(np.int32), key.view(np.int64), ctx[:, 0], ctx[:, 1]))
                 if sum(len(o[0]) for o in out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["did", "th", "lo", "hi", "off", "key", "ctx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["did", "th", "lo", "hi", "off", "key", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, lo int, hi int, off int, key long, ctx long")
+    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, lo int, hi int, off int, key long, ctx long, ctx2 long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -166,30 +200,33 @@ def _window_marks(contexts: DataFrame, window: int) -> tuple[DataFrame, DataFram
     parts, one row for each different window of a part (did, th, lo of one that is single there, else null)."""
     import pyarrow as pa
 
-    names = ["did", "th", "lo", "hi", "key", "wh"]
+    names = ["did", "th", "lo", "hi", "key", "wh", "wh2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            context, inside, repeated, digest = repeated_windows([r["data"] for r in rows], [r["off"] for r in rows], window)
+            context, inside, repeated, digest, second = repeated_windows([r["data"] for r in rows], [r["off"] for r in rows], window)
             single = np.array([r["single"] for r in rows])[context]
             at = np.flatnonzero(repeated & single)
             spans = np.split(at, np.flatnonzero((np.diff(at) != 1) | (np.diff(context[at]) != 0)) + 1) if len(at) else []
             out = []
             for s in spans:
                 r = rows[context[s[0]]]
-                out.append((r["did"], r["th"], r["lo"] + int(inside[s[0]]), r["lo"] + int(inside[s[-1]]) + window, None, None))
+                out.append((r["did"], r["th"], r["lo"] + int(inside[s[0]]), r["lo"] + int(inside[s[-1]]) + window, None, None, None))
             if rows[0]["parts"] > 1:
-                values, index, counts = np.unique(digest, return_index=True, return_counts=True)
-                for wh, i, n in zip(values.view(np.int64).tolist(), index.tolist(), counts.tolist(), strict=True):
+                order = np.lexsort((second, digest))
+                new = np.flatnonzero(np.append(True, (np.diff(digest[order]) != 0) | (np.diff(second[order]) != 0)))
+                index, counts = order[new], np.diff(np.append(new, len(order)))
+                values = zip(digest[index].view(np.int64).tolist(), second[index].view(np.int64).tolist(), strict=True)
+                for (wh, wh2), i, n in zip(values, index.tolist(), counts.tolist(), strict=True):
                     r = rows[context[i]]
                     lone = n == 1 and r["single"]
                     lo = r["lo"] + int(inside[i])
-                    out.append((r["did"] if lone else None, r["th"] if lone else None, lo if lone else None, lo + window if lone else None, r["key"], wh))
+                    out.append((r["did"] if lone else None, r["th"] if lone else None, lo if lone else None, lo + window if lone else None, r["key"], wh, wh2))
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -202,7 +239,7 @@ def _window_marks(contexts: DataFrame, window: int) -> tuple[DataFrame, DataFram
             yield from solve(held)
 
     dealt = contexts.repartition(partitions(contexts.sparkSession), "key", "part").sortWithinPartitions("key", "part")
-    found = written(dealt.mapInArrow(run, "did long, th long, lo int, hi int, key long, wh long"), "suffix-windows")
+    found = written(dealt.mapInArrow(run, "did long, th long, lo int, hi int, key long, wh long, wh2 long"), "suffix-windows")
     return found.where("wh IS NULL").select("did", "th", "lo", "hi"), found.where("wh IS NOT NULL")
 
 
@@ -211,23 +248,24 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = keyed(documents)
     all_runs = written(_run_rows(docs, window), "suffix-runs")
     # pass 1: strings found once leave
-    keys = all_runs.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
-    keys = written(keys.select("key", (F.col("least") == F.col("most")).alias("alike")), "suffix-keys")  # so that the join can split large keys
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("ctx", "ctx2") for f in (F.min, F.max)]
+    keys = all_runs.groupBy("key").agg(F.count("*").alias("n"), *ends).where("n > 1")
+    keys = written(keys.select("key", F.expr("min_ctx = max_ctx AND min_ctx2 = max_ctx2").alias("alike")), "suffix-keys")  # so that the join can split large keys
     left = written(all_runs.join(keys, "key"), "suffix-left")
     mark = lambda df: df.select("did", "th", "lo", (F.col("hi") + window).cast("int").alias("hi"))
     # pass 2: classes of equal runs
     mixed = left.where("NOT alike").drop("alike")
-    classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("did", "th", "lo", "hi", "off")))
+    classes = mixed.groupBy("key", "ctx", "ctx2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("did", "th", "lo", "hi", "off")))
     classes = written(classes, "suffix-classes")
-    several = classes.where("n > 1").select("key", "ctx")
+    several = classes.where("n > 1").select("key", "ctx", "ctx2")
     # pass 3: one run of each class
     parts = classes.groupBy("key").agg(F.ceil(F.count("*") / PART_RUNS).cast("int").alias("parts"))
     residual = classes.join(written(parts, "suffix-parts"), "key").select("did", "th", "lo", "hi", "off", "key", "parts", (F.col("n") == 1).alias("single"))
     residual = residual.withColumn("part", F.pmod(F.xxhash64("did", "th", "lo"), F.col("parts")).cast("int"))
     near, split = _window_marks(_contexts(docs, residual, window), window)
-    met = split.groupBy("key", "wh").agg(F.count("*").alias("n"), F.collect_list(F.struct("did", "th", "lo", "hi")).alias("at")).where("n > 1")
+    met = split.groupBy("key", "wh", "wh2").agg(F.count("*").alias("n"), F.collect_list(F.struct("did", "th", "lo", "hi")).alias("at")).where("n > 1")
     again = met.select(F.explode("at").alias("m")).select("m.*").where("did IS NOT NULL")
-    marks = mark(left.where("alike")).union(mark(mixed.join(several, ["key", "ctx"], "left_semi"))).union(near).union(again)
+    marks = mark(left.where("alike")).union(mark(mixed.join(several, ["key", "ctx", "ctx2"], "left_semi"))).union(near).union(again)
     return marks.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -87,3 +87,17 @@ def test_kept_bytes(spark):
     t = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(600))
     rows = suffix_dedup.remove_repeats(frame(spark, [(1, "AAA" + t + "BBB"), (2, t)])).collect()
     assert {r.doc_id: bytes(r.kept) for r in rows} == {1: b"AAABBB", 2: b""}
+
+
+def test_bytes_decide_where_hashes_agree(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    shared = bytes(rng.randrange(97, 123) for _ in range(900))
+    other = bytes(rng.randrange(97, 123) for _ in range(700))
+    contexts = [shared, other, shared[:450] + other[:50], shared]
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda data, size: np.zeros(max(0, len(data) - size + 1), np.uint64))
+    context, inside, repeated, *_ = suffix_dedup.repeated_windows(contexts, [300] * 4)
+    windows = [contexts[c][i : i + 400] for c, i in zip(context.tolist(), inside.tolist(), strict=True)]
+    seen = collections.Counter(windows)
+    assert repeated.tolist() == [seen[w] > 1 for w in windows] and 0 < repeated.sum() < len(windows)
