@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import string
 import uuid
 import zlib
@@ -44,6 +45,9 @@ MEMO_SPARE = 150_000
 MEMO_WORD_BYTES = 64
 SIGNS = string.punctuation.encode()
 ASCII_LETTERS = frozenset(string.ascii_letters.encode())
+BEFORE_OTHERS = re.compile(rb"[A-Z](?=[\x80-\xff])")
+#: Words that go to the model at once.
+JOINED = 256
 _encoders: dict[str, Encoder] = {}
 
 
@@ -187,13 +191,26 @@ class Encoder:
         self.by_word, self.by_stem, self.by_lower = separable(self.tokenizer)
         self.plain = plain_model(self.tokenizer)
 
-    def _encoded(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded_plain(self, words: list[str]) -> list[bytes]:
+        """Words of small letters, JOINED at a time with spaces between them: each space is a token of its own, at which ids are cut."""
+        model, space = self.plain
+        out: list[bytes] = []
+        for e in model.encode_batch_fast([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False):
+            data = array("I", e.ids).tobytes()
+            cuts = (np.flatnonzero(np.frombuffer(data, np.uint32) == space) * 4).tolist()
+            out += [data[x:z] for x, z in zip([0, *(k + 4 for k in cuts)], [*cuts, len(data)], strict=True)]
+        return out
 
     def _learn(self, new: set[bytes]) -> None:
         stems, words, signed, ask = self.stems, self.words, [], set()
         for w in new:
-            stem = w.rstrip(SIGNS) if self.by_stem else w
+            if not self.by_stem or w[-1] in ASCII_LETTERS:
+                ask.add(w)
+                continue
+            stem = w.rstrip(SIGNS)
             if len(stem) == len(w) or not stem or stem[-1] not in ASCII_LETTERS or b"<|" in w:
                 ask.add(w)
             else:
@@ -201,13 +218,16 @@ class Encoder:
                 signed.append((w, stem, tail))
                 ask.add(stem)
                 ask.add(tail)
-        plain, other = [], []
         unknown = [x for x in ask if x not in stems]
+        plain, other = [], []
         for x in unknown:
+            if self.plain and x.isalpha() and x.islower():  # of bytes: ASCII letters alone
+                plain.append((x, x.decode()))
+                continue
             text = x.decode()
-            (plain if self.plain and text.isalpha() and text.islower() and (x.isascii() or max(text) < "\u0180") else other).append((x, text))
-        for some, by in ((plain, self.plain), (other, None)):
-            stems.update(zip([x for x, _ in some], self._encoded([t for _, t in some], by), strict=True))
+            (plain if self.plain and not x.isascii() and text.isalpha() and text.islower() and max(text) < "\u0180" else other).append((x, text))
+        for some, by in ((plain, self._encoded_plain), (other, self._encoded)):
+            stems.update(zip([x for x, _ in some], by([t for _, t in some]) if some else [], strict=True))
         for w, stem, tail in signed:
             words[w] = stems[stem] + stems[tail]
         for w in new:
@@ -232,12 +252,9 @@ class Encoder:
         for text in texts:
             data = text.encode()
             # control strings have letters of one case: such a text stays as it is
-            if not self.by_lower or b"<|" in data:
-                own = data.split()
-            elif data.isascii():
-                own = data.lower().split()
-            else:  # a capital and a combining mark may stay two where the small letter and the mark become one: such words stay as they are
-                own = [w.lower() if w.isascii() else w for w in data.split()]
+            if self.by_lower and b"<|" not in data:
+                data = lower(data)
+            own = data.split()
             split.append(own)
             found.append(list(map(words.get, own)))
             asked += len(own)
@@ -252,20 +269,38 @@ class Encoder:
         return [b"".join(ids) for ids in found]
 
 
+def lower(data: bytes) -> bytes:
+    """ASCII capitals as small letters, but for those that something else than ASCII follows: a capital and a combining mark may stay two
+    where the small letter and the mark become one."""
+    low = data.lower()
+    if data.isascii():
+        return low
+    kept = [m.start() for m in BEFORE_OTHERS.finditer(data)]
+    if kept:
+        low = bytearray(low)
+        for i in kept:
+            low[i] = data[i]
+        low = bytes(low)
+    return low
+
+
 def plain_model(tokenizer):
-    """The tokenizer's model on bytes, without normalising and splitting, if words of small letters come out alike."""
+    """The tokenizer's model on bytes, without normalising and splitting but at spaces, and the id of a space, if words of small letters
+    come out alike; None if not."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     plain = Tokenizer(tokenizer.model)
-    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ids = lambda t, x: t.encode(x, add_special_tokens=False).ids
     some = ("a", "word", "words", "ing", "straße", "él", "être", "zażółć", "naïveté", "übergrößen", "ªº", "ŉa")
-    same = all(plain.encode(w, add_special_tokens=False).ids == tokenizer.encode(w, add_special_tokens=False).ids for w in some)
-    return plain if same else None
+    space = ids(plain, " ")
+    same = len(space) == 1 and all(ids(plain, w) == ids(tokenizer, w) and ids(plain, f"a {w}") == ids(plain, "a") + space + ids(plain, w) for w in some)
+    return (plain, space[0]) if same else None
 
 
 def separable(tokenizer) -> tuple[bool, bool, bool]:
-    """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; words that
-    are ASCII throughout with capitals and small letters."""
+    """If words are encoded alike alone and among others (where ASCII white space parts them); stems and the signs after them; words with
+    ASCII capitals and small letters."""
 
     def ids(x: str) -> list[int]:
         return tokenizer.encode(x, add_special_tokens=False).ids
