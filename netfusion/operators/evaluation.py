@@ -34,6 +34,32 @@ def flag_hygiene(flag: str, **tables: DataFrame) -> DataFrame:
     return spark.createDataFrame([("flag_hygiene", len(tables) - len(bad), len(tables), "FAIL" if bad else "PASS")], "check string, found long, total long, status string")
 
 
+def alias_recovery(log: DataFrame, aliases: DataFrame, people: DataFrame, partial: float = 0.5) -> DataFrame:
+    """Aliases (alias, canonical: a name) that some value merged into the name's id contains; PARTIAL from half of them. log: master_id, merged_ids."""
+    wanted = aliases.join(people.select(F.col("name").alias("canonical"), F.col("id").cast("string").alias("master_id")), "canonical", "left")
+    met = wanted.join(log.select("master_id", "merged_ids"), "master_id").where(F.contains("merged_ids", "alias"))
+    return recovered("alias_recovery", aliases.select(F.col("alias").alias("id")), met.select(F.col("alias").alias("id")), partial)
+
+
+def structuring_check(fans: DataFrame, receiver: object, least_small: int = 10, least_lumps: int = 2) -> DataFrame:
+    """PASS if the receiver is flagged with so many small receipts and consolidations, PARTIAL if it is flagged with fewer."""
+    own = fans.where(F.col("receiver") == F.lit(receiver)).agg(F.max("cash_small_count").alias("small"), F.max(F.size("consolidations")).alias("lumps"))
+    enough = (F.col("small") >= least_small) & (F.col("lumps") >= least_lumps)
+    found = F.when(F.col("small").isNull(), 0).when(enough, 2).otherwise(1).cast("long")
+    return own.select(F.lit("structuring").alias("check"), found.alias("found"), F.lit(2).cast("long").alias("total"), _status(found, F.lit(2)).alias("status"))
+
+
+def gate(*checks: DataFrame) -> DataFrame:
+    """The checks and a row ``overall``: FAIL if one fails, else PARTIAL if one is partial, else PASS; found counts those that pass."""
+    every = checks[0]
+    for more in checks[1:]:
+        every = every.unionByName(more)
+    n = lambda s: F.count_if(F.col("status") == s)
+    overall = every.agg(n("PASS").alias("found"), F.count("*").alias("total"), n("FAIL").alias("bad"), n("PARTIAL").alias("half"))
+    status = F.when(F.col("bad") > 0, "FAIL").when(F.col("half") > 0, "PARTIAL").otherwise("PASS")
+    return every.unionByName(overall.select(F.lit("overall").alias("check"), "found", "total", status.alias("status")))
+
+
 def precision_recall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """precision and recall of ids (id) to 6 digits; an empty side gives 0."""
     p, t = predicted.select("id").distinct().withColumn("p", F.lit(1)), truth.select("id").distinct().withColumn("t", F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -35,6 +35,21 @@ def index_files(files: DataFrame, id_column: str = "path") -> DataFrame:
     return files.select(F.col(id_column).cast("string").alias("id"), _vectors("content").alias("embedding"))
 
 
+def scan_files(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png}") -> DataFrame:
+    """name and content of the files under a path."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def cached_index(index: DataFrame, path: str) -> DataFrame:
+    """The index kept at ``path``, written there first if there is none."""
+    spark = index.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        index.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def search(index: DataFrame, query: DataFrame, top_k: int = 5, least_percent: float = 0.0) -> DataFrame:
     """id, raw_cosine, similarity_score, confidence_level of the nearest vectors. query: one row, embedding of unit length."""
     q = query.select(F.col("embedding").alias("_q"))

@@ -85,13 +85,16 @@ def hotspots(events: DataFrame, people: DataFrame, cells: Sequence[str] = (*CORE
     return hot.join(weights, "place").select("place", "n_suspects", "n_cells", "n_days", "total_events", F.when(F.col("n_cells") >= 3, "CRITICAL").otherwise("HIGH").alias("risk_tier"))
 
 
-def trajectories(calls: DataFrame, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
-    """person, waypoints, first_place, last_place, path: each person's call places in order of day, time and call, both ends of a call."""
+def trajectories(calls: DataFrame, first_day: int | None = None, last_day: int | None = None, persons: DataFrame | None = None) -> DataFrame:
+    """person, waypoints, first_place, last_place, path: each person's call places in order of day, time and call, both ends of a call;
+    of ``persons`` (id) only, if given."""
     span = F.lit(True)
     if first_day is not None:
         span &= F.col("day") >= first_day
     if last_day is not None:
         span &= F.col("day") <= last_day
     ends = calls.where(span).select(F.explode(F.array("caller", "callee")).alias("person"), F.struct("day", "ts", "call_id", "tower").alias("e"))
+    if persons is not None:
+        ends = ends.join(persons.select(F.col("id").alias("person")).distinct(), "person", "left_semi")
     paths = ends.groupBy("person").agg(F.array_sort(F.collect_list("e")).alias("path"))
     return paths.select("person", F.size("path").alias("waypoints"), F.col("path")[0]["tower"].alias("first_place"), F.element_at("path", -1)["tower"].alias("last_place"), "path")

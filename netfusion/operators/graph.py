@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netfusion.operators.ranking import ranked
 from netfusion.session import cut
 
 MAX_BROADCAST_EDGES = 5_000_000
@@ -272,55 +273,42 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, seed: int = 42) -> DataFrame:
-    """id, community by modularity: greedy moves and contraction on the undirected simple graph, in one task as moves depend on each other."""
-    import pandas as pd
-
-    kind = edges.schema["src"].dataType.simpleString()
+def louvain(edges: DataFrame, rounds: int = 16, levels: int = 8) -> DataFrame:
+    """id, community (its least id) by modularity on the undirected simple graph: moves by rounds of joins, then contraction.
 
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        graph: dict = {}
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            graph.setdefault(a, {})[b] = 1.0
-            graph.setdefault(b, {})[a] = 1.0
-        member = {x: x for x in graph}
-        weight = sum(sum(v.values()) for v in graph.values())
-        while True:
-            group = {x: x for x in graph}
-            degree = {x: sum(v.values()) for x, v in graph.items()}
-            total = dict(degree)
-            moved = again = True
-            any_move = False
-            while again:
-                again = False
-                for x in sorted(graph):
-                    old = group[x]
-                    total[old] -= degree[x]
-                    to: dict = {old: 0.0}
-                    for y, w in graph[x].items():
-                        if y != x:
-                            to[group[y]] = to.get(group[y], 0.0) + w
-                    best = max(sorted(to), key=lambda g: to[g] - total[g] * degree[x] / weight)
-                    if to[best] - total[best] * degree[x] / weight <= to[old] - total[old] * degree[x] / weight + 1e-12:
-                        best = old
-                    total[best] += degree[x]
-                    if best != old:
-                        group[x], again, any_move = best, True, True
-            member = {x: group[g] for x, g in member.items()}
-            if not (moved and any_move):
+    In a round every node looks up what it would gain in the communities of its neighbours, and of those that gain a half, chosen by a hash
+    of node and round, moves, so that neighbours don't forever change places. Ties go to the least community. A level ends when
+    no node gains or after ``rounds``; communities then become nodes, until a level changes nothing. Weights are whole numbers, so the
+    result is the same however rows are dealt.
+    """
+    arcs = cut(both_ways(undirected(edges)).select("u", "v", F.lit(1).cast("long").alias("w")))
+    total = arcs.agg(F.sum("w")).first()[0] or 1
+    member = cut(arcs.select(F.col("u").alias("id")).distinct().select("id", F.col("id").alias("c")))
+    for level in range(levels):
+        weight = cut(arcs.groupBy("u").agg(F.sum("w").alias("k")))
+        group = weight.select("u", F.col("u").alias("c"), "k")
+        near = arcs.where("u <> v")
+        for k in range(rounds):
+            sums = group.groupBy("c").agg(F.sum("k").alias("sum_k"))
+            to = near.join(group.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+            own = group.select("u", "c", F.lit(0).cast("long").alias("w"))
+            each = to.unionByName(own).groupBy("u", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(group.select("u", F.col("c").alias("old"), "k"), "u")
+            gain = F.col("w") * F.lit(total) - (F.col("sum_k") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0)) * F.col("k")
+            each = each.select("u", "c", "old", "k", gain.alias("gain"))
+            best = each.groupBy("u").agg(F.min_by(F.struct("c", "gain"), F.struct(-F.col("gain"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("now"), F.first("old").alias("old"), F.first("k").alias("k"))
+            gains = F.col("b.gain") > F.col("now")
+            moves = gains & (F.pmod(F.xxhash64("u", F.lit(level), F.lit(k)), F.lit(2)) == 0)
+            moved = cut(best.select("u", F.when(moves, F.col("b.c")).otherwise(F.col("old")).alias("c"), "k", gains.alias("gains")))
+            group = moved.select("u", "c", "k")
+            if moved.where("gains").isEmpty():
                 break
-            merged: dict = {}
-            for x, v in graph.items():
-                for y, w in v.items():
-                    merged.setdefault(group[x], {})
-                    merged[group[x]][group[y]] = merged[group[x]].get(group[y], 0.0) + w
-            graph = merged
-        least: dict = {}
-        for x, g in member.items():
-            least[g] = min(x, least.get(g, x))
-        return pd.DataFrame({"id": list(member), "community": [least[g] for g in member.values()]})
-
-    return undirected(edges).withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, f"id {kind}, community {kind}")
+        if group.where("u <> c").isEmpty():
+            break
+        member = cut(member.join(group.select(F.col("u").alias("c"), F.col("c").alias("new")), "c").select("id", F.col("new").alias("c")))
+        ends = arcs.join(group.select("u", F.col("c").alias("cu")), "u").join(group.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
+        arcs = cut(ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    least = member.groupBy("c").agg(F.min("id").alias("community"))
+    return member.join(least, "c").select("id", "community")
 
 
 def community_profile(communities: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -368,9 +356,8 @@ def bridges(centrality: DataFrame, cross: DataFrame, top: int = 6, w_between: fl
     span = F.when(F.col("hi") != F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     norm = (F.col("betweenness") - F.col("lo")) / span
     scored = known.join(F.broadcast(ends)).join(F.broadcast(most)).select("id", "cell", "betweenness", F.round(norm, 4).alias("norm_betweenness"), "cross", F.round(w_between * norm + w_cross * F.col("cross") / F.coalesce("most", F.lit(1)), 4).alias("bridge_score"))
-    first = scored.orderBy(F.desc("bridge_score"), "id").limit(top).select("id", F.lit(True).alias("hit"))
-    rank = F.row_number().over(Window.orderBy(F.desc("bridge_score"), "id"))
-    return scored.select("*", rank.alias("rank")).join(F.broadcast(first), "id", "left").select("id", "cell", "betweenness", "norm_betweenness", "cross", "bridge_score", "rank", F.coalesce("hit", F.lit(False)).alias("flagged"))
+    places = ranked(scored, F.desc("bridge_score"), F.col("id"))
+    return places.select("id", "cell", "betweenness", "norm_betweenness", "cross", "bridge_score", F.col("rank").cast("int").alias("rank"), (F.col("rank") <= top).alias("flagged"))
 
 
 def what_if(edges: DataFrame, nodes: DataFrame, remove: object) -> DataFrame:
@@ -387,12 +374,23 @@ def what_if(edges: DataFrame, nodes: DataFrame, remove: object) -> DataFrame:
     return row.select("*", F.round(100 * (0.6 * loss + 0.4 * F.least(F.lit(1.0), gain)), 1).alias("impact"))
 
 
-def takedown(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Effect of removing targets (id): efficiency before and after (each over its own pairs), disruption in percent (0 to 100), components
-    left, edges severed."""
+def takedown(edges: DataFrame, nodes: DataFrame, targets: DataFrame, before: float | None = None) -> DataFrame:
+    """Effect of removing targets (id): efficiency before (given, if it is known) and after (each over its own pairs), disruption in percent
+    (0 to 100), components left, edges severed."""
     left, rest = without(edges, targets), nodes.join(targets.select("id"), "id", "left_anti")
-    before, after = efficiency(edges, nodes), efficiency(left, rest)
+    before = efficiency(edges, nodes) if before is None else before
+    after = efficiency(left, rest)
     fragments = components(left, rest).agg(F.count_distinct("component").alias("fragments"))
     severed = edges.agg(F.count("*").alias("n")).join(left.agg(F.count("*").alias("m"))).select((F.col("n") - F.col("m")).alias("severed"))
     drop = min(100.0, max(0.0, (1 - after / before) * 100)) if before else 0.0
     return fragments.join(severed).select(F.lit(round(before, 4)).alias("efficiency_before"), F.lit(round(after, 4)).alias("efficiency_after"), F.lit(round(drop, 1)).alias("disruption_pct"), "fragments", "severed")
+
+
+def kind_histogram(edges: DataFrame) -> DataFrame:
+    """kind, n."""
+    return edges.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def query(nodes: DataFrame, edges: DataFrame, text: str, **params: object) -> DataFrame:
+    """A read in SQL over the tables {nodes} and {edges}, values given as :name; what a graph store answers by patterns is a join here."""
+    return nodes.sparkSession.sql(text, args=params or None, nodes=nodes, edges=edges)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netfusion.functions.parsing import clean_duration, clean_phone, parse_amount, parse_date, to_day
-from netfusion.sources.files import with_row_numbers
+from netfusion.functions.parsing import clean_duration, clean_phone, parse_amount, parse_date, parse_timestamp, to_day
+from netfusion.operators.ranking import number_rows, ranked
 
 #: Prefixes and widths of generated ids.
 GENERATED = {"cdrs": ("call_id", "GEN-CDR", 5), "transactions": ("txn_id", "GEN-TXN", 5), "firs": ("fir_id", "GEN-FIR", 4), "social_posts": ("post_id", "GEN-POST", 4), "criminal_history": ("record_id", "GEN-REC", 4), "intelligence_reports": ("report_id", "GEN-INTEL", 4), "surveillance_reports": ("report_id", "GEN-SURV", 4)}
@@ -25,7 +25,7 @@ def normalize(rows: DataFrame, dataset: str) -> DataFrame:
     """A dataset's columns, cleaned, from whatever columns there are, plus row_no. Blank cells count as missing; the first source that
     has a value gives it."""
     have = set(rows.columns)
-    numbered = with_row_numbers(rows)
+    numbered = number_rows(rows)
 
     def first(*names: str, default: Column | str = "") -> Column:
         cells = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in names if n in have]
@@ -34,9 +34,11 @@ def normalize(rows: DataFrame, dataset: str) -> DataFrame:
     none = F.lit(None).cast("string")
     key, prefix, width = GENERATED.get(dataset, ("id", "GEN-", 5))
     unknown = F.concat(F.lit("UNK"), (F.col("row_no") - 1).cast("string"))
-    when = first("timestamp", "date", default=none)
-    stamp = F.coalesce(parse_date(when), F.lit(""))
-    day = F.coalesce(first("day", default=none).try_cast("int"), to_day(when))
+    # dates are parsed once, in a step of their own
+    born = first("dob", default=none)
+    numbered = numbered.withColumns({"_when": first("timestamp", "date", default=none), "_born": born}).withColumns({"_stamp": parse_timestamp(F.col("_when")), "_birth": parse_timestamp(F.col("_born"))})
+    stamp = F.coalesce(parse_date(F.col("_when"), F.col("_stamp")), F.lit(""))
+    day = F.coalesce(first("day", default=none).try_cast("int"), to_day(F.col("_when"), stamp=F.col("_stamp")))
     new_id = F.format_string(f"{prefix}%0{width}d", F.col("row_no"))
     side = lambda s, *more: {f"{s}_id": first(f"{s}_id", s, *more, f"{s}_name", f"{s}_phone", default=unknown), f"{s}_name": first(f"{s}_name", s, *more, f"{s}_id")}
     fields: dict[str, Column]
@@ -55,7 +57,7 @@ def normalize(rows: DataFrame, dataset: str) -> DataFrame:
         fields = {key: first(key, default=new_id), "handle": first("handle"), "person_id": first("person_id"), "timestamp": stamp, "day": day, "location_tag": first("location_tag", "location"), "post_text": first("post_text", "text", "content"), "hashtags": first("hashtags")}
     elif dataset == "criminal_history":
         person = F.format_string("GEN-P%03d", F.col("row_no"))
-        fields = {key: first(key, "history_id", default=new_id), "person_id": first("person_id", "name", "alias", default=person), "name": first("name", "person_id", "alias"), "alias": first("alias"), "dob": F.coalesce(parse_date(first("dob", default=none)), F.lit(""))}
+        fields = {key: first(key, "history_id", default=new_id), "person_id": first("person_id", "name", "alias", default=person), "name": first("name", "person_id", "alias"), "alias": first("alias"), "dob": F.coalesce(parse_date(F.col("_born"), F.col("_birth")), F.lit(""))}
         fields |= {"prior_offences": first("prior_offences", "prior_cases", "category"), "gang_affiliation": first("gang_affiliation"), "known_address": first("known_address", "location")}
     elif dataset == "intelligence_reports":
         fields = {key: first(key, default=new_id), "date": stamp, "day": day, "source_reliability": first("source_reliability"), "narrative": first("narrative", "text"), "mentioned_entity_ids": first("mentioned_entity_ids")}
@@ -124,19 +126,28 @@ def bootstrap(people: DataFrame, calls: DataFrame | None, txns: DataFrame | None
     one = named.where("id IS NOT NULL").groupBy("id").agg(F.min(F.when(F.col("kind") == "phone", F.col("value"))).alias("phone"), F.min(F.when(F.col("kind") == "account", F.col("value"))).alias("account"), F.array_min(F.flatten(F.collect_list("names"))).alias("name"))
     placed = one.select(F.lit("phone").alias("kind"), F.col("phone").alias("value")).union(one.select(F.lit("account"), "account")).where("value IS NOT NULL")
     rest = fresh.join(placed, ["kind", "value"], "left_anti")
-    n = F.row_number().over(Window.orderBy("kind", "value"))  # leftovers without any id
-    rest = rest.withColumn("k", n)
-    numbers = taken.where(F.col("id").rlike(r"^AUTO-\d{3,}$")).select(F.substring("id", 6, 9).cast("int").alias("t"))
-    used = [r.t for r in numbers.orderBy("t").collect()]  # numbers that earlier runs gave
-    number = F.col("k")
-    for t in used:
-        number = F.when(number >= t, number + 1).otherwise(number)
-    auto = rest.select(F.format_string("AUTO-%03d", number).alias("id"), F.when(F.col("kind") == "phone", F.col("value")).alias("phone"), F.when(F.col("kind") == "account", F.col("value")).alias("account"), F.get("names", 0).alias("name"))
+    rest = ranked(rest, "kind", "value", name="k")  # leftovers without any id
+    # the k-th gets the k-th number that no earlier run gave
+    numbers = taken.where(F.col("id").rlike(r"^AUTO-\d{3,9}$")).select(F.substring("id", 6, 9).cast("long").alias("t")).distinct()
+    most = rest.count() + numbers.count()
+    free = ranked(people.sparkSession.range(1, most + 1).toDF("t").join(numbers, "t", "left_anti"), "t", name="k")
+    auto = rest.join(free, "k").select(F.format_string("AUTO-%03d", "t").alias("id"), F.when(F.col("kind") == "phone", F.col("value")).alias("phone"), F.when(F.col("kind") == "account", F.col("value")).alias("account"), F.get("names", 0).alias("name"))
     both = one.unionByName(auto.select("id", "phone", "account", "name"))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return both.select("id", F.coalesce("name", "id").alias("name"), F.lit("Unknown (auto-bootstrapped)").alias("role"), F.lit("Unknown").alias("cell"), empty("phone").alias("phone"), empty("account").alias("account"))
 
 
+def normalize_record(rows: DataFrame, source: str) -> DataFrame:
+    """Any dataset's rows in a common form: day and amount_inr as whole numbers (null where they are none), all else as it is, and
+    _source_type and _source_id, the first id column that has a value."""
+    blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    out = rows.withColumn("day", blank("day").try_cast("int") if "day" in rows.columns else F.lit(None).cast("int"))
+    if "amount_inr" in rows.columns:
+        out = out.withColumn("amount_inr", F.replace(blank("amount_inr"), F.lit(","), F.lit("")).try_cast("long"))
+    ids = [blank(c) for c in ("call_id", "txn_id", "fir_id", "post_id", "report_id", "record_id") if c in rows.columns]
+    return out.withColumns({"_source_type": F.lit(source), "_source_id": F.coalesce(*ids) if ids else F.lit(None).cast("string")})
+
+
 def union_sheets(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:

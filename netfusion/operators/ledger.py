@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netfusion.operators.ranking import ranked
+
 EMPTY_ROOT = hashlib.sha256(b"EMPTY_MERKLE_TREE").hexdigest()
 GENESIS = "0" * 64
 DEFAULT_TIME = "2026-01-01T00:00:00+00:00"
@@ -50,6 +52,14 @@ def _fold(hashes: Column, whole: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(FOLD)), hashes, lambda a, _: F.when(whole & (F.size(a) == 1), a).otherwise(pair(a)))
 
 
+def numbered_leaves(leaves: DataFrame, *order: str) -> DataFrame:
+    """block, seq (0 on in each block, by ``order``), leaf. All leaves are numbered at once over ranges, and each block's first number is
+    taken off, so a block of any size is spread over tasks."""
+    numbered = ranked(leaves, "block", *order, name="_n")
+    first = numbered.groupBy("block").agg(F.min("_n").alias("_first"))
+    return numbered.join(first, "block").select("block", (F.col("_n") - F.col("_first")).alias("seq"), "leaf")
+
+
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """block, n_leaves, root. leaves: block, seq (0 on without gaps), leaf. Groups of 1024 neighbours are folded in parallel, so a block of
     any size takes a round for each ten levels."""
@@ -84,6 +94,23 @@ def chain_valid(blocks: DataFrame) -> DataFrame:
     return links.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("valid"))
 
 
+def certificate(blocks: DataFrame, leaves: DataFrame, case_name: str, issued: str, officer: str = "Investigating Officer", station: str = "") -> DataFrame:
+    """One row that certifies a ledger: certificate_id, ledger_id, case_name, issued, officer, station, master_root (the Merkle root of the
+    blocks' hashes), n_blocks, n_records, chain_valid, declaration and token, the hash of id, root and time."""
+    order = blocks.select(F.lit(0).alias("block"), F.col("index").cast("long").alias("seq"), F.col("block_hash").alias("leaf"))
+    master = merkle_roots(order).select(F.col("root").alias("master_root"))
+    n = blocks.agg(F.count("*").alias("n_blocks")).join(leaves.agg(F.count("*").alias("n_records"))).join(chain_valid(blocks).select(F.col("valid").alias("chain_valid")))
+    one = n.join(master, how="left").withColumn("master_root", F.coalesce("master_root", F.lit(EMPTY_ROOT)))
+    one = one.withColumn("certificate_id", F.concat(F.lit("CERT-BSA63-"), F.upper(F.substring("master_root", 1, 12))))
+    ledger_id = F.concat(F.lit("LEDGER-NCRB-"), F.upper(F.substring(F.sha2(F.lit(case_name), 256), 1, 12)))
+    declaration = F.concat(F.lit("The records of this ledger were hashed when they were read; by the master root "), "master_root", F.lit(" none was altered, added or deleted since."))
+    token = F.sha2(F.concat_ws(":", "certificate_id", "master_root", F.lit(issued)), 256)
+    return one.select(
+        "certificate_id", ledger_id.alias("ledger_id"), F.lit(case_name).alias("case_name"), F.lit(issued).alias("issued"), F.lit(officer).alias("officer"), F.lit(station).alias("station"),
+        "master_root", "n_blocks", "n_records", "chain_valid", declaration.alias("declaration"), token.alias("token"),
+    )
+
+
 def verify(leaves: DataFrame, blocks: DataFrame, digest: str) -> DataFrame:
     """matched_in, name: where a hash (or a prefix of 8 digits or more) is a block's hash, a Merkle root or any leaf."""
     prefix = digest.lower()

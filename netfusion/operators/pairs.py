@@ -82,21 +82,62 @@ def strength(points: Column) -> Column:
     return out.otherwise(WEAKEST)
 
 
-def explain(calls: DataFrame, txns: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
-    """Every pair with any tie: its counts, evidence_points, relationship_strength and a sentence."""
-    out = telephony(calls).join(financials(txns), ["p", "q"], "full")
+def by_identity(acts: DataFrame, people: DataFrame, sides: tuple[str, str] = ("caller", "callee"), number: str = "phone") -> DataFrame:
+    """acts with both sides as directory ids, a row for each act and pair that it is between.
+
+    A side is a person if its id or name is the person's id or name (without case), or its ``number`` (phone: digits only; account) is
+    the person's. acts: <side>_id, <side>_name, <side>_<number> and more columns; people: id, name and the number. A side that fits several
+    people stands for each; what fits nobody, or the same person on both sides, goes. Different ends are looked up once, however
+    many acts they have.
+    """
+    a, b = sides
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    bare = (lambda c: F.regexp_replace(low(c), r"\D", "")) if number == "phone" else low
+    end = lambda s: F.struct(low(f"{s}_id").alias("i"), low(f"{s}_name").alias("n"), bare(f"{s}_{number}").alias("x"))
+    keys = lambda i, n, x: F.array_distinct(F.filter(F.array(F.concat(F.lit("n:"), i), F.concat(F.lit("n:"), n), F.concat(F.lit("x:"), x)), lambda k: F.length(k) > 2))
+    named = acts.withColumns({"_a": end(a), "_b": end(b)})
+    known = people.select("id", F.explode(keys(low("id"), low("name"), bare(number))).alias("key")).distinct()
+    ends = named.select(F.explode(F.array("_a", "_b")).alias("e")).distinct().select("e", F.explode(keys(F.col("e.i"), F.col("e.n"), F.col("e.x"))).alias("key"))
+    who = ends.join(known, "key").groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    met = named.join(who.select(F.col("e").alias("_a"), F.col("ids").alias("_as")), "_a").join(who.select(F.col("e").alias("_b"), F.col("ids").alias("_bs")), "_b")
+    each = F.flatten(F.transform("_as", lambda p: F.transform(F.col("_bs"), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    # an act between two people who both fit both sides is one act, not one each way
+    once = lambda x: (x["p"] < x["q"]) | ((x["p"] > x["q"]) & ~(F.array_contains("_as", x["q"]) & F.array_contains("_bs", x["p"])))
+    rest = [c for c in acts.columns if c not in sides]
+    return met.select(*rest, F.explode(F.filter(each, once)).alias("_e")).select(*rest, F.col("_e.p").alias(a), F.col("_e.q").alias(b))
+
+
+def explain(calls: DataFrame, txns: DataFrame, mentions: DataFrame | None = None, edges: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """Every pair with any tie: its counts, evidence_points, relationship_strength and a story; with ``edges`` also direct_edges and mutual
+    (common neighbours), with ``people`` (id, name, role) a first sentence with their names."""
+    out = telephony(calls).join(financials(txns), ["p", "q"], "full").join(top_towers(calls, 1).select("p", "q", F.get("towers", 0).alias("top_tower")), ["p", "q"], "left")
     kinds = ("fir", "surveillance", "intel")
     if mentions is not None:
         shared = co_mentions(mentions).groupBy("p", "q").pivot("source_type", list(kinds)).agg(F.sum("n_docs"))
         out = out.join(shared, ["p", "q"], "full")
     else:
         out = out.withColumns({k: F.lit(0).cast("long") for k in kinds})
-    direct = (F.coalesce("calls", F.lit(0)) + F.coalesce("txns", F.lit(0))) > 0
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    if edges is not None:
+        linked = _paired(edges, "src", "dst").groupBy("p", "q").agg(F.count("*").alias("direct_edges"))
+        out = out.join(linked, ["p", "q"], "full").withColumn("direct_edges", F.coalesce("direct_edges", F.lit(0)))
+        out = out.join(mutual_counts(edges, out.select("p", "q")), ["p", "q"], "left")
+        direct = F.col("direct_edges") > 0
+    else:
+        direct = some("calls") | some("txns")
     out = out.withColumn("evidence_points", evidence_points(F.col("calls"), F.col("txns"), *(F.col(k) for k in kinds), direct))
+    lead = []
+    if people is not None:
+        called = lambda end: people.select(F.col("id").alias(end), F.coalesce(F.col("name"), F.col("id").cast("string")).alias(f"name_{end}"), F.coalesce("role", F.lit("Suspect")).alias(f"role_{end}"))
+        out = out.join(called("p"), "p", "left").join(called("q"), "q", "left")
+        lead = [F.format_string("%s (%s) and %s (%s)", F.coalesce("name_p", F.col("p").cast("string")), F.coalesce("role_p", F.lit("Entity")), F.coalesce("name_q", F.col("q").cast("string")), F.coalesce("role_q", F.lit("Entity")))]
     story = F.concat_ws(
         "; ",
-        F.when(F.col("calls") > 0, F.format_string("%d calls over %d days (%.1f minutes)", "calls", "n_days", "minutes")),
+        *lead,
+        F.when(F.col("calls") > 0, F.format_string("%d calls over %d days (%.1f minutes), most at %s", "calls", "n_days", "minutes", "top_tower")),
         F.when(F.col("txns") > 0, F.format_string("%d transfers of %d in all", "txns", "amount")),
         *(F.when(F.col(k) > 0, F.format_string(f"%d shared {k} records", F.col(k))) for k in kinds),
+        *([F.when(F.col("mutual") > 0, F.format_string("%d mutual contacts", "mutual"))] if edges is not None else []),
     )
-    return out.select("*", strength(F.col("evidence_points")).alias("relationship_strength"), story.alias("story"))
+    out = out.select("*", strength(F.col("evidence_points")).alias("relationship_strength"), story.alias("story"))
+    return out.drop("name_p", "name_q", "role_p", "role_q")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netfusion.operators import finance, graph
+from netfusion.session import cut
+
 #: Weights of a lead's signals.
 LEAD_WEIGHTS = {"bridge_score": 0.25, "financial_anomaly": 0.20, "communication_anomaly": 0.15, "temporal_correlation": 0.10, "evidence_quality": 0.15, "centrality": 0.10, "cross_case": 0.05}
 
@@ -76,15 +81,17 @@ def lead_scores(people: DataFrame, bridges: DataFrame, centrality: DataFrame, fi
     cell; evidence: id, quality (0.5 where none); cross: entity, confidence.
     """
     tops = centrality.agg(F.max("betweenness").alias("max_b"), F.max("degree").alias("max_d"))
-    share = lambda c, top: F.round(F.when(F.col(top) > 0, F.col(c) / F.col(top)).otherwise(0.0), 3)
+    share = lambda c, top: F.when(F.col(top) > 0, F.col(c) / F.col(top)).otherwise(0.0).cast("decimal(9,3)")
     central = centrality.join(F.broadcast(tops)).select("id", share("betweenness", "max_b").alias("betweenness_share"), share("degree", "max_d").alias("degree_share"))
     best = lambda df, name: max_scores(df).select(F.col("entity_id").alias("id"), F.col("score").alias(name))
     t = people.select("id", "cell").join(bridges.select("id", "bridge_score"), "id", "left").join(central, "id", "left").join(best(financial, "fin"), "id", "left").join(best(communication, "comm"), "id", "left")
     t = t.join(correlated_cells.select("cell", F.lit(1.0).alias("temporal")).distinct(), "cell", "left").join(evidence.select("id", "quality"), "id", "left")
     t = t.join(cross.groupBy(F.col("entity").alias("id")).agg(F.max("confidence").alias("cross_conf")), "id", "left")
     three = lambda c, default=0.0: F.round(F.coalesce(c, F.lit(default)), 3)
+    zero = F.lit(0).cast("decimal(9,3)")
+    half = F.round((F.coalesce("betweenness_share", zero) + F.coalesce("degree_share", zero)) / 2, 3).cast("double")  # exact, so halves go up
     s = t.select(
-        "id", "cell", three("bridge_score").alias("bridge_score"), three((F.coalesce("betweenness_share", F.lit(0.0)) + F.coalesce("degree_share", F.lit(0.0))) / 2).alias("centrality"),
+        "id", "cell", three("bridge_score").alias("bridge_score"), half.alias("centrality"),
         three("fin").alias("financial_anomaly"), three("comm").alias("communication_anomaly"), three("temporal").alias("temporal_correlation"), three("quality", 0.5).alias("evidence_quality"), three("cross_conf").alias("cross_case"),
     )
     total = sum((F.lit(w) * F.col(k) for k, w in LEAD_WEIGHTS.items()), F.lit(0.0)) * 100
@@ -116,12 +123,107 @@ def recommendations(cross: DataFrame, fans: DataFrame, leads: DataFrame, pair_ca
     return out.orderBy(F.desc("priority_score"), "type", "target_id").limit(limit)
 
 
-def strategies(betweenness: DataFrame, volume: DataFrame, bridges: DataFrame, roles: DataFrame, leaders: tuple[str, ...] = ("Kingpin", "Leader", "Lieutenant", "Coordinator")) -> DataFrame:
-    """strategy, rank, id: candidates of the four removal strategies (top 3 by betweenness, 3 leaders, 4 by volume, 3 bridges)."""
-    first = lambda df, by, n, name: df.orderBy(F.desc(by), "id").limit(n).select(F.lit(name).alias("strategy"), F.col(by).cast("double").alias("score"), F.col("id").cast("string").alias("id"))
-    heads = roles.where(F.col("role").isin(*leaders)).join(betweenness, "id")
-    every = first(betweenness, "betweenness", 3, "central_hubs").unionByName(first(heads, "betweenness", 3, "leadership")).unionByName(first(volume, "volume", 4, "financial_freeze")).unionByName(first(bridges, "bridge_score", 3, "bridge_cut"))
-    return every.select("strategy", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("score"), "id")).alias("rank"), "id")
+#: Roles that can take over, and the window of an operation.
+LEADERS = ("Kingpin", "Leader", "Lieutenant", "Coordinator")
+STRIKE_WINDOW = "03:30 hrs - 05:00 hrs IST (Simultaneous Pre-Dawn Sweep)"
+
+
+def packages(people: DataFrame, pagerank: DataFrame, betweenness: DataFrame, volume: DataFrame, cells: Sequence[str] | None = ("A", "B", "C", "Bridge")) -> DataFrame:
+    """strategy, rank, id: the targets of four removals. decap: the 3 people of ``cells`` (None: of any) highest in PageRank; bridge: the 3
+    others highest in betweenness; mule: the 4 people whose accounts moved most; sync: the first two of each, each once. Ties go by id.
+
+    people: id, cell; pagerank: id, rank; betweenness: id, betweenness; volume: id, volume.
+    """
+    def first(df: DataFrame, by: str, n: int) -> DataFrame:  # at most n rows
+        top = df.orderBy(F.desc(by), "id").limit(n)
+        return cut(top.select("id", F.row_number().over(Window.orderBy(F.desc(by), "id")).alias("rank")))
+
+    own = people.select("id", "cell")
+    score = lambda df, c: own.join(df.select("id", c), "id", "left").withColumn(c, F.coalesce(c, F.lit(0.0)))
+    central = score(pagerank.select("id", F.col("rank").alias("pagerank")), "pagerank")
+    decap = first(central if cells is None else central.where(F.col("cell").isin(*cells)), "pagerank", 3)
+    bridge = first(score(betweenness, "betweenness").join(decap, "id", "left_anti"), "betweenness", 3)
+    mule = first(own.join(volume.select("id", "volume"), "id"), "volume", 4)
+    parts = {"decap": decap, "bridge": bridge, "mule": mule}
+    turn = None
+    for k, df in enumerate(parts.values()):
+        two = df.where("rank <= 2").select("id", (F.col("rank") + 2 * k).alias("turn"))
+        turn = two if turn is None else turn.union(two)
+    turn = turn.groupBy("id").agg(F.min("turn").alias("turn"))
+    out = turn.select(F.lit("sync").alias("strategy"), F.row_number().over(Window.orderBy("turn")).alias("rank"), "id")  # at most six rows
+    for name, df in parts.items():
+        out = out.unionByName(df.select(F.lit(name).alias("strategy"), "rank", "id"))
+    return out
+
+
+def simulate(edges: DataFrame, nodes: DataFrame, people: DataFrame, txns: DataFrame, targets: DataFrame, risk: DataFrame | None = None, before: float | None = None) -> DataFrame:
+    """One row on the removal of targets (id): n_targets, what graph.takedown() returns, n_frozen and seized of their transfers, succession_risk
+    (the first two leaders left), and what staff it takes. people: id, role; risk: id, risk_level (none is STANDARD)."""
+    ids = targets.select("id").distinct()
+    left = people.join(ids, "id", "left_anti").where(F.col("role").isin(*LEADERS)).select("id").orderBy("id").limit(2)
+    names = left.agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ", ").alias("left"))
+    verdict = F.when(F.col("left") == "", "LOW — Command structure shattered").otherwise(F.concat(F.lit("MODERATE — Deputy leaders remain ("), "left", F.lit(")")))
+    profile = ids.select("id", F.lit("STANDARD").alias("risk_level")) if risk is None else ids.join(risk, "id", "left").select("id", F.coalesce("risk_level", F.lit("STANDARD")).alias("risk_level"))
+    return graph.takedown(edges, nodes, ids, before).join(finance.frozen_transactions(txns, ids)).join(names.select(verdict.alias("succession_risk"))).join(staffing(profile).withColumnRenamed("targets", "n_targets"))
+
+
+def simulated_packages(edges: DataFrame, nodes: DataFrame, people: DataFrame, txns: DataFrame, chosen: DataFrame, risk: DataFrame | None = None) -> DataFrame:
+    """strategy and simulate() of each of the packages, the most disruptive first."""
+    before, out = graph.efficiency(edges, nodes), None
+    for name in ("sync", "bridge", "decap", "mule"):
+        row = simulate(edges, nodes, people, txns, chosen.where(F.col("strategy") == name), risk, before).select(F.lit(name).alias("strategy"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("disruption_pct"), "strategy")
+
+
+def operation_order(simulated: DataFrame, codename: str = "OPERATION THUNDERCLAP", commander: str = "Authorized Joint Commissioner") -> DataFrame:
+    """A row for each simulated removal: order_id, codename, commander, objective, execution_window, recovery, succession_risk, staff."""
+    name = codename.upper()
+    objective = F.format_string("Arrests and seizures at %d primary targets for an estimated %.1f%% structural collapse of the network", "n_targets", "disruption_pct")
+    return simulated.select(
+        F.lit(f"OPORD-NCRB-{name.replace(' ', '_')}-2026").alias("order_id"), F.lit(name).alias("codename"), F.lit(commander).alias("commander"), objective.alias("objective"), F.lit(STRIKE_WINDOW).alias("execution_window"),
+        F.format_string("Rs. %,d", F.col("seized").cast("long")).alias("recovery"), "succession_risk", "armed", "cyber", "perimeter", "personnel",
+    )
+
+
+def sources(edges: DataFrame, texts: DataFrame, node: object, label: str, first: int = 12, most: int = 8) -> DataFrame:
+    """Where a node is known from: source, source_type, kind, day, confidence, supporting_text, evidence_hash, extractor of its first edges (by
+    day, kind, ends and source), then of texts that have its label or id; ``most`` in all. edges may have supporting_text; texts: doc_id, source_type, day, text."""
+    has = lambda c: F.col(c) if c in edges.columns else F.lit(None).cast("string")
+    own = edges.where((F.col("src") == F.lit(node)) | (F.col("dst") == F.lit(node)))
+    near = own.orderBy(F.col("day").asc_nulls_first(), "kind", "src", "dst", "source").limit(first)
+    supporting = F.substring(F.coalesce(has("supporting_text"), F.lit("")), 1, 200)
+    a = near.select(
+        F.struct(F.lit(0).alias("part"), "day", "kind", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("source").cast("string").alias("s")).alias("_at"), F.col("source").cast("string").alias("source"), has("source_type").alias("source_type"), "kind", F.col("day").cast("int").alias("day"),
+        F.col("confidence").cast("double").alias("confidence"), supporting.alias("supporting_text"), F.coalesce(has("evidence_hash"), F.lit("")).alias("evidence_hash"), F.coalesce(has("extractor"), F.lit("")).alias("extractor"),
+    )
+    said = F.replace(F.substring("text", 1, 120), F.lit("\n"), F.lit(" "))
+    hit = (F.contains("text", F.lit(label)) & F.lit(bool(label))) | F.contains("text", F.lit(str(node)))
+    docs = texts.where(hit).orderBy("doc_id").limit(most)
+    b = docs.select(
+        F.struct(F.lit(1).alias("part"), F.lit(None).cast(edges.schema["day"].dataType).alias("day"), F.lit("").alias("kind"), F.lit("").alias("src"), F.lit("").alias("dst"), F.col("doc_id").cast("string").alias("s")).alias("_at"), F.col("doc_id").cast("string").alias("source"), F.lit("text_mention").alias("source_type"), F.lit("TEXT").alias("kind"),
+        F.col("day").cast("int").alias("day"), F.lit(0.6).alias("confidence"), said.alias("supporting_text"), F.substring(F.sha2(said, 256), 1, 16).alias("evidence_hash"), F.lit("text_mention").alias("extractor"),
+    )
+    return a.unionByName(b).orderBy("_at").limit(most).drop("_at")
+
+
+def top_signals(facts: DataFrame, most: int = 6) -> DataFrame:
+    """facts with top_signals, the sentences that apply. facts: lead_score, priority, flagged, rank, bridge_score, betweenness, called, transacted,
+    degree, anomalies (array), n_cases; nulls where a signal is missing."""
+    c = F.col
+    every = F.array_compact(
+        F.array(
+            F.when(c("lead_score").isNotNull(), F.format_string("Lead score %d/100, priority %s", "lead_score", "priority")),
+            F.when(c("flagged"), F.format_string("Flagged as bridge: score %s, rank %d", c("bridge_score").cast("string"), "rank")),
+            F.when(c("betweenness") > 0.05, F.concat(F.lit("High betweenness "), c("betweenness").cast("string"))),
+            F.when(c("called") >= 5, F.format_string("%d calls", "called")),
+            F.when(c("transacted") >= 3, F.format_string("%d transfers", "transacted")),
+            F.when(c("degree") >= 8, F.format_string("High degree %d", "degree")),
+            F.when(F.size("anomalies") > 0, F.concat(F.lit("Anomalies: "), F.array_join(F.slice("anomalies", 1, 2), ", "))),
+            F.when(c("n_cases") >= 2, F.format_string("Shared by %d cases", "n_cases")),
+        )
+    )
+    return facts.withColumn("top_signals", F.when(F.size(every) > 0, F.slice(every, 1, most)).otherwise(F.array(F.lit("No strong flag"))))
 
 
 def staffing(profiles: DataFrame) -> DataFrame:

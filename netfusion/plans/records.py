@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netfusion.functions import parsing, vectors
 from netfusion.functions.text import LOCATIONS, PATTERNS, RELATIONS, evidence_hash, risk_level
 from netfusion.operators import evaluation, extraction, faces, ingest, ledger, resolution
-from netfusion.plans.views import CASES, INCIDENTS, cases, incidents, people, sql, table
+from netfusion.operators.ranking import number_rows, ranked
+from netfusion.plans.views import CASES, INCIDENTS, SENTENCES, cases, incidents, people, sql, table
 from netfusion.sources.detect import detect_type, suggest_mapping
 
 
@@ -33,7 +34,9 @@ def parse_dates(spark: SparkSession, d: str) -> DataFrame:
         ),
         (F.col("o_orderkey") % 7 + 1).cast("int"),
     )
-    return o.select("o_orderkey", parsing.parse_date(text).alias("parsed"), parsing.to_day(text, "1995-01-01").alias("day"))
+    x, stamp = F.col("x"), F.col("stamp")
+    read = o.select("o_orderkey", text.alias("x")).select("o_orderkey", "x", parsing.parse_timestamp(x).alias("stamp"))  # once for both
+    return read.select("o_orderkey", parsing.parse_date(x, stamp).alias("parsed"), parsing.to_day(x, "1995-01-01", stamp).alias("day"))
 
 
 PARSE_DATES = """SELECT o_orderkey, CASE WHEN k = 6 THEN 'not a date' WHEN short THEN epoch(o_orderdate)::BIGINT::VARCHAR ELSE strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') END AS parsed,
@@ -77,9 +80,7 @@ def quarantined(spark: SparkSession, d: str) -> DataFrame:
     """What the records lack before normalising gives them ids."""
     raw = raw_transfers(spark, d)
     rows = ingest.apply_mapping(raw, suggest_mapping(raw.columns, "transactions"))
-    from netfusion.sources.files import with_row_numbers
-
-    return ingest.split_quarantine(with_row_numbers(rows), "transactions", "transfers.csv")[1]
+    return ingest.split_quarantine(number_rows(rows), "transactions", "transfers.csv")[1]
 
 
 def header_map(spark: SparkSession, d: str) -> DataFrame:
@@ -110,30 +111,45 @@ ENTITY_EXTRACT = sql(
 )
 
 
+def incident_people(spark: SparkSession) -> DataFrame:
+    """Two of the people in incidents, as a directory knows them."""
+    return spark.createDataFrame([("Sunil More",), ("Meena Das",)], "name string")
+
+
 def relation_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.relations(incidents(spark, d)).select("doc_id", "src", "dst", "kind", "confidence")
+    return extraction.relations(incidents(spark, d), known=incident_people(spark)).select("doc_id", "src", "dst", "kind", "confidence", "supporting_text", "evidence_hash")
 
 
-RELATION_KINDS = sql(
-    INCIDENTS,
-    select="SELECT doc_id, 'Ravi Kumar' AS src, dst, kind, confidence FROM (SELECT doc_id, text, CASE "
-    + " ".join(f"WHEN {' OR '.join(f'''contains(lower(s), '{w}')''' for w in words)} THEN ('{kind}', {conf}::DOUBLE)" for kind, conf, words in RELATIONS)
-    + " ELSE ('ASSOCIATED_WITH', 0.55::DOUBLE) END AS r, r[1] AS kind, r[2] AS confidence FROM (SELECT *, split_part(text, '. ', 1) AS s FROM incidents)), "
-    "LATERAL (SELECT unnest(CASE WHEN contains(text, 'Station Road') THEN ['Sunil More', 'Station Road'] ELSE ['Sunil More', 'Eastgate'] END) AS dst)",
-)
+_PLACES = " OR ".join(f"contains(x, '{w}')" for w in extraction.NOT_PEOPLE)
+RELATION_PARTS = [
+    INCIDENTS, SENTENCES,
+    f"""c AS (SELECT doc_id, seq, sentence, singles, list_concat(list_filter(['Meena Das', 'Sunil More'], lambda n: contains(plain, ' ' || lower(n) || ' ')), list_filter(caps, lambda x: length(x) < 35 AND NOT ({_PLACES}))) AS sm FROM (SELECT *, ' ' || regexp_replace(lower(sentence), '[^\\pL\\pN]+', ' ', 'g') || ' ' AS plain FROM sentences) WHERE length(trim(sentence)) >= 10)""",
+    "f AS (SELECT *, list_concat(sm, list_filter(singles, lambda w: lower(w) IN ('sunil', 'meena') AND NOT list_contains(list_transform(sm, lambda x: split_part(x, ' ', 1)), w))) AS found FROM c)",
+    "n AS (SELECT *, list_filter(found, lambda x, i: NOT list_contains(list_transform(found[: i - 1], lambda y: lower(y)), lower(x))) AS names FROM f)",
+    "rel AS (SELECT doc_id, names[1] AS src, unnest(names[2:3]) AS dst, CASE "
+    + " ".join(f"WHEN {' OR '.join(f'contains(lower(sentence), {chr(39)}{w}{chr(39)})' for w in words)} THEN ('{kind}', {conf}::DOUBLE)" for kind, conf, words in RELATIONS)
+    + " ELSE ('ASSOCIATED_WITH', 0.55::DOUBLE) END AS r, replace(substr(trim(sentence), 1, 200), chr(10), ' ') AS supporting_text FROM n WHERE len(names) >= 2)",
+]
+RELATION_KINDS = sql(*RELATION_PARTS, select="SELECT doc_id, src, dst, r[1] AS kind, r[2] AS confidence, supporting_text, substr(sha256(supporting_text), 1, 16) AS evidence_hash FROM rel")
+
+
+def relation_provenance(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.provenance(extraction.relations(incidents(spark, d), known=incident_people(spark)))
 
 
 def name_mentions(spark: SparkSession, d: str) -> DataFrame:
-    first = spark.createDataFrame([("call",), ("vehicle",)], "name string")
-    return extraction.name_mentions(incidents(spark, d), first).select("doc_id", "value", "confidence", "extractor", "evidence_hash")
+    first = spark.createDataFrame([("call",), ("meena",), ("eastgate",)], "name string")
+    return extraction.name_mentions(incidents(spark, d), first).select("doc_id", "seq", "value", "confidence", "extractor", "evidence_hash")
 
 
+_STOP = " OR ".join(f"contains(value, '{w}')" for w in extraction.STOP_WORDS)
 NAME_MENTIONS = sql(
-    INCIDENTS, "s AS (SELECT doc_id, text, split_part(text, '. ', 1) AS a, split_part(split_part(text, '. ', 2), '.' || chr(10), 1) AS b, split_part(text, '.' || chr(10), 2) AS c FROM incidents)",
-    select="""SELECT doc_id, value, confidence, extractor, substr(sha256(substr(trim(t), 1, 120)), 1, 16) AS evidence_hash FROM (
-  SELECT doc_id, 'Ravi Kumar' AS value, 0.45::DOUBLE AS confidence, 'fallback_two_word' AS extractor, a AS t FROM s UNION ALL SELECT doc_id, 'Sunil More', 0.45, 'fallback_two_word', a FROM s
-  UNION ALL SELECT doc_id, 'Call', 0.40, 'fallback_single', b FROM s UNION ALL SELECT doc_id, 'Vehicle', 0.40, 'fallback_single', c FROM s
-)""",
+    INCIDENTS, SENTENCES,
+    select=f"""SELECT doc_id, CAST(seq AS INTEGER) AS seq, value, confidence, extractor, substr(sha256(evidence), 1, 16) AS evidence_hash FROM (
+  SELECT doc_id, seq, unnest(caps) AS value, 0.45::DOUBLE AS confidence, 'fallback_two_word' AS extractor, evidence FROM sentences
+) WHERE length(value) BETWEEN 4 AND 35 AND NOT ({_STOP})
+UNION ALL SELECT doc_id, CAST(seq AS INTEGER), value, 0.40::DOUBLE, 'fallback_single', substr(sha256(evidence), 1, 16) FROM (SELECT doc_id, seq, caps, evidence, unnest(singles) AS value FROM sentences)
+WHERE value NOT IN {extraction.STOP_WORDS} AND len(list_filter(caps, lambda c: contains(c, value))) = 0 AND lower(value) IN ('call', 'meena', 'eastgate')""",
 )
 
 
@@ -186,7 +202,7 @@ VECTOR_TOPK = """SELECT vec_id, label, s AS similarity, p AS percent, CASE WHEN
 def evidence_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Case texts as ledger leaves, a role being a block."""
     c = table(spark, d, "conversations").select("role", "conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("leaf"))
-    return c.select(F.col("role").alias("block"), (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn", "leaf")) - 1).alias("seq"), "leaf")
+    return ledger.numbered_leaves(c.select(F.col("role").alias("block"), "conv_id", "turn", "leaf"), "conv_id", "turn", "leaf")
 
 
 def merkle(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +230,7 @@ def _chain_sql() -> str:
     roots = f"roots AS (SELECT block, h AS root, row_number() OVER (ORDER BY block) - 1 AS i FROM l14)"
     return (
         f"WITH RECURSIVE {body[0]}, {roots}, c(i, h) AS (SELECT -1::BIGINT, repeat('0', 64) UNION ALL SELECT r.i, sha256(r.i || ':' || r.block || ':' || c.h || ':' || r.root || ':2026-01-01T00:00:00+00:00:Investigating Officer') FROM c JOIN roots r ON r.i = c.i + 1) "
-        "SELECT TRUE AS valid, arg_max(h, i) AS head FROM c"
+        "SELECT bool_and(n = 1) AS valid, arg_max(h, i) AS head FROM (SELECT i, h, count(*) OVER (PARTITION BY i) AS n FROM c)"
     )
 
 
@@ -229,7 +245,7 @@ def observed_contacts(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     calls = o.select(F.col("o_custkey").cast("string").alias("caller_id"), F.lit("").alias("caller_name"), F.concat(F.lit("70"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("caller_phone"), F.lit("UNK1").alias("callee_id"), F.lit("").alias("callee_name"), F.lit("7999999999").alias("callee_phone"))
-    ppl = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("70"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"), F.lit("").alias("account"))
+    ppl = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("70"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"), F.lit("").alias("account"))
     return ingest.bootstrap(ppl, calls, None)
 
 
@@ -268,6 +284,7 @@ QUERIES = {
     "header_map": (header_map, None),
     "entity_regex_extract": (entity_extract, ENTITY_EXTRACT),
     "relation_kinds": (relation_kinds, RELATION_KINDS),
+    "relation_provenance": (relation_provenance, sql(*RELATION_PARTS, select="SELECT r[1] AS kind, count(*) AS n, count(*) FILTER (WHERE supporting_text <> '') AS with_text FROM rel GROUP BY 1")),
     "name_mentions": (name_mentions, NAME_MENTIONS),
     "mention_containment": (mention_containment, MENTION_CONTAINMENT),
     "fuzzy_top1": (fuzzy_top1, None),
@@ -283,6 +300,6 @@ QUERIES = {
     "observed_contacts": (observed_contacts, "SELECT lpad((o_custkey % 700)::VARCHAR, 10, '7') AS value, count(DISTINCT o_custkey)::INTEGER AS n_ids, string_agg(DISTINCT 'N' || o_custkey, ',' ORDER BY 'N' || o_custkey) AS names FROM orders GROUP BY 1"),
     "bootstrap_entities": (
         bootstrap,
-        "SELECT o_custkey::VARCHAR AS id, o_custkey::VARCHAR AS name, 'Unknown (auto-bootstrapped)' AS role, 'Unknown' AS cell, '70' || lpad(o_custkey::VARCHAR, 8, '0') AS phone, '' AS account FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 1) UNION ALL SELECT 'AUTO-001', 'AUTO-001', 'Unknown (auto-bootstrapped)', 'Unknown', '7999999999', ''",
+        "SELECT o_custkey::VARCHAR AS id, o_custkey::VARCHAR AS name, 'Unknown (auto-bootstrapped)' AS role, 'Unknown' AS cell, '70' || lpad(o_custkey::VARCHAR, 8, '0') AS phone, '' AS account FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)) UNION ALL SELECT 'AUTO-001', 'AUTO-001', 'Unknown (auto-bootstrapped)', 'Unknown', '7999999999', ''",
     ),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netfusion.plans import network, records, relational
+from netfusion.plans import composites, network, records, relational, scans
 
-_MODULES = (relational, network, records)
+_MODULES = (relational, network, records, scans, composites)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -55,6 +55,39 @@ def temporal_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select("first_day", "last_day", F.array_join("days", ",").alias("days"), F.array_join("cells", ",").alias("cells"), "burst_count", "max_zscore", "evidence_hash")
 
 
+TEMPORAL = sql(
+    CALLS, Z, "l AS (SELECT list({'day': day, 'cell': cell, 'z': zscore} ORDER BY day, cell) AS every FROM b)",
+    select="""SELECT g.lo AS first_day, g.hi AS last_day, array_to_string(days, ',') AS days, array_to_string(cells, ',') AS cells, len(g.took)::INTEGER AS burst_count, list_max(list_transform(g.took, lambda x: x.z)) AS max_zscore, 'temporal-' || g.lo || '-' || g.hi AS evidence_hash FROM (
+  WITH RECURSIVE walk(i, used, g) AS (
+    SELECT 0, []::INTEGER[], NULL::STRUCT(lo INTEGER, hi INTEGER, took STRUCT(day INTEGER, cell VARCHAR, z DOUBLE)[]) FROM l
+    UNION ALL
+    SELECT i + 1, CASE WHEN ok THEN list_concat(used, list_distinct(list_transform(new.took, lambda x: x.day))) ELSE used END, CASE WHEN ok THEN new END FROM (
+      SELECT i, used, new, NOT list_contains(used, anchor.day) AND len(list_distinct(list_transform(new.took, lambda x: x.cell))) >= 2 AS ok FROM (
+        SELECT i, used, anchor, list_reduce(list_prepend({'lo': anchor.day, 'hi': anchor.day, 'took': [anchor]}, list_transform(every, lambda x: {'lo': x.day, 'hi': x.day, 'took': [x]})), lambda s, x:
+          CASE WHEN x.lo <> anchor.day AND abs(x.lo - anchor.day) <= 7 AND greatest(s.hi, x.lo) - least(s.lo, x.lo) <= 7
+               THEN {'lo': least(s.lo, x.lo), 'hi': greatest(s.hi, x.lo), 'took': list_concat(s.took, x.took)} ELSE s END) AS new
+        FROM (SELECT i, used, every, every[i + 1] AS anchor FROM walk, l WHERE i < len(every))
+      )
+    )
+  ) SELECT g, list_sort(list_distinct(list_transform(g.took, lambda x: x.day))) AS days, list_sort(list_distinct(list_transform(g.took, lambda x: x.cell))) AS cells FROM walk WHERE g IS NOT NULL
+)""",
+)
+
+
+def burst_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = bursts.correlated_groups(call_bursts(spark, d))
+    scores = F.array_join(F.array_sort(F.transform(F.map_entries("zscores"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("decimal(9,2)").cast("string")))), ";")
+    return g.select("first_day", "last_day", F.array_join("cells", ",").alias("cells"), F.array_join("days", ",").alias("days"), scores.alias("zscores"))
+
+
+BURST_GROUPS = sql(
+    CALLS, Z,
+    select="""SELECT list_min(ds)::INTEGER AS first_day, list_max(ds)::INTEGER AS last_day, cells, array_to_string(ds, ',') AS days, zscores FROM (
+  SELECT DISTINCT list_sort(list(DISTINCT x.day)) AS ds, array_to_string(list_sort(list(DISTINCT x.cell)), ',') AS cells, string_agg(DISTINCT x.cell || ':' || x.day || '=' || x.zscore::DECIMAL(9, 2), ';' ORDER BY x.cell || ':' || x.day || '=' || x.zscore::DECIMAL(9, 2)) AS zscores
+  FROM (SELECT DISTINCT day FROM b) a JOIN b x ON abs(x.day - a.day) <= 7 GROUP BY a.day HAVING count(DISTINCT x.cell) >= 2)""",
+)
+
+
 def nearest(spark: SparkSession, d: str) -> DataFrame:
     return bursts.nearest_bursts(call_bursts(spark, d), (5, 12, 20, 29))
 
@@ -136,11 +169,6 @@ GROUP BY place HAVING count(DISTINCT id) >= 3 AND count(DISTINCT cell) >= 2""",
 
 
 def pair_explain(spark: SparkSession, d: str) -> DataFrame:
-    """Ties of pairs, the lowest evidence left out as in the SQL; for all of them see pair_explain_all()."""
-    return pair_explain_all(spark, d).where("evidence_points >= 4")
-
-
-def pair_explain_all(spark: SparkSession, d: str) -> DataFrame:
     """Ties of all pairs."""
     t = pairs.explain(calls(spark, d), txns(spark, d))
     return t.select("p", "q", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("txns", F.lit(0)).alias("txns"), "evidence_points", "relationship_strength")
@@ -148,11 +176,11 @@ def pair_explain_all(spark: SparkSession, d: str) -> DataFrame:
 
 PAIR_EXPLAIN = sql(
     CALLS, TXNS,
-    select="""SELECT p, q, calls, txns, pts AS evidence_points, CASE WHEN pts >= 8 THEN 'Direct Coordinated Operational Link (Critical)' ELSE 'Strong Financial / Communication Tie (High)' END AS relationship_strength FROM (
+    select="""SELECT p, q, calls, txns, pts AS evidence_points, CASE WHEN pts >= 8 THEN 'Direct Coordinated Operational Link (Critical)' WHEN pts >= 4 THEN 'Strong Financial / Communication Tie (High)' WHEN pts >= 2 THEN 'Corroborated Association (Moderate)' ELSE 'Indirect or Low-Frequency Link' END AS relationship_strength FROM (
   SELECT p, q, sum(c)::BIGINT AS calls, sum(t)::BIGINT AS txns, CAST(CASE WHEN sum(c) > 0 THEN least(4, sum(c) // 5 + 1) ELSE 0 END + CASE WHEN sum(t) > 0 THEN least(4, 2 * sum(t)) ELSE 0 END + 2 AS INTEGER) AS pts FROM (
     SELECT least(caller, callee) AS p, greatest(caller, callee) AS q, 1 AS c, 0 AS t FROM calls UNION ALL SELECT least(sender, receiver), greatest(sender, receiver), 0, 1 FROM txns WHERE sender <> receiver
   ) GROUP BY p, q
-) WHERE pts >= 4""",
+)""",
 )
 
 
@@ -194,7 +222,8 @@ QUERIES = {
     "burst_daily_counts": (daily, sql(PEOPLE, CALLS, TXNS, ACTS, select="SELECT cell, day, n FROM counts")),
     "burst_zscore": (call_bursts, sql(CALLS, Z, select="SELECT * FROM b")),
     "burst_correlated": (burst_correlated, BURST_CORRELATED),
-    "temporal_groups": (temporal_groups, None),
+    "temporal_groups": (temporal_groups, TEMPORAL),
+    "burst_groups": (burst_groups, BURST_GROUPS),
     "burst_nearest": (
         nearest,
         sql(CALLS, Z, select="SELECT t::INTEGER AS target_day, arg_min(cell, (abs(day - t), day, cell)) AS cell, arg_min(day, (abs(day - t), day, cell)) AS day, arg_min(day, (abs(day - t), day, cell)) - t::INTEGER AS \"offset\" FROM (SELECT unnest([5, 12, 20, 29]) AS t) LEFT JOIN b ON abs(day - t) <= 3 GROUP BY t"),
@@ -232,7 +261,6 @@ QUERIES = {
         sql(TXNS, select="SELECT least(sender, receiver) AS p, greatest(sender, receiver) AS q, count(*) AS txns, sum(amount)::BIGINT AS amount, sum(CASE WHEN sender < receiver THEN amount ELSE 0 END)::BIGINT AS amount_p, sum(CASE WHEN sender > receiver THEN amount ELSE 0 END)::BIGINT AS amount_q FROM txns WHERE sender <> receiver GROUP BY ALL"),
     ),
     "pair_call_counts": (lambda s, d: pairs.call_counts(calls(s, d)), sql(CALLS, select="SELECT least(caller, callee) AS p, greatest(caller, callee) AS q, count(*) AS calls FROM calls GROUP BY ALL")),
-    "evidence_points_all": (pair_explain_all, None),
     "evidence_points": (pair_explain, PAIR_EXPLAIN),
     "mutual_neighbours": (
         lambda s, d: pairs.mutual_neighbours(edges(s, d).where("kind = 'CALLED'"), 1, 2),

@@ -1,7 +1,7 @@
 """Domain views over the benchmark tables, as DataFrames and as SQL for the comparison.
 
 people: customers, a market segment being a cell; calls: consecutive events of different users; txns: line items from customers to
-suppliers; call edges: pairs of users with three or more calls.
+suppliers; call edges: all pairs of users with a call.
 """
 
 from __future__ import annotations
@@ -62,14 +62,42 @@ EDGES = (
 )
 
 
-def small_graph(spark: SparkSession, d: str, least: int = 3) -> DataFrame:
-    """src, dst of user pairs with ``least`` calls or more."""
-    c = calls(spark, d).select(F.least("caller", "callee").alias("src"), F.greatest("caller", "callee").alias("dst"))
-    return c.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src", "dst")
+def call_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst of all pairs of users with a call."""
+    return calls(spark, d).select(F.least("caller", "callee").alias("src"), F.greatest("caller", "callee").alias("dst")).distinct()
 
 
-GRAPH = "graph AS (SELECT least(caller, callee) AS src, greatest(caller, callee) AS dst FROM calls GROUP BY ALL HAVING count(*) >= 3)"
+GRAPH = "graph AS (SELECT DISTINCT least(caller, callee) AS src, greatest(caller, callee) AS dst FROM calls)"
 ARCS = "arcs AS (SELECT src AS u, dst AS v FROM graph UNION ALL SELECT dst, src FROM graph)"
+#: The same for all edges.
+EDGE_ARCS = "arcs AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
+LEVELS = 8
+
+
+def levels_sql(arcs: str = "arcs", name: str = "s") -> list[str]:
+    """Tables <name>1 to <name>8: s, t at that distance, and c, the number of shortest paths between them."""
+    parts = [f"{name}0 AS (SELECT u AS s, u AS t, 1::DOUBLE AS c FROM (SELECT DISTINCT u FROM {arcs}))", f"seen_{name}0 AS (SELECT s, t FROM {name}0)"]
+    for k in range(1, LEVELS + 1):
+        parts.append(f"{name}{k} AS (SELECT p.s, a.v AS t, sum(p.c) AS c FROM {name}{k - 1} p JOIN {arcs} a ON a.u = p.t WHERE NOT EXISTS (SELECT 1 FROM seen_{name}{k - 1} x WHERE x.s = p.s AND x.t = a.v) GROUP BY p.s, a.v)")
+        parts.append(f"seen_{name}{k} AS (SELECT s, t FROM seen_{name}{k - 1} UNION ALL SELECT s, t FROM {name}{k})")
+    return parts
+
+
+def between_sql() -> list[str]:
+    """Table between: id, betweenness of all nodes of arcs, over (n - 1)(n - 2)."""
+    parts = [*levels_sql(), f"f{LEVELS} AS (SELECT s, t, c, 0::DOUBLE AS d FROM s{LEVELS})"]
+    for k in range(LEVELS - 1, 0, -1):
+        parts.append(f"f{k} AS (SELECT a.s, a.t, a.c, coalesce(a.c * g.d, 0) AS d FROM s{k} a LEFT JOIN (SELECT b.s, x.u AS t, sum((1 + b.d) / b.c) AS d FROM f{k + 1} b JOIN arcs x ON x.v = b.t GROUP BY b.s, x.u) g ON g.s = a.s AND g.t = a.t)")
+    every = " UNION ALL ".join(f"SELECT t, d FROM f{k}" for k in range(1, LEVELS + 1))
+    return [*parts, "nn AS (SELECT count(DISTINCT u) AS n FROM arcs)", f"between AS (SELECT u AS id, coalesce(any_value(b.d), 0) / any_value((n - 1) * (n - 2)) AS betweenness FROM arcs CROSS JOIN nn LEFT JOIN (SELECT t, sum(d) AS d FROM ({every}) GROUP BY t) b ON b.t = u GROUP BY u)"]
+
+
+def pagerank_sql(rounds: int) -> list[str]:
+    """Tables r0 to r<rounds>: id, rank on arcs."""
+    parts = ["deg AS (SELECT u AS id, count(*) AS d, count(*) OVER () AS n FROM arcs GROUP BY u)", "r0 AS (SELECT id, d, n, 1.0::DOUBLE / n AS rank FROM deg)"]
+    for k in range(rounds):
+        parts.append(f"r{k + 1} AS (SELECT r.id, r.d, r.n, 0.15::DOUBLE / r.n + 0.85 * g.got AS rank FROM r{k} r JOIN (SELECT v AS id, sum(rank / d) AS got FROM arcs JOIN r{k} ON id = u GROUP BY v) g ON g.id = r.id)")
+    return parts
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
@@ -85,19 +113,36 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 CASES = "cases AS (SELECT concat_ws('-', conv_id, turn) AS doc_id, text, role AS source_type, CAST(turn AS INTEGER) AS day FROM conversations)"
 
 
+#: Names of the people in incidents.
+FIRST_NAMES = ("Ravi", "Sunil", "Meena", "Farid", "Anita", "Gopal", "Lalita", "Imran")
+LAST_NAMES = ("Kumar", "More", "Shaikh", "Patil", "Rao", "Nair", "Das")
+ACTS = ("was seen meeting", "transferred cash to", "works for", "owns a flat with", "had a possible link to", "watched")
+
+
 def incidents(spark: SparkSession, d: str) -> DataFrame:
-    """Case texts with identifiers and sentences written from order lines."""
-    o = table(spark, d, "orders")
+    """Case texts with identifiers, names and sentences written from orders."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
     pad = lambda c, n: F.lpad((F.col(c) % 10**n).cast("string"), n, "0")
-    verb = F.element_at(F.array(*map(F.lit, ("was seen meeting", "transferred cash to", "works for", "owns a flat with", "had a possible link to", "watched"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    text = F.concat(F.lit("Ravi Kumar "), verb, F.lit(" Sunil More near "), F.when(F.col("o_custkey") % 2 == 0, "Station Road").otherwise("Eastgate"), F.lit(". Call from 70000"), pad("o_custkey", 5), F.lit(" to account AC0009"), pad("o_orderkey", 6), F.lit(".\nVehicle MH-DEMO-"), pad("o_custkey", 4), F.lit(" left."))
-    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"), F.lit("fir").alias("source_type"), (F.col("o_orderkey") % 90 + 1).cast("int").alias("day"))
+    pick = lambda some, n: F.element_at(F.array(*map(F.lit, some)), (n % len(some) + 1).cast("int"))
+    name = lambda n: F.concat(pick(FIRST_NAMES, n), F.lit(" "), pick(LAST_NAMES, n))
+    text = F.concat(name(k), F.lit(" "), pick(ACTS, k), F.lit(" "), name(F.col("o_custkey")), F.lit(" near "), F.when(F.col("o_custkey") % 2 == 0, "Station Road").otherwise("Eastgate"), F.lit(". Call from 70000"), pad("o_custkey", 5), F.lit(" to account AC0009"), pad("o_orderkey", 6), F.lit(".\nVehicle MH-DEMO-"), pad("o_custkey", 4), F.lit(" left to Meena."))
+    return o.select(k.alias("doc_id"), text.alias("text"), F.lit("fir").alias("source_type"), (k % 90 + 1).cast("int").alias("day"))
+
+
+def _name_sql(n: str) -> str:
+    pick = lambda some: f"{list(some)}[{n} % {len(some)} + 1]"
+    return f"{pick(FIRST_NAMES)} || ' ' || {pick(LAST_NAMES)}"
 
 
 INCIDENTS = (
-    "incidents AS (SELECT o_orderkey AS doc_id, 'Ravi Kumar ' || ['was seen meeting', 'transferred cash to', 'works for', 'owns a flat with', 'had a possible link to', 'watched'][o_orderkey % 6 + 1] || ' Sunil More near ' || "
+    f"incidents AS (SELECT o_orderkey AS doc_id, {_name_sql('o_orderkey')} || ' ' || {list(ACTS)}[o_orderkey % {len(ACTS)} + 1] || ' ' || {_name_sql('o_custkey')} || ' near ' || "
     "CASE WHEN o_custkey % 2 = 0 THEN 'Station Road' ELSE 'Eastgate' END || '. Call from 70000' || lpad((o_custkey % 100000)::VARCHAR, 5, '0') || ' to account AC0009' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || "
-    "'.' || chr(10) || 'Vehicle MH-DEMO-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' left.' AS text, 'fir' AS source_type, CAST(o_orderkey % 90 + 1 AS INTEGER) AS day FROM orders)"
+    "'.' || chr(10) || 'Vehicle MH-DEMO-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' left to Meena.' AS text, 'fir' AS source_type, CAST(o_orderkey % 90 + 1 AS INTEGER) AS day FROM orders)"
+)
+#: Sentences of incidents with their runs of capitalised words, by the patterns of extraction.
+SENTENCES = (
+    r"sentences AS (SELECT doc_id, seq, sentence, regexp_extract_all(sentence, '\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,2}\b') AS caps, regexp_extract_all(sentence, '\b[A-Z][a-z]{2,}\b') AS singles, replace(substr(trim(sentence), 1, 120), chr(10), ' ') AS evidence "
+    r"FROM (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS seq FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\s+') AS ss FROM incidents)))"
 )
 
 

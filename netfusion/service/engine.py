@@ -182,13 +182,11 @@ class Case:
 
     def ledger(self, officer: str = "Investigating Officer") -> tuple[DataFrame, DataFrame]:
         """Leaves (block, seq, leaf) and chained blocks, a dataset being a block."""
-        from pyspark.sql import Window
-
         leaves = None
         for name in sorted(self.datasets):
             rows = ledger.record_hashes(self.datasets[name]).select(F.lit(name).alias("block"), "leaf")
             leaves = rows if leaves is None else leaves.unionByName(rows)
-        leaves = cut(leaves.withColumn("seq", F.row_number().over(Window.partitionBy("block").orderBy("leaf")) - 1))
+        leaves = cut(ledger.numbered_leaves(leaves, "leaf"))
         roots = {r.block: r.root for r in ledger.merkle_roots(leaves).collect()}  # a row for each dataset
         blocks = ledger.chain([(n, roots.get(n, ledger.EMPTY_ROOT)) for n in sorted(self.datasets)], officer)
         return leaves, self.spark.createDataFrame(blocks)

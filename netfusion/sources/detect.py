@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 from netfusion.functions.similarity import indel_ratio
-from netfusion.sources.schemas import COLUMNS, KEYWORDS, REQUIRED, aliases
+from netfusion.sources.schemas import KEYWORDS, REQUIRED, TURN, aliases, targets
 
 #: Suffixes and formats, encodings in the order of trial, delimiters.
 FORMATS = {".csv": "csv", ".xlsx": "xlsx", ".xls": "xlsx", ".json": "json", ".txt": "txt", ".log": "txt", ".tsv": "txt", ".pdf": "pdf", ".docx": "docx"}
@@ -88,14 +88,14 @@ def detect_type(columns: Sequence[str]) -> tuple[str, float]:
 def suggest_mapping(columns: Sequence[str], dataset: str) -> dict[str, str | None]:
     """For each target column the source column that fits: by name or alias, then by alias without signs, then by similarity of 85 or
     more. Phones and accounts choose first; a source column is used once."""
-    targets = COLUMNS.get(dataset, [])
-    rank = lambda t: 0 if t.endswith(("phone", "account")) else 1
+    wanted = targets(dataset)
+    rank = lambda t: TURN.get(t, 5)
     bare = lambda s: re.sub(r"[^a-z0-9]", "", s.lower())
     free = {c: clean_header(c) for c in columns}
-    found: dict[str, str | None] = dict.fromkeys(targets)
+    found: dict[str, str | None] = dict.fromkeys(wanted)
 
     def settle(fits) -> None:
-        for t in sorted(targets, key=rank):
+        for t in sorted(wanted, key=rank):
             if found[t] is None:
                 for a in aliases(t):
                     hit = next((c for c, clean in free.items() if fits(clean, a)), None)
@@ -104,7 +104,7 @@ def suggest_mapping(columns: Sequence[str], dataset: str) -> dict[str, str | Non
                         del free[hit]
                         break
 
-    for t in sorted(targets, key=rank):  # names that are exact come before any alias
+    for t in sorted(wanted, key=rank):  # names that are exact come before any alias
         hit = next((c for c, clean in free.items() if clean == t), None)
         if hit is not None:
             found[t] = hit
@@ -123,7 +123,7 @@ def validate_mapping(mapping: dict[str, str | None], dataset: str) -> tuple[bool
 
 def review_mapping(columns: Sequence[str], dataset: str, changes: dict[str, str | None]) -> dict[str, str | None]:
     """The suggestion with a user's changes; all or none are taken, and unknown columns raise."""
-    unknown = {c for c in changes.values() if c} - {*columns} | {t for t in changes if t not in COLUMNS.get(dataset, [])}
+    unknown = {c for c in changes.values() if c} - {*columns} | {t for t in changes if t not in targets(dataset)}
     if unknown:
         raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
     return suggest_mapping(columns, dataset) | changes

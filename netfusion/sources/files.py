@@ -7,13 +7,14 @@ import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netfusion.session import cut
+from netfusion.operators.ranking import number_rows
 from netfusion.sources.detect import decode, detect_format, detect_type, is_table, sniff_delimiter, suggest_mapping
 from netfusion.sources.schemas import COLUMNS, FLAG, INTEGERS, LONGS
 
@@ -43,24 +44,11 @@ def read_fixed_csv(spark: SparkSession, path: str, dataset: str) -> tuple[DataFr
     rows = raw.select(*typed)
     if "day" not in want:
         return rows, quarantine(spark)
-    numbered = with_row_numbers(rows)
+    numbered = number_rows(rows)
     bad = numbered.where("day IS NULL").select((F.col("row_no") + 1).cast("int").alias("row_no"), F.lit(name).alias("source_file"), F.lit("Missing day").alias("reason"), F.lit(0.3).alias("confidence"))
     return rows.withColumn("_quarantine_confidence", F.when(F.col("day").isNull(), 0.3)), bad
 
 
-def with_row_numbers(rows: DataFrame) -> DataFrame:
-    """row_no from 1 in file order: partitions are counted first, then each numbers its own rows. The rows are checkpointed in between, as
-    another run may cut partitions differently."""
-    tagged = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
-    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r.p: r.n for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    start, starts = 0, {}
-    for p in sorted(counts):
-        starts[p], start = start, start + counts[p]
-    base = F.create_map(*(F.lit(x) for kv in (starts or {0: 0}).items() for x in kv))[part]
-    return tagged.withColumn("row_no", base + inside + 1).drop("_id")
-
-
 def read_people(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The directory's network and noise people as one table with is_noise and ordinal."""
     want = COLUMNS["people_directory"]
@@ -116,8 +104,9 @@ ACCUSED = r"(?i:accused)\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
 def document_rows(texts: DataFrame) -> DataFrame:
     """A row for each paragraph of texts (source, text): fir_id, date, accused_name, narrative (4000 characters at most). Without blank lines
     the lines over 40 characters are taken, and without those the first 2000 characters."""
-    t = texts.select("source", F.trim(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
-    full = lambda parts: F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    bare = lambda c: F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
+    t = texts.select("source", bare(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
+    full = lambda parts: F.filter(F.transform(parts, bare), lambda p: p != "")
     by_blank = full(F.split("text", r"\n\s*\n"))
     by_line = F.filter(full(F.split("text", "\n")), lambda p: F.length(p) > 40)
     parts = F.when(F.size(by_blank) > 1, by_blank).when(F.size(by_line) > 0, by_line).otherwise(F.array(F.substring("text", 1, 2000)))
@@ -135,6 +124,35 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(x for p in root.iter(f"{w}p") if (x := "".join(t.text or "" for t in p.iter(f"{w}t"))).strip())
 
 
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|Td|TD|Tm|Tj|TJ|ET|['\"]", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_text(data: bytes) -> str:
+    """The text that a PDF's pages show: strings of their content streams (plain or deflated) in order, a line for each move to another
+    one. Fonts with encodings of their own come out as their bytes; a file without text operators, such as a scan, gives ''."""
+    lines: list[bytes] = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.S):
+        content = m[1]
+        try:
+            content = zlib.decompress(content)
+        except zlib.error:
+            pass
+        for block in re.findall(rb"BT\b(.*?\bET)\b", content, re.S):
+            line = b""
+            for token in _PDF_TOKEN.findall(block):
+                if token[:1] == b"(":
+                    octal = re.sub(rb"\\([0-7]{1,3})", lambda x: bytes([int(x[1], 8) & 255]), token[1:-1])
+                    line += re.sub(rb"\\(.)", lambda x: _PDF_ESCAPES.get(x[1], x[1]), octal, flags=re.S)
+                elif token[:1] == b"<":
+                    digits = re.sub(rb"\s", b"", token[1:-1])
+                    line += bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+                elif token in (b"T*", b"Td", b"TD", b"Tm", b"ET", b"'", b'"') and line:
+                    lines.append(line)
+                    line = b""
+    return "\n".join(x.decode("latin-1") for x in lines if x.strip())
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple[str, list[str]]]:
     """(sheet, cells) of every row of a workbook, cells as strings, in order."""
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -176,7 +194,7 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Paragraph rows of DOCX or text documents under a path, decoded where they lie; PDFs, which no library here reads, are quarantined."""
+    """Paragraph rows of DOCX, PDF or text documents under a path, decoded where they lie; a PDF without text (a scan) is quarantined."""
     import pandas as pd
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,txt,log,pdf}").load(path).select("path", "content")
@@ -186,7 +204,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
             texts = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 kind = detect_format(name)
-                texts.append(None if kind == "pdf" else docx_text(bytes(content)) if kind == "docx" else decode(bytes(content)))
+                texts.append(pdf_text(bytes(content)) or None if kind == "pdf" else docx_text(bytes(content)) if kind == "docx" else decode(bytes(content)))
             yield pd.DataFrame({"source": [os.path.basename(p) for p in batch["path"]], "text": texts})
 
     texts = files.mapInPandas(run, "source string, text string")

@@ -8,7 +8,7 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netfusion.sources.schemas import COLUMNS, REQUIRED
@@ -36,6 +36,20 @@ def read_graph(spark, path: str, case_id: str) -> tuple[DataFrame, DataFrame]:
     return only("nodes"), only("edges")
 
 
+def clean(spark: SparkSession, *paths: str) -> int:
+    """Removes what earlier runs wrote, through the file system that Spark writes to; how many of the paths there were."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
+
+
+def delete_case(spark: SparkSession, path: str, case_id: str) -> None:
+    """A case's partitions; other cases stay."""
+    clean(spark, *(f"{path}/{name}/case_id={case_id}" for name in ("nodes", "edges")))
+
+
 def write_datasets(datasets: dict[str, DataFrame], path: str) -> None:
     for name, df in datasets.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
