@@ -93,8 +93,9 @@ def build(grams_of: dict[str, np.ndarray], slots: int = SLOTS) -> Filters:
     return Filters(languages, table, np.minimum(fill**HASHES, 0.999))
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) -> Filters:
-    """Filters from text and lang of documents (rows with a null text or lang teach nothing); SAMPLE_DOCS bounds the rows of a language."""
+def typical_grams(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) -> dict[str, np.ndarray]:
+    """Each language's trigrams, from text and lang of documents (rows with a null text or lang teach nothing); SAMPLE_DOCS bounds the
+    rows of a language."""
     import pyarrow as pa
 
     known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
@@ -119,7 +120,12 @@ def fit(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) ->
 
     top = typical.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("p"), "gram"))).where(F.col("k") <= grams)
     rows = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most ``grams`` numbers for each language
-    return build({r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in rows})
+    return {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in rows}
+
+
+def fit(documents: DataFrame, sample: int = SAMPLE_DOCS, grams: int = GRAMS) -> Filters:
+    """The filters of typical_grams()."""
+    return build(typical_grams(documents, sample, grams))
 
 
 def predict(documents: DataFrame, filters: Filters) -> DataFrame:

@@ -51,3 +51,32 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"{chr(0x4E00 + i) * 3} " * 3, f"l{i}") for i in range(4200)]
     f = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert f.languages == sorted(r[2] for r in rows)
+
+
+def exact(grams_of, text):
+    """The language with the most trigrams of the text (repeats count) in its set, the first by name on ties; no filter, no correction."""
+    own = langid.trigrams(text or "").tolist()
+    sets = {name: {*g.tolist()} for name, g in grams_of.items()}
+    counts = {name: sum(g in s for g in own) for name, s in sets.items()}
+    return (max(sorted(counts), key=counts.get), counts) if own else ("und", counts)
+
+
+def test_against_exact_gram_sets(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    grams_of = langid.typical_grams(df)
+    assert len(grams_of) > 2 and all(len(g) <= langid.GRAMS for g in grams_of.values())
+    rows = langid.predict(df, langid.build(grams_of)).join(df.select("doc_id", "text"), "doc_id").collect()
+    clear = 0
+    for r in rows:
+        name, counts = exact(grams_of, r.text)
+        first, second = (sorted(counts.values(), reverse=True) + [0])[:2]
+        if name == "und" or first - second > 2 + 0.02 * len(r.text or ""):  # chance decides between near ones
+            clear += 1
+            assert r.lang_pred == name
+            assert name == "und" or abs(r.score - first / sum(counts.values())) < 0.05
+    assert clear > 0.9 * len(rows)
+
+
+def test_ties_go_to_the_first_name():
+    grams = langid.trigrams("some words that two languages share")
+    assert langid.build({"b": grams, "a": grams, "c": grams[:3]}).predict("some words that two") [0] == "a"

@@ -52,3 +52,31 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.classify(docs, none).collect()] == [0.5]
     assert quality.classify(docs.limit(0), none).collect() == []
+
+
+def brute_features(text):
+    import re
+
+    x = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", x)
+    lines = [y for y in x.split("\n") if y != ""]
+    n = lambda p: len(re.findall(p, x))
+    w, c, k = max(len(words), 1), max(len(x), 1), max(len(lines), 1)
+    return (len(words), len(x), len(x) / w, n(r"[#*$%&|<>@~^=+_{}\[\]\\]") / w, n("[A-Z]") / c, n("[0-9]") / c, n("[.?]") / w, n("!") / w, len(words) / k, len({*lines}) / k, len({*words}) / w)
+
+
+def test_features_and_compiled_score_against_brute_force(spark):
+    """The statistics in Python, and the fitted rules on them, give what the column expressions give, for every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\n "), (-4, "é\U0001f600 A!\n\nA!"), (-5, "word " * 50_000)], docs.schema)
+    docs = docs.unionByName(odd)
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert model.rules
+    rows = quality.features(docs.withColumn("copy", docs.text), "doc_id", "copy").withColumn("_s", model.column()).collect()
+    for r in rows:
+        x = brute_features(r["copy"])
+        assert np.allclose(x, [r[f] for f in quality.FEATURES], rtol=1e-12), r.doc_id
+        total = model.bias + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[f] > at) == above for f, above, at in rule))
+        assert abs(r["_s"] - 1 / (1 + np.exp(-total))) < 1e-12
+    scored = {r.doc_id: r for r in quality.classify(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    assert len(scored) == len(rows)
