@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netfusion.functions.text import risk_level
 from netfusion.operators import bursts, extraction, finance, geo, graph, ingest, ledger, pairs, resolution, signals
 from netfusion.service import ask
 from netfusion.session import cut
@@ -88,12 +89,29 @@ class Case:
         return cut(out.select("id", "kind", "cell", four("betweenness"), F.coalesce("degree", F.lit(0)).alias("degree"), four("degree_centrality"), F.round(F.coalesce("rank", F.lit(0.0)), 4).alias("pagerank")))
 
     def stats(self) -> DataFrame:
+        """name, n: rows of the datasets, nodes and edges, edges of each kind, relations with supporting text."""
         rows = [(k, v.count()) for k, v in self.datasets.items()]
-        return self.spark.createDataFrame([*rows, ("nodes", self.graph[0].count()), ("edges", self.graph[1].count())], "name string, n long")
+        counts = self.spark.createDataFrame([*rows, ("nodes", self.graph[0].count()), ("edges", self.graph[1].count())], "name string, n long")
+        kinds = graph.kind_histogram(self.graph[1]).select(F.concat(F.lit("edges "), "kind").alias("name"), "n")
+        said = extraction.provenance(self.relations).agg(F.coalesce(F.sum("with_text"), F.lit(0)).alias("n")).select(F.lit("relations with text").alias("name"), "n")
+        return counts.unionByName(kinds).unionByName(said)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return cut(extraction.relations(self.texts, known=self.people.select("name")))
+
+    def entities(self) -> tuple[DataFrame, DataFrame]:
+        """Structured entities: those that stand and those to be resolved."""
+        d = self.datasets
+        return extraction.split_confidence(extraction.structured_entities(self.people, d["cdrs"], d["transactions"], d["criminal_history"], d["firs"]))
 
     def bursts(self) -> DataFrame:
+        return self._bursts
+
+    @cached_property
+    def _bursts(self) -> DataFrame:
         counts = bursts.daily_counts(self.calls, self.txns, self.people)
-        return bursts.correlated(bursts.bursts(bursts.zscores(counts, 1, self.last_day, cells=self.cells)))
+        return cut(bursts.correlated(bursts.bursts(bursts.zscores(counts, 1, self.last_day, cells=self.cells))))
 
     def temporal(self) -> DataFrame:
         return bursts.temporal_groups(self.bursts())
@@ -102,7 +120,11 @@ class Case:
         return finance.structuring(self.txns)
 
     def bridges(self) -> DataFrame:
-        return graph.bridges(self.centrality.select("id", "cell", "betweenness"), graph.cross_cell_degree(self.graph[1], self.graph[0]))
+        return self._bridges
+
+    @cached_property
+    def _bridges(self) -> DataFrame:
+        return cut(graph.bridges(self.centrality.select("id", "cell", "betweenness"), graph.cross_cell_degree(self.graph[1], self.graph[0])))
 
     def communities(self) -> DataFrame:
         ids = self.people.select("id")
@@ -116,17 +138,23 @@ class Case:
         return signals.unified(fin, comm, net)
 
     def cross_case(self) -> DataFrame:
+        return self._cross_case
+
+    @cached_property
+    def _cross_case(self) -> DataFrame:
         d = self.datasets
         place = lambda df, key: df.where("location <> ''").select(F.concat(F.lit("LOC:"), "location").alias("entity"), F.col(key).alias("case_id"), F.col("day").cast("int").alias("day"))
         m = self.mentions.where(F.col("source_type").isin("fir", "surveillance")).select("entity", "case_id", "day")
-        return signals.cross_case(m.unionByName(place(d["firs"], "fir_id")).unionByName(place(d["surveillance_reports"], "report_id")), self.people)
+        return cut(signals.cross_case(m.unionByName(place(d["firs"], "fir_id")).unionByName(place(d["surveillance_reports"], "report_id")), self.people))
 
     def leads(self, limit: int | None = None, priority: str | None = None) -> DataFrame:
+        return self._leads if limit is None else signals.top_leads(self._leads, limit, priority)
+
+    @cached_property
+    def _leads(self) -> DataFrame:
         fin = finance.financial_anomalies(self.structuring(), finance.large_transfers(self.txns))
-        found = self.bursts()
-        comm = signals.communication_anomalies(found, self.people.where("NOT is_noise"))
-        out = signals.lead_scores(self.people, self.bridges(), self.centrality, fin, comm, found.where("correlated").select("cell"), graph.evidence_quality(self.graph[1]), self.cross_case())
-        return out if limit is None else signals.top_leads(out, limit, priority)
+        comm = signals.communication_anomalies(self._bursts, self.people.where("NOT is_noise"))
+        return cut(signals.lead_scores(self.people, self._bridges, self.centrality, fin, comm, self._bursts.where("correlated").select("cell"), graph.evidence_quality(self.graph[1]), self._cross_case))
 
     def snapshot(self, day: int) -> tuple[DataFrame, DataFrame]:
         edges = graph.snapshot(self.graph[1], day)
@@ -139,8 +167,9 @@ class Case:
     def schematic(self) -> DataFrame:
         return geo.tower_schematic(self.calls, self.people, self.cells)
 
-    def trajectories(self, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
-        return geo.trajectories(self.calls, first_day, last_day)
+    def trajectories(self, first_day: int | None = None, last_day: int | None = None, person: str | None = None) -> DataFrame:
+        who = None if person is None else self.spark.createDataFrame([(person,)], "id string")
+        return geo.trajectories(self.calls, first_day, last_day, who)
 
     def hotspots(self) -> DataFrame:
         calls = self.calls.select(F.explode(F.array("caller", "callee")).alias("id"), F.col("tower").alias("place"), "day", F.lit(1).alias("weight"), F.col("call_id").alias("event"))
@@ -149,10 +178,14 @@ class Case:
         return geo.hotspots(calls.unionByName(sightings), self.people)
 
     def explain(self, p: str, q: str) -> DataFrame:
+        """What ties two people, each told by id, name or phone (account): only what touches both is looked at."""
+        both = self.people.where(F.col("id").isin(p, q))
+        calls = pairs.by_identity(self.datasets["cdrs"], both).select("call_id", "caller", "callee", F.col("day").cast("int").alias("day"), F.col("duration_sec").cast("long").alias("duration"), F.col("cell_tower_location").alias("tower"))
+        t = pairs.by_identity(self.datasets["transactions"], both, ("sender", "receiver"), "account").select("txn_id", "sender", "receiver", F.col("amount_inr").cast("long").alias("amount"))
+        m = self.mentions.where(F.col("entity").isin(p, q)).select(F.col("entity").alias("id"), F.col("case_id").alias("doc_id"), "source_type")
+        e = self.graph[1].where(F.col("src").isin(p, q) | F.col("dst").isin(p, q))
         a, b = sorted((p, q))
-        m = self.mentions.select(F.col("entity").alias("id"), F.col("case_id").alias("doc_id"), "source_type")
-        hit = (F.col("p") == a) & (F.col("q") == b)
-        return pairs.explain(self.calls, self.txns, m).where(hit)
+        return pairs.explain(calls, t, m, e, both).where((F.col("p") == a) & (F.col("q") == b))
 
     def recommendations(self) -> DataFrame:
         firs = self.datasets["firs"].select(F.col("fir_id").alias("case_id"))
@@ -161,20 +194,46 @@ class Case:
     def what_if(self, node: str) -> DataFrame:
         return graph.what_if(self.graph[1], self.graph[0], node)
 
+    def risks(self) -> DataFrame:
+        """id, risk_level of people with priors."""
+        h = self.datasets["criminal_history"]
+        return h.groupBy(F.col("person_id").alias("id")).agg(F.concat_ws(" ", F.collect_list("prior_offences")).alias("x")).select("id", risk_level(F.col("x")).alias("risk_level"))
+
     def takedown(self, targets: list[str]) -> DataFrame:
         ids = self.spark.createDataFrame([(t,) for t in targets], "id string")
-        accounts = self.people.join(ids, "id", "left_semi").select("id")
-        return graph.takedown(self.graph[1], self.graph[0], ids).join(finance.frozen_transactions(self.txns, accounts))
+        return signals.simulate(self.graph[1], self.graph[0], self.people, self.txns, ids, self.risks())
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        """Targets of the four removals."""
+        c = self.centrality.where("kind = 'Person'")
+        return cut(signals.packages(self.people, c.select("id", F.col("pagerank").alias("rank")), c.select("id", "betweenness"), finance.account_volume(self.txns)))
 
     def strategies(self) -> DataFrame:
-        c = self.centrality.where("kind = 'Person'").select("id", "betweenness")
-        return signals.strategies(c, finance.account_volume(self.txns), self.bridges(), self.people.select("id", "role"))
+        return signals.simulated_packages(self.graph[1], self.graph[0], self.people, self.txns, self.packages, self.risks())
+
+    def operation_order(self, targets: str | list[str], codename: str = "OPERATION THUNDERCLAP") -> DataFrame:
+        """The order for a package, by its name, or for given targets."""
+        ids = [r.id for r in self.packages.where(F.col("strategy") == targets).collect()] if isinstance(targets, str) else targets  # at most six
+        return signals.operation_order(self.takedown(ids), codename)
 
     def why(self, node: str) -> DataFrame:
-        """A node's centrality, bridge rank, strongest anomaly, lead score and evidence quality in one row."""
+        """A node's facts in one row: centrality, bridge rank, anomalies, lead score, evidence quality, cases, and the signals they add up to."""
         only = lambda df, c="id": df.where(F.col(c) == node)
         a = only(self.anomalies(), "entity_id").agg(F.max("score").alias("anomaly_score"), F.array_sort(F.collect_set("anomaly_type")).alias("anomalies"))
-        return only(self.centrality).join(only(self.bridges()).select("id", "rank", "bridge_score"), "id", "left").join(only(self.leads()).select("id", "lead_score", "priority"), "id", "left").join(only(graph.evidence_quality(self.graph[1])), "id", "left").join(a)
+        kinds = only(graph.edge_kind_counts(self.graph[1])).groupBy("id").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(name) for k, name in (("CALLED", "called"), ("TRANSACTED", "transacted"))))
+        facts = only(self.centrality).join(only(self.bridges()).select("id", "rank", "bridge_score", "flagged"), "id", "left").join(only(self.leads()).select("id", "lead_score", "priority"), "id", "left")
+        facts = facts.join(only(graph.evidence_quality(self.graph[1])), "id", "left").join(kinds, "id", "left").join(only(self.cross_case(), "entity").select(F.col("entity").alias("id"), "n_cases"), "id", "left")
+        return signals.top_signals(facts.join(a))
+
+    def sources(self, node: str) -> DataFrame:
+        """The records and texts that a node is known from."""
+        name = self.people.where(F.col("id") == node).select("name").first()
+        return signals.sources(self.graph[1], self.texts, node, name[0] if name else "")
+
+    def certificate(self, case_name: str, issued: str, officer: str = "Investigating Officer", station: str = "") -> DataFrame:
+        leaves, blocks = self.ledger(officer)
+        return ledger.certificate(blocks, leaves, case_name, issued, officer, station)
 
     def ask(self, text: str) -> DataFrame:
         t = self.txns.select(F.col("txn_id").alias("source"), "amount")

@@ -83,7 +83,18 @@ def test_case_answers(case):
     assert case.explain("B2", "A1").first().fir == 3
     assert case.recommendations().count() > 0 and case.strategies().count() > 0
     assert case.takedown(["C2"]).first().n_frozen == 14 and 0 <= case.what_if("C2").first().impact <= 100
-    assert case.why("C2").first().anomaly_score == 1.0
+    assert {r.strategy for r in case.strategies().collect()} == {"sync", "bridge", "decap", "mule"}
+    order = case.operation_order(["A1", "C2"]).first()
+    assert order.order_id == "OPORD-NCRB-OPERATION_THUNDERCLAP-2026" and order.armed == 2 and order.recovery == "Rs. 708,000"
+    assert {r.id: r.risk_level for r in case.risks().collect()} == {"A1": "HIGH"}
+    why = case.why("C2").first()
+    assert why.anomaly_score == 1.0 and any(x.startswith("Lead score") for x in why.top_signals)
+    known = case.sources("A1").collect()
+    assert len(known) == 8 and {r.kind for r in known} >= {"OWNS_PHONE", "OWNED_BY"}
+    sure, rest = case.entities()
+    assert sure.where("confidence < 0.8").isEmpty() and {r.entity_type for r in rest.collect()} == {"Location", "Organization"}
+    paper = case.certificate("Case", "now").first()
+    assert paper.certificate_id == f"CERT-BSA63-{paper.master_root[:12].upper()}" and paper.n_blocks == 8 and paper.chain_valid
     assert case.search("ravi").count() == 3 and case.ask("Cell of A1?").count() == 1 and case.ask("Who connects cells").count() > 0
     assert case.stats().where("name = 'cdrs'").first().n == calls and case.communities().count() > 0
 
@@ -95,3 +106,38 @@ def test_case_ledger(case):
     assert blocks.count() == 8 and ledger.chain_valid(blocks).first().valid
     some = leaves.first().leaf
     assert ledger.verify(leaves, blocks, some).count() >= 1
+
+
+def test_http(spark, case, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from netfusion.service import http
+
+    book = accounts.Accounts(b"key")
+    book.register("sup", "longenough", "supervisor", "active")
+    book.register("ana", "longenough", "analyst", "active")
+    api = http.Api({"": case, "c1": case}, book, str(tmp_path / "audit"))
+    sup, ana = (api.answer("POST", "/login", {"name": n, "password": "longenough"})[1]["token"] for n in ("sup", "ana"))
+    assert api.answer("GET", "/health") == (200, {"status": "ok", "cases": 2}) and api.answer("GET", "/stats")[0] == 403
+    assert [r["receiver"] for r in api.answer("GET", "/structuring", token=ana)[1]] == ["C2"]
+    assert api.answer("GET", "/graph?day=20", token=ana)[0] == 403 and len(api.answer("GET", "/investigations/c1/graph?day=20", token=sup)[1]["edges"]) > 5
+    status, why = api.answer("GET", "/why/C2", token=ana)
+    assert status == 200 and why["facts"][0]["id"] == "C2" and len(why["sources"]) == 8
+    assert api.answer("POST", "/takedown/simulate", {"targets": ["C2"]}, ana)[1][0]["n_frozen"] == 14
+    assert api.answer("GET", "/connections/explain?src=B2&dst=A1", token=ana)[1][0]["fir"] == 3
+    assert [api.answer("GET", p, token=ana)[0] for p in ("/investigations/none/stats", "/nothing", "/people/search", "/geospatial/trajectories?from=x")] == [404, 404, 400, 400]
+    assert api.answer("POST", "/register", {"name": "new", "password": "longenough"})[1]["state"] == "pending"
+    assert api.answer("PATCH", "/admin/users/new", {"state": "active"}, ana)[0] == 403 and api.answer("PATCH", "/admin/users/new", {"state": "active"}, sup)[1]["state"] == "active"
+    assert {r["query"] for r in api.answer("GET", "/admin/audit-trail?contains=why", token=sup)[1]} == {"GET /why/C2"}
+    assert api.answer("DELETE", "/investigations/c1", token=sup)[0] == 200 and api.answer("GET", "/investigations", token=sup)[1] == []
+    server = http.serve(api, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_address[1]}"
+        assert urllib.request.urlopen(f"{base}/templates/firs.csv").read().decode().startswith("fir_id,date")
+        asked = urllib.request.Request(f"{base}/people/search?q=ravi", headers={"Authorization": f"Bearer {ana}"})
+        assert len(json.loads(urllib.request.urlopen(asked).read())) == 3
+    finally:
+        server.shutdown()

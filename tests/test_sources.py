@@ -82,6 +82,41 @@ def test_flexible_tables_json_documents(spark, tmp_path):
     assert [r.source_file for r in bad.collect()] == ["c.pdf"]
 
 
+def test_pdf_text():
+    import zlib
+
+    page = rb"BT /F1 9 Tf (One \(two\) \101) Tj 0 -12 Td [(sp) -250 (lit)] TJ T* <48 69> Tj ET"
+    plain = b"%PDF-1.4\n1 0 obj <<>>\nstream\n" + page + b"\nendstream\n"
+    packed = b"2 0 obj <</Filter /FlateDecode>>\nstream\r\n" + zlib.compress(b"q BT (second page) Tj ET Q") + b"\r\nendstream"
+    assert files.pdf_text(plain + packed) == "One (two) A\nsplit\nHi\nsecond page" and files.pdf_text(b"%PDF") == ""
+
+
+@pytest.mark.parametrize(
+    ("dataset", "target", "names"),
+    [
+        ("cdrs", "caller_phone", "Caller Source_Phone A_Num calling-no originating_no A_Number source_msisdn calling_party from_number caller_mobile phone1 msisdn source"),
+        ("cdrs", "callee_phone", "Receiver to_phone B_Num called_no terminating_no dest_msisdn called_party callee_mobile phone2 destination"),
+        ("cdrs", "cell_tower_location", "tower location tower_location cell_id cell_site tower_id site_id lac_cell CGI tower_address coverage_area"),
+        ("cdrs", "timestamp", "event_time call_time DateTime call_datetime start_time call_date date cdr_date"),
+        ("transactions", "sender_account", "sender_acc from_account payer_account remitter_account debit_acc debit_account source_account from_acc debited_account"),
+        ("transactions", "receiver_account", "receiver_acc to_account payee_account beneficiary_account credit_acc credit_account destination_account to_acc credited_account"),
+        ("transactions", "amount_inr", "amount value sum inr price txn_val txn_value txn_amount debit_inr credit_inr debit_amt credit_amt transfer_amount particulars narration transaction_value rs rupees amt"),
+        ("transactions", "txn_id", "transaction_id id trans_id txn_no ref_no utr reference reference_no transaction_ref"),
+        ("firs", "narrative", "description details text story incident report facts brief_facts fact_summary allegation allegations incident_summary incident_details complaint complaint_details crime_details case_details fir_details summary remarks narration particulars content activity_notes"),
+        ("firs", "fir_id", "case_id id report_id fir_no fir_number case_no case_number crime_no complaint_no"),
+        ("firs", "accused_name", "accused accused_person suspect_name suspect"),
+        ("social_posts", "handle", "username user author_handle author screen_name profile account_handle"),
+        ("criminal_history", "prior_offences", "offences offenses criminal_record history previous_cases past_offences convictions antecedents criminal_history prior_cases cases category"),
+        ("intelligence_reports", "mentioned_entity_ids", "mentioned_entities entities mentioned_ids entity_ids linked_ids"),
+        ("surveillance_reports", "activity_notes", "notes observations activity remarks details watch_log field_notes surveillance_notes text description summary report narrative"),
+        ("people_directory", "account", "account_number acc_no bank_account ac_no"),
+    ],
+)
+def test_header_names(dataset, target, names):
+    for name in names.split():
+        assert detect.suggest_mapping([name], dataset)[target] == name, name
+
+
 def test_excel(spark, tmp_path):
     m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
