@@ -45,7 +45,8 @@ def call_counts(calls: DataFrame) -> DataFrame:
 
 
 def co_mentions(mentions: DataFrame) -> DataFrame:
-    """p, q, source_type, n_docs: documents that mention both. mentions: id, doc_id, source_type."""
+    """p, q, source_type, n_docs: documents that mention both. mentions: id, doc_id, source_type. All pairs are the answer, so a document that
+    names n people makes n * (n - 1) / 2 rows before they are counted; they are spread by the join, which Spark splits where a document is large."""
     m = mentions.select("id", "doc_id", "source_type").distinct()
     other = m.select(F.col("id").alias("q"), "doc_id", "source_type")
     both = m.withColumnRenamed("id", "p").join(other, ["doc_id", "source_type"]).where("p < q")

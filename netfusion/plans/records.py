@@ -267,9 +267,23 @@ def content_vectors(spark: SparkSession, d: str) -> DataFrame:
     return faces.search(index, index.where("id = '0'"), 10)
 
 
+#: The vectors of 128 numbers in SQL: shares of byte values by fours and means of 64 segments, both centred, over their length.
+CONTENT_VECTORS = """WITH h AS (SELECT page_id, hex(encode(html)) AS x, octet_length(encode(html)) AS n FROM pages WHERE html <> ''),
+b AS (SELECT page_id, n, i, ('0x' || substr(x, 2 * i + 1, 2))::INTEGER AS v, greatest(1, n // 64) AS size FROM h, unnest(range(n)) u(i)),
+g AS (SELECT page_id, k FROM h, unnest(range(64)) u(k)),
+hs AS (SELECT g.page_id, g.k, (coalesce(c / n, 0) - 1 / 64)::FLOAT AS x FROM g LEFT JOIN (SELECT page_id, v // 4 AS k, count(*) AS c, any_value(n) AS n FROM b GROUP BY 1, 2) USING (page_id, k)),
+sg AS (SELECT g.page_id, g.k + 64 AS k, coalesce(m, 0) / 255 AS m FROM g LEFT JOIN (SELECT page_id, i // size AS k, avg(v) AS m FROM b WHERE i // size < 64 GROUP BY 1, 2) USING (page_id, k)),
+vs AS (SELECT page_id, k, x FROM hs UNION ALL SELECT page_id, k, (m - avg(m) OVER (PARTITION BY page_id))::FLOAT FROM sg),
+nv AS (SELECT page_id, k, x / (sqrt(sum(x::DOUBLE * x) OVER (PARTITION BY page_id)) + 1e-6) AS x FROM vs),
+c AS (SELECT a.page_id::VARCHAR AS id, round(sum(a.x * q.x), 4) AS s FROM nv a JOIN nv q ON q.page_id = 0 AND q.k = a.k GROUP BY a.page_id),
+p AS (SELECT id, s AS raw_cosine, CASE WHEN s >= 0.99 THEN 99.8 WHEN s >= 0.8 THEN round(88 + (s - 0.8) / 0.19 * 11.5, 1) WHEN s >= 0.6 THEN round(70 + (s - 0.6) / 0.2 * 17.9, 1) WHEN s >= 0.4 THEN round(50 + (s - 0.4) / 0.2 * 19.9, 1)
+  WHEN s >= 0.2 THEN round(30 + (s - 0.2) / 0.2 * 19.9, 1) ELSE round(greatest(5, (s + 1) * 15), 1) END::DOUBLE AS similarity_score FROM c)
+SELECT id, raw_cosine, similarity_score, CASE WHEN similarity_score >= 85 THEN 'High Probability Match' WHEN similarity_score >= 70 THEN 'Probable Match' WHEN similarity_score >= 50 THEN 'Possible Lead' ELSE 'Low Similarity' END AS confidence_level
+FROM p ORDER BY similarity_score DESC, raw_cosine DESC, id LIMIT 10"""
+
 QUERIES = {
     "eval_gate": (eval_gate, EVAL_GATE),
-    "content_vectors": (content_vectors, None),
+    "content_vectors": (content_vectors, CONTENT_VECTORS),
     "parse_amounts": (parse_amounts, "SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN (v % 90 + 1) * 100000 + 50000 WHEN 3 THEN (v % 9 + 1) * 10000000 WHEN 4 THEN 0 ELSE (v % 900 + 1) * 1000 END AS BIGINT) AS amount FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)"),
     "parse_dates": (parse_dates, PARSE_DATES),
     "clean_contacts": (clean_contacts, CLEAN_CONTACTS),

@@ -309,7 +309,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     import tempfile
 
     with tempfile.TemporaryDirectory() as own:  # a store's metadata lie with the driver
-        store = CaseStore(own)
+        store = CaseStore(own, tables=folder(spark, "cases"))
         case = store.create("one", "officer")["id"]
         store.save(case, transactions=txns(spark, d))
         store.update(case, status="ready")
@@ -317,7 +317,7 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
         other = store.load(spark, case, "firs", default=table(spark, d, "nation")).agg(F.count("*").alias("n"))
         status = store.get(case)["status"]
         out = t.unionByName(other.select(F.lit("default").alias("txn_type"), "n", F.lit(None).cast("long").alias("amount"))).withColumn("status", F.lit(status))
-        return spark.createDataFrame(out.collect(), out.schema)  # a row for each type, before the folder goes
+        return spark.createDataFrame(out.collect(), out.schema)  # a row for each type
 
 
 def case_list(spark: SparkSession, d: str) -> DataFrame:

@@ -13,15 +13,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netfusion.sources.sinks import clean
+
 KEPT = 8
 
 
 class CaseStore:
-    """Creates, lists (newest first), loads and deletes cases; beyond the KEPT newest ones they are pruned."""
+    """Creates, lists (newest first), loads and deletes cases; beyond the KEPT newest ones they are pruned.
+
+    root: where the driver keeps their metadata; tables: where Spark writes their tables, a folder that executors share (``root`` if not given).
+    """
 
-    def __init__(self, root: str, kept: int = KEPT):
+    def __init__(self, root: str, kept: int = KEPT, tables: str | None = None):
         self.root, self.kept = Path(root), kept
         self.root.mkdir(parents=True, exist_ok=True)
+        self.tables = (tables or str(self.root)).rstrip("/")
 
     def path(self, case_id: str) -> Path:
         if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", case_id):
@@ -56,18 +62,21 @@ class CaseStore:
 
     def delete(self, case_id: str) -> None:
         shutil.rmtree(self.path(case_id), ignore_errors=True)
+        if self.tables != str(self.root) and (spark := SparkSession.getActiveSession()):
+            clean(spark, f"{self.tables}/{case_id}")
 
     def save(self, case_id: str, **tables: DataFrame) -> None:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path(case_id)}/{name}")
+            df.write.mode("overwrite").parquet(f"{self.tables}/{self.path(case_id).name}/{name}")
 
     def load(self, spark: SparkSession, case_id: str, name: str, default: DataFrame | None = None) -> DataFrame:
-        folder = self.path(case_id) / name
-        if not folder.exists():
+        folder = f"{self.tables}/{self.path(case_id).name}/{name}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             if default is None:
                 raise FileNotFoundError(name)
             return default
-        return spark.read.parquet(str(folder))
+        return spark.read.parquet(folder)
 
 
 AUDIT = "ts double, user string, query string, result_ids array<string>"
