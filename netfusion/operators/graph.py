@@ -273,7 +273,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, rounds: int = 16, levels: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 8, levels: int = 4) -> DataFrame:
     """id, community (its least id) by modularity on the undirected simple graph: moves by rounds of joins, then contraction.
 
     In a round every node looks up what it would gain in the communities of its neighbours, and of those that gain a half, chosen by a hash
