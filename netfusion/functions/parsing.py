@@ -62,19 +62,25 @@ def parse_amount(x: Column) -> Column:
     return F.when(is_missing(x), F.lit(0).cast("long")).otherwise((number * factor.cast("decimal(10,0)")).cast("long"))
 
 
-def parse_timestamp(x: Column) -> Column:
+def date_parts(x: Column) -> Column:
+    """struct of kind and parts of a string that may be a date, for parse_timestamp(); in a column of its own it is computed once a row."""
+    whole = F.split_part(F.trim(x), F.lit("."), F.lit(1))  # fractions of seconds are dropped
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shape = F.translate(whole, "0123456789" + letters, "0" * 10 + "a" * 52)
+    kind = F.create_map(*(F.lit(v) for kv in _kinds().items() for v in kv))[shape]
+    return F.struct(kind.alias("kind"), F.split(whole, r"[-/ :,]+|(?<=\d)T(?=\d)").alias("parts"))
+
+
+def parse_timestamp(x: Column, cut: Column | None = None) -> Column:
     """A timestamp without zone from epochs (13 or 10 digits), spreadsheet serials (20000 to 80000) or DATE_FORMATS; else null.
 
     A string's shape says which format it can have, so its parts are read as numbers and no format is tried in vain; a slashed date whose
-    month is no month has the month first.
+    month is no month has the month first. ``cut`` is date_parts(x), where it is at hand in a column.
     """
     s = F.trim(x)
-    whole = F.split_part(s, F.lit("."), F.lit(1))  # fractions of seconds are dropped
     number = s.try_cast("decimal(20,6)")
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    shape = F.translate(whole, "0123456789" + letters, "0" * 10 + "a" * 52)
-    kind = F.create_map(*(F.lit(v) for kv in _kinds().items() for v in kv))[shape]
-    parts = F.split(whole, r"[-/ :,]+|(?<=\d)T(?=\d)")
+    cut = date_parts(x) if cut is None else cut
+    kind, parts = cut["kind"], cut["parts"]
     n = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     month = F.create_map(*(v for i, m in enumerate(MONTHS) for k in dict.fromkeys((m, m[:3])) for v in (F.lit(k), F.lit(i + 1))))
     name = lambda i: month[F.lower(F.get(parts, F.lit(i)))]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netfusion.functions.parsing import clean_duration, clean_phone, parse_amount, parse_date, parse_timestamp, to_day
+from netfusion.functions.parsing import clean_duration, clean_phone, date_parts, parse_amount, parse_date, parse_timestamp, to_day
 from netfusion.operators.ranking import number_rows, ranked
 
 #: Prefixes and widths of generated ids.
@@ -36,7 +36,8 @@ def normalize(rows: DataFrame, dataset: str) -> DataFrame:
     unknown = F.concat(F.lit("UNK"), (F.col("row_no") - 1).cast("string"))
     # dates are parsed once, in a step of their own
     born = first("dob", default=none)
-    numbered = numbered.withColumns({"_when": first("timestamp", "date", default=none), "_born": born}).withColumns({"_stamp": parse_timestamp(F.col("_when")), "_birth": parse_timestamp(F.col("_born"))})
+    numbered = numbered.withColumns({"_when": first("timestamp", "date", default=none), "_born": born}).withColumns({"_whens": date_parts(F.col("_when")), "_borns": date_parts(F.col("_born"))})
+    numbered = numbered.withColumns({"_stamp": parse_timestamp(F.col("_when"), F.col("_whens")), "_birth": parse_timestamp(F.col("_born"), F.col("_borns"))})
     stamp = F.coalesce(parse_date(F.col("_when"), F.col("_stamp")), F.lit(""))
     day = F.coalesce(first("day", default=none).try_cast("int"), to_day(F.col("_when"), stamp=F.col("_stamp")))
     new_id = F.format_string(f"{prefix}%0{width}d", F.col("row_no"))

@@ -35,7 +35,8 @@ def parse_dates(spark: SparkSession, d: str) -> DataFrame:
         (F.col("o_orderkey") % 7 + 1).cast("int"),
     )
     x, stamp = F.col("x"), F.col("stamp")
-    read = o.select("o_orderkey", text.alias("x")).select("o_orderkey", "x", parsing.parse_timestamp(x).alias("stamp"))  # once for both
+    read = o.select("o_orderkey", text.alias("x")).select("o_orderkey", "x", parsing.date_parts(x).alias("cut"))  # each step once a row
+    read = read.select("o_orderkey", "x", parsing.parse_timestamp(x, F.col("cut")).alias("stamp"))
     return read.select("o_orderkey", parsing.parse_date(x, stamp).alias("parsed"), parsing.to_day(x, "1995-01-01", stamp).alias("day"))
 
 
