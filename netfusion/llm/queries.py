@@ -203,6 +203,14 @@ SELECT doc_id, n_lines, n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, m
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from netfusion.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -221,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_chat_format": op9_chat_format,
         "op10_line_dedup": op10_line_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "pipeline": pipeline,
     }
 
