@@ -211,6 +211,35 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netfusion.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM w, unnest([1, 2, 3, 4, 5]) AS u(k), unnest(range(1, len(ws) - k + 2)) AS v(i)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100
+), inner_ AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS g FROM c, unnest([2, 3, 4]) AS u(m), unnest(range(1, k - m + 2)) AS v(i) WHERE m < k GROUP BY ALL
+), alone AS (
+  SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE g IS NULL OR 100 * g < 100 * f
+), cuts AS (
+  SELECT a.lang, a.phrase, a.f AS a, j, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * a.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM alone) AS a JOIN n USING (lang)
+  JOIN f AS l ON l.lang = a.lang AND l.phrase = array_to_string(a.ws[: a.j], ' ') JOIN f AS r ON r.lang = a.lang AND r.phrase = array_to_string(a.ws[a.j + 1 :], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -230,9 +259,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_line_dedup": op10_line_dedup,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_format": OP9_SQL, "op10_line_dedup": OP10_SQL, "op13_collocations": OP13_SQL}
