@@ -24,7 +24,9 @@ from netfusion.llm.common import written
 LONGEST, LEAST, MOST = 5, 100, 2000
 BITS = 1 << 25
 #: Names of one row of stretches, and pairs counted before they are handed on.
-STRETCH, FLUSH = 1 << 16, 1 << 22
+STRETCH, FLUSH = 1 << 16, 1 << 20
+#: Bytes of text that are cut into words at once, a longer text alone.
+CHUNK = 1 << 23
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -68,13 +70,18 @@ def bits_of(names: DataFrame) -> np.ndarray:
 
 
 def _texts(batch) -> Iterator[tuple[str, list[bytes]]]:
-    """A batch's texts by language."""
+    """A batch's texts by language, some CHUNK bytes at a time."""
     import pyarrow as pa
 
-    by: dict[str, list[bytes]] = {}
+    by: dict[str, tuple[list[bytes], int]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-        by.setdefault(lang, []).append(text.as_py())
-    yield from by.items()
+        held, size = by.get(lang, ([], 0))
+        held.append(text.as_py())
+        by[lang] = held, size + len(held[-1])
+        if by[lang][1] >= CHUNK:
+            yield lang, by.pop(lang)[0]
+    for lang, (held, _) in by.items():
+        yield lang, held
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
