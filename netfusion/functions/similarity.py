@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,57 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+#: Characters by which bounds are counted: letters, digits, space, and two for all others; what is counted together only raises a bound.
+_CLASSES = 39
+
+
+def _class_of(code: np.ndarray) -> np.ndarray:
+    letter, digit = (code >= 97) & (code <= 122), (code >= 48) & (code <= 57)
+    return np.where(letter, code - 97, np.where(digit, code - 22, np.where(code == 32, 36, 37 + code % 2))).astype(np.int64)
+
+
+def character_counts(strings: list[str]) -> np.ndarray:
+    """How often each string has each class of characters, a row each."""
+    sizes = np.array([len(x) for x in strings])
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    at = np.repeat(np.arange(len(strings)), sizes) * _CLASSES + _class_of(codes)
+    return np.bincount(at, minlength=len(strings) * _CLASSES).reshape(len(strings), _CLASSES).astype(np.uint16)
+
+
+def upper_bounds(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bounds of max(ratio, 0.95 * partial ratio) of a string with each of others, from the characters that they share in any order.
+
+    A common subsequence has no more characters than that, b; a window that holds it has b at least, so a partial ratio is at most
+    200 * b / (length of the shorter + b).
+    """
+    shared = np.minimum(counts, others).sum(1, dtype=np.int64)
+    short = np.minimum(size, sizes)
+    whole = 200.0 * shared / np.maximum(size + sizes, 1)
+    return np.maximum(whole, 0.95 * 200.0 * shared / np.maximum(short + shared, 1))
+
+
+def best_by_bounds(values: list[str], names: list[str], least: float) -> list[tuple[str, int]]:
+    """(value, position of its best name) for values whose best score is ``least`` or more; of equal scores the first name."""
+    low = [x.strip().lower() for x in names]
+    counts, sizes, out = character_counts(low), np.array([len(x) for x in low]), []
+    for value in values:
+        own = value.strip().lower()
+        bound = upper_bounds(character_counts([own]), len(own), counts, sizes)
+        near = np.flatnonzero(bound >= least - 1e-9)
+        best, at = least, None  # an equal score is enough for the first name
+        for k in near[np.lexsort((near, -bound[near]))].tolist():
+            if bound[k] < best - 1e-9:
+                break
+            score = indel_ratio(own, low[k])
+            if best <= 95.0:  # else a partial ratio can't win
+                score = max(score, 0.95 * partial_ratio(own, low[k]))
+            if score > best or score == best and (at is None or k < at):
+                best, at = score, k
+        if at is not None:
+            out.append((value, at))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x.strip().lower(), y.strip().lower()) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,25 +5,78 @@ mentions: seq, value, confidence, phone, evidence_snippet, source_id, source_typ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netfusion.functions.similarity import name_similarity, partial_similarity
+from netfusion.functions.similarity import best_by_bounds, name_similarity, partial_similarity
 from netfusion.functions.text import initials_score
+from netfusion.session import cut
 
 MERGE, REJECT, LEAST_CONFIDENCE = 85.0, 70.0, 0.65
-BROADCAST_NAMES = 200_000
+#: Values and names that meet in one row.
+VALUE_BLOCK, NAME_BLOCK = 1024, 4096
+
+
+def _normal(c: str) -> Column:
+    return F.lower(F.trim(c))
+
+
+def _blocks(rows: DataFrame, most: int, name: str, *columns: str) -> tuple[DataFrame, int]:
+    """(block, list) of about ``most`` rows each, dealt by hash, and how many blocks there are."""
+    blocks = max(1, -(-rows.count() // most))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias(f"{name}_block"))
+    return dealt.agg(F.collect_list(F.struct(*columns)).alias(name)), blocks
+
+
+def candidates(mentions: DataFrame, people: DataFrame, least: float = REJECT) -> DataFrame:
+    """value, id, name, ordinal: pairs among which is, for each value with a name that scores ``least`` or more, the best name in the order of
+    best_candidates().
+
+    Equal names and pairs by initials come from joins on words. For the rest, blocks of values meet blocks of names; there each pair has an
+    upper bound of its score from the characters that both hold, whatever their order (no common subsequence has more), and names are scored
+    from the highest bound down until none can reach the best. No pair is left out for the size of either side.
+    """
+    names = people.select("id", "name", "ordinal").where("name IS NOT NULL")
+    values = mentions.select("value").where("value IS NOT NULL").distinct()
+    exact = values.join(names, _normal("value") == _normal("name"))
+    rest = cut(values.join(exact.select("value"), "value", "left_anti"))
+    return exact.select("value", "id", "name", "ordinal").unionByName(_by_initials(rest, names)).unionByName(_by_bounds(rest, names, least))
+
+
+def _by_initials(values: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of which initials_score() may be over 0: two words, one equal and of the other the initial."""
+    m = F.split(F.trim(F.lower(F.regexp_replace("value", r"[.\s]+", " "))), " ")
+    n = F.split(F.trim(F.lower(F.regexp_replace("name", r"\s+", " "))), " ")
+    key = lambda words, k: F.struct(F.lit(k).alias("at"), F.get(words, 1 - k).alias("word"), F.substring(F.get(words, k), 1, 1).alias("initial"))
+    asked = F.array_compact(F.array(*[F.when(F.length(F.get(m, k)) == 1, key(m, k)) for k in (0, 1)]))
+    v = values.where(F.size(m) == 2).select("value", F.explode(asked).alias("key"))
+    known = names.where(F.size(n) == 2).select("id", "name", "ordinal", F.explode(F.array(key(n, 0), key(n, 1))).alias("key"))
+    return v.join(known, "key").select("value", "id", "name", "ordinal")
+
+
+def _by_bounds(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """The best name of each value in each block of names, if it scores ``least`` or more by ratio or partial ratio."""
+    import pyarrow as pa
+
+    listed, _ = _blocks(values, VALUE_BLOCK, "values", "value")
+    known, n = _blocks(names, NAME_BLOCK, "names", "id", "name", "ordinal")
+    kinds = {f.name: f.dataType for f in names.schema.fields}
+    meets = listed.select("values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("names_block")).join(known, "names_block")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, others in zip(batch.column(0), batch.column(1), strict=True):
+                rows = sorted(others.as_py(), key=lambda r: (r["ordinal"] is not None, r["ordinal"], r["id"]))
+                found = best_by_bounds([v["value"] for v in some.as_py()], [r["name"] for r in rows], least)
+                fields = others.values.type
+                picked = [(v, rows[k]) for v, k in found]
+                columns = [pa.array([v for v, _ in picked], pa.string())] + [pa.array([r[c] for _, r in picked], fields.field(c).type) for c in ("id", "name", "ordinal")]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "id", "name", "ordinal"])
 
-def candidates(mentions: DataFrame, people: DataFrame, most: int = 50_000_000) -> DataFrame:
-    """Every different value with every name, at any size: scores have no bound that a block could keep to. The directory is broadcast
-    behind checks of its size and of the number of pairs; beyond them partitions of values meet partitions of names."""
-    values, names = mentions.select("value").distinct(), people.select("id", "name", "ordinal")
-    n = names.count()
-    if n > BROADCAST_NAMES or values.count() * n > most:
-        # the hint keeps Spark from broadcasting or gathering a side
-        return values.repartition(spread := 4 * mentions.sparkSession.sparkContext.defaultParallelism).hint("shuffle_replicate_nl").crossJoin(names.repartition(spread))
-    return values.join(F.broadcast(names))
+    schema = "value string, " + ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("id", "name", "ordinal"))
+    return meets.select("values", "names").mapInArrow(run, schema)
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -35,7 +88,8 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 def best_candidates(scores: DataFrame) -> DataFrame:
-    """The best name of each value, the first in directory order on ties; aggregated, so a common value needs no sort."""
+    """The best name of each value, the first in directory order on ties; aggregated, so a common value needs no sort. After candidates() a
+    value without a name that scores REJECT or more has no row, or one that scores less."""
     order = F.struct((-F.col("name_score")).alias("s"), "ordinal", "id")
     return scores.groupBy("value").agg(F.min_by(F.struct("id", "name", "partial", "name_score", "method"), order).alias("b")).select("value", "b.*")
 

@@ -12,7 +12,7 @@ from netfusion.operators import bursts, evaluation, extraction, finance, geo, gr
 from netfusion.plans import network
 from netfusion.plans.records import _chain_sql, evidence_leaves, merkle
 from netfusion.plans.relational import call_bursts
-from netfusion.plans.views import ARCS, CALLS, CASES, EDGES, GRAPH, PEOPLE, TXNS, call_pairs, calls, cases, edges, people, sql, table, txns
+from netfusion.plans.views import ARCS, BEST_NAMES, CALLS, CASES, EDGES, GRAPH, PEOPLE, TXNS, call_pairs, calls, cases, edges, people, sql, table, txns
 from netfusion.service import accounts, ask
 from netfusion.session import cut, shared_dir
 
@@ -300,7 +300,7 @@ def nation_names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     """The name most like each value."""
     m, p = nation_names(spark, d)
-    best = resolution.best_candidates(resolution.scored(resolution.candidates(m, p)))
+    best = resolution.best_candidates(resolution.scored(resolution.candidates(m, p, least=0.0)))
     return best.select("value", "id", F.round("name_score", 4).alias("name_score"), "method")
 
 
@@ -310,26 +310,11 @@ def name_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolution.resolve(m, p)[1].select("master_id", "merged_ids", "method", "confidence", "name_score", "phone_score", "context_score", "source_id", "evidence_hash")
 
 
-#: Similarity in SQL: a row of the longest-common-subsequence table for each character of the second string.
-_LCS = """list_last(list_reduce(list_prepend(list_transform(range(length({a}) + 1), lambda i: 0), list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda r, j:
-  list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i, CASE WHEN substr({a}, i, 1) = substr({b}, j[1], 1) THEN 1 ELSE 0 END, r[i], r[i + 1]]), lambda acc, x: list_append(acc, CASE WHEN x[2] = 1 THEN x[3] + 1 ELSE greatest(x[4], list_last(acc)) END), [0])))"""
-
-
-def _lcs(a: str, b: str) -> str:
-    return f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE {_LCS.format(a=a, b=b)} END)"
-
-
 NATION_PARTS = [
     "p AS (SELECT n_nationkey AS ordinal, n_nationkey::VARCHAR AS id, ['Rahul', 'Sunita', 'Farhan', 'Gopal', 'Meenakshi'][n_nationkey % 5 + 1] || ' ' || ['Kumar', 'Shinde', 'Qureshi', 'Iyer', 'Bose'][n_nationkey // 5 % 5 + 1] AS name, 'AC' || n_nationkey || '.' AS account FROM nation)",
     "mm AS (SELECT ordinal AS seq, CASE ordinal % 5 WHEN 0 THEN upper(name) WHEN 1 THEN substr(name, 1, 1) || '. ' || split_part(name, ' ', 2) WHEN 2 THEN split_part(name, ' ', 1) || 'x ' || substr(split_part(name, ' ', 2), 1, 3) WHEN 3 THEN split_part(name, ' ', 2) ELSE 'zq' || id END AS value, CASE WHEN ordinal % 5 < 2 THEN 'paid to ' || account ELSE 'near Org house' END AS snippet, id AS source_id FROM p)",
     "pr AS (SELECT v.value, id, name, ordinal, account, lower(trim(v.value)) AS a, lower(trim(name)) AS b FROM (SELECT DISTINCT value FROM mm) v CROSS JOIN p)",
-    "sh AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM pr)",
-    f"ra AS (SELECT *, 200.0 * {_lcs('a', 'b')} / (length(a) + length(b)) AS ratio FROM sh)",
-    "wi AS (SELECT value, id, s, substr(l, greatest(1, k), least(length(l), k + length(s) - 1) - greatest(1, k) + 1) AS w FROM (SELECT value, id, s, l, unnest(range(2 - length(s), length(l) + 1)) AS k FROM sh))",
-    f"pt AS (SELECT value, id, max(200.0 * {_lcs('s', 'w')} / (length(s) + length(w))) AS part FROM wi GROUP BY value, id)",
-    """sc AS (SELECT *, CASE WHEN a = b THEN 100.0 ELSE greatest(ratio, 0.95 * part, CASE WHEN len(mw) = 2 AND len(nw) = 2 AND ((length(mw[1]) = 1 AND mw[1] = substr(nw[1], 1, 1) AND mw[2] = nw[2]) OR (mw[1] = nw[1] AND length(mw[2]) = 1 AND mw[2] = substr(nw[2], 1, 1))) THEN 92.0 ELSE 0.0 END) END AS score
-FROM (SELECT *, string_split(trim(regexp_replace(a, '[.\\s]+', ' ', 'g')), ' ') AS mw, string_split(b, ' ') AS nw FROM ra JOIN pt USING (value, id)))""",
-    "be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY value ORDER BY score DESC, ordinal, id) = 1)",
+    *BEST_NAMES,
 ]
 FUZZY_NAMES = sql(*NATION_PARTS, select="SELECT value, id, round(score, 4)::DOUBLE AS name_score, CASE WHEN a = b THEN 'exact' ELSE 'fuzzy' END AS method FROM be")
 NAME_RESOLUTION = sql(

@@ -179,4 +179,4 @@ def test_signals_of_nobody(spark):
 
 def test_every_query_has_its_columns_in_sql():
     names, sql = registry.queries(), registry.oracle_sql()
-    assert set(sql) <= set(names) and {n for n in names if n not in sql} == {"communities", "header_map", "fuzzy_top1", "entity_resolution"}
+    assert set(sql) <= set(names) and {n for n in names if n not in sql} == {"communities", "header_map"}

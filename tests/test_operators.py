@@ -1,6 +1,8 @@
 import itertools
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,12 +216,84 @@ def test_lead_bands(spark):
     assert got == {"x": (100, "HIGH"), "y": (10, "LOW")}
 
 
-def test_resolution_beyond_the_broadcast_limit_loses_nothing(spark):
+def _full_product(values, names, least):
+    """The best name of each value by all scores, as in best_candidates()."""
+    from netfusion.functions.similarity import indel_ratio, partial_ratio
+
+    def initials(a, b):
+        a, b = re.sub(r"[.\s]+", " ", a.lower()).strip().split(" "), re.sub(r"\s+", " ", b.lower()).strip().split(" ")
+        ok = lambda k: len(a[k]) == 1 and a[k] == b[k][:1] and a[1 - k] == b[1 - k]
+        return 92.0 if len(a) == len(b) == 2 and (ok(0) or ok(1)) else 0.0
+
+    out = {}
+    for v in {*values}:
+        a = v.strip().lower()
+        scores = []
+        for i, name in names:
+            b = name.strip().lower()
+            scores.append((-(100.0 if a == b else max(indel_ratio(a, b), 0.95 * partial_ratio(a, b), initials(v, name))), i))
+        score, i = min(scores)
+        if -score >= least:
+            out[v] = (i, round(-score, 6))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.0, 70.0])
+def test_best_names_are_those_of_the_full_product(spark, monkeypatch, least):
+    monkeypatch.setattr(resolution, "NAME_BLOCK", 40)
+    monkeypatch.setattr(resolution, "VALUE_BLOCK", 25)
+    rng = random.Random(int(least))
+    first, last = ["Rahul", "Sunita", "Farhan", "Gopal", "Meenakshi", "Al", "Ömer", "José María"], ["Kumar", "Shinde", "Qureshi", "Iyer", "Bose", "Li", "O'Neill", "Ali Khan"]
+    names = [(i, f"{rng.choice(first)} {rng.choice(last)}" + rng.choice(["", "", " ", " Jr"])) for i in range(150)]
+
+    def misspelt(x):
+        x = list(x)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randrange(2)] = rng.choice("abcxyzßé .")
+        return "".join(x)
+
+    values = [misspelt(rng.choice(names)[1]) for _ in range(120)] + ["R. Kumar", "Sunita S.", "Farhan", "kumar", "", " ", "zq", "Q", "Rahul  Kumar", "x" * 300, "GOPAL IYER"]
+    m = spark.createDataFrame([(v,) for v in values] + [(None,)], "value string")
+    p = spark.createDataFrame([(i, n, i) for i, n in names] + [(999, None, 999)], "id long, name string, ordinal long")
+    scores = resolution.scored(resolution.candidates(m, p, least)).where(F.col("name_score") >= least)
+    got = {r.value: (r.id, round(r.name_score, 6)) for r in resolution.best_candidates(scores).collect()}
+    assert got == _full_product(values, names, least)
+
+
+def test_few_pairs_are_scored(spark):
+    """Misspelt names among 3,000 of which a part shares each word: what is left to score is a small share of the product."""
+    from netfusion.functions import similarity
+
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))).capitalize()
+    firsts, lasts = [word() for _ in range(60)], [word() for _ in range(300)]
+    names = [f"{rng.choice(firsts)} {rng.choice(lasts)}" for _ in range(3000)]
+    values = [n[:k] + n[k + 1 :] for n in rng.sample(names, 60) for k in [rng.randrange(len(n))]]
+    scored, ratio = [0], similarity.indel_ratio
+    try:
+        similarity.indel_ratio = lambda a, b: (scored.__setitem__(0, scored[0] + 1), ratio(a, b))[1]
+        similarity.partial_ratio, kept = lambda a, b: 0.0, similarity.partial_ratio
+        similarity.best_by_bounds(values, names, 70.0)
+    finally:
+        similarity.indel_ratio, similarity.partial_ratio = ratio, kept
+    assert scored[0] < 0.05 * len(values) * len(names)
+
+
+def test_bounds_hold():
+    from netfusion.functions import similarity as sim
+
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcAB é12") for _ in range(rng.randrange(12)))
+    for _ in range(2000):
+        a, b = text().strip().lower(), text().strip().lower()
+        bound = sim.upper_bounds(sim.character_counts([a]), len(a), sim.character_counts([b]), np.array([len(b)]))[0]
+        assert bound >= max(sim.indel_ratio(a, b), 0.95 * sim.partial_ratio(a, b)) - 1e-9 or not a and not b
+
+
+def test_similar_names_need_no_common_initial(spark):
     m = spark.createDataFrame([("Shristina",), ("Ali",), ("Zed",)], "value string")
     p = spark.createDataFrame([(1, "Christina", 1), (2, "Khalid", 2), (3, "Bob", 3)], "id long, name string, ordinal long")
-    small, large = (resolution.candidates(m, p, most) for most in (50_000_000, 0))
-    assert "CartesianProduct" in large._jdf.queryExecution().toString()
-    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
-    best = {r.value: (r.id, round(r.name_score, 1)) for r in resolution.best_candidates(resolution.scored(large)).collect()}
-    # 88.9 by the ratio, 0.95 * 200 * 8 / 17 by its parts
-    assert best["Shristina"] == (1, 89.4) and best["Ali"] == (2, 95.0)
+    best = {r.value: (r.id, round(r.name_score, 1)) for r in resolution.best_candidates(resolution.scored(resolution.candidates(m, p))).collect()}
+    # 88.9 by the ratio, 0.95 * 200 * 8 / 17 by its parts; no name is like Zed
+    assert best == {"Shristina": (1, 89.4), "Ali": (2, 95.0)}
