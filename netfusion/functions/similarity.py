@@ -58,8 +58,8 @@ def character_counts(strings: list[str]) -> np.ndarray:
     return np.bincount(at, minlength=len(strings) * _CLASSES).reshape(len(strings), _CLASSES).astype(np.uint16)
 
 
-def upper_bounds(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bounds of max(ratio, 0.95 * partial ratio) of a string with each of others, from the characters that they share in any order.
+def upper_bounds(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of max(ratio, 0.95 * partial ratio) and of the ratio alone of a string with each of others, from the characters that they share in any order.
 
     A common subsequence has no more characters than that, b; a window that holds it has b at least, so a partial ratio is at most
     200 * b / (length of the shorter + b).
@@ -67,7 +67,28 @@ def upper_bounds(counts: np.ndarray, size: int, others: np.ndarray, sizes: np.nd
     shared = np.minimum(counts, others).sum(1, dtype=np.int64)
     short = np.minimum(size, sizes)
     whole = 200.0 * shared / np.maximum(size + sizes, 1)
-    return np.maximum(whole, 0.95 * 200.0 * shared / np.maximum(short + shared, 1))
+    return np.maximum(whole, 0.95 * (200.0 * shared / np.maximum(short + shared, 1))), whole  # rounded as the scores are
+
+
+def window_bound(short: str, long: str) -> float:
+    """A bound of the partial ratio from the characters that the shorter string shares, in any order, with each window of the longer one."""
+    n, best = len(short), 0.0
+    if not n:
+        return partial_ratio(short, long)
+    for text in (long, long[::-1]):  # the window grows in at one end, stays full, and for the last time shrinks out as the other way round
+        left = dict.fromkeys(text, 0)
+        for c in short:
+            left[c] = left.get(c, 0) + 1
+        shared = 0
+        for i, c in enumerate(text):
+            shared += left[c] > 0
+            left[c] -= 1
+            if i >= n:
+                out = text[i - n]
+                left[out] += 1
+                shared -= left[out] > 0
+            best = max(best, 200.0 * shared / (n + min(i + 1, n)))
+    return best
 
 
 def best_by_bounds(values: list[str], names: list[str], least: float) -> list[tuple[str, int]]:
@@ -76,16 +97,20 @@ def best_by_bounds(values: list[str], names: list[str], least: float) -> list[tu
     counts, sizes, out = character_counts(low), np.array([len(x) for x in low]), []
     for value in values:
         own = value.strip().lower()
-        bound = upper_bounds(character_counts([own]), len(own), counts, sizes)
-        near = np.flatnonzero(bound >= least - 1e-9)
+        bound, whole = upper_bounds(character_counts([own]), len(own), counts, sizes)
+        near = np.flatnonzero(bound >= least)
         best, at = least, None  # an equal score is enough for the first name
+
+        def wins(score: float, k: int) -> bool:
+            return score > best or score == best and (at is None or k < at)
+
         for k in near[np.lexsort((near, -bound[near]))].tolist():
-            if bound[k] < best - 1e-9:
-                break
-            score = indel_ratio(own, low[k])
-            if best <= 95.0:  # else a partial ratio can't win
-                score = max(score, 0.95 * partial_ratio(own, low[k]))
-            if score > best or score == best and (at is None or k < at):
+            if not wins(bound[k], k):
+                break  # of equal bounds the first names come first, so the others can only be equal and later
+            if wins(whole[k], k) and wins(score := indel_ratio(own, low[k]), k):
+                best, at = score, k
+            ends = sorted((own, low[k]), key=len)
+            if wins(0.95 * window_bound(*ends), k) and wins(score := 0.95 * partial_ratio(own, low[k]), k):
                 best, at = score, k
         if at is not None:
             out.append((value, at))
