@@ -8,8 +8,7 @@ counts of its beginnings come down the left parents and those of its ends down t
 children: a longer phrase that is as frequent implies one of one word more.
 
 Which names go on to the next level is told by a set of BITS hashed bits, the same size for any corpus; a name that meets another's bit
-is only counted for nothing, since every level is counted in full. Likewise pairs are first counted in SLOTS hashed slots, and those of slots
-that are full enough are then counted by name. Both save shuffling until the corpus outgrows them, and never a result.
+is only counted for nothing, since every level is counted in full.
 """
 
 from __future__ import annotations
@@ -23,11 +22,11 @@ from pyspark.sql import functions as F
 from netfusion.llm.common import partitions, written
 
 LONGEST, LEAST, MOST = 5, 100, 2000
-BITS, SLOTS = 1 << 25, 1 << 26
+BITS = 1 << 25
 #: Names of one row of stretches, and pairs counted before they are handed on.
 STRETCH, FLUSH = 1 << 16, 1 << 20
 #: Bytes of text that are cut into words at once, a longer text alone.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,52 +151,29 @@ def _adjacent(batches: Iterator, levels: list[np.ndarray]) -> Iterator[tuple[np.
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
-def slots_found(rows: DataFrame, levels: list[np.ndarray], least: int) -> np.ndarray:
-    """A bit for each of SLOTS slots: if the pairs whose names fall into it are ``least`` or more together, so that one may be frequent."""
+def pairs(rows: DataFrame, levels: list[np.ndarray], least: int) -> DataFrame:
+    """id, left, right, f of the frequent phrases of len(levels) + 1 words.
+
+    Tasks count the pairs of a piece before they hand them on, and most pairs are rare, so they go to the shuffle without a table of
+    all that a task has met.
+    """
     import pyarrow as pa
 
     wide = rows.sparkSession.sparkContext.broadcast(levels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right in _adjacent(batches, wide.value):
-            slots, n = np.unique((pair_names(left, right) >> np.uint64(1)) & np.uint64(SLOTS - 1), return_counts=True)
-            new = np.flatnonzero(np.append(True, slots[1:] >> np.uint64(16) != slots[:-1] >> np.uint64(16)))
-            some, counts = np.split(slots.astype(np.uint16), new[1:]), np.split(n.astype(np.uint32), new[1:])
-            columns = [pa.array((slots[new] >> np.uint64(16)).astype(np.int32)), pa.array([x.tobytes() for x in some], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["slice", "slots", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, slots, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                sums.setdefault(k, np.zeros(1 << 16, np.int64))[np.frombuffer(slots.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
-        bits = {k: np.packbits(v >= least, bitorder="little").tobytes() for k, v in sums.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([*bits], pa.int32()), pa.array([*bits.values()], pa.binary())], names=["slice", "bits"])
-
-    dealt = rows.mapInArrow(count, "slice int, slots binary, n binary").repartition(partitions(rows.sparkSession), "slice")
-    out = np.zeros((SLOTS >> 16, 1 << 13), np.uint8)
-    for row in dealt.mapInArrow(add, "slice int, bits binary").collect():  # a row for each slice
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
-
+            _, first, n = np.unique(pair_names(left, right), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(n)], names=["left", "right", "n"])
 
-def pairs(rows: DataFrame, levels: list[np.ndarray], least: int) -> DataFrame:
-    """id, left, right, f of the frequent phrases of len(levels) + 1 words."""
-    import pyarrow as pa
-
-    wide = rows.sparkSession.sparkContext.broadcast((levels, slots_found(rows, levels, least)))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_names(left, right).view(np.int64)), *batch.columns], names=["id", "left", "right", "f"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, slots = wide.value
-        for left, right in _adjacent(batches, levels):
-            names = pair_names(left, right)
-            may = np.flatnonzero(marked(names, slots))
-            names, first, n = np.unique(names[may], return_index=True, return_counts=True)
-            first = may[first]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (names, left[first], right[first])] + [pa.array(n)], names=["id", "left", "right", "n"])
-
-    found = rows.mapInArrow(run, "id long, left long, right long, n long")
-    return found.groupBy("id", "left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    dealt = rows.mapInArrow(count, "left long, right long, n long").repartition(partitions(rows.sparkSession), "left", "right")
+    frequent = dealt.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return frequent.mapInArrow(name, "id long, left long, right long, f long")
 
 
 def _with_parents(level: DataFrame, shorter: DataFrame) -> DataFrame:
