@@ -11,13 +11,13 @@ neighbouring windows share it too and form a run. Three kinds of passes follow:
 
 What equal means in each pass: runs are equal if the 128-bit BLAKE2 digests of their bytes are. Digits are compared by 64-bit hashes (so the
 passes group suffixes, they don't order them), and the windows that they leave together are compared byte by byte. Large groups are cut
-into parts whose windows meet again by 128 bits of hashes in a second shuffle.
+into parts whose windows meet again in a second shuffle by two independent hashes of their bytes, of 64 bits each.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,13 +32,25 @@ PART_RUNS = 4096
 _PLACE = np.uint64((1 << 24) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(400).integers(0, 2**63, 256, dtype=np.uint64)
+#: For hashes that owe nothing to the first ones: bytes and multipliers of their own.
+_BYTES2 = np.random.default_rng(401).integers(0, 2**63, 256, dtype=np.uint64)
+_D1, _D2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` bytes (a power of two) at each position that has them."""
-    h, m = _BYTES[data], 1
+    return _folded(_BYTES[data], size, _C1, _C2)
+
+
+def second_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The same, independent of gram_hashes()."""
+    return _folded(_BYTES2[data], size, _D1, _D2)
+
+
+def _folded(h: np.ndarray, size: int, c1: np.uint64, c2: np.uint64) -> np.ndarray:
+    m = 1
     while m < size:
-        h = h[:-m] * _C1 + (h[m:] ^ (h[m:] >> np.uint64(32))) * _C2 if len(h) > m else h[:0]
+        h = h[:-m] * c1 + (h[m:] ^ (h[m:] >> np.uint64(32))) * c2 if len(h) > m else h[:0]
         h ^= h >> np.uint64(29)
         m *= 2
     return h
@@ -79,31 +91,36 @@ def _differ(raw: np.ndarray, at: np.ndarray, other: np.ndarray, window: int) ->
     return False
 
 
-def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For runs that share their least string at ``offsets``: (context, window in it, if it is repeated here, two digests) of all windows."""
+def repeated_windows(contexts: list[bytes], offsets: list[int], window: int = WINDOW, digests: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For runs that share their least string at ``offsets``: (context, window in it, if it is repeated here, two digests) of all windows.
+
+    The digests are of the windows' bytes by two independent hashes; the second is made only if ``digests`` is set.
+    """
     raw = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) - window + 1 for c in contexts])
     context = np.repeat(np.arange(len(contexts)), sizes)
     inside = np.arange(len(context)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = np.cumsum([0, *map(len, contexts[:-1])])
     at = starts[context] + inside
-    digits, left, depth, size = [], window, 0, GRAM
-    hashes = {}
+    sizes_, left, size = [], window, GRAM
     while left:
         while size > left:
             size //= 2
-        if size not in hashes:
-            hashes[size] = gram_hashes(raw, size)
-        digits.append((hashes[size], depth))
-        depth, left = depth + size, left - size
+        sizes_.append(size)
+        left -= size
+    depths = np.cumsum([0, *sizes_[:-1]]).tolist()
     group = (np.array(offsets)[context] - inside).astype(np.uint64)  # windows are equal only at equal offsets
-    digest, second = group.copy(), ~group
-    for h, d in digits:
-        part = h[at + d]
-        digest = (digest ^ part) * _C1
-        digest ^= digest >> np.uint64(31)
-        second = (second + part) * _C2
-        second ^= second >> np.uint64(29)
+
+    def digest_of(kind: Callable[[np.ndarray, int], np.ndarray]) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+        hashes = {n: kind(raw, n) for n in {*sizes_}}
+        digits, digest = [(hashes[n], d) for n, d in zip(sizes_, depths, strict=True)], group.copy()
+        for h, d in digits:
+            digest = (digest ^ h[at + d]) * _C1
+            digest ^= digest >> np.uint64(31)
+        return digits, digest
+
+    digits, digest = digest_of(gram_hashes)
+    second = digest_of(second_hashes)[1] if digests else digest
     alive = np.arange(len(at))
     for h, d in [(None, 0), *digits]:
         if not len(alive):
@@ -206,7 +223,7 @@ def _window_marks(contexts: DataFrame, window: int) -> tuple[DataFrame, DataFram
         held: list[dict] = []
 
         def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            context, inside, repeated, digest, second = repeated_windows([r["data"] for r in rows], [r["off"] for r in rows], window)
+            context, inside, repeated, digest, second = repeated_windows([r["data"] for r in rows], [r["off"] for r in rows], window, rows[0]["parts"] > 1)
             single = np.array([r["single"] for r in rows])[context]
             at = np.flatnonzero(repeated & single)
             spans = np.split(at, np.flatnonzero((np.diff(at) != 1) | (np.diff(context[at]) != 0)) + 1) if len(at) else []
