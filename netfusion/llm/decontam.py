@@ -15,12 +15,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netfusion.llm.common import written
+
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS = 128
-#: Items of one pass over the documents; more take a pass for each such block.
+#: Items of one pass over the documents; more take a pass for each such block, one after the other.
 ITEMS = 50_000
 MEMO_WORDS = 150_000
 _BITMAP = 1 << 22
@@ -155,17 +158,23 @@ class ItemIndex:
         return out
 
 
-def item_blocks(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of about ``items``, one at a time on the driver."""
+def item_blocks(benchmark: DataFrame, items: int) -> Iterator[tuple[list[tuple[int | None, str | None]], bool]]:
+    """The items in blocks of about ``items``, one at a time on the driver, and if a block is the last one."""
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     parts = -(-known.count() // items)
     for k in range(parts):
         block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield [(r.item_id, r.text) for r in block.collect()]
+        yield [(r.item_id, r.text) for r in block.collect()], k == parts - 1
 
 
-def _indexed(spark: SparkSession, block: list) -> object:
-    return spark.sparkContext.broadcast(ItemIndex(block))
+def _indexes(spark: SparkSession, benchmark: DataFrame, items: int) -> Iterator[tuple[Broadcast, bool]]:
+    """A broadcast index of each block, and if it is the last one. What is made with another must be written before the next is asked for,
+    as it is destroyed then: one index is alive at a time, on the driver and in each worker, whatever the number of items."""
+    for block, last in item_blocks(benchmark, items):
+        index = spark.sparkContext.broadcast(ItemIndex(block))
+        yield index, last
+        if not last:
+            index.destroy()
 
 
 MATCH = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
@@ -181,8 +190,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, items: int = ITE
     import pyarrow as pa
 
     texts, out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for block in item_blocks(benchmark, items):
-        index = _indexed(documents.sparkSession, block)
+    for index, last in _indexes(documents.sparkSession, benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -195,6 +203,7 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, items: int = ITE
             forget_words()  # the worker lives on
 
         found = texts.mapInArrow(run, MATCH)
+        found = found if last else written(found, "contained-items")
         out = found if out is None else out.union(found)
     return documents.sparkSession.createDataFrame([], MATCH) if out is None else out
 
@@ -205,8 +214,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, items: int = ITEMS
 
     kept = documents
     at = documents.columns.index("text")
-    for block in item_blocks(benchmark, items):
-        index = _indexed(documents.sparkSession, block)
+    for index, last in _indexes(documents.sparkSession, benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -214,4 +222,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, items: int = ITEMS
             forget_words()
 
         kept = kept.mapInArrow(run, documents.schema)
+        kept = kept if last else written(kept, "decontaminated")
     return kept
