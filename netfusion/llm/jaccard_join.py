@@ -1,10 +1,10 @@
 """Jaccard self-join of shingle sets over a token-group matrix.
 
-Equal sets become one node. All shingles have one order: those that a fixed array of counters over the whole corpus tells to be common
-come last, the others by hash. Two similar sets share a shingle among the first fifth of each (at 0.8), and their first common one stands
-so early in both that the shingles before it fit into the difference allowed.
+Equal sets become one node. All shingles have one order: by how full their counter is in a fixed array of counters over the whole
+corpus, in steps, then by hash, so rare ones come first. Two similar sets share a shingle among the first fifth of each (at 0.8), and
+their first common one stands so early in both that the shingles before it fit into the difference allowed.
 
-- Groups: sets with the same first shingle, which similar sets mostly share; groups of over PART sets are cut.
+- Groups: sets whose first shingle that any other set has in its first fifth is the same; groups of over PART sets are cut.
 - Matrix: a row for each group, its columns first-fifth shingles (exact, spread by shingle) and all shingles (hashed to bits, one
   array for each set, united for a group). Groups that meet in a column of the first kind are candidates.
 - Opening: a candidate pair of groups is opened only for those sets of one whose bits outside the other's union fit into the difference
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +32,10 @@ from netfusion.llm.decontam import shingle_hashes
 from netfusion.llm.documents import keyed, narrow
 
 SHINGLE, PERCENT = 5, 80
-COUNTERS, SLICES = 1 << 22, 64
+COUNTERS, SLICES = 1 << 24, 256
 PART = 256
+#: Pairs of sets that are compared one by one.
+FEW = 64
 FLUSH = 1 << 20
 #: Bytes of text that are cut into words at once, a longer text alone.
 CHUNK = 1 << 22
@@ -151,6 +154,54 @@ def near_pairs(a: Group, b: Group, percent: int, same: bool) -> tuple[np.ndarray
     return (x[x < y], y[x < y]) if same else (x, y)
 
 
+def folded_int(bits: int, width: int, to: int) -> int:
+    """The same for an array held as one integer, from width bits to fewer."""
+    while width > to:
+        width //= 2
+        bits = bits >> width | bits & (1 << width) - 1
+    return bits
+
+
+class Rows:
+    """Lists of sets in one column of a batch."""
+
+    def __init__(self, column):
+        values = column.values
+        self.offsets = column.offsets.to_pylist()
+        self.node, self.n, self.label = (values.field(k).to_pylist() for k in ("node", "n", "label"))
+        self.bits = values.field("bits").to_pylist()
+        self.ints: dict[int, int] = {}
+
+    def span(self, row: int) -> range:
+        return range(self.offsets[row], self.offsets[row + 1])
+
+    def group(self, row: int) -> Group:
+        a, z = self.offsets[row], self.offsets[row + 1]
+        return Group(self.node[a:z], self.n[a:z], self.bits[a:z], self.label[a:z])
+
+    def int_of(self, k: int) -> int:
+        if k not in self.ints:
+            self.ints[k] = int.from_bytes(self.bits[k], "little")
+        return self.ints[k]
+
+
+def near_few(one: Rows, i: range, two: Rows, j: range, percent: int, same: bool) -> list[tuple[int, int, int, int]]:
+    """near_pairs() of small groups, one by one: (x, y, label of x, label of y)."""
+    out = []
+    for k in i:
+        for m in j:
+            if one.label[k] == two.label[m] or same and k - i.start >= m - j.start:
+                continue
+            total = one.n[k] + two.n[m]
+            if not fits(total, abs(one.n[k] - two.n[m]), percent):
+                continue
+            wide, other = 8 * len(one.bits[k]), 8 * len(two.bits[m])
+            least = min(wide, other)
+            if fits(total, (folded_int(one.int_of(k), wide, least) ^ folded_int(two.int_of(m), other, least)).bit_count(), percent):
+                out.append((one.node[k], two.node[m], one.label[k], two.label[m]))
+    return out
+
+
 def stars(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """(hub, member): each of n positions with a pair goes to one hub."""
     near: dict[int, list[int]] = {}
@@ -181,145 +232,137 @@ def _digests(docs: DataFrame) -> DataFrame:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             sets = list(sets_of([t.as_py() for t in batch.column(3).cast(pa.binary())]))
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            for h in sets:
+                np.add.at(counts, (h & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             none = [None] * len(sets)
             columns = [batch.column(0), batch.column(1), batch.column(2), [len(h) for h in sets], [node_of(h) if len(h) else None for h in sets], [bits_of(h) if len(h) else None for h in sets], none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         if counts.any():
             none = [None] * SLICES
-            packed = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, SLICES)]
+            kind = np.uint8 if counts.max() < 256 else np.uint32
+            packed = [zlib.compress(c.astype(kind).tobytes(), 1) for c in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none] * 6 + [list(range(SLICES)), packed], kinds, strict=True)], names=names)
 
     return docs.select("did", "th", "doc_id", "text").mapInArrow(run, "did long, th long, doc_id long, n long, node long, bits binary, slice int, counts binary")
 
 
-def common_bits(counters: DataFrame, total: int) -> np.ndarray:
-    """A bit for each counter: if it stands out from an even spread of total. counters: slice, counts."""
+def counter_steps(counters: DataFrame) -> np.ndarray:
+    """How full each counter is, in steps of half a power of two. counters: slice, counts."""
     import pyarrow as pa
 
-    mean = total / COUNTERS
-    least = mean + 4 * mean**0.5 + 8
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = zlib.decompress(packed.as_py())
                 sums.setdefault(k, np.zeros(COUNTERS // SLICES, np.int64))
-                sums[k] += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([np.packbits(v > least, bitorder="little").tobytes() for v in sums.values()], pa.binary())], names=["slice", "bits"])
+                sums[k] += np.frombuffer(counts, np.uint8 if len(counts) == COUNTERS // SLICES else np.uint32)
+        steps = {k: (2 * np.log2(v + 1)).astype(np.uint8).tobytes() for k, v in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([*steps], pa.int32()), pa.array([*steps.values()], pa.binary())], names=["slice", "steps"])
 
-    spread = counters.repartition(min(SLICES, partitions(counters.sparkSession)), "slice").mapInArrow(run, "slice int, bits binary")
-    out = np.zeros((SLICES, COUNTERS // SLICES // 8), np.uint8)
+    spread = counters.repartition(min(SLICES, partitions(counters.sparkSession)), "slice").mapInArrow(run, "slice int, steps binary")
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
     for row in spread.collect():  # SLICES rows
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        out[row["slice"]] = np.frombuffer(row["steps"], np.uint8)
     return out.ravel()
 
 
-def ordered(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Ascending hashes in the order of the join: common ones last."""
-    slot = h & np.uint64(COUNTERS - 1)
-    last = ((common[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    return np.concatenate([h[~last], h[last]])
+def ordered(h: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Ascending hashes in the order of the join."""
+    return h[np.argsort(steps[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")]
 
 
-def _columns(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """The matrix's first kind of columns: (key, grp, slack, low, high) for each shingle of a group's first fifths, with the least slack and
-    the range of sizes; and (key, grp, node) for each set. Equal sets come once from a task, mostly."""
+def _columns(docs: DataFrame, steps: np.ndarray, percent: int) -> DataFrame:
+    """(key, node, place, n): each set's first shingles with their places in its order and its size. Equal sets come once from a task, mostly."""
     import pyarrow as pa
 
-    wide = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["key", "grp", "node", "slack", "low", "high"]
-
-    def united(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        key = np.concatenate([p for p, _ in held])
-        size = np.repeat([q for _, q in held], [len(p) for p, _ in held]).astype(np.int64)
-        grp = np.repeat(np.array([p[0] for p, _ in held], np.uint64), [len(p) for p, _ in held])
-        place = np.concatenate([np.arange(len(p)) for p, _ in held])
-        slack = (100 + percent) * place - (100 - percent) * size
-        order = np.lexsort((grp, key))
-        key, grp, slack, size = key[order], grp[order], slack[order], size[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])))
-        columns = [key[new].view(np.int64), grp[new].view(np.int64), None, np.minimum.reduceat(slack, new), np.minimum.reduceat(size, new), np.maximum.reduceat(size, new)]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()) if c is None else pa.array(c) for c in columns], names=names)
+    wide = docs.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held, size = [], 0
         for batch in batches:
-            nodes, groups = [], []
+            held, size = [], 0
             for h in sets_of([t.as_py() for t in batch.column(0).cast(pa.binary())]):
                 if not len(h) or (node := node_of(h)) in seen:
                     continue
                 if len(seen) >= FLUSH:
                     seen.clear()  # only equal sets far apart come again
                 seen.add(node)
-                first = ordered(h, wide.value)[: (100 - percent) * len(h) // 100 + 1]
-                held.append((first, len(h)))
-                size += len(first)
-                nodes.append(node)
-                groups.append(first[0])
+                held.append((node, len(h), ordered(h, wide.value)[: (100 - percent) * len(h) // 100 + 1]))
+                size += len(held[-1][2])
                 if size >= FLUSH:
-                    yield united(held)
+                    yield rows(held)
                     held, size = [], 0
-            none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(groups, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), none, none, none], names=names)
-        if held:
-            yield united(held)
+            if held:
+                yield rows(held)
+
+    def rows(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(first) for _, _, first in held]
+        columns = [
+            pa.array(np.concatenate([first for _, _, first in held]).view(np.int64)), pa.array(np.repeat(np.array([node for node, _, _ in held], np.int64), sizes)),
+            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])), pa.array(np.repeat(np.array([n for _, n, _ in held], np.int32), sizes)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "node", "place", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, grp long, node long, slack long, low long, high long")
+    return docs.select("text").mapInArrow(run, "key long, node long, place int, n int")
 
 
-def _meetings(columns: DataFrame, percent: int) -> DataFrame:
-    """(a, b, null) for groups that meet in a column and may hold similar sets, (grp, null, node) for the sets of groups."""
+def _by_key(rows: DataFrame, solve: Callable[[np.ndarray], Iterator[np.ndarray]], schema: str) -> DataFrame:
+    """solve() on rows (columns as longs, key first) that hold keys whole; tasks hold one key and some FLUSH rows at a time."""
     import pyarrow as pa
 
-    names = ["a", "b", "node"]
-
-    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """rows: key, grp, slack, low, high, whole columns."""
-        key = rows[:, 0]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        many = np.repeat(np.diff(np.append(new, len(key))) > 1, np.diff(np.append(new, len(key))))
-        rows, out, step = rows[many], [], 1
-        at = np.arange(len(rows) - 1)
-        while len(at := at[at + step < len(rows)]) and len(at := at[rows[at, 0] == rows[at + step, 0]]):
-            x, y = rows[at], rows[at + step]
-            ok = (x[:, 1] != y[:, 1]) & (x[:, 2] + y[:, 2] <= 0) & (100 * x[:, 4] >= percent * y[:, 3]) & (100 * y[:, 4] >= percent * x[:, 3])
-            if ok.any():
-                out.append(np.sort(np.column_stack([x[ok, 1], y[ok, 1]]), axis=1))
-            step += 1
-            if out and (step % 64 == 0 or sum(map(len, out)) > FLUSH):
-                yield different(out)
-                out = []
-        if out:
-            yield different(out)
-
-    def different(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(pairs)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        both = both[np.append(True, (both[1:] != both[:-1]).any(1))]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64())], names=names)
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+
+        def solved(some: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for out in solve(some):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, k].copy()).cast(kind) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
         for batch in batches:
-            is_node = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            sets = batch.filter(pa.array(is_node))
-            yield pa.RecordBatch.from_arrays([sets.column(1), pa.nulls(sets.num_rows, pa.int64()), sets.column(2)], names=names)
-            rows = batch.filter(pa.array(~is_node))
-            held.append(np.column_stack([rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 3, 4, 5)]))
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             if sum(map(len, held)) >= FLUSH:
-                rows = np.concatenate(held)
-                whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-                yield from met(rows[:whole])
-                held = [rows[whole:]]
+                some = np.concatenate(held)
+                whole = int(np.searchsorted(some[:, 0], some[-1, 0]))
+                yield from solved(some[:whole])
+                held = [some[whole:]]
         if held:
-            yield from met(np.concatenate(held))
+            yield from solved(np.concatenate(held))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, schema)
+
+
+def _shared(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Of key, node, place, n those rows whose key several nodes have."""
+    if len(rows):
+        new = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        low, high = np.minimum.reduceat(rows[:, 1], new), np.maximum.reduceat(rows[:, 1], new)
+        yield rows[np.repeat(low < high, np.diff(np.append(new, len(rows))))]
 
-    dealt = columns.repartition(partitions(columns.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long, node long")
+
+def _meetings(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Of key, grp, slack, low, high the different pairs of groups that share a key and may hold similar sets."""
+
+    def different(pairs: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(pairs)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        return both[np.append(True, (both[1:] != both[:-1]).any(1))]
+
+    out, step, at = [], 1, np.arange(len(rows))
+    while len(at := at[at + step < len(rows)]) and len(at := at[rows[at, 0] == rows[at + step, 0]]):
+        x, y = rows[at], rows[at + step]
+        ok = (x[:, 2] + y[:, 2] <= 0) & (100 * x[:, 4] >= percent * y[:, 3]) & (100 * y[:, 4] >= percent * x[:, 3])
+        if ok.any():
+            out.append(np.sort(np.column_stack([x[ok, 1], y[ok, 1]]), axis=1))
+        step += 1
+        if out and sum(map(len, out)) > FLUSH:
+            yield different(out)
+            out = []
+    if out:
+        yield different(out)
 
 
 # --- opening groups and verifying
@@ -330,19 +373,15 @@ def _groups(sets: DataFrame) -> DataFrame:
     return sets.groupBy("grp", "part").agg(F.collect_list(F.struct("node", "n", "bits", "label")).alias("sets"))
 
 
-def _group(value: list) -> Group:
-    return Group([s["node"] for s in value], [s["n"] for s in value], [s["bits"] for s in value], [s["label"] for s in value])
-
-
 def _stars(groups: DataFrame, percent: int) -> DataFrame:
     """(x, y): for each part of a group, sets that may be similar to a hub of it."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(0):
-                g = _group(value.as_py())
+            out, rows = [], Rows(batch.column(0))
+            for row in range(batch.num_rows):
+                g = rows.group(row)
                 out += [(g.nodes[a], g.nodes[b]) for a, b in stars(len(g.nodes), *near_pairs(g, g, percent, True))]
             x, y = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
@@ -363,20 +402,24 @@ def _opened(pairs: DataFrame, groups: DataFrame, percent: int, witnesses: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            ids = [c.to_pylist() for c in batch.columns[:4]]
-            for at, (one, two) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                a, i, b, j = (c[at] for c in ids)
-                g, h = _group(one.as_py()), _group(two.as_py())
-                x, y = near_pairs(g, h, percent, (a, i) == (b, j))
-                found = np.column_stack([g.nodes[x], h.nodes[y], g.labels[x], h.labels[y]])
-                turned = found[:, 2] > found[:, 3]
-                found[turned] = found[turned][:, [1, 0, 3, 2]]
-                if witnesses and len(found):
-                    found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 3], found[:, 2]))]
-                    new = np.flatnonzero(np.append(True, (found[1:, 2:] != found[:-1, 2:]).any(1)))
-                    out += [(a, i, b, j, *row, n) for row, n in zip(found[new].tolist(), np.diff(np.append(new, len(found))).tolist(), strict=True)]
+            ids, one, two = [c.to_pylist() for c in batch.columns[:4]], Rows(batch.column(4)), Rows(batch.column(5))
+            for row, (a, i, b, j) in enumerate(zip(*ids, strict=True)):
+                mine, others, same = one.span(row), two.span(row), (a, i) == (b, j)
+                if len({*one.label[mine.start : mine.stop], *two.label[others.start : others.stop]}) == 1:
+                    continue
+                if len(mine) * len(others) <= FEW:
+                    found = near_few(one, mine, two, others, percent, same)
                 else:
-                    out += [(a, i, b, j, *row, 1) for row in found.tolist()]
+                    g, h = one.group(row), two.group(row)
+                    x, y = near_pairs(g, h, percent, same)
+                    found = zip(g.nodes[x].tolist(), h.nodes[y].tolist(), g.labels[x].tolist(), h.labels[y].tolist(), strict=True)
+                found = sorted((lx, ly, x, y) if lx < ly else (ly, lx, y, x) for x, y, lx, ly in found)
+                if witnesses:
+                    for (lx, ly), same_two in groupby(found, key=lambda f: f[:2]):
+                        some = list(same_two)
+                        out.append((a, i, b, j, some[0][2], some[0][3], lx, ly, len(some)))
+                else:
+                    out += [(a, i, b, j, x, y, lx, ly, 1) for lx, ly, x, y in found]
             columns = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -416,12 +459,6 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     return dealt.select("x", "part", "node", "text").mapInArrow(run, "a long, b long")
 
 
-def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """sets with the cluster that the edges put each in as its label."""
-    roots = connected_components(edges).withColumnRenamed("root", "_root")
-    return written(sets.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("_root", "node")).drop("_root"), "jaccard-labels")
-
-
 def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles (size of the document's set) and component_id (the least doc_id that chains of links reach) of each document.
 
@@ -436,18 +473,21 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     rows, counters = seen.where("slice IS NULL"), seen.where("slice IS NOT NULL").select("slice", "counts")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.min_by(F.struct("did", "th", "n", "bits"), F.struct("did", "th")).alias("r"))
     nodes = written(nodes.select("node", "least_doc", "r.*"), "jaccard-nodes")
-    common = common_bits(counters, rows.agg(F.sum("n")).first()[0] or 0)
-    met = written(_meetings(_columns(docs, common, percent), percent), "jaccard-met")
-    apart = met.where("node IS NULL").select("a", "b").distinct()
-    sets = met.where("node IS NOT NULL").select(F.col("a").alias("grp"), "node").distinct()
+    steps = counter_steps(counters)
+    shared = written(_by_key(_columns(docs, steps, percent), _shared, "key long, node long, place int, n int"), "jaccard-shared")
+    sets = written(shared.groupBy("node").agg(F.min_by("key", "place").alias("grp")), "jaccard-grouped")
+    slack = (100 + percent) * F.col("place").cast("long") - (100 - percent) * F.col("n")
+    matrix = shared.join(sets, "node").groupBy("key", "grp").agg(F.min(slack).alias("slack"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"))
+    apart = _by_key(matrix, lambda rows: _meetings(rows, percent), "a long, b long").distinct()
     sizes = written(sets.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n_sets")), "jaccard-groups")
     apart = written(apart, "jaccard-pairs")
     open_ = apart.select(F.col("a").alias("grp")).union(apart.select("b")).union(sizes.where("n_sets > 1").select("grp")).distinct()
     sets = sets.join(open_, "grp", "left_semi").join(sizes.drop("n_sets"), "grp").join(nodes.select("node", "n", "bits"), "node")
     sets = written(sets.select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "n", "bits", F.col("node").alias("label")), "jaccard-sets")
-    # one: stars inside the parts of groups
+    # one: stars inside the parts of groups; a set is in one star at most, so its hub is the label
     links = cut(verified(docs, nodes, _stars(_groups(sets), percent), percent))
-    sets = _labelled(sets, links)
+    hubs = links.select(F.col("b").alias("node"), F.col("a").alias("_hub"))
+    sets = written(sets.drop("label").join(hubs, "node", "left").withColumn("label", F.coalesce("_hub", "node")).drop("_hub"), "jaccard-labels")
     # two: a witness for each two clusters, over all pairs of parts that may hold one
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     end = lambda c: sizes.select(F.col("grp").alias(c), F.col("parts").alias(f"p{c}"))
@@ -455,17 +495,19 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     own = sizes.where("n_sets > 1").select(F.col("grp").alias("a"), upto("parts").alias("i"), F.col("grp").alias("b"), "parts").select("a", "i", "b", upto("parts").alias("j")).where("i <= j")
     left = written(_opened(cross.unionByName(own), _groups(sets), percent, True), "jaccard-open")
     chosen = written(left.groupBy("lx", "ly").agg(F.min(F.struct("x", "y")).alias("w")).select("lx", "ly", "w.*"), "jaccard-witnesses")
-    links = cut(links.union(verified(docs, nodes, chosen.select("x", "y"), percent)))
+    found = cut(verified(docs, nodes, chosen.select("x", "y"), percent))
+    links = links.union(found)
     # three: all pairs of the clusters that are still apart, where they aren't verified already
-    roots = connected_components(links)
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    left = left.join(chosen.select("x", "y", F.lit(True).alias("done")), ["x", "y"], "left").where("done IS NULL OR n > 1")
-    left = left.join(side("x"), "x", "left").join(side("y"), "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)").select("a", "i", "b", "j").distinct()
+    joined = chosen.join(found.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").select("lx", "ly")
+    left = left.join(chosen.select("x", "y", F.lit(True).alias("done")), ["x", "y"], "left").where("done IS NULL OR n > 1").join(joined, ["lx", "ly"], "left_anti")
     left = written(left, "jaccard-left")
+    roots = connected_components(links)
     if not left.isEmpty():
-        sets = _labelled(sets, links)
-        links = cut(links.union(verified(docs, nodes, _opened(left, _groups(sets), percent, False).select("x", "y"), percent)))
-        roots = connected_components(links)
+        side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        left = left.join(side("x"), "x", "left").join(side("y"), "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)").select("a", "i", "b", "j").distinct()
+        labelled = sets.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        found = cut(verified(docs, nodes, _opened(left, _groups(labelled), percent, False).select("x", "y"), percent))
+        roots = connected_components(links.union(found))
     named = nodes.select("node", "least_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = written(named.join(heads, "root").select("node", "component_id"), "jaccard-named")
