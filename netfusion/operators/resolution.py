@@ -129,3 +129,11 @@ def resolve(mentions: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFram
         F.substring(F.sha2(text, 256), 1, 16).alias("evidence_hash"),
     )
     return judged.select(F.col("value").alias("mention"), canonical.alias("canonical")), log
+
+
+def history_context(history: DataFrame, order: str) -> DataFrame:
+    """person_id, address and org of each person in history (person_id, known_address, gang_affiliation): of each the last value that isn't
+    empty, by ``order``, whatever row it is in; null if all are."""
+    last = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col(order)))
+    some = lambda c: F.max(F.coalesce(c, F.lit("")) != "")
+    return history.groupBy("person_id").agg(F.when(some("known_address"), last("known_address")).alias("address"), F.when(some("gang_affiliation"), last("gang_affiliation")).alias("org"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netfusion.operators import bursts, finance, graph, pairs, signals
+from netfusion.operators import bursts, finance, graph, pairs, resolution, signals
 from netfusion.plans.relational import call_bursts
 from netfusion.plans.relational import FINANCIAL_ANOMALIES, Z
 from netfusion.plans.views import ARCS, CALLS, EDGE_ARCS, EDGES, GRAPH, LEVELS, PEOPLE, TXNS, between_sql, call_pairs, calls, edges, levels_sql, pagerank_sql, people, sql, table, txns, users
@@ -171,10 +171,45 @@ def _labels_sql(rounds: int) -> str:
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.louvain(call_pairs(spark, d))
+    """Louvain communities of callers, flagged bridges taken out."""
+    e, p = edges(spark, d), people(spark, d)
+    flagged = true_bridges(e, p, between(e)).where("flagged")
+    c = graph.louvain(graph.without(call_pairs(spark, d), flagged))
     return graph.community_profile(c, people(spark, d)).select("community", "size", "dominant_cell")
 
 
+def label_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities by label propagation, flagged bridges taken out, by size: T8 and the filter of G7."""
+    e, p = edges(spark, d), people(spark, d)
+    flagged = true_bridges(e, p, between(e)).where("flagged")
+    labels = graph.label_propagation(graph.without(call_pairs(spark, d), flagged), 3).withColumnRenamed("label", "community")
+    return graph.community_profile(labels, p).select("community", "size", "dominant_cell")
+
+
+def _label_communities_sql(rounds: int = 3) -> str:
+    parts = [*BRIDGE_PARTS, "flagged AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY bridge_score DESC, id) AS k FROM br) WHERE k <= 6)", GRAPH]
+    parts.append("left_ AS (SELECT src AS u, dst AS v FROM graph WHERE src NOT IN (SELECT id FROM flagged) AND dst NOT IN (SELECT id FROM flagged))")
+    parts.append("la AS (SELECT u, v FROM left_ UNION ALL SELECT v, u FROM left_)")
+    parts.append("l0 AS (SELECT DISTINCT u AS id, u AS label FROM la)")
+    for k in range(rounds):
+        parts.append(
+            f"l{k + 1} AS (SELECT id, arg_max(label, (n, -label)) AS label FROM (SELECT id, label, count(*) AS n FROM (SELECT u AS id, label FROM la JOIN l{k} ON l{k}.id = v UNION ALL SELECT id, label FROM l{k}) GROUP BY id, label) GROUP BY id)"
+        )
+    parts.append(f"cn AS (SELECT label, coalesce(cell, 'Unknown') AS cell, count(*) AS n FROM l{rounds} LEFT JOIN people USING (id) GROUP BY 1, 2)")
+    return sql(*parts, select="SELECT label AS community, CAST(sum(n) AS BIGINT) AS size, arg_min(cell, (-n, cell)) AS dominant_cell FROM cn GROUP BY label")
+
+
+def history_context(spark: SparkSession, d: str) -> DataFrame:
+    """What is last known of customers, their orders being the history; some rows know one thing, some the other, some neither."""
+    k = F.col("o_orderkey")
+    sometimes = lambda n, value: F.when(k % n == 0, "").when(k % n == 1, F.lit(None).cast("string")).otherwise(value)
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("person_id"), sometimes(3, F.concat(F.lit("Street "), (k % 17).cast("string"))).alias("known_address"), sometimes(4, F.col("o_orderpriority")).alias("gang_affiliation"), k.alias("row"))
+    return resolution.history_context(rows, "row")
+
+
+HISTORY_CONTEXT = """SELECT o_custkey AS person_id, arg_max('Street ' || o_orderkey % 17, o_orderkey) FILTER (WHERE o_orderkey % 3 = 2) AS address,
+arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 4 >= 2) AS org FROM orders GROUP BY o_custkey"""
+
 SEGMENTS = {"click": "AUTOMOBILE", "error": "BUILDING", "purchase": "FURNITURE", "signup": "HOUSEHOLD", "view": "MACHINERY"}
 
 
@@ -381,6 +416,8 @@ QUERIES = {
     "betweenness": (betweenness, BETWEENNESS),
     "label_propagation": (label_propagation, _labels_sql(3)),
     "communities": (communities, None),
+    "label_communities": (label_communities, _label_communities_sql()),
+    "history_context": (history_context, HISTORY_CONTEXT),
     "communication_anomalies": (unified_anomalies, COMMUNICATION),
     "cross_entity_cases": (cross_case, sql(PEOPLE, TXNS, *CROSS_PARTS, select="SELECT * FROM x")),
     "lead_scores": (lead_scores, LEADS),

@@ -62,7 +62,8 @@ class Case:
     def resolved(self) -> tuple[DataFrame, DataFrame]:
         m = extraction.name_mentions(self.texts, extraction.known_names(self.people))
         m = m.select((F.xxhash64("source_type", "doc_id", "seq", "value")).alias("seq"), "value", F.lit(None).cast("string").alias("phone"), "evidence_snippet", F.col("doc_id").alias("source_id"), "source_type")
-        history = self.datasets["criminal_history"].groupBy("person_id").agg(F.max("known_address").alias("address"), F.max("gang_affiliation").alias("org"))
+        # a file is read in order, so its rows' numbers are too
+        history = resolution.history_context(self.datasets["criminal_history"].withColumn("_row", F.monotonically_increasing_id()), "_row")
         p = self.people.join(history, self.people.id == history.person_id, "left").select("id", "name", "cell", "phone", "account", "address", "org", "ordinal")
         mapping, log = resolution.resolve(m, p)
         return cut(mapping), log
@@ -126,9 +127,11 @@ class Case:
     def _bridges(self) -> DataFrame:
         return cut(graph.bridges(self.centrality.select("id", "cell", "betweenness"), graph.cross_cell_degree(self.graph[1], self.graph[0])))
 
-    def communities(self) -> DataFrame:
+    def communities(self, filter_bridges: bool = True) -> DataFrame:
+        """Louvain communities of people; the flagged bridges are taken out first, as they join what else falls apart."""
         ids = self.people.select("id")
         e = graph.surviving(self.graph[1].where(F.col("kind").isin("CALLED", "TRANSACTED")), ids)
+        e = graph.without(e, self.bridges().where("flagged")) if filter_bridges else e
         return graph.community_profile(graph.louvain(e), self.people)
 
     def anomalies(self) -> DataFrame:
