@@ -1,11 +1,13 @@
 """Graph operators over edge lists. edges: src, dst (and kind, confidence, day where an operator says so); nodes: id and attributes.
 
 Iterative operators join and aggregate per round and end a round in a checkpoint. All-pairs kernels (betweenness, efficiency) get the
-adjacency as a broadcast, behind a limit on its edges, and run one breadth-first search per source, spread over the cluster.
+adjacency as a broadcast, behind a limit on its edges, and run one breadth-first search per source, spread over the cluster; beyond it
+rounds of joins take their place, over sampled sources and sketches of neighbourhoods.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -15,6 +17,8 @@ from netfusion.operators.ranking import ranked
 from netfusion.session import cut
 
 MAX_BROADCAST_EDGES = 5_000_000
+#: Sources of a larger graph's betweenness.
+SOURCES = 256
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -147,15 +151,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     return ranks.select("id", "rank")
 
 
-def _adjacency(edges: DataFrame) -> tuple[list, tuple]:
-    """Different nodes in order, and their neighbours as positions: where each node's begin, and all of them; for a graph small enough
-    to broadcast."""
+def _adjacency(edges: DataFrame) -> tuple[list, tuple] | None:
+    """Different nodes in order, and their neighbours as positions: where each node's begin, and all of them; None for a graph too large to
+    broadcast."""
     import numpy as np
 
     simple = undirected(edges)
     n = simple.count()
     if n > MAX_BROADCAST_EDGES:
-        raise ValueError(f"{n} edges are too many for an all-pairs kernel; filter the graph or sample its sources")
+        return None
     pairs = simple.toPandas()
     ids = sorted({*pairs["a"], *pairs["b"]})
     at = {x: i for i, x in enumerate(ids)}
@@ -202,13 +206,20 @@ def _different(at, n: int):
     return np.flatnonzero(np.bincount(at, minlength=n)) if 4 * len(at) >= n else np.unique(at)
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """id, betweenness of nodes that have an edge: shortest paths through them, over (n-1)(n-2); by Brandes' sums, a search per source."""
+def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
+    """id, betweenness of nodes that have an edge: shortest paths through them, over (n-1)(n-2); by Brandes' sums, a search per source.
+
+    A graph of over MAX_BROADCAST_EDGES edges, or one for which ``sources`` is given, goes through betweenness_by_rounds() with that many
+    sources (SOURCES unless given), whose column error says how far its values may be off.
+    """
     import numpy as np
     import pandas as pd
 
     spark = edges.sparkSession
-    ids, near = _adjacency(edges)
+    small = _adjacency(edges) if sources is None else None
+    if small is None:
+        return betweenness_by_rounds(edges, SOURCES if sources is None else sources).drop("error")
+    ids, near = small
     n = len(ids)
     kind = edges.schema["src"].dataType.simpleString()
     graph = spark.sparkContext.broadcast(near)
@@ -239,12 +250,88 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return names.join(sums, "at", "left").select("id", F.coalesce(F.col("credit") / scale, F.lit(0.0)).alias("betweenness"))
 
 
+def betweenness_by_rounds(edges: DataFrame, sources: int | None = None, batch: int = 64, seed: int = 0, risk: float = 0.05) -> DataFrame:
+    """id, betweenness and error at any size: Brandes' sums by joins, ``batch`` sources at a time, so that a batch's state has at most
+    batch * nodes rows.
+
+    Forwards, each level of all searches of a batch is one join of the last level with the arcs, which counts paths, without what was reached
+    before; backwards, each level's shares are one join with the level beyond. With ``sources`` only that many, the first by a hash, are searched
+    and sums scaled up; then all values together are off by more than error with a chance of at most ``risk`` (Hoeffding's bound over the
+    sources, each giving a share between 0 and 1, for all nodes). Without, every node is a source and error is 0. Numbers of paths are doubles.
+    """
+    arcs = cut(both_ways(undirected(edges)))
+    ids = cut(arcs.select(F.col("u").alias("id")).distinct())
+    n = ids.count()
+    if sources is None or sources >= n:
+        picked, count, error = ids, n, 0.0
+    else:
+        picked, count = ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sources), sources
+        error = n / max(n - 1, 1) * math.sqrt(math.log(2 * n / risk) / (2 * count))
+    batches = max(1, -(-count // batch))
+    picked = cut(picked.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(batches))))
+    total = None
+    for k in range(batches):
+        levels = [picked.where(F.col("batch") == k).select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(1.0).alias("c"))]
+        seen = levels[0].select("s", "t")
+        while True:
+            step = levels[-1].join(arcs, F.col("t") == F.col("u")).groupBy("s", F.col("v").alias("t")).agg(F.sum("c").alias("c"))
+            step = cut(step.join(seen, ["s", "t"], "left_anti"))
+            if step.isEmpty():
+                break
+            levels.append(step)
+            seen = seen.union(step.select("s", "t"))
+        beyond = None
+        for level in reversed(levels[1:]):
+            if beyond is None:
+                beyond = level.withColumn("d", F.lit(0.0))
+            else:
+                shares = beyond.join(arcs, F.col("t") == F.col("v")).groupBy("s", F.col("u").alias("t")).agg(F.sum((1 + F.col("d")) / F.col("c")).alias("g"))
+                beyond = cut(level.join(shares, ["s", "t"], "left").select("s", "t", "c", (F.col("c") * F.coalesce("g", F.lit(0.0))).alias("d")))
+            part = beyond.groupBy(F.col("t").alias("id")).agg(F.sum("d").alias("d"))
+            total = part if total is None else total.union(part)
+        if total is not None:
+            total = cut(total.groupBy("id").agg(F.sum("d").alias("d")))
+    scale = n / max(count, 1) / ((n - 1) * (n - 2) or 1)
+    credit = F.lit(0.0) if total is None else F.coalesce(F.col("d") * scale, F.lit(0.0))
+    out = ids if total is None else ids.join(total, "id", "left")
+    return out.select("id", credit.alias("betweenness"), F.lit(error).alias("error"))
+
+
+def efficiency_by_hops(edges: DataFrame, nodes: DataFrame | None = None, bits: int = 10) -> tuple[float, float]:
+    """(efficiency, its relative standard error) at any size, from the sizes of neighbourhoods.
+
+    Each node's neighbourhood of k hops is a HyperLogLog sketch of 2**bits registers; one more hop unites those of its neighbours along the arcs.
+    The pairs at distance k are what all sketches together grow by; a sketch is off by 1.04 / sqrt(2**bits), all nodes' together mostly by less.
+    Rounds end when no sketch grows.
+    """
+    arcs = cut(both_ways(undirected(edges)))
+    ids = arcs.select(F.col("u").alias("id")).distinct()
+    n = ids.count() if nodes is None else nodes.select("id").union(edges.select("src")).union(edges.select("dst")).distinct().count()
+    if n < 2 or arcs.isEmpty():
+        return 0.0, 0.0
+    balls = cut(ids.groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("ball")))
+    size = lambda: balls.agg(F.sum(F.hll_sketch_estimate("ball"))).first()[0]
+    total, last, hop = 0.0, size(), 0
+    while True:
+        hop += 1
+        heard = arcs.join(balls.select(F.col("id").alias("v"), "ball"), "v").select(F.col("u").alias("id"), "ball")
+        balls = cut(heard.union(balls).groupBy("id").agg(F.hll_union_agg("ball").alias("ball")))
+        now = size()
+        if now <= last:
+            return total / (n * (n - 1)), 1.04 / math.sqrt(1 << bits)
+        total, last = total + (now - last) / hop, now
+
+
 def efficiency(edges: DataFrame, nodes: DataFrame | None = None) -> float:
-    """Mean of 1 / distance over ordered pairs of nodes (isolated ``nodes`` count); 0 for fewer than two."""
+    """Mean of 1 / distance over ordered pairs of nodes (isolated ``nodes`` count); 0 for fewer than two. Beyond MAX_BROADCAST_EDGES edges
+    it is estimated by efficiency_by_hops()."""
     import pandas as pd
 
     spark = edges.sparkSession
-    ids, near = _adjacency(edges)
+    small = _adjacency(edges)
+    if small is None:
+        return efficiency_by_hops(edges, nodes)[0]
+    ids, near = small
     n = len(ids) if nodes is None else nodes.select("id").union(edges.select("src")).union(edges.select("dst")).distinct().count()
     if n < 2 or not ids:
         return 0.0

@@ -154,6 +154,11 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graph.betweenness(call_pairs(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
+def betweenness_by_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same by rounds of joins, every node a source."""
+    return graph.betweenness_by_rounds(call_pairs(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
 BETWEENNESS = sql(CALLS, GRAPH, ARCS, *between_sql(), select="SELECT id, round(betweenness, 6) AS betweenness FROM between")
 
 
@@ -414,6 +419,7 @@ QUERIES = {
     "whatif_impact": (what_if, WHAT_IF),
     "pagerank_k": (pagerank, sql(CALLS, GRAPH, ARCS, *pagerank_sql(4), select="SELECT id, round(rank, 9) AS rank FROM r4")),
     "betweenness": (betweenness, BETWEENNESS),
+    "betweenness_by_rounds": (betweenness_by_rounds, BETWEENNESS),
     "label_propagation": (label_propagation, _labels_sql(3)),
     "communities": (communities, None),
     "label_communities": (label_communities, _label_communities_sql()),

@@ -175,3 +175,41 @@ def test_evidence_of_single_calls(spark, case, tmp_path):
     spark.read.parquet(f"{d}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
     ties = relational.QUERIES["evidence_points"][0](spark, str(tmp_path)).collect()
     assert {(r.p, r.q) for r in ties} == case[2] and min(r.evidence_points for r in ties) < 4
+
+
+def _random_graph(n, m, seed):
+    rng = random.Random(seed)
+    return [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n + 1, n + 2), (n + 2, n + 3), (5, 5)]
+
+
+def test_betweenness_by_rounds_equals_the_kernel(spark):
+    e = spark.createDataFrame(_random_graph(40, 60, 1), "src long, dst long")
+    kernel = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    rounds = graph.betweenness_by_rounds(e, batch=16).collect()
+    assert {r.id for r in rounds} == {*kernel} and {r.error for r in rounds} == {0.0}
+    assert all(abs(r.betweenness - kernel[r.id]) < 1e-12 for r in rounds)
+
+
+def test_sampled_betweenness_keeps_its_bound(spark, monkeypatch):
+    e = spark.createDataFrame(_random_graph(60, 150, 2), "src long, dst long")
+    kernel = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    some = graph.betweenness_by_rounds(e, sources=20).collect()
+    assert {r.id for r in some} == {*kernel} and 0 < some[0].error < 1
+    assert max(abs(r.betweenness - kernel[r.id]) for r in some) <= some[0].error
+    monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)  # a graph beyond the limit takes the rounds by itself
+    assert {r.id: round(r.betweenness, 9) for r in graph.betweenness(e).collect()} == {k: round(v, 9) for k, v in kernel.items()}
+
+
+def test_betweenness_by_rounds_of_nothing(spark):
+    empty = spark.createDataFrame([], "src long, dst long")
+    assert graph.betweenness_by_rounds(empty).collect() == [] and graph.efficiency_by_hops(empty) == (0.0, 0.0)
+
+
+def test_efficiency_by_hops_is_near_the_exact_one(spark, monkeypatch):
+    e = spark.createDataFrame(_random_graph(300, 700, 3), "src long, dst long")
+    people = spark.createDataFrame([(k,) for k in range(320)], "id long")
+    exact = graph.efficiency(e, people)
+    value, error = graph.efficiency_by_hops(e, people, bits=12)
+    assert abs(value - exact) <= 3 * error * exact
+    monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)
+    assert abs(graph.efficiency(e, people) - exact) < 0.1 * exact
