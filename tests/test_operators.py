@@ -298,3 +298,25 @@ def test_similar_names_need_no_common_initial(spark):
     best = {r.value: (r.id, round(r.name_score, 1)) for r in resolution.best_candidates(resolution.scored(resolution.candidates(m, p))).collect()}
     # 88.9 by the ratio, 0.95 * 200 * 8 / 17 by its parts; no name is like Zed
     assert best == {"Shristina": (1, 89.4), "Ali": (2, 95.0)}
+
+
+def test_sessions_end_at_gaps(spark):
+    rng = random.Random(2)
+    days = sorted(rng.sample(range(-400, 2500), 300)) + list(range(3000, 3600))
+    want, start = {}, None
+    for i, d in enumerate(days):
+        start = d if i == 0 or d - days[i - 1] > 6 else start
+        want[d] = start
+    df = spark.createDataFrame([(d,) for d in days + days[:5]], "day int")
+    got = {r.day: r.session for r in bursts.sessions(df, 6, block=50).collect()}
+    assert got == want and len({*want.values()}) > 20
+
+
+def test_greedy_groups_do_not_depend_on_where_sessions_are(spark):
+    """Two far copies of the same bursts give the same groups twice."""
+    rng = random.Random(4)
+    one = [(rng.choice("ABC"), d, 5, round(rng.random() * 3 + 2, 2)) for d in rng.sample(range(1, 80), 30)]
+    schema = "cell string, day int, n long, zscore double"
+    alone = [tuple(r)[:6] for r in bursts.temporal_groups(spark.createDataFrame(one, schema)).orderBy("first_day").collect()]
+    both = [tuple(r)[:6] for r in bursts.temporal_groups(spark.createDataFrame(one + [(c, d + 1000, n, z) for c, d, n, z in one], schema)).orderBy("first_day").collect()]
+    assert both == alone + [(a + 1000, z + 1000, [d + 1000 for d in ds], *rest) for a, z, ds, *rest in alone] and alone
