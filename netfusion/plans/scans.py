@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from netfusion.operators import faces, graph, ingest
 from netfusion.plans.views import CALLS, CASES, EDGES, TXNS, calls, cases, edges, people, sql, table, txns
 from netfusion.session import shared_dir
+from netfusion.service.engine import Case
 from netfusion.service.store import CaseStore
 from netfusion.sources import detect, files, sinks
 from netfusion.sources.schemas import COLUMNS, FLAG
@@ -77,6 +78,48 @@ def load_folder(spark: SparkSession, d: str) -> DataFrame:
     return counts.unionByName(bad.groupBy(F.concat_ws(": ", "source_file", "reason").alias("name")).agg(F.count("*").alias("n")).select(F.lit("quarantine").alias("what"), "name", "n"))
 
 
+def uploaded(spark: SparkSession, d: str) -> Case:
+    """A case of four files with headers of their own: calls and transfers by commas and semicolons, people by tabs in Latin-1, and
+    a table of no dataset."""
+    at = folder(spark, "upload")
+    c = calls(spark, d).select(F.col("call_id").alias("CDR No"), F.when(F.col("call_id") % 10 > 0, F.concat(F.lit("U"), "caller")).alias("A Num"), F.concat(F.lit("U"), "callee").alias("B Num"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date-Time"), F.col("duration").alias("Call Length"), F.col("tower").alias("Tower ID"))
+    c.write.csv(f"{at}/calls.csv", header=True)
+    o = table(spark, d, "orders")
+    t = o.select(F.col("o_orderkey").alias("Trans ID"), F.concat(F.lit("U"), "o_custkey").alias("Payer ID"), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("R"), F.col("o_orderkey") % 97)).alias("Beneficiary ID"), F.floor("o_totalprice").cast("string").alias("Txn Amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"))
+    t.write.csv(f"{at}/bank.csv", header=True, sep=";")
+    p = table(spark, d, "customer").select(F.concat(F.lit("U"), "c_custkey").alias("Person ID"), F.concat(F.lit("Zoé "), "c_name").alias("Full Name"), F.col("c_mktsegment").alias("Gang Cell"), F.concat(F.lit("70"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("Phone Number"), F.lit("").alias("Bank Account"))
+    p.write.csv(f"{at}/people.csv", header=True, sep="\t", encoding="ISO-8859-1")
+    table(spark, d, "region").write.csv(f"{at}/odd.csv", header=True)
+    return Case.from_files(spark, [f"{at}/{n}.csv" for n in ("calls", "bank", "people", "odd")])
+
+
+def uploaded_case(spark: SparkSession, d: str) -> DataFrame:
+    """What files with foreign headers came to, and the ends of the graph that the case has of them."""
+    case = uploaded(spark, d)
+    out = None
+    for name in ("cdrs", "transactions", "people_directory", "firs"):
+        n = case.datasets[name].agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    out = out.unionByName(case.quarantine.groupBy(F.concat_ws(": ", "source_file", "reason").alias("name")).agg(F.count("*").alias("n")).select(F.lit("quarantine").alias("what"), "name", "n"))
+    named = case.datasets["people_directory"].where("name LIKE 'Zo\u00e9 %'").agg(F.count("*").alias("n")).select(F.lit("named").alias("what"), F.lit("Zo\u00e9").alias("name"), "n")
+    large = case.txns.where("amount >= 100000").groupBy(F.col("sender").alias("name")).agg(F.sum("amount").alias("n")).select(F.lit("sent").alias("what"), "name", "n")
+    called = case.calls.groupBy(F.col("callee").alias("name")).agg(F.sum("duration").alias("n")).select(F.lit("heard").alias("what"), "name", "n")
+    return out.unionByName(named).unionByName(large).unionByName(called)
+
+
+UPLOADED_CASE = sql(
+    CALLS,
+    "good AS (SELECT * FROM calls WHERE call_id % 10 > 0)", "sent AS (SELECT * FROM orders WHERE o_orderkey % 4 > 0)",
+    select="""SELECT 'rows' AS what, 'cdrs' AS name, count(*) AS n FROM good UNION ALL SELECT 'rows', 'transactions', count(*) FROM sent UNION ALL SELECT 'rows', 'people_directory', count(*) FROM customer UNION ALL SELECT 'rows', 'firs', 0
+UNION ALL SELECT 'quarantine', 'calls.csv: Missing/invalid required field(s): caller_phone / caller_id', count(*) FROM calls WHERE call_id % 10 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'quarantine', 'bank.csv: Missing/invalid required field(s): receiver_id / receiver_account', count(*) FROM orders WHERE o_orderkey % 4 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'quarantine', 'odd.csv: Unknown dataset', 1
+UNION ALL SELECT 'named', 'Zoé', count(*) FROM customer
+UNION ALL SELECT 'sent', 'U' || o_custkey, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT FROM sent WHERE floor(o_totalprice) >= 100000 GROUP BY o_custkey
+UNION ALL SELECT 'heard', 'U' || callee, sum(duration)::BIGINT FROM good GROUP BY callee""",
+)
+
+
 def directory(spark: SparkSession, d: str, path: str) -> None:
     """Customers as a people directory, those of BUILDING as noise."""
     p = people(spark, d).select(*(F.col("id").cast("string").alias("id") if c == "id" else F.col(c) if c in ("name", "role", "cell") else F.lit(None).cast("string").alias(c) for c in COLUMNS["people_directory"]))
@@ -474,6 +517,7 @@ def normalized_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "uploaded_case": (uploaded_case, UPLOADED_CASE),
     "scan_fixed_csv": (scan_fixed_csv, FIXED),
     "quarantine_csv": (quarantine_csv, "SELECT 'transactions.csv' AS source_file, 'Missing day' AS reason, '0.3' AS confidence, count(*) AS n, count(*) AS lines FROM orders WHERE o_orderkey % 9 = 0"),
     "load_folder": (

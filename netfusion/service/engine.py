@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -13,6 +14,7 @@ from netfusion.operators import bursts, extraction, finance, geo, graph, ingest,
 from netfusion.service import ask
 from netfusion.session import cut
 from netfusion.sources.files import load_all
+from netfusion.sources.upload import upload
 
 CELLS = ("A", "B", "C")
 
@@ -33,6 +35,12 @@ class Case:
         datasets, bad = load_all(spark, folder)
         return cls(spark, datasets, bad)
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, paths: Sequence[str], mappings: Mapping[str, Mapping[str, str | None]] | None = None) -> Case:
+        """A case of files with any headers; see upload(). What each file was taken for is in options["files"]."""
+        got = upload(spark, paths, mappings)
+        return cls(spark, got.datasets, got.quarantine, options={"files": got.files})
+
     @cached_property
     def people(self) -> DataFrame:
         p = self.datasets["people_directory"]

@@ -72,11 +72,18 @@ def load_all(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Da
     return out, bad
 
 
-def read_table(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+def table_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding of the trial in which every line can be read: UTF-8, or Latin-1, which takes any byte. Lines are judged by tasks."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
+def read_table(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """Any delimited text with a header, as strings: cells trimmed of nothing, missing ones empty, blank rows dropped, line ends in quotes
-    kept. The delimiter is sniffed from the first lines."""
+    kept. The delimiter is sniffed from the first lines, the encoding is tried on all of them unless it is given."""
+    if encoding is None:
+        encoding = table_encoding(spark, path)
     if delimiter is None:
-        delimiter = sniff_delimiter("\n".join(r.value for r in spark.read.text(path).limit(20).collect()))
+        delimiter = sniff_delimiter("\n".join(r.value for r in spark.read.option("encoding", encoding).text(path).limit(20).collect()))
     raw = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, escape='"', encoding=encoding, mode="PERMISSIVE")
     raw = raw.toDF(*(c.strip().lstrip("﻿") for c in raw.columns)).na.fill("")
     return raw.where(F.exists(F.array(*(F.col(f"`{c}`") for c in raw.columns)), lambda x: F.trim(x) != ""))
