@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfusion.llm.common import cut, partitions, written
@@ -336,15 +336,18 @@ def _by_key(rows: DataFrame, solve: Callable[[np.ndarray], Iterator[np.ndarray]]
 
 
 def _shared(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Of key, node, place, n those rows whose key several nodes have."""
-    if len(rows):
-        new = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-        low, high = np.minimum.reduceat(rows[:, 1], new), np.maximum.reduceat(rows[:, 1], new)
-        yield rows[np.repeat(low < high, np.diff(np.append(new, len(rows))))]
+    """Of key, node, place, n those rows whose key several nodes have, each once."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]]
+    same = np.append(rows[1:, 0] == rows[:-1, 0], False)[: len(rows)]
+    yield rows[same | np.append(False, same[:-1])[: len(rows)]]
 
 
 def _meetings(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Of key, grp, slack, low, high the different pairs of groups that share a key and may hold similar sets."""
+    """Of key, grp, slack, low, high, prev the different pairs of groups that share a key and may hold similar sets.
+
+    prev is the shared key before this one in all sets of the group that have this one, else 0: groups with the same one meet there, or before.
+    """
 
     def different(pairs: list[np.ndarray]) -> np.ndarray:
         both = np.concatenate(pairs)
@@ -354,7 +357,7 @@ def _meetings(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     out, step, at = [], 1, np.arange(len(rows))
     while len(at := at[at + step < len(rows)]) and len(at := at[rows[at, 0] == rows[at + step, 0]]):
         x, y = rows[at], rows[at + step]
-        ok = (x[:, 2] + y[:, 2] <= 0) & (100 * x[:, 4] >= percent * y[:, 3]) & (100 * y[:, 4] >= percent * x[:, 3])
+        ok = (x[:, 2] + y[:, 2] <= 0) & ((x[:, 5] != y[:, 5]) | (x[:, 5] == 0)) & (100 * x[:, 4] >= percent * y[:, 3]) & (100 * y[:, 4] >= percent * x[:, 3])
         if ok.any():
             out.append(np.sort(np.column_stack([x[ok, 1], y[ok, 1]]), axis=1))
         step += 1
@@ -474,10 +477,13 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.min_by(F.struct("did", "th", "n", "bits"), F.struct("did", "th")).alias("r"))
     nodes = written(nodes.select("node", "least_doc", "r.*"), "jaccard-nodes")
     steps = counter_steps(counters)
-    shared = written(_by_key(_columns(docs, steps, percent), _shared, "key long, node long, place int, n int"), "jaccard-shared")
-    sets = written(shared.groupBy("node").agg(F.min_by("key", "place").alias("grp")), "jaccard-grouped")
+    shared = _by_key(_columns(docs, steps, percent), _shared, "key long, node long, place int, n int")
+    own = Window.partitionBy("node").orderBy("place")
+    shared = written(shared.withColumns({"grp": F.first("key").over(own), "prev": F.lag("key").over(own)}), "jaccard-shared")
+    sets = shared.where("prev IS NULL").select("node", "grp")
     slack = (100 + percent) * F.col("place").cast("long") - (100 - percent) * F.col("n")
-    matrix = shared.join(sets, "node").groupBy("key", "grp").agg(F.min(slack).alias("slack"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"))
+    prev = F.when((F.count("prev") == F.count("*")) & (F.min("prev") == F.max("prev")), F.min("prev"))
+    matrix = shared.groupBy("key", "grp").agg(F.min(slack).alias("slack"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.coalesce(prev, F.lit(0)).alias("prev"))
     apart = _by_key(matrix, lambda rows: _meetings(rows, percent), "a long, b long").distinct()
     sizes = written(sets.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n_sets")), "jaccard-groups")
     apart = written(apart, "jaccard-pairs")
@@ -492,8 +498,8 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     end = lambda c: sizes.select(F.col("grp").alias(c), F.col("parts").alias(f"p{c}"))
     cross = apart.join(end("a"), "a").join(end("b"), "b").select("a", upto("pa").alias("i"), "b", "pb").select("a", "i", "b", upto("pb").alias("j"))
-    own = sizes.where("n_sets > 1").select(F.col("grp").alias("a"), upto("parts").alias("i"), F.col("grp").alias("b"), "parts").select("a", "i", "b", upto("parts").alias("j")).where("i <= j")
-    left = written(_opened(cross.unionByName(own), _groups(sets), percent, True), "jaccard-open")
+    alone = sizes.where("n_sets > 1").select(F.col("grp").alias("a"), upto("parts").alias("i"), F.col("grp").alias("b"), "parts").select("a", "i", "b", upto("parts").alias("j")).where("i <= j")
+    left = written(_opened(cross.unionByName(alone), _groups(sets), percent, True), "jaccard-open")
     chosen = written(left.groupBy("lx", "ly").agg(F.min(F.struct("x", "y")).alias("w")).select("lx", "ly", "w.*"), "jaccard-witnesses")
     found = cut(verified(docs, nodes, chosen.select("x", "y"), percent))
     links = links.union(found)
