@@ -123,9 +123,10 @@ def recommendations(cross: DataFrame, fans: DataFrame, leads: DataFrame, pair_ca
     return out.orderBy(F.desc("priority_score"), "type", "target_id").limit(limit)
 
 
-#: Roles that can take over, and the window of an operation.
+#: Roles that can take over, the window of an operation, and what is said of a succession without and with leaders left.
 LEADERS = ("Kingpin", "Leader", "Lieutenant", "Coordinator")
 STRIKE_WINDOW = "03:30 hrs - 05:00 hrs IST (Simultaneous Pre-Dawn Sweep)"
+SUCCESSION = ("LOW — Command structure shattered", "MODERATE — Deputy leaders remain (")
 
 
 def packages(people: DataFrame, pagerank: DataFrame, betweenness: DataFrame, volume: DataFrame, cells: Sequence[str] | None = ("A", "B", "C", "Bridge")) -> DataFrame:
@@ -162,7 +163,7 @@ def simulate(edges: DataFrame, nodes: DataFrame, people: DataFrame, txns: DataFr
     ids = targets.select("id").distinct()
     left = people.join(ids, "id", "left_anti").where(F.col("role").isin(*LEADERS)).select("id").orderBy("id").limit(2)
     names = left.agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ", ").alias("left"))
-    verdict = F.when(F.col("left") == "", "LOW — Command structure shattered").otherwise(F.concat(F.lit("MODERATE — Deputy leaders remain ("), "left", F.lit(")")))
+    verdict = F.when(F.col("left") == "", SUCCESSION[0]).otherwise(F.concat(F.lit(SUCCESSION[1]), "left", F.lit(")")))
     profile = ids.select("id", F.lit("STANDARD").alias("risk_level")) if risk is None else ids.join(risk, "id", "left").select("id", F.coalesce("risk_level", F.lit("STANDARD")).alias("risk_level"))
     return graph.takedown(edges, nodes, ids, before).join(finance.frozen_transactions(txns, ids)).join(names.select(verdict.alias("succession_risk"))).join(staffing(profile).withColumnRenamed("targets", "n_targets"))
 

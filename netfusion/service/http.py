@@ -30,7 +30,9 @@ class Problem(Exception):
 
 
 def rows(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in df.limit(PAGE).toJSON().collect()]
+    """A table's first PAGE rows; if there are more, the last entry says where they were cut."""
+    found = [json.loads(x) for x in df.limit(PAGE + 1).toJSON().collect()]
+    return found if len(found) <= PAGE else [*found[:PAGE], {"cut_at": PAGE}]
 
 
 def number(q: dict, name: str) -> int | None:
