@@ -18,30 +18,38 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from netfusion.llm.common import partitions, written
 
 LONGEST, LEAST, MOST = 5, 100, 2000
 BITS = 1 << 25
 #: Names of one row of stretches, and pairs counted before they are handed on.
-STRETCH, FLUSH = 1 << 16, 1 << 20
+STRETCH, FLUSH = 1 << 16, 1 << 21
 #: Bytes of text that are cut into words at once, a longer text alone.
 CHUNK = 1 << 22
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def lang_seed(lang: str) -> int:
+    return xxh64_intdigest(lang.encode())
+
+
+def word_name(word: bytes, seed: int) -> int:
+    return xxh64_intdigest(word, seed) | 1
+
+
 def named_words(texts: list[bytes], lang: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(different words, their names, place of each word of the texts among them; -1 between pieces)."""
     import pyarrow as pa
     import pyarrow.compute as pc
-    from xxhash import xxh64_intdigest
 
     joined = b"\n".join(texts).lower().translate(_BREAKS).replace(b"\n", b" \n ")
     words = pc.split_pattern(pa.array([joined], pa.large_binary()).cast(pa.large_string()), " ").flatten().dictionary_encode()
     different = [w.encode() for w in words.dictionary.to_pylist()]
-    seed = xxh64_intdigest(lang.encode())
-    names = np.array([xxh64_intdigest(w, seed) | 1 for w in different], np.uint64)
+    seed = lang_seed(lang)
+    names = np.array([word_name(w, seed) for w in different], np.uint64)
     kind = np.array([{b"": 2, b"\n": 1}.get(w, 0) for w in different], np.int8)
     at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     at = at[kind[at] < 2]  # between two spaces is no word
@@ -85,21 +93,32 @@ def _texts(batch) -> Iterator[tuple[str, list[bytes]]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """id, lang, word, f of all words."""
+    """lang, word, f of all words."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in _texts(batch):
-                words, names, at = named_words(texts, lang)
+                words, _, at = named_words(texts, lang)
                 n = np.bincount(at[at >= 0], minlength=len(words))
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[some].view(np.int64)), pa.array([lang] * len(some), pa.string()), pa.array([words[i] for i in some.tolist()], pa.binary()).cast(pa.string()), pa.array(n[some])], names=["id", "lang", "word", "n"]
+                    [pa.array([lang] * len(some), pa.string()), pa.array([words[i] for i in some.tolist()], pa.binary()).cast(pa.string()), pa.array(n[some])], names=["lang", "word", "n"]
                 )
 
-    counted = docs.mapInArrow(run, "id long, lang string, word string, n long")
-    return counted.groupBy("id", "lang", "word").agg(F.sum("n").alias("f"))
+    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+
+
+def with_names(words: DataFrame) -> DataFrame:
+    """id, lang, word, f: words with their names, which tasks would otherwise send along with each count."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array([word_name(w.encode(), lang_seed(lang)) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *batch.columns], names=["id", "lang", "word", "f"])
+
+    return words.select("lang", "word", "f").mapInArrow(run, "id long, lang string, word string, f long")
 
 
 def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -211,7 +230,7 @@ def collocations(documents: DataFrame, least: int = LEAST, most: int = MOST, lon
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = written(word_counts(docs), "phrase-words")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = written(counts.where(F.col("f") >= least), "phrase-words-frequent")
+    words = written(with_names(counts.where(F.col("f") >= least)), "phrase-words-frequent")
     one = F.array("f")
     levels = [words.select("id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("starts"), one.alias("ends"))]
     bits = [bits_of(words)]
