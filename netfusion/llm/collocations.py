@@ -8,7 +8,8 @@ counts of its beginnings come down the left parents and those of its ends down t
 children: a longer phrase that is as frequent implies one of one word more.
 
 Which names go on to the next level is told by a set of BITS hashed bits, the same size for any corpus; a name that meets another's bit
-is only counted for nothing, since every level is counted in full.
+is only counted for nothing, since every level is counted in full. What is counted in full is told by counts of all pairs by 40 bits of
+their names, sent as packed steps between ascending numbers, some four bytes for a pair.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LONGEST, LEAST, MOST = 5, 100, 2000
 BITS = 1 << 25
 #: Names of one row of stretches, and pairs counted before they are handed on.
 STRETCH, FLUSH = 1 << 16, 1 << 21
+#: Bits of a pair's name by which pairs are counted before they are counted in full.
+SLOT_BITS = 40
 #: Bytes of text that are cut into words at once, a longer text alone.
 CHUNK = 1 << 22
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -170,32 +173,99 @@ def _adjacent(batches: Iterator, levels: list[np.ndarray]) -> Iterator[tuple[np.
         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
+def packed(slots: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending slots of a bucket and their counts: byte planes of the steps between slots (5 bytes) and of the counts (4), which pack well."""
+    steps = np.diff(slots, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return steps.T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(9, -1).T
+    steps = np.zeros((len(planes), 8), np.uint8)
+    steps[:, :5] = planes[:, :5]
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64), np.ascontiguousarray(planes[:, 5:]).view("<u4")[:, 0].astype(np.int64)
+
+
+def counted(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different slots, ascending, and the sums of their counts."""
+    order = np.argsort(slots, kind="stable")
+    slots = slots[order]
+    new = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+    return slots[new], np.add.reduceat(n[order], new)
+
+
+def frequent_slots(rows: DataFrame, levels: list[np.ndarray], least: int, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """id: names, cut to ``slot_bits`` (no fewer than BITS has), that the pairs of len(levels) + 1 words take at least ``least`` times together.
+
+    No frequent pair is missed, as what shares its slot only adds to its count. A task sends a bucket's slots of each piece as one row of
+    packed steps, and the receiver adds up one bucket at a time; a bucket holds a part of the slots, whatever the words.
+    """
+    import pyarrow as pa
+
+    p = partitions(rows.sparkSession)
+    cut_bits = min(max(10, (8 * p - 1).bit_length()), slot_bits)
+    shift, mask = np.uint64(slot_bits - cut_bits), np.uint64((1 << slot_bits) - 1)
+    wide = rows.sparkSession.sparkContext.broadcast(levels)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _adjacent(batches, wide.value):
+            slots, n = np.unique((pair_names(left, right) >> np.uint64(1)) & mask, return_counts=True)
+            buckets = (slots >> shift).astype(np.int32)
+            at = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(slots))
+            inside = slots & np.uint64((1 << int(shift)) - 1)
+            data = [packed(inside[i:j], n[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[at[:-1]]), pa.array(data, pa.binary())], names=["bucket", "slots"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(held: list) -> tuple[np.ndarray, np.ndarray]:
+            return counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        def often(bucket: int, held: list) -> pa.RecordBatch:
+            slots, n = total(held)
+            ids = ((np.uint64(bucket) << shift) | slots[n >= least]) << np.uint64(1)
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], names=["id"])
+
+        now, held, size = None, [], 0
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    if held:
+                        yield often(now, held)
+                    now, held, size = bucket, [], 0
+                held.append(unpacked(data.as_py()))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    held = [total(held)]
+                    size = 0
+        if held:
+            yield often(now, held)
+
+    dealt = rows.mapInArrow(send, "bucket int, slots binary").repartition(p, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "id long")
+
+
 def pairs(rows: DataFrame, levels: list[np.ndarray], least: int) -> DataFrame:
     """id, left, right, f of the frequent phrases of len(levels) + 1 words.
 
-    Tasks count the pairs of a piece before they hand them on, and most pairs are rare, so they go to the shuffle without a table of
-    all that a task has met.
+    Most pairs are rare. So all are counted by their names' slots first, a few bytes each, and only those whose slot is frequent are counted
+    by both parents, in full.
     """
     import pyarrow as pa
 
-    wide = rows.sparkSession.sparkContext.broadcast(levels)
+    wide = rows.sparkSession.sparkContext.broadcast((levels, bits_of(frequent_slots(rows, levels, least))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _adjacent(batches, wide.value):
-            order = np.lexsort((right, left))  # so that rows which follow each other begin alike, which packs well
-            left, right = left[order], right[order]
-            new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        levels, often = wide.value
+        for left, right in _adjacent(batches, levels):
+            names = pair_names(left, right)
+            some = np.flatnonzero(marked(names, often))
+            order = some[np.lexsort((right[some], left[some]))]
+            left, right, names = left[order], right[order], names[order]
+            new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(order)])
             n = np.diff(np.append(new, len(left)))
-            yield pa.RecordBatch.from_arrays([pa.array(left[new].view(np.int64)), pa.array(right[new].view(np.int64)), pa.array(n)], names=["left", "right", "n"])
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_names(left, right).view(np.int64)), *batch.columns], names=["id", "left", "right", "f"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[new].view(np.int64)) for c in (names, left, right)), pa.array(n)], names=["id", "left", "right", "n"])
 
-    dealt = rows.mapInArrow(count, "left long, right long, n long").repartition(partitions(rows.sparkSession), "left", "right")
-    frequent = dealt.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return frequent.mapInArrow(name, "id long, left long, right long, f long")
+    return rows.mapInArrow(count, "id long, left long, right long, n long").groupBy("left", "right").agg(F.first("id").alias("id"), F.sum("n").alias("f")).where(F.col("f") >= least).select("id", "left", "right", "f")
 
 
 def _with_parents(level: DataFrame, shorter: DataFrame) -> DataFrame:

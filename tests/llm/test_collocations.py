@@ -97,3 +97,23 @@ def test_names_do_not_meet():
     a, b = rng.integers(1, 2**63, (2, 200_000), dtype=np.uint64)
     assert len(np.unique(c.pair_names(a, b))) == 200_000 and len(np.unique(c.pair_names(b, a))) == 200_000
     assert not (c.pair_names(a, b) == c.pair_names(b, a)).any()
+
+
+def test_packed_slots_come_back():
+    rng = np.random.default_rng(3)
+    slots = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    n = rng.integers(1, 1 << 32, len(slots))
+    back = c.unpacked(c.packed(slots, n))
+    assert (back[0] == slots).all() and (back[1] == n).all()
+    twice = c.counted(np.append(slots, slots[::2]), np.append(n, n[::2]))
+    assert (twice[0] == slots).all() and (twice[1] == n + np.where(np.arange(len(n)) % 2 == 0, n, 0)).all()
+
+
+@pytest.mark.parametrize("slot_bits", [12, 40])
+def test_no_frequent_pair_is_missed_where_slots_meet(spark, monkeypatch, slot_bits):
+    monkeypatch.setattr(c, "FLUSH", 64)
+    monkeypatch.setattr(c, "BITS", 1 << min(slot_bits, 25))
+    free = c.frequent_slots
+    monkeypatch.setattr(c, "frequent_slots", lambda rows, levels, least: free(rows, levels, least, slot_bits))
+    rows = corpus(200, 11)
+    assert as_rows(c.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), least=4)) == sorted(brute(rows, 4, 2000))
