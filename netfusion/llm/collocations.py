@@ -248,22 +248,33 @@ def pairs(rows: DataFrame, levels: list[np.ndarray], least: int) -> DataFrame:
     """id, left, right, f of the frequent phrases of len(levels) + 1 words.
 
     Most pairs are rare. So all are counted by their names' slots first, a few bytes each, and only those whose slot is frequent are counted
-    by both parents, in full.
+    by both parents, in full; a task adds up those of all its pieces, up to FLUSH different ones, before it hands them on.
     """
     import pyarrow as pa
 
     wide = rows.sparkSession.sparkContext.broadcast((levels, bits_of(frequent_slots(rows, levels, least))))
 
+    def added(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((right, left))
+        left, right, n = left[order], right[order], n[order]
+        new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(order)])
+        return left[new], right[new], np.add.reduceat(n, new) if len(new) else n
+
+    def rows_of(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in (pair_names(left, right), left, right)), pa.array(n)], names=["id", "left", "right", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, often = wide.value
+        held = None
         for left, right in _adjacent(batches, levels):
-            names = pair_names(left, right)
-            some = np.flatnonzero(marked(names, often))
-            order = some[np.lexsort((right[some], left[some]))]
-            left, right, names = left[order], right[order], names[order]
-            new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(order)])
-            n = np.diff(np.append(new, len(left)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[new].view(np.int64)) for c in (names, left, right)), pa.array(n)], names=["id", "left", "right", "n"])
+            some = marked(pair_names(left, right), often)
+            piece = added(left[some], right[some], np.ones(int(some.sum()), np.int64))
+            held = piece if held is None else added(*(np.concatenate(c) for c in zip(held, piece, strict=True)))
+            if len(held[0]) >= FLUSH:
+                yield rows_of(*held)
+                held = None
+        if held is not None:
+            yield rows_of(*held)
 
     return rows.mapInArrow(count, "id long, left long, right long, n long").groupBy("left", "right").agg(F.first("id").alias("id"), F.sum("n").alias("f")).where(F.col("f") >= least).select("id", "left", "right", "f")
 
