@@ -341,6 +341,21 @@ def graph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("kind").alias("what")).agg(F.count("*").alias("n"), F.sum("day").cast("long").alias("total")).unionByName(nodes.agg(F.count("*").alias("n"), F.sum("id").alias("total")).select(F.lit("nodes").alias("what"), "n", "total"))
 
 
+def graph_merged(spark: SparkSession, d: str) -> DataFrame:
+    """K4: two overlapping writes of edges and a repeated one, merged by ends and kind; the later write lacks some confidences."""
+    at, e = folder(spark, "merged"), edges(spark, d).groupBy("src", "dst", "kind").agg(F.min("day").alias("day"), F.min("confidence").alias("confidence"))
+    keys = ["src", "dst", "kind"]
+    sinks.merge_rows(e.where("kind = 'CALLED' OR src % 2 = 0"), at, keys)
+    later = e.where("src % 3 = 0").select(*keys, (F.col("day") + 100).alias("day"), F.when(F.col("dst") % 2 == 0, 0.25).alias("confidence"), F.lit("second").alias("origin"))
+    for _ in range(2):
+        sinks.merge_rows(later, at, keys)
+    return sinks.read_merged(spark, at)
+
+
+MERGED = """SELECT src, dst, kind, CASE WHEN src % 3 = 0 THEN day + 100 ELSE day END AS day, CASE WHEN src % 3 = 0 AND dst % 2 = 0 THEN 0.25 WHEN kind = 'CALLED' OR src % 2 = 0 THEN confidence END AS confidence, CASE WHEN src % 3 = 0 THEN 'second' END AS origin
+FROM (SELECT src, dst, kind, min(day) AS day, min(confidence) AS confidence FROM edges GROUP BY ALL) WHERE kind = 'CALLED' OR src % 2 = 0 OR src % 3 = 0"""
+
+
 def graph_query(spark: SparkSession, d: str) -> DataFrame:
     """A read in SQL over the stored graph: who calls into another cell, and how often."""
     nodes, e = graph_store(spark, d)
@@ -538,6 +553,7 @@ UNION ALL SELECT 'quarantine', unnest(['cdrs', 'social_posts', 'criminal_history
     "file_formats": (formats, FORMATS),
     "file_described": (described, DESCRIBED),
     "graph_roundtrip": (graph_roundtrip, sql(CALLS, TXNS, EDGES, select="SELECT kind AS what, count(*) AS n, sum(day)::BIGINT AS total FROM edges GROUP BY kind UNION ALL SELECT 'nodes', count(*), sum(c_custkey)::BIGINT FROM customer")),
+    "graph_merged": (graph_merged, sql(CALLS, TXNS, EDGES, select=MERGED)),
     "graph_query": (graph_query, sql(CALLS, select="SELECT caller AS id, count(*) AS n FROM calls JOIN customer a ON a.c_custkey = caller JOIN customer b ON b.c_custkey = callee WHERE a.c_mktsegment <> b.c_mktsegment GROUP BY caller")),
     "case_snapshots": (snapshots, sql(TXNS, select="SELECT txn_type, count(*) AS n, sum(amount)::BIGINT AS amount, 'ready' AS status FROM txns GROUP BY txn_type UNION ALL SELECT 'default', count(*), NULL, 'ready' FROM nation")),
     "case_list": (case_list, "SELECT CAST(i AS INTEGER) AS place, 'case ' || n AS name FROM (SELECT unnest(range(7)) AS i, unnest([9, 8, 7, 6, 4, 3, 2]) AS n)"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -50,6 +51,42 @@ def delete_case(spark: SparkSession, path: str, case_id: str) -> None:
     clean(spark, *(f"{path}/{name}/case_id={case_id}" for name in ("nodes", "edges")))
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of a merged table's newest version; (-1, None) if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return -1, None
+    names = spark.read.text(f"{path}/versions").where("value <> ''").select(F.col("_metadata.file_name").cast("int").alias("k"), "value")
+    newest = names.agg(F.max(F.struct("k", "value")).alias("v")).first().v
+    return (newest.k, f"{path}/{newest.value}") if newest else (-1, None)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a merged table."""
+    return spark.read.parquet(_versions(spark, path)[1])
+
+
+def merge_rows(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Upsert rows by keys (null is a key too): of each other column the later value stays unless it is null, columns may be added, and of
+    rows with the same keys in one write the greatest value counts. The table is written as a new version, which readers see once a file
+    with its number names it; only one writer can make that file, another one fails and may merge again. Merging the same rows again
+    changes nothing, and a merge that fails leaves the version before; old versions stay until they are cleaned."""
+    spark = rows.sparkSession
+    k, old = _versions(spark, path)
+    both = rows.withColumn("_new", F.lit(1))
+    if old:
+        both = both.unionByName(spark.read.parquet(old).withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    others = [c for c in both.columns if c not in (*keys, "_new")]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("_new", F.col(c).alias("v"))))["v"].alias(c)
+    name = f"rows-{uuid.uuid4().hex}"
+    out = both.groupBy(*keys).agg(*map(last, others)) if others else both.select(*keys).distinct()
+    out.write.parquet(f"{path}/{name}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{k + 1}")
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+
+
 def write_datasets(datasets: dict[str, DataFrame], path: str) -> None:
     for name, df in datasets.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
