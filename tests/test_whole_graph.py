@@ -213,3 +213,19 @@ def test_efficiency_by_hops_is_near_the_exact_one(spark, monkeypatch):
     assert abs(value - exact) <= 3 * error * exact
     monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)
     assert abs(graph.efficiency(e, people) - exact) < 0.1 * exact
+
+
+def test_all_pairs_kernels_keep_the_graph_out_of_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = _random_graph(60, 150, 4)
+    e = spark.createDataFrame(rows, "src long, dst long")
+    near = {i: x for i, x in adjacency({x for p in rows for x in p}, {p for p in rows if p[0] != p[1]}).items() if x}
+
+    def refuse(*_):
+        raise AssertionError("the graph goes through the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(between(near))
+    assert graph.efficiency(e) == pytest.approx(mean_inverse(near))
