@@ -229,3 +229,12 @@ def test_all_pairs_kernels_keep_the_graph_out_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
     assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(between(near))
     assert graph.efficiency(e) == pytest.approx(mean_inverse(near))
+
+
+def test_rounds_take_as_many_sources_as_their_state_allows(spark, monkeypatch):
+    star = spark.createDataFrame([(0, k) for k in range(1, 101)], "src long, dst long")
+    rounds, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(df.columns) or real(df))
+    out = {r.id: r.betweenness for r in graph.betweenness_by_rounds(star).collect()}
+    assert out == pytest.approx({0: 1.0} | dict.fromkeys(range(1, 101), 0.0))
+    assert rounds.count(["id", "d"]) == 1  # one batch of over 64 sources
