@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netfusion.operators.ranking import ranked
-from netfusion.session import cut, shared_dir
+from netfusion.session import cut, shared_dir, stored
 
 MAX_BROADCAST_EDGES = 5_000_000
 #: Sources of a larger graph's betweenness.
 SOURCES = 256
 #: Rows of a batch's state in rounds of betweenness.
 BATCH_ROWS = 1 << 23
+#: Nodes of a block of the adjacency, as a power of two.
+BLOCK_BITS = 12
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -171,8 +173,29 @@ def _adjacency(edges: DataFrame) -> tuple[DataFrame, int, str] | None:
     return names, names.count(), folder
 
 
-def _near(folder: str, n: int) -> tuple:
-    """From the files of _adjacency(): where each node's neighbours begin, and the neighbours of all, 4 bytes an arc."""
+def blocked_adjacency(edges: DataFrame) -> tuple[DataFrame, int, str]:
+    """Different nodes in order (at from 0, id, degree), how many they are, and a folder that all executors share: the arcs u, v as positions,
+    a folder block=<k> for each 2**BLOCK_BITS nodes u in order. At any size: a task reads the blocks that it needs, see block()."""
+    spark = edges.sparkSession
+    simple = stored(undirected(edges), "simple")
+    degree = both_ways(simple).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+    names = stored(ranked(degree, "id", name="at").select((F.col("at") - 1).cast("int").alias("at"), "id", "degree"), "names")
+    end = lambda c, to: names.select(F.col("id").alias(c), F.col("at").alias(to))
+    arcs = both_ways(simple.join(end("a", "_a"), "a").join(end("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    arcs = arcs.withColumn("block", F.shiftright("u", BLOCK_BITS))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arcs.repartition(parts, "block").sortWithinPartitions("block", "u", "v").write.partitionBy("block").parquet(folder)
+    return names, names.count(), folder
+
+
+def block(folder: str, k: int, bits: int) -> tuple:
+    """Of a block of blocked_adjacency(): where each node's neighbours begin, and the neighbours of all."""
+    return _near(f"{folder}/block={k}", 1 << bits, k << bits)
+
+
+def _near(folder: str, n: int, first: int = 0) -> tuple:
+    """From the files of _adjacency(): where each node's neighbours begin, and the neighbours of all, 4 bytes an arc; nodes count from ``first``."""
     import numpy as np
     import pyarrow.parquet as pq
     from pyarrow import fs
@@ -183,7 +206,7 @@ def _near(folder: str, n: int) -> tuple:
     for path in files:
         with store.open_input_file(path) as f:
             arcs = pq.read_table(f)
-        counts += np.bincount(arcs["u"].to_numpy(), minlength=n)
+        counts += np.bincount(arcs["u"].to_numpy() - first, minlength=n)
         targets.append(arcs["v"].to_numpy())
     return np.concatenate([[0], np.cumsum(counts)]), np.concatenate(targets)
 

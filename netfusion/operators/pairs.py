@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from netfusion.operators import graph
+from netfusion.session import stored
 
 #: Evidence points from which a tie has a label.
 STRENGTHS = (
@@ -61,10 +67,63 @@ def mutual_neighbours(edges: DataFrame, p: object, q: object) -> DataFrame:
 
 def mutual_counts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """p, q, mutual: common neighbours of each given pair."""
-    near = edges.where(F.col("src") != F.col("dst")).select(F.explode(F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("n")), F.struct(F.col("dst").alias("x"), F.col("src").alias("n")))).alias("e")).select("e.x", "e.n").distinct()
-    of_p = pairs.select("p", "q").join(near.select(F.col("x").alias("p"), "n"), "p")
-    both = of_p.join(near.select(F.col("x").alias("q"), "n"), ["q", "n"])
-    return pairs.select("p", "q").join(both.groupBy("p", "q").agg(F.count("*").alias("mutual")), ["p", "q"], "left").select("p", "q", F.coalesce("mutual", F.lit(0)).alias("mutual"))
+    return with_mutual(pairs.select("p", "q"), edges)
+
+
+def with_mutual(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (p, q and more columns) with mutual, the common neighbours of p and q; 0 where one of them has none.
+
+    The adjacency lies in the shared folder in blocks of nodes, and pairs are sorted by the blocks of their ends, so a task holds two blocks
+    at a time and no neighbour is shuffled for a pair. Of each pair the neighbours of the end with fewer are looked up among the other's.
+    """
+    pairs = stored(pairs, "pairs")
+    names, n, folder = graph.blocked_adjacency(edges)
+    end = lambda c: names.select(F.col("id").alias(c), F.struct("degree", "at").alias(f"_{c}"))
+    placed = pairs.join(end("p"), "p", "left").join(end("q"), "q", "left").withColumns({"_x": F.greatest("_p", "_q")["at"], "_y": F.least("_p", "_q")["at"]})
+    both = F.col("_p").isNotNull() & F.col("_q").isNotNull()
+    order = [F.shiftright("_x", graph.BLOCK_BITS), F.shiftright("_y", graph.BLOCK_BITS), F.col("_x"), F.col("_y")]
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = placed.where(both).select(*pairs.columns, "_x", "_y").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = T.StructType([*pairs.schema.fields, T.StructField("mutual", T.LongType())])
+    alone = placed.where(~both).select(*pairs.columns, F.lit(0).cast("long").alias("mutual"))
+    return met.mapInArrow(_count_mutual(n, folder), schema).unionByName(alone)
+
+
+def _count_mutual(n: int, folder: str) -> Callable:
+    """For batches sorted by the blocks of _x and _y, then by _x: their columns and how many neighbours of _y are neighbours of _x."""
+    import numpy as np
+    import pyarrow as pa
+
+    bits = graph.BLOCK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mark, low = {}, np.zeros(n, bool), (1 << bits) - 1
+
+        def block(k: int, other: int) -> tuple:
+            if k not in held:
+                for old in [x for x in held if x != other]:
+                    del held[old]
+                held[k] = graph.block(folder, k, bits)
+            return held[k]
+
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("_x", "_y"))
+            mutual = np.zeros(len(x), np.int64)
+            runs = np.flatnonzero(np.diff(x, prepend=-1) | np.diff(y >> bits, prepend=-1))
+            for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(x)], strict=True):
+                kx, ky = int(x[a]) >> bits, int(y[a]) >> bits
+                (at, near), (starts, targets) = block(kx, ky), block(ky, kx)
+                own = near[at[x[a] & low] : at[(x[a] & low) + 1]]
+                begin, counts = starts[y[a:b] & low], np.diff(starts)[y[a:b] & low]
+                last = np.cumsum(counts)
+                mark[own] = True
+                hits = np.cumsum(mark[targets[np.repeat(begin - last + counts, counts) + np.arange(last[-1])]])
+                mark[own] = False
+                mutual[a:b] = np.diff(hits[last - 1], prepend=0)  # every node has a neighbour
+            columns = [c for c in batch.schema.names if c not in ("_x", "_y")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(mutual)], names=[*columns, "mutual"])
+
+    return run
 
 
 def evidence_points(calls: Column, txns: Column, firs: Column, surveillance: Column, intel: Column, direct: Column) -> Column:
@@ -122,7 +181,7 @@ def explain(calls: DataFrame, txns: DataFrame, mentions: DataFrame | None = None
     if edges is not None:
         linked = _paired(edges, "src", "dst").groupBy("p", "q").agg(F.count("*").alias("direct_edges"))
         out = out.join(linked, ["p", "q"], "full").withColumn("direct_edges", F.coalesce("direct_edges", F.lit(0)))
-        out = out.join(mutual_counts(edges, out.select("p", "q")), ["p", "q"], "left")
+        out = with_mutual(out, edges)
         direct = F.col("direct_edges") > 0
     else:
         direct = some("calls") | some("txns")
