@@ -43,3 +43,52 @@ def test_mutual_counts_over_blocks(spark, monkeypatch):
     got = pairs.with_mutual(spark.createDataFrame([(p, q, f"{k}") for k, (p, q) in enumerate(asked)], "p long, q long, more string"), spark.createDataFrame(links, "src long, dst long")).collect()
     want = sorted((str(k), len(near.get(p, set()) & near.get(q, set()))) for k, (p, q) in enumerate(asked))
     assert sorted((r.more, r.mutual) for r in got) == want
+
+
+def chain_of_clusters(clusters, size, seed):
+    """Dense clusters, each linked to the next one by one edge: a large diameter, as in copies of a graph of calls."""
+    rng = random.Random(seed)
+    links = [(size * c + rng.randrange(size), size * c + rng.randrange(size)) for c in range(clusters) for _ in range(3 * size)]
+    return links + [(size * c - 1, size * c) for c in range(1, clusters)]
+
+
+def distances(near, s):
+    dist, todo = {s: 0}, [s]
+    for v in todo:
+        for w in near[v]:
+            if w not in dist:
+                dist[w] = dist[v] + 1
+                todo.append(w)
+    return dist
+
+
+def test_efficiency_beyond_the_limit_of_betweenness_is_exact(spark, monkeypatch):
+    links = [(a, b) for a, b in chain_of_clusters(12, 60, 3) if a != b]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = sum(1 / h for s in near for h in distances(near, s).values() if h) / (len(near) * (len(near) - 1))
+    e = spark.createDataFrame(links, "src long, dst long")
+    monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)
+    monkeypatch.setattr(graph, "efficiency_by_hops", None)
+    assert graph.efficiency(e) == pytest.approx(want, rel=1e-12)
+    assert graph.efficiency(spark.createDataFrame([(1, 1)], "src long, dst long")) == 0.0
+
+
+def test_reached_in_small_slices(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "SEARCH_ARCS", 7)
+    starts, targets = np.array([0, 1, 3, 5, 7, 8, 8]), np.array([1, 0, 2, 1, 3, 2, 4, 3], np.int32)  # a path of five and one alone
+    assert list(graph._reached((starts, targets), 0, 5)) == [8, 6, 4, 2]
+    assert list(graph._reached((starts, targets), 1, 2)) == [4, 3, 1]
+
+
+def test_sampled_betweenness_takes_no_rounds(spark, monkeypatch):
+    e = spark.createDataFrame(chain_of_clusters(6, 30, 5), "src long, dst long")
+    rounds = {r.id: r.betweenness for r in graph.betweenness_by_rounds(e, sources=16).collect()}
+    monkeypatch.setattr(graph, "MAX_BROADCAST_EDGES", 10)
+    monkeypatch.setattr(graph, "SOURCES", 16)
+    monkeypatch.setattr(graph, "betweenness_by_rounds", None)  # before, a graph of so many edges went there
+    assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(rounds, abs=1e-12)
