@@ -30,6 +30,11 @@ def _blocks(rows: DataFrame, most: int, name: str, *columns: str) -> tuple[DataF
     return dealt.agg(F.collect_list(F.struct(*columns)).alias(name)), blocks
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side, however small its files look: a directory's names would go through the driver."""
+    return left.hint("merge").join(right, on, how)
+
+
 def candidates(mentions: DataFrame, people: DataFrame, least: float = REJECT) -> DataFrame:
     """value, id, name, ordinal: pairs among which is, for each value with a name that scores ``least`` or more, the best name in the order of
     best_candidates().
@@ -40,8 +45,8 @@ def candidates(mentions: DataFrame, people: DataFrame, least: float = REJECT) ->
     """
     names = people.select("id", "name", "ordinal").where("name IS NOT NULL")
     values = mentions.select("value").where("value IS NOT NULL").distinct()
-    exact = values.join(names, _normal("value") == _normal("name"))
-    rest = cut(values.join(exact.select("value"), "value", "left_anti"))
+    exact = _sorted_join(values, names, _normal("value") == _normal("name"))
+    rest = cut(_sorted_join(values, exact.select("value"), "value", "left_anti"))
     return exact.select("value", "id", "name", "ordinal").unionByName(_by_initials(rest, names)).unionByName(_by_bounds(rest, names, least))
 
 
@@ -53,7 +58,7 @@ def _by_initials(values: DataFrame, names: DataFrame) -> DataFrame:
     asked = F.array_compact(F.array(*[F.when(F.length(F.get(m, k)) == 1, key(m, k)) for k in (0, 1)]))
     v = values.where(F.size(m) == 2).select("value", F.explode(asked).alias("key"))
     known = names.where(F.size(n) == 2).select("id", "name", "ordinal", F.explode(F.array(key(n, 0), key(n, 1))).alias("key"))
-    return v.join(known, "key").select("value", "id", "name", "ordinal")
+    return _sorted_join(v, known, "key").select("value", "id", "name", "ordinal")
 
 
 def _by_bounds(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
@@ -63,7 +68,7 @@ def _by_bounds(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
     listed, _ = _blocks(values, VALUE_BLOCK, "values", "value")
     known, n = _blocks(names, NAME_BLOCK, "names", "id", "name", "ordinal")
     kinds = {f.name: f.dataType for f in names.schema.fields}
-    meets = listed.select("values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("names_block")).join(known, "names_block")
+    meets = _sorted_join(listed.select("values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("names_block")), known, "names_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +118,7 @@ def resolve(mentions: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFram
     once = mentions.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
     best = best_candidates(scored(candidates(mentions, people)))
     facts = people.select("id", *(F.col(c).alias(f"p_{c}") for c in ("phone", "account", "address", "org", "cell")))
-    t = once.join(best, "value", "left").join(facts, "id", "left")
+    t = _sorted_join(_sorted_join(once, best, "value", "left"), facts, "id", "left")
     text = F.coalesce("evidence_snippet", F.lit(""))
     known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     phone = F.when(known("phone") & (F.col("phone") == F.col("p_phone")), 1.0).when((known("p_phone") & F.contains(text, F.col("p_phone"))) | (known("p_account") & F.contains(text, F.col("p_account"))), 1.0).otherwise(0.0)

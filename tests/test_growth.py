@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from netfusion.operators import graph, pairs
+from netfusion.operators import graph, pairs, resolution
 
 
 def stages(spark):
@@ -92,3 +92,37 @@ def test_sampled_betweenness_takes_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "SOURCES", 16)
     monkeypatch.setattr(graph, "betweenness_by_rounds", None)  # before, a graph of so many edges went there
     assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(rounds, abs=1e-12)
+
+
+def test_cross_cell_degree_looks_up_cells_once_per_edge(spark):
+    links = list(itertools.combinations(range(80), 2))
+    e, nodes = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(k, ("A", "B", "Noise", None)[k % 4]) for k in range(70)], "id long, cell string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n = shuffled(spark, lambda: graph.cross_cell_degree(e, nodes).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cell = lambda k: ("A", "B", "Noise", None)[k % 4] if k < 70 else None
+    assert {r.id: r.cross for r in rows} == {k: sum(cell(j) in ("A", "B") and cell(j) != cell(k) for j in range(80) if j != k) for k in range(80)}
+    assert n < 4 * len(links)  # over 5 before
+
+
+def test_bridges_read_their_inputs_once(spark):
+    from pyspark.sql import functions as F
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        runs.add(1)
+        yield from batches
+
+    c = spark.createDataFrame([(k, "AB"[k % 2], k / 9) for k in range(8)], "id long, cell string, betweenness double").coalesce(1).mapInPandas(seen, "id long, cell string, betweenness double")
+    x = spark.range(8).coalesce(1).select("id", (F.col("id") % 3).alias("cross")).mapInPandas(seen, "id long, cross long")
+    assert len(graph.bridges(c, x).collect()) == 8 and runs.value == 2
+
+
+def test_names_are_not_broadcast(spark):
+    people = spark.createDataFrame([(k, f"Name{k} Last{k % 7}", k) for k in range(50)], "id long, name string, ordinal long")
+    found = resolution.candidates(spark.createDataFrame([("Nam3 Last3",), ("N. Last3",), ("name4 last4",)], "value string"), people)
+    assert {r.value for r in found.collect()} == {"Nam3 Last3", "N. Last3", "name4 last4"}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
