@@ -16,9 +16,13 @@ def stages(spark):
 
 
 def shuffled(spark, run):
-    """The result of run() and the records shuffled for it."""
+    """The result of run() and the records shuffled for it, without broadcasts as on large tables."""
     before = stages(spark)
-    out = run()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     return out, sum(n for k, n in stages(spark).items() if k not in before)
 
 
@@ -97,11 +101,7 @@ def test_sampled_betweenness_takes_no_rounds(spark, monkeypatch):
 def test_cross_cell_degree_looks_up_cells_once_per_edge(spark):
     links = list(itertools.combinations(range(80), 2))
     e, nodes = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(k, ("A", "B", "Noise", None)[k % 4]) for k in range(70)], "id long, cell string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        rows, n = shuffled(spark, lambda: graph.cross_cell_degree(e, nodes).collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows, n = shuffled(spark, lambda: graph.cross_cell_degree(e, nodes).collect())
     cell = lambda k: ("A", "B", "Noise", None)[k % 4] if k < 70 else None
     assert {r.id: r.cross for r in rows} == {k: sum(cell(j) in ("A", "B") and cell(j) != cell(k) for j in range(80) if j != k) for k in range(80)}
     assert n < 4 * len(links)  # over 5 before
