@@ -8,12 +8,13 @@ counts of its beginnings come down the left parents and those of its ends down t
 children: a longer phrase that is as frequent implies one of one word more.
 
 Which names go on to the next level is told by a set of BITS hashed bits, the same size for any corpus; a name that meets another's bit
-is only counted for nothing, since every level is counted in full. What is counted in full is told by counts of all pairs by 40 bits of
-their names, sent as packed steps between ascending numbers, some four bytes for a pair.
+is only counted for nothing, since every level is counted in full: by the names of all pairs, sent as packed steps between ascending
+numbers. The parents of a frequent name come from one piece of the texts that has it, so each is handed on once, however many tasks meet it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from netfusion.llm.common import partitions, written
+from netfusion.llm.common import partitions, shared_dir, written
 
 LONGEST, LEAST, MOST = 5, 100, 2000
 BITS = 1 << 25
 #: Names of one row of stretches, and pairs counted before they are handed on.
 STRETCH, FLUSH = 1 << 16, 1 << 21
-#: Bits of a pair's name by which pairs are counted before they are counted in full.
-SLOT_BITS = 40
+#: Bits of a pair's name without the last one, which is always set.
+SLOT_BITS = 63
 #: Bytes of text that are cut into words at once, a longer text alone.
 CHUNK = 1 << 22
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -125,8 +126,10 @@ def with_names(words: DataFrame) -> DataFrame:
 
 
 def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """names: the texts as names of frequent words, in rows of about STRETCH; a 0 stands wherever something else was."""
+    """piece, names: the texts as names of frequent words, in rows of about STRETCH; a 0 stands wherever something else was. What one task
+    writes is a piece."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
     wide = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -146,17 +149,22 @@ def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 ends = ends[ends > 0]
                 offsets = pa.array(np.append(0, ends), pa.int32())
                 if names.any():
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(names.view(np.int64)))], names=["names"])
+                    piece = pa.array(np.full(len(ends), TaskContext.get().partitionId(), np.int32))
+                    yield pa.RecordBatch.from_arrays([piece, pa.ListArray.from_arrays(offsets, pa.array(names.view(np.int64)))], names=["piece", "names"])
 
-    return docs.mapInArrow(run, "names array<long>")
+    return docs.mapInArrow(run, "piece int, names array<long>")
 
 
-def _adjacent(batches: Iterator, levels: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(left, right): names of adjacent phrases of len(levels) words in rows of stretches, some FLUSH at a time. ``levels`` has the bits of
-    shorter phrases, words first."""
-    held, size = [], 0
+def _adjacent(batches: Iterator, levels: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(piece, left, right): names of adjacent phrases of len(levels) words in rows of stretches, some FLUSH at a time. ``levels`` has the
+    bits of shorter phrases, words first."""
+    now, held, size = None, [], 0
     for batch in batches:
-        for row in batch.column(0):
+        for piece, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (piece != now or size >= FLUSH):
+                yield now, *(np.concatenate(c) for c in zip(*held, strict=True))
+                held, size = [], 0
+            now = piece
             x = row.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for bits in levels[1:]:
                 both = (x[:-1] != 0) & (x[1:] != 0)
@@ -166,117 +174,131 @@ def _adjacent(batches: Iterator, levels: list[np.ndarray]) -> Iterator[tuple[np.
             if len(both):
                 held.append((x[both], x[both + 1]))
                 size += len(both)
-            if size >= FLUSH:
-                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
-                held, size = [], 0
     if held:
-        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        yield now, *(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def packed(slots: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending slots of a bucket and their counts: byte planes of the steps between slots (5 bytes) and of the counts (4), which pack well."""
-    steps = np.diff(slots, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """Ascending slots of a bucket and their counts: byte planes of the steps between slots (7 bytes) and of the counts (4), which pack well."""
+    steps = np.diff(slots, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
     return steps.T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(9, -1).T
+    planes = np.frombuffer(data, np.uint8).reshape(11, -1).T
     steps = np.zeros((len(planes), 8), np.uint8)
-    steps[:, :5] = planes[:, :5]
-    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64), np.ascontiguousarray(planes[:, 5:]).view("<u4")[:, 0].astype(np.int64)
+    steps[:, :7] = planes[:, :7]
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64), np.ascontiguousarray(planes[:, 7:]).view("<u4")[:, 0].astype(np.int64)
 
 
-def counted(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different slots, ascending, and the sums of their counts."""
+def counted(slots: np.ndarray, n: np.ndarray, *turns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different slots, ascending, the sums of their counts and, if given, their greatest turns."""
     order = np.argsort(slots, kind="stable")
     slots = slots[order]
     new = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
-    return slots[new], np.add.reduceat(n[order], new)
+    return slots[new], np.add.reduceat(n[order], new), *(np.maximum.reduceat(t[order], new) for t in turns)
+
+
+def turns_of(slots: np.ndarray, piece: int) -> np.ndarray:
+    """Numbers that end in the piece and are dealt anew for each slot, so that the greatest of a slot is each piece's equally often."""
+    h = (slots + np.uint64((piece + 1) * int(_C2) & 0xFFFFFFFFFFFFFFFF)) * _C1
+    return ((h ^ (h >> np.uint64(29))) * _C2 & ~np.uint64(0xFFFFFFFF)) | np.uint64(piece)
 
 
 def frequent_slots(rows: DataFrame, levels: list[np.ndarray], least: int, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """id: names, cut to ``slot_bits`` (no fewer than BITS has), that the pairs of len(levels) + 1 words take at least ``least`` times together.
+    """id, f, piece: names that the pairs of len(levels) + 1 words take at least ``least`` times, and one piece that has such a pair.
 
-    No frequent pair is missed, as what shares its slot only adds to its count. A task sends a bucket's slots of each piece as one row of
-    packed steps, and the receiver adds up one bucket at a time; a bucket holds a part of the slots, whatever the words.
+    A task sends a bucket's names of each piece as one row of packed steps, and the receiver adds up one bucket at a time; a bucket, by
+    ``slot_bits`` bits at most, holds a part of the names, whatever the words.
     """
     import pyarrow as pa
 
     p = partitions(rows.sparkSession)
     cut_bits = min(max(10, (8 * p - 1).bit_length()), slot_bits)
-    shift, mask = np.uint64(slot_bits - cut_bits), np.uint64((1 << slot_bits) - 1)
+    shift = np.uint64(SLOT_BITS - cut_bits)
     wide = rows.sparkSession.sparkContext.broadcast(levels)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _adjacent(batches, wide.value):
-            slots, n = np.unique((pair_names(left, right) >> np.uint64(1)) & mask, return_counts=True)
+        for piece, left, right in _adjacent(batches, wide.value):
+            slots, n = np.unique(pair_names(left, right) >> np.uint64(1), return_counts=True)
             buckets = (slots >> shift).astype(np.int32)
             at = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(slots))
             inside = slots & np.uint64((1 << int(shift)) - 1)
             data = [packed(inside[i:j], n[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets[at[:-1]]), pa.array(data, pa.binary())], names=["bucket", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[at[:-1]]), pa.array(np.full(len(data), piece, np.int32)), pa.array(data, pa.binary())], names=["bucket", "piece", "slots"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(held: list) -> tuple[np.ndarray, np.ndarray]:
+        def total(held: list) -> tuple[np.ndarray, ...]:
             return counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
         def often(bucket: int, held: list) -> pa.RecordBatch:
-            slots, n = total(held)
-            ids = ((np.uint64(bucket) << shift) | slots[n >= least]) << np.uint64(1)
-            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], names=["id"])
+            slots, n, turns = total(held)
+            slots, n, turns = slots[n >= least], n[n >= least], turns[n >= least]
+            ids = (((np.uint64(bucket) << shift) | slots) << np.uint64(1)) | np.uint64(1)
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n), pa.array((turns & np.uint64(0xFFFFFFFF)).astype(np.int32))], names=["id", "f", "piece"])
 
         now, held, size = None, [], 0
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if bucket != now:
                     if held:
                         yield often(now, held)
                     now, held, size = bucket, [], 0
-                held.append(unpacked(data.as_py()))
-                size += len(held[-1][0])
+                slots, n = unpacked(data.as_py())
+                held.append((slots, n, turns_of(slots, piece)))
+                size += len(slots)
                 if size >= FLUSH:
                     held = [total(held)]
                     size = 0
         if held:
             yield often(now, held)
 
-    dealt = rows.mapInArrow(send, "bucket int, slots binary").repartition(p, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(add, "id long")
+    dealt = rows.mapInArrow(send, "bucket int, piece int, slots binary").repartition(p, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "id long, f long, piece int")
 
 
 def pairs(rows: DataFrame, levels: list[np.ndarray], least: int) -> DataFrame:
     """id, left, right, f of the frequent phrases of len(levels) + 1 words.
 
-    Most pairs are rare. So all are counted by their names' slots first, a few bytes each, and only those whose slot is frequent are counted
-    by both parents, in full; a task adds up those of all its pieces, up to FLUSH different ones, before it hands them on.
+    Names are counted first. Frequent ones are then written by the piece whose turn it is, and a task that reads a piece looks for the names
+    of that piece only and hands on their parents once; nothing goes through the driver, and no task holds names of other pieces.
     """
     import pyarrow as pa
 
-    wide = rows.sparkSession.sparkContext.broadcast((levels, bits_of(frequent_slots(rows, levels, least))))
-
-    def added(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((right, left))
-        left, right, n = left[order], right[order], n[order]
-        new = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(order)])
-        return left[new], right[new], np.add.reduceat(n, new) if len(new) else n
-
-    def rows_of(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in (pair_names(left, right), left, right)), pa.array(n)], names=["id", "left", "right", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, often = wide.value
-        held = None
-        for left, right in _adjacent(batches, levels):
-            some = marked(pair_names(left, right), often)
-            piece = added(left[some], right[some], np.ones(int(some.sum()), np.int64))
-            held = piece if held is None else added(*(np.concatenate(c) for c in zip(held, piece, strict=True)))
-            if len(held[0]) >= FLUSH:
-                yield rows_of(*held)
-                held = None
-        if held is not None:
-            yield rows_of(*held)
-
-    return rows.mapInArrow(count, "id long, left long, right long, n long").groupBy("left", "right").agg(F.first("id").alias("id"), F.sum("n").alias("f")).where(F.col("f") >= least).select("id", "left", "right", "f")
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/phrase-often-{uuid.uuid4().hex}"
+    frequent_slots(rows, levels, least).repartition("piece").write.partitionBy("piece").parquet(path)
+    wide = spark.sparkContext.broadcast(levels)
+
+    def names_of(piece: int) -> np.ndarray:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        at = f"{root}/piece={piece}"
+        if store.get_file_info(at).type == fs.FileType.NotFound:
+            return np.zeros(0, np.uint64)
+        found = ds.dataset(at, format="parquet", filesystem=store).to_table(columns=["id"]).column("id").to_numpy()
+        return np.sort(found.view(np.uint64))
+
+    def parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine = None, np.zeros(0, np.uint64)
+        for piece, left, right in _adjacent(batches, wide.value):
+            if piece != now:
+                now, mine = piece, names_of(piece)
+            if not len(mine):
+                continue
+            names = pair_names(left, right)
+            at = np.minimum(np.searchsorted(mine, names), len(mine) - 1)
+            hit = np.flatnonzero(mine[at] == names)
+            some, first = np.unique(at[hit], return_index=True)
+            hit = hit[first]
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit].view(np.int64)) for c in (names, left, right)], names=["id", "left", "right"])
+            mine = np.delete(mine, some)  # each once
+
+    often = spark.read.schema("id long, f long, piece int").parquet(path).select("id", "f")
+    # a piece may be read by several tasks
+    return rows.mapInArrow(parents, "id long, left long, right long").dropDuplicates(["id"]).join(often, "id").select("id", "left", "right", "f")
 
 
 def _with_parents(level: DataFrame, shorter: DataFrame) -> DataFrame:

@@ -117,3 +117,21 @@ def test_no_frequent_pair_is_missed_where_slots_meet(spark, monkeypatch, slot_bi
     monkeypatch.setattr(c, "frequent_slots", lambda rows, levels, least: free(rows, levels, least, slot_bits))
     rows = corpus(200, 11)
     assert as_rows(c.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), least=4)) == sorted(brute(rows, 4, 2000))
+
+
+def test_parents_are_handed_on_once_for_all_pieces(spark):
+    # every piece has every frequent pair; a row for each piece and pair grows with the square of the input
+    rows = [(i, "a b c d e f g h " * 40, "xx", 1, "", 1, "") for i in range(24)]
+    words = c.with_names(c.word_counts(docs := spark.createDataFrame(rows, SCHEMA).select("lang", "text").repartition(12)))
+    bits = [c.bits_of(words)]
+    stretches = c.written(c.stretches(docs, bits[0]), "test-stretches")
+    assert stretches.select("piece").distinct().count() > 4
+    often = c.frequent_slots(stretches, bits, 100).collect()
+    assert len(often) == 8 and {r.f for r in often} == {24 * 40, 24 * 40 - 24} and len({r.piece for r in often}) > 1
+    made = []
+    run = type(stretches).mapInArrow
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(stretches), "mapInArrow", lambda self, f, schema, *a, **b: made.append((f.__name__, out := run(self, f, schema, *a, **b))) or out)
+        level = c.pairs(stretches, bits, 100)
+    assert level.count() == 8
+    assert dict(made)[made[-1][0]].count() == 8
