@@ -43,3 +43,10 @@ def test_evaluation(spark):
     assert status(evaluation.event_coverage("e", days, (58, 61))) == (1, 2, "PARTIAL")
     assert evaluation.flag_hygiene("flag", a=ids("a"), b=ids("a").withColumnRenamed("id", "flag")).first().status == "FAIL"
     assert tuple(evaluation.precision_recall(ids("a", "b", "c"), ids("a", "d")).first()) == (0.333333, 0.5)
+
+
+def test_tasks_do_not_grow_with_small_files(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.bin").write_bytes(bytes([k % 256]) * 10)
+    files = faces.scan_files(spark, str(tmp_path), "*.bin")
+    assert files.count() == 600 and files.rdd.getNumPartitions() <= 8
