@@ -41,3 +41,15 @@ def test_query_as_its_sql(spark):
     want = con.sql(registry.oracle_sql()["graph_merged"])
     order = [want.columns.index(c) for c in got.columns]
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(tuple(float(r[i]) if want.columns[i] == "confidence" and r[i] is not None else r[i] for i in order)) for r in want.fetchall())
+
+
+def test_tasks_of_a_merge_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    from netfusion import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id % 500 AS k", "id AS v")
+    for _ in range(2):
+        sinks.merge_rows(rows, f"{tmp_path}/m", ["k"])
+    got = sinks.read_merged(spark, f"{tmp_path}/m")
+    assert got.count() == 500 and got.where("v = k + 500").count() == 500
+    assert len(got.inputFiles()) == 20 and not list((tmp_path / "m").glob("in-*"))
