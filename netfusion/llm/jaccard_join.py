@@ -4,7 +4,8 @@ Equal sets become one node. All shingles have one order: by how full their count
 corpus, in steps, then by hash, so rare ones come first. Two similar sets share a shingle among the first fifth of each (at 0.8), and
 their first common one stands so early in both that the shingles before it fit into the difference allowed.
 
-- Groups: sets whose first shingle that any other set has in its first fifth is the same; groups of over PART sets are cut.
+- Groups: sets whose first shingle is the same, of those that another set has in its first fifth too, where places and sizes leave
+  the two possibly similar; groups of over PART sets are cut.
 - Matrix: a row for each group, its columns first-fifth shingles (exact, spread by shingle) and all shingles (hashed to bits, one
   array for each set, united for a group). Groups that meet in a column of the first kind are candidates.
 - Opening: a candidate pair of groups is opened only for those sets of one whose bits outside the other's union fit into the difference
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netfusion.llm.common import cut, partitions, written
-from netfusion.llm.components import connected_components
+from netfusion.llm.components import connected_components, joined_components
 from netfusion.llm.decontam import shingle_hashes
 from netfusion.llm.documents import keyed, narrow
 
@@ -239,13 +240,25 @@ def _digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         if counts.any():
             none = [None] * SLICES
-            kind = np.uint8 if counts.max() < 256 else np.uint32
-            packed = [zlib.compress(c.astype(kind).tobytes(), 1) for c in np.split(counts, SLICES)]
+            packed = [packed_counts(c) for c in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none] * 6 + [list(range(SLICES)), packed], kinds, strict=True)], names=names)
 
     return docs.select("did", "th", "doc_id", "text").mapInArrow(run, "did long, th long, doc_id long, n long, node long, bits binary, slice int, counts binary")
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counters of a slice: a bit for each that isn't 0, then the values of those."""
+    used = counts[counts > 0]
+    return zlib.compress(np.packbits(counts > 0).tobytes() + used.astype(np.uint8 if used.max(initial=0) < 256 else np.uint32).tobytes(), 1)
+
+
+def add_counts(sums: np.ndarray, packed: bytes) -> None:
+    """Add the counters of packed_counts() to sums."""
+    data, n = zlib.decompress(packed), -(-len(sums) // 8)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, n), count=len(sums)))
+    sums[at] += np.frombuffer(data, np.uint8 if len(data) - n == len(at) else np.uint32, offset=n)
+
+
 def counter_steps(counters: DataFrame) -> np.ndarray:
     """How full each counter is, in steps of half a power of two. counters: slice, counts."""
     import pyarrow as pa
@@ -254,9 +267,7 @@ def counter_steps(counters: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = zlib.decompress(packed.as_py())
-                sums.setdefault(k, np.zeros(COUNTERS // SLICES, np.int64))
-                sums[k] += np.frombuffer(counts, np.uint8 if len(counts) == COUNTERS // SLICES else np.uint32)
+                add_counts(sums.setdefault(k, np.zeros(COUNTERS // SLICES, np.int64)), packed.as_py())
         steps = {k: (2 * np.log2(v + 1)).astype(np.uint8).tobytes() for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array([*steps], pa.int32()), pa.array([*steps.values()], pa.binary())], names=["slice", "steps"])
 
@@ -335,12 +346,22 @@ def _by_key(rows: DataFrame, solve: Callable[[np.ndarray], Iterator[np.ndarray]]
     return dealt.mapInArrow(run, schema)
 
 
-def _shared(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Of key, node, place, n those rows whose key several nodes have, each once."""
+def _shared(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Of key, node, place, n those rows whose key another node has that may be similar by both places and sizes, each once.
+
+    Keys of over FEW nodes aren't compared: of those all rows stay.
+    """
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))[: len(rows)]]
-    same = np.append(rows[1:, 0] == rows[:-1, 0], False)[: len(rows)]
-    yield rows[same | np.append(False, same[:-1])[: len(rows)]]
+    _, where, many = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+    keep = many[where] > FEW
+    at, step = np.flatnonzero(~keep), 1
+    while len(at := at[at + step < len(rows)]) and len(at := at[rows[at, 0] == rows[at + step, 0]]):
+        x, y = rows[at], rows[at + step]
+        ok = fits(x[:, 3] + y[:, 3], x[:, 2] + y[:, 2] + np.abs(x[:, 3] - x[:, 2] - y[:, 3] + y[:, 2]), percent)
+        keep[at[ok]] = keep[at[ok] + step] = True
+        step += 1
+    yield rows[keep]
 
 
 def _meetings(rows: np.ndarray, percent: int) -> Iterator[np.ndarray]:
@@ -477,7 +498,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.min_by(F.struct("did", "th", "n", "bits"), F.struct("did", "th")).alias("r"))
     nodes = written(nodes.select("node", "least_doc", "r.*"), "jaccard-nodes")
     steps = counter_steps(counters)
-    shared = _by_key(_columns(docs, steps, percent), _shared, "key long, node long, place int, n int")
+    shared = _by_key(_columns(docs, steps, percent), lambda rows: _shared(rows, percent), "key long, node long, place int, n int")
     own = Window.partitionBy("node").orderBy("place")
     shared = written(shared.withColumns({"grp": F.first("key").over(own), "prev": F.lag("key").over(own)}), "jaccard-shared")
     sets = shared.where("prev IS NULL").select("node", "grp")
@@ -513,7 +534,7 @@ def similar_documents(documents: DataFrame, percent: int = PERCENT) -> DataFrame
         left = left.join(side("x"), "x", "left").join(side("y"), "y", "left").where("coalesce(rx, x) <> coalesce(ry, y)").select("a", "i", "b", "j").distinct()
         labelled = sets.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
         found = cut(verified(docs, nodes, _opened(left, _groups(labelled), percent, False).select("x", "y"), percent))
-        roots = connected_components(links.union(found))
+        roots = joined_components(roots, found)
     named = nodes.select("node", "least_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     named = written(named.join(heads, "root").select("node", "component_id"), "jaccard-named")

@@ -128,3 +128,37 @@ def test_bits_bound_the_difference_and_fold():
 def test_stars_cover_every_set_with_a_pair():
     x, y = np.array([0, 0, 0, 4, 5]), np.array([1, 2, 3, 5, 6])
     assert sorted(j.stars(8, x, y)) == [(0, 1), (0, 2), (0, 3), (5, 4), (5, 6)]
+
+
+def test_shared_rows_are_those_that_may_be_similar():
+    # key, node, place, n: one key with sizes and places apart, one with a pair that fits, one of a single node
+    rows = np.array([[5, 1, 0, 100], [5, 2, 0, 200], [5, 3, 15, 90], [6, 1, 2, 100], [6, 3, 4, 90], [7, 2, 1, 200], [6, 1, 2, 100]])
+    (got,) = j._shared(rows, 80)
+    assert got.tolist() == [[6, 1, 2, 100], [6, 3, 4, 90]]  # all of key 5 before
+    many = np.array([[8, k, 0, 2**k % 1000 + 1] for k in range(j.FEW + 1)])
+    assert len(next(j._shared(many, 80))) == j.FEW + 1
+
+
+def test_similar_sets_keep_their_first_shared_row():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        order = rng.permutation(400)
+        at = np.sort(rng.choice(400, int(rng.integers(10, 200)), replace=False))
+        other = np.unique(np.append(rng.choice(at, int(len(at) * rng.uniform(0.85, 1)), replace=False), rng.integers(0, 400, int(rng.integers(0, 8)))))
+        sets = [[int(order[k]) for k in s] for s in (at, other)]
+        rows = np.array([[key, node, place, len(s)] for node, s in enumerate(sets) for place, key in enumerate(s[: len(s) // 5 + 1])])
+        shared = len({*sets[0]} & {*sets[1]})
+        if 100 * shared >= 80 * (len(sets[0]) + len(sets[1]) - shared):
+            first = next(key for key in sets[0] if key in sets[1])
+            assert sorted(r[1] for r in next(j._shared(rows, 80)).tolist() if r[0] == first) == [0, 1]
+
+
+def test_counters_are_packed_small_and_add_up():
+    rng = np.random.default_rng(4)
+    size = j.COUNTERS // j.SLICES
+    sparse, full, none = np.bincount(rng.integers(0, size, size // 20), minlength=size), rng.integers(0, 70_000, size), np.zeros(size, int)
+    sums = np.zeros(size, np.int64)
+    for c in (sparse, full, none, sparse):
+        j.add_counts(sums, j.packed_counts(c.astype(np.uint32)))
+    assert (sums == 2 * sparse + full).all()
+    assert len(j.packed_counts(sparse.astype(np.uint32))) < size // 14  # a tenth of the slots' bytes before
