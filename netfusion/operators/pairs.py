@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netfusion import session
 from netfusion.operators import graph
-from netfusion.session import stored
+from netfusion.session import by_rows, stored
 
 #: Evidence points from which a tie has a label.
 STRENGTHS = (
@@ -24,9 +25,14 @@ def _paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a) != F.col(b)).withColumns({"p": F.least(a, b), "q": F.greatest(a, b), "forth": F.col(a) < F.col(b)})
 
 
-def telephony(calls: DataFrame) -> DataFrame:
-    """p, q, calls, calls_p (made by p), calls_q, minutes (1 digit), n_days."""
-    t = _paired(calls, "caller", "callee")
+def _dealt(t: DataFrame, n: int | None) -> DataFrame:
+    return t if n is None else by_rows(t, n, "p", "q")
+
+
+def telephony(calls: DataFrame, n: int | None = None) -> DataFrame:
+    """p, q, calls, calls_p (made by p), calls_q, minutes (1 digit), n_days. n: how many calls there are, or about so many, if known; as many
+    tasks as they need then count them."""
+    t = _dealt(_paired(calls, "caller", "callee").select("p", "q", "forth", "duration", "day"), n)
     return t.groupBy("p", "q").agg(
         F.count("*").alias("calls"), F.count_if("forth").alias("calls_p"), F.count_if(~F.col("forth")).alias("calls_q"), F.round(F.sum("duration") / 60.0, 1).alias("minutes"), F.count_distinct("day").alias("n_days")
     )
@@ -39,9 +45,9 @@ def top_towers(calls: DataFrame, most: int = 4) -> DataFrame:
     return per.groupBy("p", "q").agg(F.slice(F.transform(ordered, lambda x: x["tower"]), 1, most).alias("towers"))
 
 
-def financials(txns: DataFrame) -> DataFrame:
-    """p, q, txns, amount, amount_p (sent by p), amount_q."""
-    t = _paired(txns, "sender", "receiver")
+def financials(txns: DataFrame, n: int | None = None) -> DataFrame:
+    """p, q, txns, amount, amount_p (sent by p), amount_q. n as in telephony()."""
+    t = _dealt(_paired(txns, "sender", "receiver").select("p", "q", "forth", "amount"), n)
     sent = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(0))
     return t.groupBy("p", "q").agg(F.count("*").alias("txns"), F.sum("amount").alias("amount"), sent(F.col("forth")).alias("amount_p"), sent(~F.col("forth")).alias("amount_q"))
 
@@ -150,21 +156,48 @@ def by_identity(acts: DataFrame, people: DataFrame, sides: tuple[str, str] = ("c
     people stands for each; what fits nobody, or the same person on both sides, goes. Different ends are looked up once, however
     many acts they have.
     """
+    return identified(acts, people, sides, number)[0]
+
+
+def identified(acts: DataFrame, people: DataFrame, sides: tuple[str, str] = ("caller", "callee"), number: str = "phone") -> tuple[DataFrame, int]:
+    """by_identity() and about how many rows it has (as if who stands at one side didn't depend on the other), at least the number of acts.
+
+    Acts meet their ends in as many tasks as those rows need, so a task's memory doesn't grow with the acts; an end of more rows than a
+    task holds is dealt to several.
+    """
     a, b = sides
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     bare = (lambda c: F.regexp_replace(low(c), r"\D", "")) if number == "phone" else low
     end = lambda s: F.struct(low(f"{s}_id").alias("i"), low(f"{s}_name").alias("n"), bare(f"{s}_{number}").alias("x"))
     keys = lambda i, n, x: F.array_distinct(F.filter(F.array(F.concat(F.lit("n:"), i), F.concat(F.lit("n:"), n), F.concat(F.lit("x:"), x)), lambda k: F.length(k) > 2))
     named = acts.withColumns({"_a": end(a), "_b": end(b)})
-    known = people.select("id", F.explode(keys(low("id"), low("name"), bare(number))).alias("key")).distinct()
-    ends = named.select(F.explode(F.array("_a", "_b")).alias("e")).distinct().select("e", F.explode(keys(F.col("e.i"), F.col("e.n"), F.col("e.x"))).alias("key"))
-    who = ends.join(known, "key").groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    met = named.join(who.select(F.col("e").alias("_a"), F.col("ids").alias("_as")), "_a").join(who.select(F.col("e").alias("_b"), F.col("ids").alias("_bs")), "_b")
+    each_end = F.array(F.struct(F.col("_a").alias("e"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("_b").alias("e"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    ends = named.select(F.explode(each_end).alias("s")).groupBy("s.e").agg(F.sum("s.a").alias("as_a"), F.sum("s.b").alias("as_b"))
+    ends = stored(ends, "ends")
+    n_people, n_ends = people.count(), ends.count()
+    known = by_rows(people.select("id", keys(low("id"), low("name"), bare(number)).alias("keys")), n_people, "id").select("id", F.explode("keys").alias("key")).distinct()
+    asked = ends.select("e", "as_a", "as_b", F.explode_outer(keys(F.col("e.i"), F.col("e.n"), F.col("e.x"))).alias("key"))
+    asked = by_rows(asked, n_people + n_ends, "key").join(by_rows(known, n_people + n_ends, "key"), "key", "left")
+    who = by_rows(asked, n_ends, "e").groupBy("e").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"), F.array_sort(F.collect_set("id")).alias("ids"))
+    who = stored(who.withColumns({f"rows_{s}": F.col(f"as_{s}") * F.size("ids") for s in "ab"}), "who")
+    total = who.agg(*(F.coalesce(f(c), F.lit(0)).alias(c) for f, c in ((F.sum, "as_a"), (F.sum, "rows_a"), (F.sum, "rows_b")))).first()
+    n = max(total.as_a, total.rows_a * total.rows_b // max(total.as_a, 1))
+    rest = [c for c in acts.columns if c not in sides]
+
+    def met(acts: DataFrame, s: str) -> DataFrame:
+        parts = F.ceil(F.col(f"rows_{s}") / session.TASK_ROWS).cast("int")
+        some = who.select(F.col("e").alias(f"_{s}"), F.col("ids").alias(f"_{s}s"), parts.alias("_parts")).where("_parts > 0")
+        large = F.broadcast(some.where("_parts > 1").select(f"_{s}", "_parts"))  # at most a row for each task
+        spread = F.xxhash64(*(c for c, kind in acts.dtypes if "map<" not in kind))
+        acts = acts.join(large, f"_{s}", "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(spread, F.col("_parts"))).cast("int")).drop("_parts")
+        some = some.select(f"_{s}", f"_{s}s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+        return by_rows(acts, n, f"_{s}", "_part").join(by_rows(some, n, f"_{s}", "_part"), [f"_{s}", "_part"]).drop("_part")
+
     each = F.flatten(F.transform("_as", lambda p: F.transform(F.col("_bs"), lambda q: F.struct(p.alias("p"), q.alias("q")))))
     # an act between two people who both fit both sides is one act, not one each way
     once = lambda x: (x["p"] < x["q"]) | ((x["p"] > x["q"]) & ~(F.array_contains("_as", x["q"]) & F.array_contains("_bs", x["p"])))
-    rest = [c for c in acts.columns if c not in sides]
-    return met.select(*rest, F.explode(F.filter(each, once)).alias("_e")).select(*rest, F.col("_e.p").alias(a), F.col("_e.q").alias(b))
+    out = met(met(named, "a"), "b").select(*rest, F.explode(F.filter(each, once)).alias("_e"))
+    return out.select(*rest, F.col("_e.p").alias(a), F.col("_e.q").alias(b)), n
 
 
 def explain(calls: DataFrame, txns: DataFrame, mentions: DataFrame | None = None, edges: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:

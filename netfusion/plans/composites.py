@@ -36,14 +36,14 @@ def one_of_three(acts: DataFrame, key: str, sides: tuple[str, str], number: str,
 
 def identity_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls whose ends are told by id, name or phone, matched with the directory; then counted by pair."""
-    c = one_of_three(calls(spark, d), "call_id", ("caller", "callee"), "phone", lambda i: F.concat(F.lit("91-"), F.lpad(i, 10, "0")))
-    return pairs.telephony(pairs.by_identity(c, known_people(spark, d)))
+    c = one_of_three(calls(spark, d, dealt=True), "call_id", ("caller", "callee"), "phone", lambda i: F.concat(F.lit("91-"), F.lpad(i, 10, "0")))
+    return pairs.telephony(*pairs.identified(c, known_people(spark, d)))
 
 
 def identity_transfers(spark: SparkSession, d: str) -> DataFrame:
     """J11 for transfers, by account."""
-    t = one_of_three(txns(spark, d), "txn_id", ("sender", "receiver"), "account", lambda i: F.concat(F.lit("ac"), F.lpad(i, 8, "0")))
-    return pairs.financials(pairs.by_identity(t, known_people(spark, d), ("sender", "receiver"), "account"))
+    t = one_of_three(txns(spark, d, dealt=True), "txn_id", ("sender", "receiver"), "account", lambda i: F.concat(F.lit("ac"), F.lpad(i, 8, "0")))
+    return pairs.financials(*pairs.identified(t, known_people(spark, d), ("sender", "receiver"), "account"))
 
 
 def resolved_edges(spark: SparkSession, d: str) -> DataFrame:

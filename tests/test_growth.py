@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from netfusion import session
 from netfusion.operators import graph, pairs, resolution
 
 
@@ -126,3 +127,28 @@ def test_names_are_not_broadcast(spark):
     found = resolution.candidates(spark.createDataFrame([("Nam3 Last3",), ("N. Last3",), ("name4 last4",)], "value string"), people)
     assert {r.value for r in found.collect()} == {"Nam3 Last3", "N. Last3", "name4 last4"}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_acts_meet_their_ends_in_tasks_of_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rng = random.Random(11)
+    people = [(str(k), f"N{k % 30}", f"a{k}") for k in range(60)]  # two of each name
+    told = lambda k: [(str(k), "", ""), ("", f" n{k % 30}", ""), ("", None, f"A{k}"), ("nobody", "", "")][rng.randrange(4)]
+    acts = [(n, *told(0 if n % 3 else rng.randrange(60)), *told(rng.randrange(60)), rng.randrange(100)) for n in range(1500)]  # 0 has most
+    names = [f"{s}_{c}" for s in ("sender", "receiver") for c in ("id", "name", "account")]
+    t = spark.createDataFrame(acts, "txn_id long, " + ", ".join(f"{c} string" for c in names) + ", amount long")
+    out, n = pairs.identified(t, spark.createDataFrame(people, "id string, name string, account string"), ("sender", "receiver"), "account")
+
+    def who(i, name, account):
+        low = lambda x: (x or "").strip().lower()
+        return [p[0] for p in people if low(i) == p[0] or (low(name) and low(name) == p[1].lower()) or (low(account) and low(account) == p[2])]
+
+    want = []
+    for txn, i, name, account, j, other, number, amount in acts:
+        x, y = who(i, name, account), who(j, other, number)
+        want += [(txn, p, q, amount) for p in x for q in y if p < q or p > q and not (q in x and p in y)]
+    assert sorted(map(tuple, out.select("txn_id", "sender", "receiver", "amount").collect())) == sorted(want)
+    assert len(want) < 2 * n and n < 2 * len(want)
+    counted = pairs.financials(out, n)
+    assert counted.rdd.getNumPartitions() >= n // 50  # as many as shuffle partitions before
+    assert sum(r.txns for r in counted.collect()) == len(want)
