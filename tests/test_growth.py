@@ -152,3 +152,39 @@ def test_acts_meet_their_ends_in_tasks_of_so_many_rows(spark, monkeypatch):
     counted = pairs.financials(out, n)
     assert counted.rdd.getNumPartitions() >= n // 50  # as many as shuffle partitions before
     assert sum(r.txns for r in counted.collect()) == len(want)
+
+
+def brute_credits(near, s):
+    dist = distances(near, s)
+    paths, credit = {s: 1}, dict.fromkeys(dist, 0.0)
+    order = sorted(dist, key=dist.get)
+    for v in order[1:]:
+        paths[v] = sum(paths[u] for u in near[v] if dist[u] == dist[v] - 1)
+    for w in reversed(order):
+        for v in near[w]:
+            if dist[v] == dist[w] - 1:
+                credit[v] += paths[v] / paths[w] * (1 + credit[w])
+    return {v: c for v, c in credit.items() if v != s}
+
+
+@pytest.mark.parametrize("arcs", [7, 1 << 22])
+def test_betweenness_takes_many_sources_at_once_and_all_of_them(monkeypatch, arcs):
+    import numpy as np
+
+    assert graph.MAX_BROADCAST_EDGES is None  # 5,000,000 before, and sampled beyond
+    layers = [(8 * k + a, 8 * k + 8 + b) for k in range(11) for a in range(8) for b in range(8)]  # 8**10 paths, over 2**24
+    near = {}
+    for a, b in {*layers, *((a, b) for a, b in chain_of_clusters(8, 40, 6) if a < b)}:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    ids = sorted(near)
+    at = {x: k for k, x in enumerate(ids)}
+    starts = np.cumsum([0, *(len(near[x]) for x in ids)])
+    targets = np.array([at[y] for x in ids for y in sorted(near[x])], np.int32)
+    monkeypatch.setattr(graph, "SEARCH_ARCS", arcs)
+    monkeypatch.setattr(graph, "RUN", 5)
+    want = np.zeros(len(ids))
+    for s in ids[:40]:
+        for v, c in brute_credits(near, s).items():
+            want[at[v]] += c
+    assert graph._credits((starts, targets), np.arange(40)) == pytest.approx(want, rel=1e-12, abs=1e-12)
