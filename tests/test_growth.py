@@ -188,3 +188,15 @@ def test_betweenness_takes_many_sources_at_once_and_all_of_them(monkeypatch, arc
         for v, c in brute_credits(near, s).items():
             want[at[v]] += c
     assert graph._credits((starts, targets), np.arange(40)) == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_all_pairs_beyond_a_task_are_exact(spark, monkeypatch):
+    e = spark.createDataFrame(chain_of_clusters(10, 30, 8), "src long, dst long")
+    people = spark.createDataFrame([(k,) for k in range(310)], "id long")
+    want, mean = {r.id: r.betweenness for r in graph.betweenness(e).collect()}, graph.efficiency(e, people)
+    monkeypatch.setattr(graph, "MAX_SEARCHED_EDGES", 10)
+    monkeypatch.setattr(graph, "SLICE_BITS", 6)  # several blocks
+    monkeypatch.setattr(graph, "SOURCES", 20)  # before, so many sources stood for all
+    assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(want, rel=1e-12, abs=1e-15)
+    monkeypatch.setattr(graph, "efficiency_by_hops", None)  # before, an estimate by sketches
+    assert graph.efficiency(e, people) == pytest.approx(mean, rel=1e-12)
