@@ -200,3 +200,9 @@ def test_all_pairs_beyond_a_task_are_exact(spark, monkeypatch):
     assert {r.id: r.betweenness for r in graph.betweenness(e).collect()} == pytest.approx(want, rel=1e-12, abs=1e-15)
     monkeypatch.setattr(graph, "efficiency_by_hops", None)  # before, an estimate by sketches
     assert graph.efficiency(e, people) == pytest.approx(mean, rel=1e-12)
+
+
+def test_louvain_rounds_end_in_written_tables(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", None)  # before, checkpoints, whose planning took up to 30 s for eleven rows
+    groups = graph.louvain(spark.createDataFrame([(a, b) for g in (0, 10, 20) for a, b in itertools.combinations(range(g, g + 6), 2)], "src long, dst long"))
+    assert {(r.id, r.community) for r in groups.collect()} == {(k, g) for g in (0, 10, 20) for k in range(g, g + 6)}
