@@ -91,32 +91,70 @@ def window_bound(short: str, long: str) -> float:
     return best
 
 
-def best_by_bounds(values: list[str], names: list[str], least: float) -> list[tuple[str, int]]:
-    """(value, position of its best name) for values whose best score is ``least`` or more; of equal scores the first name."""
+def _kinds(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows of character_counts(), the sizes with them, and which of these each string has."""
+    rows = np.column_stack([character_counts(strings), [len(x) for x in strings]])
+    kinds, which = np.unique(rows, axis=0, return_inverse=True)
+    return kinds[:, :-1].astype(np.uint16), kinds[:, -1], which.reshape(-1)
+
+
+def known_names(names: list[str]) -> tuple:
+    """names as best_of_known() takes them: those of the same characters together, as they share their bounds."""
     low = [x.strip().lower() for x in names]
-    counts, sizes, out = character_counts(low), np.array([len(x) for x in low]), []
-    for value in values:
-        own = value.strip().lower()
-        bound, whole = upper_bounds(character_counts([own]), len(own), counts, sizes)
-        near = np.flatnonzero(bound >= least)
-        best, at = least, None  # an equal score is enough for the first name
-
-        def wins(score: float, k: int) -> bool:
-            return score > best or score == best and (at is None or k < at)
-
-        for k in near[np.lexsort((near, -bound[near]))].tolist():
-            if not wins(bound[k], k):
-                break  # of equal bounds the first names come first, so the others can only be equal and later
-            if wins(whole[k], k) and wins(score := indel_ratio(own, low[k]), k):
-                best, at = score, k
-            ends = sorted((own, low[k]), key=len)
-            if wins(0.95 * window_bound(*ends), k) and wins(score := 0.95 * partial_ratio(own, low[k]), k):
-                best, at = score, k
-        if at is not None:
-            out.append((value, at))
+    if not low:
+        return low, np.zeros((0, _CLASSES), np.uint16), np.zeros(0, np.int64), []
+    counts, sizes, which = _kinds(low)
+    order = np.argsort(which, kind="stable")
+    return low, counts, sizes, np.split(order, np.cumsum(np.bincount(which))[:-1])
+
+
+def best_of_known(values: list[str], known: tuple, least: list[float]) -> list[tuple[str, int, float]]:
+    """(value, position of its best name, score) for values whose best score is their ``least`` or more; of equal scores the first name. Bounds are
+    taken once for all values and names of the same characters."""
+    low, counts, sizes, members = known
+    out: list[tuple[str, int, float]] = []
+    if not low or not values:
+        return out
+    owns = [value.strip().lower() for value in values]
+    own_counts, own_sizes, which = _kinds(owns)
+    for kind in range(len(own_counts)):
+        size = int(own_sizes[kind])
+        bounds, wholes = upper_bounds(own_counts[kind], size, counts, sizes)
+        shared = np.rint(wholes * np.maximum(size + sizes, 1) / 200.0)
+        parts = 0.95 * (200.0 * shared / np.maximum(np.minimum(size, sizes) + shared, 1))
+        for i in np.flatnonzero(which == kind).tolist():
+            own, best, at = owns[i], least[i], None
+            near = np.flatnonzero(bounds >= best)
+            if not len(near):
+                continue
+            ks = np.concatenate([members[x] for x in near])
+            of = np.repeat(near, [len(members[x]) for x in near])
+            order = np.lexsort((ks, -bounds[of]))
+
+            def wins(score: float, k: int) -> bool:
+                return score > best or score == best and (at is None or k < at)
+
+            for k, x in zip(ks[order].tolist(), of[order].tolist(), strict=True):
+                if not wins(bounds[x], k):
+                    break  # of equal bounds the first names come first, so the others can only be equal and later
+                if wins(wholes[x], k) and wins(score := indel_ratio(own, low[k]), k):
+                    best, at = score, k
+                if not min(size, sizes[x]) or wins(parts[x], k):
+                    ends = sorted((own, low[k]), key=len)
+                    if wins(0.95 * window_bound(*ends), k) and wins(score := 0.95 * partial_ratio(own, low[k]), k):
+                        best, at = score, k
+            if at is not None:
+                out.append((values[i], at, best))
     return out
 
 
+def best_by_bounds(values: list[str], names: list[str], least: float) -> list[tuple[str, int]]:
+    """(value, position of its best name) for values whose best score is ``least`` or more; of equal scores the first name."""
+    found = best_of_known(values, known_names(names), [least] * len(values))
+    place = {value: k for k, value in reversed([*enumerate(values)])}
+    return sorted(((value, at) for value, at, _ in found), key=lambda x: place[x[0]])
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x.strip().lower(), y.strip().lower()) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")

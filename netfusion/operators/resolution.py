@@ -5,12 +5,13 @@ mentions: seq, value, confidence, phone, evidence_snippet, source_id, source_typ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netfusion.functions.similarity import best_by_bounds, name_similarity, partial_similarity
+from netfusion.functions.similarity import best_of_known, character_counts, known_names, name_similarity, partial_similarity, upper_bounds
 from netfusion.functions.text import initials_score
 from netfusion.session import cut
 
@@ -23,10 +24,15 @@ def _normal(c: str) -> Column:
     return F.lower(F.trim(c))
 
 
+def _signature(c: str) -> Column:
+    """The characters of a name, in order: names that share it share their bounds."""
+    return F.array_join(F.array_sort(F.split(_normal(c), "")), "")
+
+
 def _blocks(rows: DataFrame, most: int, name: str, *columns: str) -> tuple[DataFrame, int]:
-    """(block, list) of about ``most`` rows each, dealt by hash, and how many blocks there are."""
+    """(block, list) of about ``most`` rows (key, ...) each, dealt by a hash of the key, and how many blocks there are."""
     blocks = max(1, -(-rows.count() // most))
-    dealt = rows.groupBy(F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias(f"{name}_block"))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(f"{name}_block"))
     return dealt.agg(F.collect_list(F.struct(*columns)).alias(name)), blocks
 
 
@@ -39,8 +45,9 @@ def candidates(mentions: DataFrame, people: DataFrame, least: float = REJECT) ->
     """value, id, name, ordinal: pairs among which is, for each value with a name that scores ``least`` or more, the best name in the order of
     best_candidates().
 
-    Equal names and pairs by initials come from joins on words. For the rest, blocks of values meet blocks of names; there each pair has an
-    upper bound of its score from the characters that both hold, whatever their order (no common subsequence has more), and names are scored
+    Equal names and pairs by initials come from joins on words. For the rest, blocks of values meet blocks of names, those of the same characters
+    together; there each pair has an upper bound of its score from the characters that both hold, whatever their order (no common subsequence
+    has more). A value is first scored with the names of its greatest bound, which gives what it reaches; then names are scored
     from the highest bound down until none can reach the best. No pair is left out for the size of either side.
     """
     names = people.select("id", "name", "ordinal").where("name IS NOT NULL")
@@ -61,27 +68,77 @@ def _by_initials(values: DataFrame, names: DataFrame) -> DataFrame:
     return _sorted_join(v, known, "key").select("value", "id", "name", "ordinal")
 
 
-def _by_bounds(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """The best name of each value in each block of names, if it scores ``least`` or more by ratio or partial ratio."""
-    import pyarrow as pa
-
-    listed, _ = _blocks(values, VALUE_BLOCK, "values", "value")
-    known, n = _blocks(names, NAME_BLOCK, "names", "id", "name", "ordinal")
-    kinds = {f.name: f.dataType for f in names.schema.fields}
+def _meets(values: DataFrame, names: DataFrame, of_value: tuple, of_name: tuple, run: Callable, schema: str) -> DataFrame:
+    """What run(values, names, names' block) yields for each block of values and each of names; a block of names comes many times in a row."""
+    listed, _ = _blocks(values, VALUE_BLOCK, "values", *of_value)
+    known, n = _blocks(names, NAME_BLOCK, "names", *of_name)
     meets = _sorted_join(listed.select("values", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("names_block")), known, "names_block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = {}, None
+        for batch in batches:
+            for some, others, k in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if k != last:
+                    held, last = {}, k
+                yield run(some.as_py(), others, held)
+
+    return meets.select("values", "names", "names_block").mapInArrow(every, schema)
+
+
+def _floors(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """key, value, least: values (key, value) with the best score among the names whose characters promise most, or ``least`` if it is more."""
+    one = lambda rows, c: rows.groupBy("key").agg(F.min(c).alias(c))
+
+    def promise(some: list, others: pa.Scalar, held: dict) -> pa.RecordBatch:
+        import numpy as np
+
+        if not held:
+            rows = others.as_py()
+            low = [r["name"].strip().lower() for r in rows]
+            held |= {"keys": [r["key"] for r in rows], "counts": character_counts(low), "sizes": np.array([len(x) for x in low])}
+        own = [r["value"].strip().lower() for r in some]
+        bounds, at = [], []
+        for counts, x in zip(character_counts(own), own, strict=True):
+            bound = upper_bounds(counts, len(x), held["counts"], held["sizes"])[0]
+            at.append(int(bound.argmax()))
+            bounds.append(float(bound[at[-1]]))
+        return pa.RecordBatch.from_arrays([pa.array([r["key"] for r in some], pa.string()), pa.array(bounds, pa.float64()), pa.array([held["keys"][k] for k in at], pa.string())], names=["key", "bound", "near"])
+
+    promised = _meets(one(values, "value"), one(names, "name"), ("key", "value"), ("key", "name"), promise, "key string, bound double, near string")
+    best = promised.groupBy("key").agg(F.max_by("near", F.struct("bound", "near")).alias("near"))
+    listed = values.groupBy("key").agg(F.collect_list("value").alias("values"))
+    known = names.groupBy(F.col("key").alias("near")).agg(F.collect_list("name").alias("names"))
+    meets = _sorted_join(_sorted_join(listed, best, "key"), known, "near").select("key", "values", "names")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, others in zip(batch.column(0), batch.column(1), strict=True):
-                rows = sorted(others.as_py(), key=lambda r: (r["ordinal"] is not None, r["ordinal"], r["id"]))
-                found = best_by_bounds([v["value"] for v in some.as_py()], [r["name"] for r in rows], least)
-                fields = others.values.type
-                picked = [(v, rows[k]) for v, k in found]
-                columns = [pa.array([v for v, _ in picked], pa.string())] + [pa.array([r[c] for _, r in picked], fields.field(c).type) for c in ("id", "name", "ordinal")]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "id", "name", "ordinal"])
+            for key, some, others in zip(*batch.columns, strict=True):
+                values_ = some.as_py()
+                score = {v: s for v, _, s in best_of_known(values_, known_names(others.as_py()), [least] * len(values_))}
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(values_), pa.string()), pa.array(values_, pa.string()), pa.array([score.get(v, least) for v in values_], pa.float64())], names=["key", "value", "least"])
+
+    return cut(meets.mapInArrow(reached, "key string, value string, least double"))
+
+
+def _by_bounds(values: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """The best name of each value in each block of names, if it scores ``least`` or more by ratio or partial ratio, and no less than the value is
+    known to reach with some name. Of equal names only the first is looked at."""
+    kinds = {f.name: f.dataType for f in names.schema.fields}
+    first = names.groupBy("name").agg(F.min(F.struct("ordinal", "id")).alias("b")).select("b.id", "name", "b.ordinal")
+    first = cut(first.withColumn("key", _signature("name")))
+    floors = _floors(values.withColumn("key", _signature("value")), first, least)
+
+    def bests(some: list, others: pa.Scalar, held: dict) -> pa.RecordBatch:
+        if not held:
+            rows = sorted(others.as_py(), key=lambda r: (r["ordinal"] is not None, r["ordinal"], r["id"]))
+            held |= {"rows": rows, "known": known_names([r["name"] for r in rows])}
+        fields = others.values.type
+        picked = [(v, held["rows"][k]) for v, k, _ in best_of_known([r["value"] for r in some], held["known"], [r["least"] for r in some])]
+        columns = [pa.array([v for v, _ in picked], pa.string())] + [pa.array([r[c] for _, r in picked], fields.field(c).type) for c in ("id", "name", "ordinal")]
+        return pa.RecordBatch.from_arrays(columns, names=["value", "id", "name", "ordinal"])
 
     schema = "value string, " + ", ".join(f"{c} {kinds[c].simpleString()}" for c in ("id", "name", "ordinal"))
-    return meets.select("values", "names").mapInArrow(run, schema)
+    return _meets(floors, first, ("value", "least"), ("id", "name", "ordinal"), bests, schema)
 
 
 def scored(pairs: DataFrame) -> DataFrame:

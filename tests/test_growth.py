@@ -206,3 +206,16 @@ def test_louvain_rounds_end_in_written_tables(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut", None)  # before, checkpoints, whose planning took up to 30 s for eleven rows
     groups = graph.louvain(spark.createDataFrame([(a, b) for g in (0, 10, 20) for a, b in itertools.combinations(range(g, g + 6), 2)], "src long, dst long"))
     assert {(r.id, r.community) for r in groups.collect()} == {(k, g) for g in (0, 10, 20) for k in range(g, g + 6)}
+
+
+def test_names_of_the_same_characters_share_their_bounds(monkeypatch):
+    from netfusion.functions import similarity
+
+    asked, real = [], similarity.upper_bounds
+    monkeypatch.setattr(similarity, "upper_bounds", lambda counts, size, others, sizes: asked.append(len(others)) or real(counts, size, others, sizes))
+    names = [f"Name {''.join(x)}" for x in itertools.permutations("12345")] + ["Name 1", "Nom 11"]
+    values = [f"Nme {''.join(x)}" for x in itertools.permutations("1245")] + ["Nam 1", "x"]
+    score = lambda a, b: max(similarity.indel_ratio(a.lower(), b.lower()), 0.95 * similarity.partial_ratio(a.lower(), b.lower()))
+    want = {v: max(range(len(names)), key=lambda k: (score(v, names[k]), -k)) for v in values}
+    assert similarity.best_by_bounds(values, names, 0.0) == [(v, want[v]) for v in values]
+    assert sum(asked) == 9  # 3,172 before, one for each value and name
