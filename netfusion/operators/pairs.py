@@ -170,7 +170,9 @@ def identified(acts: DataFrame, people: DataFrame, sides: tuple[str, str] = ("ca
     bare = (lambda c: F.regexp_replace(low(c), r"\D", "")) if number == "phone" else low
     end = lambda s: F.struct(low(f"{s}_id").alias("i"), low(f"{s}_name").alias("n"), bare(f"{s}_{number}").alias("x"))
     keys = lambda i, n, x: F.array_distinct(F.filter(F.array(F.concat(F.lit("n:"), i), F.concat(F.lit("n:"), n), F.concat(F.lit("x:"), x)), lambda k: F.length(k) > 2))
-    named = acts.withColumns({"_a": end(a), "_b": end(b)})
+    # taken once, so that what is only needed for it goes no further
+    spread = F.pmod(F.xxhash64(*(c for c, kind in acts.dtypes if "map<" not in kind)), F.lit((1 << 31) - 1)).cast("int")
+    named = acts.withColumns({"_a": end(a), "_b": end(b), "_spread": spread})
     each_end = F.array(F.struct(F.col("_a").alias("e"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("_b").alias("e"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     ends = named.select(F.explode(each_end).alias("s")).groupBy("s.e").agg(F.sum("s.a").alias("as_a"), F.sum("s.b").alias("as_b"))
     ends = stored(ends, "ends")
@@ -188,8 +190,7 @@ def identified(acts: DataFrame, people: DataFrame, sides: tuple[str, str] = ("ca
         parts = F.ceil(F.col(f"rows_{s}") / session.TASK_ROWS).cast("int")
         some = who.select(F.col("e").alias(f"_{s}"), F.col("ids").alias(f"_{s}s"), parts.alias("_parts")).where("_parts > 0")
         large = F.broadcast(some.where("_parts > 1").select(f"_{s}", "_parts"))  # at most a row for each task
-        spread = F.xxhash64(*(c for c, kind in acts.dtypes if "map<" not in kind))
-        acts = acts.join(large, f"_{s}", "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(spread, F.col("_parts"))).cast("int")).drop("_parts")
+        acts = acts.join(large, f"_{s}", "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod("_spread", F.col("_parts"))).cast("int")).drop("_parts")
         some = some.select(f"_{s}", f"_{s}s", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
         return by_rows(acts, n, f"_{s}", "_part").join(by_rows(some, n, f"_{s}", "_part"), [f"_{s}", "_part"]).drop("_part")
 

@@ -219,3 +219,12 @@ def test_names_of_the_same_characters_share_their_bounds(monkeypatch):
     want = {v: max(range(len(names)), key=lambda k: (score(v, names[k]), -k)) for v in values}
     assert similarity.best_by_bounds(values, names, 0.0) == [(v, want[v]) for v in values]
     assert sum(asked) == 9  # 3,172 before, one for each value and name
+
+
+def test_what_spreads_acts_is_taken_once(spark):
+    t = spark.createDataFrame([(1, "1", "", "", "2", "", "", 5)], "txn_id long, sender_id string, sender_name string, sender_account string, receiver_id string, receiver_name string, receiver_account string, amount long")
+    people = spark.createDataFrame([("1", "A", "x"), ("2", "B", "y")], "id string, name string, account string")
+    out, _ = pairs.identified(t, people, ("sender", "receiver"), "account")
+    counted = out.select("sender", "receiver", "amount")
+    assert counted.collect() == [("1", "2", 5)]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1  # 2 before, so all columns went through both shuffles
